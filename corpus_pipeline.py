@@ -16,7 +16,7 @@ from tallyspark.llm.queries import tokenizer
 #: Documents that score at least this much are toxic.
 TOXIC = 0.3
 #: A margin below this share of the compressed size is too narrow to name a language.
-NARROW = 0.0005
+NARROW = 0.001
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -26,7 +25,7 @@ from pyspark.sql import Window
 
 from .common import materialize, ship
 
-BLOCK = 4096
+BLOCK, LEVEL = 2048, 6
 _state: dict = {}
 _NOT_WORD = re.compile(r"[\W\d_]+")
 
@@ -66,39 +65,49 @@ def _compressors(dicts: dict[str, bytes]):
         made = []
         for lang in sorted(dicts):
             d = z.ZstdCompressionDict(dicts[lang], dict_type=z.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=3)
-            made.append((lang, z.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)))
+            # matches from three bytes on: a word's syllables tell as much as whole words
+            p = z.ZstdCompressionParameters.from_level(
+                LEVEL, source_size=BLOCK, dict_size=len(dicts[lang]), min_match=3, write_content_size=False, write_checksum=False, write_dict_id=False
+            )
+            d.precompute_compress(compression_params=p)
+            made.append((lang, z.ZstdCompressor(dict_data=d, compression_params=p)))
         _state.update(key=key, made=made)
     return _state["made"]
 
 
-def identify_text(text: str | None, dicts: dict[str, bytes]) -> tuple[str, float, float]:
-    """(language, margin, score) of one text."""
-    raw = normal(text) if text else b""
-    if not dicts or not text or not any(map(str.isalpha, text)):
-        return "und", 0.0, 0.0
+def identify_texts(texts: list[str | None], dicts: dict[str, bytes]) -> list[tuple[str, float, float, int]]:
+    """(language, margin, score, letters) of each text."""
+    raws = [normal(t) if t else b"" for t in texts]
+    letters = [len(r) - r.count(b" ") if t and any(map(str.isalpha, t)) else 0 for t, r in zip(texts, raws)]
+    if not dicts:
+        return [("und", 0.0, 0.0, n) for n in letters]
+    # one compressor after the other over the whole batch: its tables stay in the processor's cache
     sizes = []
-    blocks = [raw[i : i + BLOCK] for i in range(0, len(raw), BLOCK)]
     for lang, c in _compressors(dicts):
-        sizes.append((sum(len(c.compress(b)) for b in blocks), lang))
-    sizes.sort()
-    if len(sizes) == 1:
-        return sizes[0][1], 1.0, 1.0
-    margin = (sizes[1][0] - sizes[0][0]) / max(1, sizes[1][0])
-    return sizes[0][1], margin, 1.0 - math.exp(-20.0 * margin)
-
-
-def identify(docs: DataFrame, dicts: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", narrow: float = 0.002) -> DataFrame:
-    """docs with lang_pred string, lang_margin double, lang_score double, lang_rejected boolean added."""
+        sizes.append((lang, [sum([len(c.compress(r[i : i + BLOCK])) for i in range(0, len(r), BLOCK)]) for r in raws]))
+    out = []
+    for i, n in enumerate(letters):
+        if not n:
+            out.append(("und", 0.0, 0.0, 0))
+            continue
+        order = sorted((s[i], lang) for lang, s in sizes)
+        margin = (order[1][0] - order[0][0]) / max(1, order[1][0]) if len(order) > 1 else 1.0
+        out.append((order[0][1], margin, 1.0 - math.exp(-20.0 * margin) if len(order) > 1 else 1.0, n))
+    return out
+
+
+def identify(docs: DataFrame, dicts: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", narrow: float = 0.002, short: int = 200) -> DataFrame:
+    """docs with lang_pred string, lang_margin double, lang_score double, lang_rejected boolean added.
+
+    Texts of fewer than `short` bytes of letters are not rejected for their margin: sizes are whole bytes there."""
     ship(docs.sparkSession)
 
-    @F.arrow_udf("struct<lang:string,margin:double,score:double>")
+    @F.arrow_udf("struct<lang:string,margin:double,score:double,letters:long>")
     def run(texts: pa.Array) -> pa.Array:
-        rows = [identify_text(t.as_py(), dicts) for t in texts]
-        lang, margin, score = zip(*rows) if rows else ((), (), ())
-        return pa.StructArray.from_arrays(
-            [pa.array(lang, pa.string()), pa.array(margin, pa.float64()), pa.array(score, pa.float64())], ["lang", "margin", "score"]
-        )
+        rows = [r for at in range(0, len(texts), 256) for r in identify_texts(texts.slice(at, 256).to_pylist(), dicts)]
+        columns = zip(*rows) if rows else ((), (), (), ())
+        kinds = (pa.string(), pa.float64(), pa.float64(), pa.int64())
+        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["lang", "margin", "score", "letters"])
 
     out = docs.withColumn("_lid", run(F.col(text_col)))
     return out.select(
@@ -106,5 +115,5 @@ def identify(docs: DataFrame, dicts: dict[str, bytes], id_col: str = "doc_id", t
         F.col("_lid.lang").alias("lang_pred"),
         F.col("_lid.margin").alias("lang_margin"),
         F.col("_lid.score").alias("lang_score"),
-        ((F.col("_lid.lang") == "und") | (F.col("_lid.margin") < narrow)).alias("lang_rejected"),
+        ((F.col("_lid.lang") == "und") | ((F.col("_lid.margin") < narrow) & (F.col("_lid.letters") >= short))).alias("lang_rejected"),
     )
