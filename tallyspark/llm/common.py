@@ -48,6 +48,21 @@ def fold_of(doc_id, n: int):
     return F.crc32(doc_id.cast("string")) % n
 
 
+def likely_in(df: DataFrame, key: str, keys: DataFrame, log2_bits: int = 26) -> DataFrame:
+    """Rows of df whose key hashes to a bit that a row of keys (one column) has set; all whose key is in keys are among
+    them. A filter before a join, so that rows without a partner are not shuffled: the bitmap is at most
+    2 ** log2_bits bits (8 MB), however many keys there are, and then lets more rows through."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << log2_bits))
+    bucket = lambda c: F.shiftright(place(c), 15).cast("int")
+    bit = lambda c: place(c).bitwiseAND(F.lit((1 << 15) - 1))
+    only = F.col(keys.columns[0])
+    maps = keys.select(bucket(only).alias("_bucket"), bit(only).alias("_bit")).groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_map"))
+    own = df.withColumn("_bucket", bucket(F.col(key))).withColumn("_bit", bit(F.col(key)))
+    byte = "cast(conv(hex(substring(_map, cast(_bit div 8 as int) + 1, 1)), 16, 10) as int)"
+    found = own.join(F.broadcast(maps), "_bucket").where(F.expr(f"getbit({byte}, cast(_bit % 8 as int)) = 1"))
+    return found.select(*df.columns)
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for every node of edges (a, b): the smallest node reachable.
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, ship
+from .common import connected_components, likely_in, materialize, ship
 
 U64 = np.uint64
 MIX = (U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB))
@@ -229,7 +229,8 @@ def near_duplicates(
                     [part.column(0), part.column(1), kind, n, pa.array(sets, pa.list_(pa.int64()))], names=["rep", "cluster", "kind", "n", "s"]
                 )
 
-    members = own.where("doc_id is not null and text is not null").join(
+    texts = likely_in(own.where("doc_id is not null and text is not null"), "doc_id", clusters.select("node"))
+    members = texts.join(
         clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "doc_id"
     )
     members = members.select(F.col("doc_id").alias("rep"), "cluster", "text").mapInArrow(full, "rep long, cluster long, kind int, n long, s array<long>")
