@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -36,29 +37,82 @@ SALTS = 256
 # ---------------------------------------------------------------- tokens
 
 _state: dict = {}
-CACHE = 250_000
+CACHE = 16_000_000  # characters of chunks that a worker remembers
+_PLAIN = re.compile("[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")  # all letters whose lower case is one letter
+_BEYOND = re.compile("[^\u0000-\u024f]")
+
+
+def _open(path: str) -> None:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    encoder = Tokenizer.from_file(path)
+    vocabulary = encoder.get_vocab()
+    ends = np.zeros(max(vocabulary.values()) + 1, bool)
+    ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+    _state.update(path=path, encoder=encoder, ends=ends, known={}, size=0)
+
+
+def _learn(missing: set[str]) -> None:
+    """Ids of new chunks. Words of Latin letters are one word to the vocabulary, so many are encoded as one text and
+    cut after each word's last piece; a comma or full stop after a letter is a word of its own."""
+    known, encode = _state["known"], _state["encoder"]
+    stems: set[str] = set()
+    tails: list[str] = []
+    other: list[str] = []
+    plain = _PLAIN.fullmatch
+    for c in missing:
+        if plain(c):
+            stems.add(c)
+        elif c[-1:] in (".", ",") and plain(c[:-1]):
+            tails.append(c)
+            if c[:-1] not in known:
+                stems.add(c[:-1])
+        else:
+            other.append(c)
+    words = list(stems)
+    for at in range(0, len(words), 2000):
+        part = words[at : at + 2000]
+        ids = np.array(encode.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
+        cuts = np.flatnonzero(_state["ends"][ids]) + 1
+        if len(cuts) != len(part):
+            other += part
+            continue
+        raw = ids.tobytes()
+        bounds = [0, *(4 * cuts).tolist()]
+        known.update((w, raw[i:j]) for w, i, j in zip(part, bounds, bounds[1:]))
+    other += [w for w in (".", ",") if w not in known]
+    other += [c for c in tails if c[:-1] not in known and c[:-1] not in other]
+    for at in range(0, len(other), 20_000):
+        part = other[at : at + 20_000]
+        for word, e in zip(part, encode.encode_batch(part, add_special_tokens=False)):
+            known[word] = np.asarray(e.ids, dtype="<u4").tobytes()
+    for c in tails:
+        if c not in known:
+            known[c] = known[c[:-1]] + known[c[-1]]
 
 
 def _encode_words(path: str, batch: list[str | None]) -> list[bytes]:
     """Little-endian unsigned 32-bit ids of each text.
 
     White space only separates the words of this vocabulary, so a text's ids are those of its space-separated
-    chunks in turn; each worker keeps the ids of the chunks it has met.
+    chunks in turn; each worker keeps the ids of the chunks it has met. Case is folded first where that is the
+    vocabulary's own folding for sure (Latin letters).
     """
     if _state.get("path") != path:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        _state.update(path=path, encoder=Tokenizer.from_file(path), known={})
+        _open(path)
+    if _state["size"] > CACHE:
+        _state.update(known={}, size=0)
     known: dict[str, bytes] = _state["known"]
-    chunks = [(t or "").replace("\n", " ").replace("\t", " ").split(" ") for t in batch]
-    if len(known) > CACHE:
-        known.clear()
-    missing = list(set().union(*chunks).difference(known)) if chunks else []
-    for at in range(0, len(missing), 20_000):
-        part = missing[at : at + 20_000]
-        for word, e in zip(part, _state["encoder"].encode_batch(part, add_special_tokens=False)):
-            known[word] = np.asarray(e.ids, dtype="<u4").tobytes()
+    chunks = []
+    for t in batch:
+        t = (t or "").replace("\n", " ").replace("\t", " ")
+        # special tokens are written in lower case only, so folding must not make one
+        chunks.append((t if _BEYOND.search(t) or "<|" in t else t.lower()).split(" "))
+    missing = set().union(*chunks).difference(known) if chunks else set()
+    if missing:
+        _state["size"] += sum(map(len, missing))
+        _learn(missing)
     get = known.__getitem__
     return [b"".join(map(get, c)) for c in chunks]
 

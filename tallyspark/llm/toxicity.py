@@ -35,6 +35,7 @@ from .common import materialize, ship
 LAMBDA, SPAN, SIZE = 0.7, 6, 128
 LONG = 24  # letters of a unit judged at once; longer ones are judged in overlapping windows
 NO_UNIT = -3.0
+CACHE = 20_000_000  # characters of tokens that a worker remembers
 SPACED = re.compile(r"(?<!\S)(?:[^\W\d_][\s.*_-]+){3,}[^\W\d_](?!\S)")
 _NOT_LETTER = re.compile(r"[\W\d_]+")
 _state: dict = {}
@@ -190,16 +191,19 @@ def _inserted(word: str) -> list[str]:
 
 def document_values(texts: list[str | None], model: Model) -> np.ndarray:
     """Worst decision value of each text; each worker keeps the values of the tokens it has met."""
-    if _state.get("key") != model.key:
-        _state.update(key=model.key, known={})
-    known: dict[str, float] = _state["known"]
-    if len(known) > 400_000:
-        known.clear()
+    if _state.get("key") != model.key or _state["size"] > CACHE:
+        _state.update(key=model.key, known={}, units={}, size=0)
+    known, judged = _state["known"], _state["units"]
     sets = [tokens_of(t) for t in texts]
-    missing = list(set().union(*sets).difference(known)) if sets else []
-    for lo in range(0, len(missing), 20_000):
-        part = missing[lo : lo + 20_000]
-        known.update(zip(part, model.decide([unit_of(t) for t in part]).tolist()))
+    missing = set().union(*sets).difference(known) if sets else set()
+    if missing:
+        _state["size"] += sum(map(len, missing)) + 10 * len(missing)
+        units = {t: unit_of(t) for t in missing}
+        new = list(set(units.values()).difference(judged))
+        for lo in range(0, len(new), 20_000):
+            part = new[lo : lo + 20_000]
+            judged.update(zip(part, model.decide(part).tolist()))
+        known.update((t, judged[u]) for t, u in units.items())
     get = known.__getitem__
     return np.array([max(map(get, s), default=NO_UNIT) for s in sets])
 
