@@ -10,7 +10,7 @@ rows emitted are at most k for each query and block.
 
 Defined cases: a vector that is null, or holds a null or non-finite component, takes no part; an all-zero
 vector takes part with score 0; vectors of other lengths lack the missing terms (weight 0). Repeated ids are
-separate candidates (ordered by id, so they tie); a candidate with the query's own id is never returned.
+separate candidates (ordered by id, so they tie), equal query rows are one query; a candidate with the query's own id is never returned.
 Weights must fit 64-bit sums: |floor(256 x)| below 2**28 is safe up to 2**7 terms.
 """
 
@@ -106,7 +106,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, query_block: in
     """(query_id, rank, vec_id, score): for every row of queries (id, w) its k best of candidates (id, w)."""
     spark = queries.sparkSession
     ship(spark)
-    queries, candidates = materialize(queries, "topk-q"), materialize(candidates, "topk-c")
+    queries, candidates = materialize(queries.distinct(), "topk-q"), materialize(candidates, "topk-c")
     n_q, n_c = queries.count(), candidates.count()
     qs, cs = max(1, -(-n_q // query_block)), max(1, -(-n_c // candidate_block))
     left = (
