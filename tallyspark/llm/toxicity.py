@@ -22,13 +22,12 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from .common import materialize, ship
 
@@ -222,9 +221,11 @@ def learn(docs: DataFrame, labels: DataFrame, where: Column, id_col: str = "doc_
     spark = docs.sparkSession
     ship(spark)
     marked = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("y"))
-    order = Window.partitionBy("y").orderBy(F.xxhash64("id"))
-    known = docs.where(where).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(marked.withColumnRenamed(id_col, "id"), "id")
-    picked = materialize(known.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample).select("id", "y", "text"), "toxic-sample")
+    ids = docs.where(where & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id")).distinct().join(marked.withColumnRenamed(id_col, "id"), "id")
+    # the least id hashes of each class: at most 2 * sample ids, whose texts are then read
+    few = reduce(DataFrame.unionByName, [ids.where(F.col("y") == c).orderBy(F.xxhash64("id"), "id").limit(sample) for c in (0, 1)])
+    texts = docs.where(where).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    picked = materialize(texts.join(F.broadcast(materialize(few, "toxic-ids")), "id").select("id", "y", "text"), "toxic-sample")
     totals = {int(r[0]): r[1] for r in picked.groupBy("y").count().collect()}
     n_pos, n_neg = totals.get(1, 0), totals.get(0, 0)
     if not n_pos or not n_neg:
