@@ -18,6 +18,17 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [top, env.get("PYTHONPATH")]))
 
 
+_states: dict[str, dict] = {}
+
+
+def worker_state(name: str) -> dict:
+    """What an operator keeps in a Python worker; workers are reused, so it drops what others have left there."""
+    for other, kept in _states.items():
+        if other != name:
+            kept.clear()
+    return _states.setdefault(name, {})
+
+
 def scratch(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: spark.checkpoint.dir, or, where unset (tests), an own temporary one."""
     conf = spark.sparkContext.getConf()

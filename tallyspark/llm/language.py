@@ -23,10 +23,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import materialize, ship
+from .common import materialize, ship, worker_state
 
 BLOCK, LEVEL = 2048, 6
-_state: dict = {}
+_state: dict = worker_state("language")
 _NOT_WORD = re.compile(r"[\W\d_]+")
 
 
@@ -58,6 +58,7 @@ def learn(docs: DataFrame, where: Column, text_col: str = "text", lang_col: str
 
 
 def _compressors(dicts: dict[str, bytes]):
+    worker_state("language")
     key = hash(tuple(sorted(dicts.items())))
     if _state.get("key") != key:
         import zstandard as z
@@ -109,7 +110,8 @@ def identify(docs: DataFrame, dicts: dict[str, bytes], id_col: str = "doc_id", t
         kinds = (pa.string(), pa.float64(), pa.float64(), pa.int64())
         return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["lang", "margin", "score", "letters"])
 
-    out = docs.withColumn("_lid", run(F.col(text_col)))
+    # not deterministic for the planner: a later filter must not run it twice
+    out = docs.withColumn("_lid", run.asNondeterministic()(F.col(text_col)))
     return out.select(
         *docs.columns,
         F.col("_lid.lang").alias("lang_pred"),

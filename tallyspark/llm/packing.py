@@ -30,14 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import materialize, ship
+from .common import materialize, ship, worker_state
 
 SALTS = 256
 
 # ---------------------------------------------------------------- tokens
 
-_state: dict = {}
-CACHE = 16_000_000  # characters of chunks that a worker remembers
+_state: dict = worker_state("packing")
+CACHE = 10_000_000  # characters of chunks that a worker remembers
 _PLAIN = re.compile("[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")  # all letters whose lower case is one letter
 _BEYOND = re.compile("[^\u0000-\u024f]")
 
@@ -99,6 +99,7 @@ def _encode_words(path: str, batch: list[str | None]) -> list[bytes]:
     chunks in turn; each worker keeps the ids of the chunks it has met. Case is folded first where that is the
     vocabulary's own folding for sure (Latin letters).
     """
+    worker_state("packing")
     if _state.get("path") != path:
         _open(path)
     if _state["size"] > CACHE:

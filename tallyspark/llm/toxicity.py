@@ -29,15 +29,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ship
+from .common import materialize, ship, worker_state
 
 LAMBDA, SPAN, SIZE = 0.7, 6, 128
 LONG = 24  # letters of a unit judged at once; longer ones are judged in overlapping windows
 NO_UNIT = -3.0
-CACHE = 20_000_000  # characters of tokens that a worker remembers
+CACHE = 12_000_000  # characters of tokens that a worker remembers
 SPACED = re.compile(r"(?<!\S)(?:[^\W\d_][\s.*_-]+){3,}[^\W\d_](?!\S)")
 _NOT_LETTER = re.compile(r"[\W\d_]+")
-_state: dict = {}
+_state: dict = worker_state("toxicity")
 OFFSETS = [(j, k) for k in range(2, SPAN) for j in range(1, k)]
 
 
@@ -190,6 +190,7 @@ def _inserted(word: str) -> list[str]:
 
 def document_values(texts: list[str | None], model: Model) -> np.ndarray:
     """Worst decision value of each text; each worker keeps the values of the tokens it has met."""
+    worker_state("toxicity")
     if _state.get("key") != model.key or _state["size"] > CACHE:
         _state.update(key=model.key, known={}, units={}, size=0)
     known, judged = _state["known"], _state["units"]
