@@ -224,3 +224,47 @@ def coverage(df: DataFrame, column: str = "ledger") -> DataFrame:
     """Oldest and newest ledger and how many between them are missing."""
     seen = df.select(F.col(column).alias("s")).distinct()
     return seen.agg(F.min("s").alias("oldest"), F.max("s").alias("newest"), (F.max("s") - F.min("s") + 1 - F.count("*")).alias("missing"))
+
+
+def effects_per_operation(effects: DataFrame, operations: DataFrame) -> DataFrame:
+    """Per ledger with operations: operations, effects, their ratio, and operations without effects. effects carry toid,
+    the id of their operation."""
+    per = effects.where("toid is not null").groupBy("toid").agg(F.count("*").alias("n"))
+    each = operations.select("id", "ledger").join(per, F.col("id") == F.col("toid"), "left")
+    out = each.groupBy("ledger").agg(F.count("*").alias("operations"), F.coalesce(F.sum("n"), F.lit(0)).alias("effects"), F.count_if(F.col("n").isNull()).alias("without_effects"))
+    return out.withColumn("effects_per_operation", F.col("effects") / F.col("operations"))
+
+
+def invocation_summary(results: DataFrame) -> DataFrame:
+    """Total, succeeded and failed invocations; zeros without any."""
+    return results.agg(F.count("*").alias("total"), F.count_if(F.col("status") == "success").alias("succeeded"), F.count_if(~F.col("status").eqNullSafe("success")).alias("failed"))
+
+
+def flatten_invocations(auth: DataFrame, depth: int = 8) -> DataFrame:
+    """One row a call of every entry's `invocation` tree (a VARIANT of contract, function, args, sub), down to depth."""
+    get = lambda path, kind: F.try_variant_get("node", path, kind)
+    level = auth.select("id", F.try_variant_get("invocation", "$.contract", "string").alias("root"), F.col("invocation").alias("node"))
+    out = None
+    for d in range(depth):
+        calls = level.select("id", F.lit(d).alias("depth"), "root", get("$.contract", "string").alias("contract"), get("$.function", "string").alias("function"), get("$.args", "bigint").alias("args"))
+        out = calls if out is None else out.unionByName(calls)
+        level = level.select("id", "root", F.explode(get("$.sub", "array<variant>")).alias("node"))
+    return out
+
+
+def invocation_trees(calls: DataFrame) -> DataFrame:
+    """Calls and depth of each entry's tree."""
+    return calls.groupBy("id").agg(F.count("*").alias("calls"), F.max("depth").alias("deepest"))
+
+
+def footprint_keys(sims: DataFrame) -> DataFrame:
+    """Footprint keys by access, type and durability."""
+    access = lambda c: F.transform(c, lambda k: F.struct(F.lit(c).alias("access"), k["key_type"].alias("key_type"), k["durability"].alias("durability"), k["key"].alias("key")))
+    keys = sims.select(F.inline(F.concat(F.coalesce(access("read_only"), F.array()), F.coalesce(access("read_write"), F.array()))))
+    return keys.groupBy("access", "key_type", "durability").agg(F.count("*").alias("n"), F.count_distinct("key").alias("keys"))
+
+
+def diagnostics(sims: DataFrame) -> DataFrame:
+    """Diagnostic events by type and contract: successful and failed."""
+    events = sims.select(F.inline("events"))
+    return events.groupBy("type", "contract").agg(F.count_if("ok").alias("ok"), F.count_if(~F.coalesce("ok", F.lit(False))).alias("failed"))

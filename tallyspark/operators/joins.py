@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import toid
+
 
 def attach_ledgers(payments: DataFrame, transactions: DataFrame) -> DataFrame:
     """Ledger by transaction hash; an existing value wins, misses stay null."""
@@ -127,3 +129,42 @@ def ledger_chain(ledgers: DataFrame) -> DataFrame:
 def config_drift(accounts: DataFrame, expected: DataFrame) -> DataFrame:
     """Accounts whose thresholds differ from the expected ones of their domain."""
     return accounts.join(expected, "home_domain").where(~F.col("low_threshold").eqNullSafe(F.col("want_low"))).select("id", "low_threshold", "want_low")
+
+
+def attach_operation_refs(changes: DataFrame, operations: DataFrame) -> DataFrame:
+    """Transaction hash and ledger of the operation that an effect id names; null if it is not there."""
+    refs = operations.select(F.col("id").alias("operation_id"), "transaction_hash", "ledger")
+    return changes.withColumn("operation_id", toid(F.col("id"))).join(refs, "operation_id", "left")
+
+
+def account_relationships(accounts: DataFrame, trustlines: DataFrame, effects: DataFrame, payments: DataFrame) -> DataFrame:
+    """(account, kind, other, n): co-signers, issuers held, sponsors and payment counterparties. One row a
+    relationship rather than an array an account, as a busy account's counterparties fit no row."""
+    rel = lambda df, a, kind, o: df.select(F.col(a).alias("account"), F.lit(kind).alias("kind"), F.col(o).alias("other"))
+    signers = accounts.select("id", F.explode("signers").alias("s")).select("id", F.col("s.key").alias("key"))
+    every = [
+        rel(signers, "id", "signer", "key"),
+        rel(trustlines, "account", "issuer", "asset_issuer"),
+        rel(effects, "account", "sponsor", "sponsor"),
+        rel(payments, "source", "counterparty", "destination"),
+        rel(payments, "destination", "counterparty", "source"),
+    ]
+    out = every[0]
+    for e in every[1:]:
+        out = out.unionByName(e)
+    return out.where("account <> other").groupBy("account", "kind", "other").agg(F.count("*").alias("n"))
+
+
+def check_effect_scopes(ledger_effects: DataFrame, transaction_effects: DataFrame) -> DataFrame:
+    """Effects (ledger, id) that the ledger scope has more or fewer of than its transactions together; none if they agree.
+    One aggregation over both, signed by scope."""
+    both = ledger_effects.select("ledger", "id", F.lit(1).alias("n")).unionByName(transaction_effects.select("ledger", "id", F.lit(-1).alias("n")))
+    return both.groupBy("ledger", "id").agg(F.sum("n").alias("surplus")).where("surplus <> 0")
+
+
+def diff_storage(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Per (contract_id, key, durability): changed, identical, or unavailable where a snapshot has no value."""
+    keys = ["contract_id", "key", "durability"]
+    both = before.select(*keys, F.col("value").alias("before")).join(after.select(*keys, F.col("value").alias("after")), keys, "full")
+    state = F.when(F.col("before").isNull() | F.col("after").isNull(), "unavailable").when(F.col("before") == F.col("after"), "identical").otherwise("changed")
+    return both.withColumn("state", state)

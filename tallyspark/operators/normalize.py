@@ -113,3 +113,18 @@ def decode_event_values(events: DataFrame) -> DataFrame:
     """The JSON payload's `k`, and whether it decoded."""
     v = F.try_parse_json("props")
     return events.select("id", F.try_variant_get(v, "$.k", "bigint").alias("value"), F.try_variant_get(v, "$.k", "bigint").isNotNull().alias("decoded"))
+
+
+def normalize_accounts(raw: DataFrame) -> DataFrame:
+    """The native balance out of `balances`, counters with 0 for null, the own key's weight and the other signers."""
+    native = F.get(F.filter("balances", lambda b: b["asset_type"] == "native"), F.lit(0))["balance"]
+    own = F.get(F.filter("signers", lambda s: s["key"] == F.col("id")), F.lit(0))["weight"]
+    counters = [F.coalesce(c, F.lit(0)).alias(c) for c in ("subentry_count", "num_sponsored", "num_sponsoring")]
+    cosigners = F.size(F.filter("signers", lambda s: (s["key"] != F.col("id")) & (s["weight"] > 0)))
+    return raw.select("id", F.coalesce(native, F.lit(0)).cast(MONEY).alias("native_balance"), *counters, F.coalesce(own, F.lit(0)).alias("primary_weight"), cosigners.cast("long").alias("cosigners"))
+
+
+def explode_account_data(accounts: DataFrame) -> DataFrame:
+    """One row a key of `data`, its base64 value decoded; null where it is empty or no base64."""
+    value = F.nullif(F.col("encoded"), F.lit(""))
+    return accounts.select("id", F.explode("data").alias("name", "encoded")).select("id", "name", F.decode(F.try_to_binary(value, F.lit("base64")), "UTF-8").alias("value"))

@@ -179,6 +179,85 @@ _add("str3_resumable", lambda t: R.run_bounded(R.resumable(R.stream_events(t.spa
 _add("str7_stream_counts", lambda t: R.run_bounded(R.stream_counts(R.stream_events(t.spark, t.folder)), t.spark, "complete"), "SELECT CAST(floor(epoch(date_trunc('day', ts))) AS BIGINT) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 _add("str8_stream_balances", lambda t: R.run_bounded(R.stream_balances(R.stream_events(t.spark, t.folder)), t.spark, "complete"), "SELECT user_id, CAST(sum(CAST(value AS DECIMAL(19,7))) AS DECIMAL(38,7)) AS balance, count(*) AS n FROM events GROUP BY user_id")
 
+# Nested raw columns over the flat views, for the operators that unnest them.
+_CALL = "named_struct('contract', {}, 'function', {}, 'args', {}, 'sub', {})"
+_LEAF = "named_struct('contract', concat('C', id % 5), 'function', 'h', 'args', 2)"
+_SUB = [_CALL.format(f"concat('C', (id + {k + 1}) % 25)", f"'g{k}'", k, f"slice(array({_LEAF}), 1, {k})") for k in (0, 1)]
+_TREE = "parse_json(to_json(" + _CALL.format("contract_id", "concat('f', id % 3)", "id % 4", f"slice(array({', '.join(_SUB)}), 1, cast(id % 3 as int))") + "))"
+_KEY = "named_struct('key_type', {}, 'contract', contract_id, 'key', cast(id % {} as string), 'durability', {})"
+
+
+def _raw_accounts(t: Tables):
+    return t.accounts.withColumn(
+        "balances", F.expr("array(named_struct('asset_type', 'credit_alphanum4', 'balance', cast(1 as decimal(19,7))), named_struct('asset_type', 'native', 'balance', balance))")
+    ).withColumn("signers", F.expr("array(named_struct('key', id, 'weight', master_weight), named_struct('key', concat('S', substr(id, -2)), 'weight', other_weight))"))
+
+
+def _raw_simulations(t: Tables):
+    return t.simulations.select(
+        F.col("id").cast("string").alias("id"), "contract_id", "status", F.col("message").alias("error"), F.col("min_resource_fee").cast("string").alias("min_resource_fee"), "instructions", "read_bytes", "write_bytes",
+        F.expr("array(" + _KEY.format("'contract_code'", 7, "'persistent'") + ", " + _KEY.format("'contract_data'", 9, "'temporary'") + ")").alias("read_only"),
+        F.expr("array(" + _KEY.format("'contract_data'", 11, "'persistent'") + ")").alias("read_write"),
+        F.expr("array(named_struct('key', contract_id, 'before', before_value, 'after', after_value))").alias("state_changes"),
+        F.expr("array(named_struct('ok', id % 4 <> 0, 'type', 'contract', 'contract', contract_id), named_struct('ok', id % 3 = 0, 'type', 'diagnostic', 'contract', contract_id))").alias("events"),
+    )
+
+
+def _stored(t: Tables, df, name: str, format: str = "parquet", by: str | None = None) -> str:
+    where = S.shared_folder(t.spark, "raw")
+    writer = df.write.partitionBy(by) if by else df.write
+    writer.format(format).save(f"{where}/{name}")
+    return where
+
+
+def _archive(t: Tables):
+    path = S.shared_folder(t.spark, "archive")
+    stream = R.stream_events(t.spark, t.folder).select("event_id", F.expr("50000000 + (unix_seconds(ts) - 1704067200) div 5").alias("ledger"))
+    R.archive_events(stream, path)
+    return t.spark.read.schema("event_id long, ledger long").parquet(f"{path}/*")
+
+
+def _raw_payment_events(t: Tables):
+    text = lambda name, sql="cast(null as string)": F.expr(sql).alias(name)
+    return R.stream_events(t.spark, t.folder).select(
+        text("id", "cast(event_id as string)"), text("type", "if(event_id % 5 = 0, '', event_type)"), F.col("event_id").alias("ledger"), text("transaction_hash", "md5(cast(event_id as string))"),
+        text("source_account", "concat('G', user_id)"), text("from", "if(event_id % 2 = 0, concat('F', user_id), null)"), text("from_muxed"), text("to", "concat('T', user_id)"), text("to_muxed"), text("funder"), text("account"), text("into"), text("into_muxed"),
+        F.col("value").cast("decimal(19,7)").alias("amount"), F.lit(None).cast("decimal(19,7)").alias("destination_amount"), F.lit(None).cast("decimal(19,7)").alias("starting_balance"),
+        text("asset_type", "'native'"), text("asset_code"), text("asset_issuer"), text("destination_asset_type"), text("destination_asset_code"), text("destination_asset_issuer"),
+    )
+
+
+_OPFX = "SELECT *, concat(lpad(cast(id + CASE WHEN l_linenumber = 3 THEN 4000 ELSE 0 END as {}), 19, '0'), '-1') AS effect_id FROM operations"
+
+
+def _operation_effects(t: Tables):
+    return t.operations.select(F.expr("concat(lpad(cast(id + if(l_linenumber = 3, 4000, 0) as string), 19, '0'), '-1')").alias("id"), F.col("l_quantity").alias("delta"))
+
+
+_add("src1_read_table", lambda t: S.read_table(t.spark, _stored(t, t.ledgers.withColumn("closed_at", F.col("closed_at").cast("string")), "ledgers"), "ledgers"), "SELECT sequence, hash, prev_hash, successful_transaction_count, failed_transaction_count, operation_count, CAST(closed_at AS VARCHAR) AS closed_at, base_fee_in_stroops, base_reserve_in_stroops, protocol_version FROM ledgers")
+_add("src3_read_storage", lambda t: S.read_storage_entries(t.spark, _stored(t, t.storage, "storage_entries", by="durability"), "persistent").select("contract_id", "key", "durability", "value", "last_modified_ledger", "live_until_ledger"), "SELECT contract_id, key, durability, value, last_modified_ledger, live_until_ledger FROM storage WHERE durability = 'persistent'")
+_add("src4_read_simulations", lambda t: S.read_simulations(t.spark, _stored(t, _raw_simulations(t), "simulations", "json")).select("id", "status", F.col("read_only")[1]["key"].alias("second_key"), F.col("events")[0]["ok"].alias("first_ok"), F.col("_corrupt_record").isNotNull().alias("corrupt")), "SELECT CAST(id AS VARCHAR) AS id, status, CAST(id % 9 AS VARCHAR) AS second_key, id % 4 <> 0 AS first_ok, false AS corrupt FROM simulations")
+_add("nrm10_normalize_accounts", lambda t: N.normalize_accounts(_raw_accounts(t)), "SELECT id, CAST(balance AS DECIMAL(38,7)) AS native_balance, subentry_count, num_sponsored, num_sponsoring, master_weight AS primary_weight, CAST(other_weight > 0 AS BIGINT) AS cosigners FROM accounts")
+_add("nrm13_explode_account_data", lambda t: N.explode_account_data(t.accounts.select("id", F.create_map(F.lit("domain"), F.base64("home_domain"), F.lit("none"), F.lit("")).alias("data"))), "SELECT id, 'domain' AS name, home_domain AS value FROM accounts UNION ALL SELECT id, 'none', NULL FROM accounts")
+_add("jn3_attach_operation_refs", lambda t: J.attach_operation_refs(_operation_effects(t), t.operations), f"SELECT e.effect_id AS id, e.l_quantity AS delta, CAST(split_part(e.effect_id, '-', 1) AS BIGINT) AS operation_id, o.transaction_hash, o.ledger FROM ({_OPFX.format('varchar')}) e LEFT JOIN operations o ON o.id = CAST(split_part(e.effect_id, '-', 1) AS BIGINT)")
+_add("jn15_account_relationships", lambda t: J.account_relationships(_raw_accounts(t), t.trustlines, t.effects, N.normalize_payments(t.payments)), f"SELECT account, kind, other, count(*) AS n FROM (SELECT id AS account, 'signer' AS kind, 'S' || right(id, 2) AS other FROM accounts UNION ALL SELECT account, 'issuer', asset_issuer FROM trustlines UNION ALL SELECT account, 'sponsor', sponsor FROM effects UNION ALL SELECT source, 'counterparty', destination FROM {NP} UNION ALL SELECT destination, 'counterparty', source FROM {NP}) WHERE account <> other GROUP BY 1, 2, 3")
+_add("jn16_check_effect_scopes", lambda t: J.check_effect_scopes(t.operations.select("ledger", "id"), t.operations.join(t.transactions.where("tx_order <> 2").select(F.col("hash").alias("transaction_hash")), "transaction_hash").select("ledger", "id")), "SELECT ledger, id, 1 AS surplus FROM operations WHERE transaction_hash NOT IN (SELECT hash FROM transactions WHERE tx_order <> 2)")
+_add("jn17_diff_storage", lambda t: J.diff_storage(t.storage.where("last_modified_ledger % 3 <> 0"), t.storage.where("last_modified_ledger % 4 <> 0").withColumn("value", F.expr("if(last_modified_ledger % 7 = 0, 'new', value)"))), "SELECT contract_id, key, durability, before, after, CASE WHEN before IS NULL OR after IS NULL THEN 'unavailable' WHEN before = after THEN 'identical' ELSE 'changed' END AS state FROM (SELECT contract_id, key, durability, CASE WHEN last_modified_ledger % 3 <> 0 THEN value END AS before, CASE WHEN last_modified_ledger % 4 <> 0 THEN CASE WHEN last_modified_ledger % 7 = 0 THEN 'new' ELSE value END END AS after FROM storage WHERE last_modified_ledger % 3 <> 0 OR last_modified_ledger % 4 <> 0)")
+_add("agg7_effects_per_operation", lambda t: A.effects_per_operation(N.index_effects(_operation_effects(t)), t.operations), f"SELECT ledger, count(*) AS operations, CAST(coalesce(sum(n), 0) AS BIGINT) AS effects, count(*) FILTER (WHERE n IS NULL) AS without_effects, CAST(coalesce(sum(n), 0) AS DOUBLE) / count(*) AS effects_per_operation FROM operations o LEFT JOIN (SELECT CAST(split_part(effect_id, '-', 1) AS BIGINT) AS oid, count(*) AS n FROM ({_OPFX.format('varchar')}) GROUP BY 1) e ON e.oid = o.id GROUP BY ledger")
+_add("agg35_invocation_summary", lambda t: A.invocation_summary(t.simulations), "SELECT count(*) AS total, count(*) FILTER (WHERE status = 'success') AS succeeded, count(*) FILTER (WHERE status <> 'success') AS failed FROM simulations")
+_CALLS = """(SELECT id, 0 AS depth, contract_id AS root, contract_id AS contract, concat('f', id % 3) AS function, id % 4 AS args FROM simulations
+ UNION ALL SELECT id, 1, contract_id, concat('C', (id + 1) % 25), 'g0', 0 FROM simulations WHERE id % 3 > 0 UNION ALL SELECT id, 1, contract_id, concat('C', (id + 2) % 25), 'g1', 1 FROM simulations WHERE id % 3 = 2
+ UNION ALL SELECT id, 2, contract_id, concat('C', id % 5), 'h', 2 FROM simulations WHERE id % 3 = 2)"""
+_calls = lambda t: A.flatten_invocations(t.simulations.select("id", F.expr(_TREE).alias("invocation")))
+_add("agg40_flatten_invocations", _calls, f"SELECT * FROM {_CALLS}")
+_add("agg40_invocation_trees", lambda t: A.invocation_trees(_calls(t)), f"SELECT id, count(*) AS calls, max(depth) AS deepest FROM {_CALLS} GROUP BY id")
+_add("agg41_footprint_keys", lambda t: A.footprint_keys(_raw_simulations(t)), "SELECT access, key_type, durability, count(*) AS n, count(DISTINCT key) AS keys FROM (SELECT 'read_only' AS access, 'contract_code' AS key_type, 'persistent' AS durability, id % 7 AS key FROM simulations UNION ALL SELECT 'read_only', 'contract_data', 'temporary', id % 9 FROM simulations UNION ALL SELECT 'read_write', 'contract_data', 'persistent', id % 11 FROM simulations) GROUP BY 1, 2, 3")
+_add("agg43_diagnostics", lambda t: A.diagnostics(_raw_simulations(t)), "SELECT type, contract, count(*) FILTER (WHERE good) AS ok, count(*) FILTER (WHERE NOT good) AS failed FROM (SELECT 'contract' AS type, contract_id AS contract, id % 4 <> 0 AS good FROM simulations UNION ALL SELECT 'diagnostic', contract_id, id % 3 = 0 FROM simulations) GROUP BY 1, 2")
+_add("str1_payment_stream", lambda t: R.run_bounded(R.payment_stream(_raw_payment_events(t)), t.spark), "SELECT CAST(event_id AS VARCHAR) AS id, CASE WHEN event_id % 5 = 0 THEN 'payment' ELSE event_type END AS type, event_id AS ledger, md5(CAST(event_id AS VARCHAR)) AS transaction_hash, concat(CASE WHEN event_id % 2 = 0 THEN 'F' ELSE 'G' END, user_id) AS source, concat('T', user_id) AS destination, CAST(CAST(value AS DECIMAL(19,7)) AS DECIMAL(38,7)) AS amount, 'native' AS asset FROM events")
+_add("str4_bounded_run", lambda t: R.run_bounded(R.stream_events(t.spark, t.folder).select("event_id", "event_type"), t.spark, seconds=600), "SELECT event_id, event_type FROM events")
+_add("str5_observe_counts", lambda t: R.observe_counts(R.stream_events(t.spark, t.folder), F.col("event_type") == "purchase", t.spark), "SELECT count(*) AS received, count(*) FILTER (WHERE event_type = 'purchase') AS passed FROM events")
+_add("str6_retention_gaps", lambda t: R.retention_gaps(_archive(t)), "SELECT ledger AS after, nxt AS before, nxt - ledger - 1 AS missing FROM (SELECT ledger, lead(ledger) OVER (ORDER BY ledger) AS nxt FROM (SELECT DISTINCT ledger FROM contract_events)) WHERE nxt > ledger + 1")
+
 
 def queries() -> dict:
     return {name: (lambda spark, folder, run=run: run(Tables(spark, folder))) for name, (run, _) in _all.items()}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +17,7 @@ SCHEMAS = {
     "offers": "id STRING, seller STRING, selling STRUCT<asset_type:STRING,asset_code:STRING,asset_issuer:STRING>, buying STRUCT<asset_type:STRING,asset_code:STRING,asset_issuer:STRING>, amount STRING, price STRING, price_r STRUCT<n:STRING,d:STRING>, last_modified_ledger BIGINT",
     "contract_events": "id STRING, type STRING, ledger BIGINT, tx_hash STRING, contract_id STRING, topic ARRAY<STRUCT<xdr_type:STRING,value:STRING>>, value STRUCT<xdr_type:STRING,value:STRING>, in_successful_contract_call BOOLEAN",
     "storage_entries": "contract_id STRING, key STRING, durability STRING, value STRING, last_modified_ledger BIGINT, live_until_ledger BIGINT",
+    "simulations": "id STRING, contract_id STRING, status STRING, error STRING, min_resource_fee STRING, instructions BIGINT, read_bytes BIGINT, write_bytes BIGINT, read_only ARRAY<STRUCT<key_type:STRING,contract:STRING,key:STRING,durability:STRING>>, read_write ARRAY<STRUCT<key_type:STRING,contract:STRING,key:STRING,durability:STRING>>, state_changes ARRAY<STRUCT<key:STRING,before:STRING,after:STRING>>, events ARRAY<STRUCT<ok:BOOLEAN,type:STRING,contract:STRING>>",
 }
 
 
@@ -23,6 +27,23 @@ def read_table(spark: SparkSession, folder: str, name: str, format: str = "parqu
     return reader.format(format).load(f"{folder}/{name}")
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir; where that is unset (tests), in a temporary one."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    return f"{(where or tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def read_storage_entries(spark: SparkSession, folder: str, durability: str | None = None) -> DataFrame:
+    """Storage entries, stored by durability; asking for one reads only its files."""
+    out = read_table(spark, folder, "storage_entries")
+    return out.where(F.col("durability") == durability) if durability else out
+
+
+def read_simulations(spark: SparkSession, folder: str) -> DataFrame:
+    """Simulation results from JSON lines; rows that do not parse keep their text in _corrupt_record."""
+    return read_table(spark, folder, "simulations", "json")
+
+
 def read_contract_events(events: DataFrame, low: int, high: int, types=None, contracts=None) -> DataFrame:
     """Events of a ledger range, optionally of some types and contracts; the filters reach the scan."""
     out = events.where(F.col("ledger").between(low, high))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.normalize import normalize_payments
+from ..sources.tables import shared_folder
+
 
 def stream_table(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
@@ -37,15 +37,54 @@ def stream_balances(stream: DataFrame) -> DataFrame:
     return stream.groupBy("user_id").agg(F.sum(F.col("value").cast("decimal(19,7)")).cast("decimal(38,7)").alias("balance"), F.count("*").alias("n"))
 
 
-def run_bounded(stream: DataFrame, spark: SparkSession, mode: str = "append") -> DataFrame:
-    """Process what there is and stop. Append goes to a table in the shared folder, complete to a memory table."""
-    name = f"stream_{uuid.uuid4().hex}"
-    where = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")).rstrip("/")
-    writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{where}/{name}-state")
+def payment_stream(stream: DataFrame) -> DataFrame:
+    """Raw payment-like operations, normalised as in batch."""
+    return normalize_payments(stream)
+
+
+def run_bounded(stream: DataFrame, spark: SparkSession, mode: str = "append", seconds: float | None = None) -> DataFrame:
+    """Process what there is and stop, at the latest after so many seconds. Every batch goes to a table in the shared folder."""
+    where = shared_folder(spark, "stream")
+    writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{where}-state")
     if mode == "append":
-        query = writer.format("parquet").option("path", f"{where}/{name}").start()
+        query = writer.format("parquet").option("path", where).start()
+    else:
+        query = writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(where)).start()
+    _await(query, seconds)
+    return spark.read.schema(stream.schema).parquet(where)
+
+
+def _await(query, seconds: float | None = None) -> None:
+    if seconds is None:
         query.awaitTermination()
-        return spark.read.schema(stream.schema).parquet(f"{where}/{name}")
-    query = writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{where}/{name}")).start()
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{where}/{name}")
+    elif not query.awaitTermination(seconds):
+        query.stop()
+
+
+def observe_counts(stream: DataFrame, condition, spark: SparkSession) -> DataFrame:
+    """(received, passed): rows that came and rows that met the condition, as the engine observed them on the way."""
+    seen = stream.observe("received", F.count("*").alias("n")).where(condition).observe("passed", F.count("*").alias("n"))
+    where = shared_folder(spark, "observed")
+    query = seen.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{where}-state").format("noop").start()
+    _await(query)
+    count = lambda name: sum(p.observedMetrics[name]["n"] for p in query.recentProgress if name in p.observedMetrics)
+    return spark.range(1).select(F.lit(count("received")).cast("long").alias("received"), F.lit(count("passed")).cast("long").alias("passed"))
+
+
+def archive_events(stream: DataFrame, path: str, bucket: int = 10_000) -> None:
+    """Append to an archive by ledger bucket. A batch that is repeated after a failure overwrites what it wrote."""
+
+    def write(df: DataFrame, batch: int) -> None:
+        df.withColumn("bucket", F.floor(F.col("ledger") / bucket)).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={batch}")
+
+    _await(stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{path}-state").foreachBatch(write).start())
+
+
+def retention_gaps(archive: DataFrame, bucket: int = 10_000) -> DataFrame:
+    """(after, before, missing): consecutive stored ledgers with others missing in between. Neighbours are found within
+    buckets; only the first and last ledger of each bucket meet in one ordering."""
+    held = archive.select("ledger").distinct().withColumn("bucket", F.floor(F.col("ledger") / bucket))
+    inner = held.select(F.col("ledger").alias("after"), F.lead("ledger").over(Window.partitionBy("bucket").orderBy("ledger")).alias("before"))
+    ends = held.groupBy("bucket").agg(F.min("ledger").alias("low"), F.max("ledger").alias("after"))
+    outer = ends.select("after", F.lead("low").over(Window.orderBy("bucket")).alias("before"))
+    return inner.unionByName(outer).where("before > after + 1").withColumn("missing", F.col("before") - F.col("after") - 1)
