@@ -40,7 +40,12 @@ def learn(docs: DataFrame, where: Column, text_col: str = "text", lang_col: str
         F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text")
     )
     order = Window.partitionBy("lang").orderBy("h")
-    pick = own.groupBy("lang", "h").count().withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_lang).select("lang", "h")
+    # counts by the leading bits of the hash tell which ranges hold the least per_lang; only their rows are ordered
+    keyed = own.groupBy("lang", "h").count().select("lang", "h", F.shiftright("h", 52).alias("range"))
+    below = F.sum("n").over(Window.partitionBy("lang").orderBy("range")) - F.col("n")
+    ranges = keyed.groupBy("lang", "range").agg(F.count("*").alias("n")).withColumn("below", below).where(F.col("below") < per_lang)
+    near = keyed.join(ranges.select("lang", "range"), ["lang", "range"], "left_semi")
+    pick = near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_lang).select("lang", "h")
     pick = materialize(pick, "lang-pick")
     langs = [r[0] for r in pick.groupBy("lang").count().orderBy("lang").limit(max_langs + 1).collect()]
     if len(langs) > max_langs:
