@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm import language, neardup, packing, secrets, toxicity
-from tallyspark.llm.common import materialize, table
+from tallyspark.llm.common import fresh, materialize, table
 from tallyspark.llm.queries import tokenizer
 
 #: Documents that score at least this much are toxic.
@@ -22,14 +22,18 @@ NARROW = 0.001
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the labels of the documents given; keeps documents below TOXIC. Empty texts are not toxic."""
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"), F.lit(True))
-    return toxicity.score(docs, model).where(F.col("toxicity") < TOXIC).select(*docs.columns)
+    own = fresh(docs, "toxicity")
+    return toxicity.score(docs, model, out_col=own).where(F.col(own) < TOXIC).select(*docs.columns)
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a letter and texts whose margin is narrow; the predicted language fills a null lang."""
     dicts = language.learn(docs, F.lit(True))
-    out = language.identify(docs, dicts, narrow=NARROW).where(~F.col("lang_rejected"))
-    return out.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    own = "found_"
+    while any(c.lower().startswith(own) for c in docs.columns):
+        own = "_" + own
+    out = language.identify(docs, dicts, narrow=NARROW, prefix=own).where(~F.col(f"{own}rejected"))
+    return out.withColumn("lang", F.coalesce("lang", f"{own}pred")).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import materialize, ship, worker_state
+from .common import fresh, materialize, ship, without, worker_state
 
 BLOCK, LEVEL = 2048, 6
 _state: dict = worker_state("language")
@@ -102,8 +102,9 @@ def identify_texts(texts: list[str | None], dicts: dict[str, bytes]) -> list[tup
     return out
 
 
-def identify(docs: DataFrame, dicts: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", narrow: float = 0.002, short: int = 200) -> DataFrame:
-    """docs with lang_pred string, lang_margin double, lang_score double, lang_rejected boolean added.
+def identify(docs: DataFrame, dicts: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", narrow: float = 0.002, short: int = 200, prefix: str = "lang_") -> DataFrame:
+    """docs with lang_pred string, lang_margin double, lang_score double, lang_rejected boolean added (the names begin
+    with prefix); columns of these names are replaced.
 
     Texts of fewer than `short` bytes of letters are not rejected for their margin: sizes are whole bytes there."""
     ship(docs.sparkSession)
@@ -116,11 +117,13 @@ def identify(docs: DataFrame, dicts: dict[str, bytes], id_col: str = "doc_id", t
         return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["lang", "margin", "score", "letters"])
 
     # not deterministic for the planner: a later filter must not run it twice
-    out = docs.withColumn("_lid", run.asNondeterministic()(F.col(text_col)))
+    lid = fresh(docs, "_lid")
+    out = docs.withColumn(lid, run.asNondeterministic()(F.col(text_col)))
+    r = F.col(lid)
     return out.select(
-        *docs.columns,
-        F.col("_lid.lang").alias("lang_pred"),
-        F.col("_lid.margin").alias("lang_margin"),
-        F.col("_lid.score").alias("lang_score"),
-        ((F.col("_lid.lang") == "und") | ((F.col("_lid.margin") < narrow) & (F.col("_lid.letters") >= short))).alias("lang_rejected"),
+        *without(docs, *[prefix + n for n in ("pred", "margin", "score", "rejected")]).columns,
+        r["lang"].alias(f"{prefix}pred"),
+        r["margin"].alias(f"{prefix}margin"),
+        r["score"].alias(f"{prefix}score"),
+        ((r["lang"] == "und") | ((r["margin"] < narrow) & (r["letters"] >= short))).alias(f"{prefix}rejected"),
     )

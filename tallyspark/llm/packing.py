@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import materialize, ship, worker_state
+from .common import materialize, ship, without, worker_state
 
 SALTS = 256
 
@@ -379,7 +379,7 @@ def pack(items: DataFrame, order_by: list[str], length_col: str = "length", capa
         return pd.DataFrame({"sequence_id": seq, "offset": off})
 
     placed = ranked.withColumn("_p", place(F.col(length_col).cast("long"), "_rank"))
-    return placed.select(*items.columns, F.col("_p.sequence_id"), F.col("_p.offset"))
+    return placed.select(*without(items, "sequence_id", "offset").columns, F.col("_p.sequence_id"), F.col("_p.offset"))
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, keep_ids: bool = True) -> DataFrame:

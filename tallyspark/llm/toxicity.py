@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ship, worker_state
+from .common import fresh, materialize, ship, without, worker_state
 
 LAMBDA, SPAN, SIZE = 0.7, 6, 128
 LONG = 24  # letters of a unit judged at once; longer ones are judged in overlapping windows
@@ -291,12 +291,13 @@ def learn(docs: DataFrame, labels: DataFrame, where: Column, id_col: str = "doc_
     return model
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with toxicity double (0 to 1) added."""
+def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "toxicity") -> DataFrame:
+    """docs with out_col double (0 to 1) added; a column of that name is replaced."""
     ship(docs.sparkSession)
+    kept = without(docs, out_col).columns
     constant = getattr(model, "constant", None)
     if constant is not None:
-        return docs.withColumn("toxicity", F.lit(float(constant)))
-    value = _value_udf(model)(F.col(text_col))
-    x = F.least(F.lit(50.0), F.greatest(F.lit(-50.0), model.slope * (F.col("_v") - model.shift)))
-    return docs.withColumn("_v", value).withColumn("toxicity", 1 / (1 + F.exp(-x))).select(*docs.columns, "toxicity")
+        return docs.select(*kept, F.lit(float(constant)).alias(out_col))
+    v = fresh(docs, "_v")
+    x = F.least(F.lit(50.0), F.greatest(F.lit(-50.0), model.slope * (F.col(v) - model.shift)))
+    return docs.withColumn(v, _value_udf(model)(F.col(text_col))).select(*kept, (1 / (1 + F.exp(-x))).alias(out_col))

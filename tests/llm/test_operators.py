@@ -310,3 +310,74 @@ def test_pipeline(spark):
         out = stage(spark, table, d)
         assert out.columns == table.columns, name
     assert corpus_pipeline.run(spark, d).count() > 0
+
+
+def clashing(spark, d):
+    """Documents with nulls in any column, empty texts, repeated rows and columns named like those that stages add."""
+    t = spark.read.parquet(f"{d}/documents.parquet")
+    odd = [(None, "a b", None, None, None), (9001, None, "en", None, 0), (9002, "", None, "s", 0), (9003, "12 34", "en", "s", 5), (9004, "word " * 9000, None, None, None)]
+    odd += [(9005, "one and the same row of text", "en", "s", 28)] * 3
+    own = [f.name for f in t.schema]
+    t = t.unionByName(spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long").select(*[F.col(f.name).cast(f.dataType) for f in t.schema]))
+    for c in ("toxicity", "_v", "lang_pred", "lang_rejected", "found_pred", "_lid", "kept", "component_id", "length", "sequence_id"):
+        t = t.withColumn(c, F.lit("x"))
+    return t, own
+
+
+def test_pipeline_against_plain(spark):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    d = "/root/testdata/sf0.001"
+    given, _ = clashing(spark, d)
+    pairs = lambda df: Counter(tuple(r) for r in df.select("doc_id", "text").collect())
+    model = toxicity.learn(given, spark.read.parquet(f"{d}/labels.parquet"), F.lit(True))
+    flat = getattr(model, "constant", None)
+    toxic = lambda t: (flat if flat is not None else model.score(toxicity.document_values([t], model))[0]) >= corpus_pipeline.TOXIC
+    one = corpus_pipeline.drop_toxic(spark, given, d).cache()
+    assert pairs(one) == Counter({k: n for k, n in pairs(given).items() if not toxic(k[1])}) and one.columns == given.columns
+
+    dicts = language.learn(one, F.lit(True))
+
+    def named(text):
+        lang, margin, _, letters = language.identify_texts([text], dicts)[0]
+        return lang != "und" and (margin >= corpus_pipeline.NARROW or letters < 200)
+
+    two = corpus_pipeline.drop_unknown_language(spark, one, d).cache()
+    assert pairs(two) == Counter({k: n for k, n in pairs(one).items() if named(k[1])})
+    assert two.columns == given.columns and two.where("lang is null").count() == 0
+
+    three = corpus_pipeline.drop_near_duplicates(spark, two, d).cache()
+    rows = list(pairs(two))
+    parts = brute_components(rows, 5, 80)
+    assert pairs(three) == Counter((i, t) for i, t in rows if i is None or parts[i] == i) and three.columns == given.columns
+
+    four = corpus_pipeline.mask_secrets(spark, three, d).cache()
+    left = dict(pairs(four).keys())
+    assert left.keys() == dict(pairs(three).keys()).keys() and four.columns == given.columns
+    for i, t in pairs(three):
+        spans = secrets.scan(t or "")[1]
+        assert left[i] == t if not spans else "[SECRET]" in left[i] and all(t[a:b] not in left[i] for a, _, b in spans)
+
+    five = corpus_pipeline.pack(spark, four, d).collect()
+    plain, ids, seq = Tokenizer.from_file(BPE), {}, {}
+    for r in sorted(five, key=lambda r: r.piece):
+        ids[r.doc_id] = ids.get(r.doc_id, []) + list(r.ids)
+        seq.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert ids == {i: [*plain.encode(t or "", add_special_tokens=False).ids, 1] for i, t in left.items()}
+    for places in seq.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    assert len(seq) >= packing.lower_bound(Counter(r.length for r in five), 4096)
+
+
+def test_pipeline_on_empty_tables(spark):
+    import corpus_pipeline
+
+    d = "/root/testdata/sf0.001"
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, clashing(spark, d)[0].limit(0), d)
+        assert out.count() == 0, name
