@@ -37,7 +37,7 @@ SALTS = 256
 # ---------------------------------------------------------------- tokens
 
 _state: dict = worker_state("packing")
-CACHE = 10_000_000  # characters of chunks that a worker remembers
+CACHE = 4_000_000  # characters of chunks that a worker remembers; beyond, only those of the batch at hand stay
 _PLAIN = re.compile("[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")  # all letters whose lower case is one letter
 _BEYOND = re.compile("[^\u0000-\u024f]")
 
@@ -102,16 +102,17 @@ def _encode_words(path: str, batch: list[str | None]) -> list[bytes]:
     worker_state("packing")
     if _state.get("path") != path:
         _open(path)
-    if _state["size"] > CACHE:
-        _state.update(known={}, size=0)
-    known: dict[str, bytes] = _state["known"]
     chunks = []
     for t in batch:
         t = (t or "").replace("\n", " ").replace("\t", " ")
         # special tokens are written in lower case only, so folding must not make one
         chunks.append((t if _BEYOND.search(t) or "<|" in t else t.lower()).split(" "))
-    missing = set().union(*chunks).difference(known) if chunks else set()
-    if missing:
+    met = set().union(*chunks)
+    if _state["size"] > CACHE:
+        kept = {c: _state["known"][c] for c in met if c in _state["known"]}
+        _state.update(known=kept, size=sum(map(len, kept)))
+    known: dict[str, bytes] = _state["known"]
+    if missing := met.difference(known):
         _state["size"] += sum(map(len, missing))
         _learn(missing)
     get = known.__getitem__
