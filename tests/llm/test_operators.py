@@ -253,6 +253,48 @@ def test_near_vectors(spark):
     assert got[501].n_links == got[502].n_links == got[503].n_links == 0 and got[504].n_links == 1 and got[505].component_id == 504
 
 
+def near(rng, x, cos):
+    """A row at the cosine from each row of x, which has length 1."""
+    z = rng.normal(size=x.shape)
+    z -= (z * x).sum(1)[:, None] * x
+    return cos * x + math.sqrt(1 - cos * cos) * z / np.linalg.norm(z, axis=1)[:, None]
+
+
+def hot_and_pairs(rng, hot, pairs, cos):
+    """A large group of close copies and many groups of two."""
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    x = unit(rng.normal(size=(pairs, 64)))
+    return near(rng, np.repeat(unit(rng.normal(size=(1, 64))), hot, axis=0), 0.999), x, near(rng, x, cos)
+
+
+def test_near_vectors_finds_far_links_beside_a_hot_group(spark):
+    group, a, b = hot_and_pairs(np.random.default_rng(4), 600, 700, 0.91)
+    rows = [(i, v.tolist()) for i, v in enumerate(np.vstack([group, a, b]))]
+    got = {r.vec_id: r for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert sum(got[600 + i].component_id == got[1300 + i].component_id for i in range(700)) >= 0.99 * 700
+    assert all(got[i].n_links == 599 for i in range(600))
+
+
+def test_near_vectors_by_visits_alone(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "VISIT_COST", 0)
+    group, a, b = hot_and_pairs(np.random.default_rng(5), 600, 700, 0.91)
+    rows = [(i, v.tolist()) for i, v in enumerate(np.vstack([group, a, b]))]
+    got = {r.vec_id: r for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert sum(got[600 + i].n_links for i in range(700)) >= 0.98 * 700
+    assert all(got[i].n_links == 599 for i in range(600))
+
+
+def test_visits_reach_the_recall_at_the_threshold():
+    rng = np.random.default_rng(6)
+    group, a, _ = hot_and_pairs(rng, 2000, 6000, 0.9)
+    x = np.vstack([group, a])[rng.permutation(8000)]
+    grid = vectors.fit(x, 200_000, 0.9, 0.995, 1024)
+    for cos in (0.9, 0.92, 0.95):
+        b = near(rng, a, cos)
+        found = (grid.visit(a) == grid.visit(b, 1)).any(1) | (grid.visit(b) == grid.visit(a, 1)).any(1)
+        assert found.mean() >= 0.985, cos
+
+
 def test_language(spark):
     en, fr = "the and of thing with other ", "le et de chose avec autre "
     rng = np.random.default_rng(3)
