@@ -188,6 +188,27 @@ def test_secrets_base_and_layers(spark):
     assert clean[0].text == "my [SECRET] x" and clean[0].n_chars == len(clean[0].text) and clean[1].text is None
 
 
+@pytest.mark.parametrize("wrap", ("base64", "hex", "gzip"))
+@pytest.mark.parametrize(
+    "raw",
+    ["note:\u00a0password=hunter2hunter2".encode(), "\ufeffpassword=hunter2hunter2".encode(), "password=hunter2hunter2".encode("utf-16"), "é password=hunter2hunter2 ж".encode("utf-16-be"), "password=hunter2hunter2".encode("utf-32-le")]
+    + ["café password=hunter2hunter2".encode("latin-1"), b"\x1b[31mpassword=hunter2hunter2\x1b[0m", b"a\0b\x0cpassword=hunter2hunter2", "👩\u200d🚀 soft\u00adhyphen\u3000password=hunter2hunter2".encode()],
+)
+def test_secrets_beside_any_bytes(raw, wrap):
+    import base64
+    import gzip
+
+    run = raw.hex() if wrap == "hex" else base64.b64encode(gzip.compress(raw) if wrap == "gzip" else raw).decode()
+    base, spans = secrets.scan("see " + run)
+    assert (4, 0, 4 + len(run)) in spans and base == [s for s in base if s[1] == 2]
+
+
+def test_secrets_in_url_escapes_that_are_not_utf8():
+    assert [s[1] for s in secrets.scan("%E9%20%70assword%3Dhunter2hunter2")[1]] == [0]
+    assert [s[1] for s in secrets.scan("%E9%70%61%73%73%77%6F%72%64%3Dhunter2hunter2")[1]] == [0]
+
+
+
 def test_urls(spark):
     rows = [(1, "http://WWW.example.com/en/x?a=1"), (2, "https://a.example.com/en/"), (3, "http://x.net/es/1#t"), (4, None), (5, "no scheme"), (6, "http://x.org/p"), (7, "http://net"), (8, "http://b.com/q")]
     out = {r.page_id: r for r in urls.judge(spark.createDataFrame([(i, u, "h", 0.5) for i, u in rows], "page_id long, url string, host string, label double")).collect()}
