@@ -209,6 +209,62 @@ def test_secrets_in_url_escapes_that_are_not_utf8():
 
 
 
+def found_in(text, **more):
+    return [s for s in secrets.scan(text, **more)[1] if s[1] == 0]
+
+
+@pytest.mark.parametrize("name", ("gzip", "bz2", "lzma", "zlib", "zstd"))
+def test_secrets_in_any_member_of_a_stream(name):
+    import base64
+    import importlib
+
+    import zstandard
+
+    pack = zstandard.compress if name == "zstd" else importlib.import_module(name).compress
+    run = lambda raw: base64.b64encode(raw).decode()
+    first, second = pack(b"nothing here"), pack(b"password=hunter2hunter2")
+    assert found_in(run(first + second)) and found_in(run(first + first + second))
+    long = np.random.default_rng(1).bytes(90_000)
+    for cut in (0, 30_000, 59_990, 90_000):
+        data = pack(long[:cut] + b" password=hunter2hunter2 " + long[cut:])
+        assert found_in(run(data), max_layer=30_000), cut
+    deep = b"password=hunter2hunter2"
+    for _ in range(12):
+        deep = pack(deep)
+    assert found_in(run(deep))
+    broken = pack(b"password=hunter2hunter2 " + long)
+    assert name == "bz2" or found_in(run(broken[: len(broken) // 2]))
+
+
+def test_secrets_in_wrapped_and_prefixed_runs():
+    import base64
+    import gzip
+
+    rng = np.random.default_rng(2)
+    filler = "".join(rng.choice(list("abcdefgh ijkl"), 300))
+    for raw in ((filler[:50] + "password=hunter2hunter2" + filler).encode(), gzip.compress((filler + "password=hunter2hunter2").encode())):
+        b64 = base64.b64encode(raw).decode()
+        for width, end in ((64, "\n"), (76, "\r\n"), (64, "\n  ")):
+            lines = end.join(b64[i : i + width] for i in range(0, len(b64), width))
+            for text in (lines, "-----BEGIN SECRET-----\n" + lines + "\n-----END SECRET-----", "a-name-long-enough-for-a-run\n" + lines + "\nof prose"):
+                found = found_in(text)
+                assert found and text[found[0][0] : found[0][2]] in text and "of prose" not in text[found[0][0] : found[0][2]]
+        for prefix in ("path/", "a-", "key_", "x/yy/zzz-"):
+            assert found_in("see " + prefix + b64), prefix
+        hexed = raw.hex()
+        assert found_in("\n".join(hexed[i : i + 64] for i in range(0, len(hexed), 64)))
+
+
+def test_secrets_long_runs_take_time_in_proportion():
+    import time
+
+    began = time.process_time()
+    for text in ("A" * 400_000, "ab/" * 140_000, "abcdefghijklmnopqrstuvw\n" * 16_000, "x" * 400_000 + "\n "):
+        secrets.scan(text)
+    assert time.process_time() - began < 20
+
+
+
 def test_urls(spark):
     rows = [(1, "http://WWW.example.com/en/x?a=1"), (2, "https://a.example.com/en/"), (3, "http://x.net/es/1#t"), (4, None), (5, "no scheme"), (6, "http://x.org/p"), (7, "http://net"), (8, "http://b.com/q")]
     out = {r.page_id: r for r in urls.judge(spark.createDataFrame([(i, u, "h", 0.5) for i, u in rows], "page_id long, url string, host string, label double")).collect()}
