@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import toid
@@ -48,14 +48,35 @@ def explain_codes(df: DataFrame, fallback: str = "No explanation available.") ->
 
 
 def admissible_ledgers(txs: DataFrame, ledgers: DataFrame, width: int = 16) -> DataFrame:
-    """Earliest and number of ledgers in [min_ledger, max_ledger]; with an open upper bound only the lower one counts.
+    """Earliest and number of ledgers in [min_ledger, max_ledger] of every transaction, 0 where there is none; with an
+    open upper bound (0 or null) only the lower one counts.
 
-    The range becomes an equality on buckets of `width` ledgers, then the exact test."""
+    A closed range becomes an equality on buckets of `width` ledgers, then the exact test; for an open one see _from_on."""
     own = ledgers.select("sequence", F.floor(F.col("sequence") / width).alias("bucket"))
-    closed = txs.where("max_ledger > 0 and max_ledger >= min_ledger")
+    bounds = txs.select("hash", F.coalesce("min_ledger", F.lit(0)).cast("long").alias("min_ledger"), F.coalesce("max_ledger", F.lit(0)).cast("long").alias("max_ledger"))
+    closed = bounds.where("max_ledger > 0 and max_ledger >= min_ledger")
     buckets = F.sequence(F.floor(F.col("min_ledger") / width), F.floor(F.col("max_ledger") / width))
     met = closed.withColumn("bucket", F.explode(buckets)).join(own, "bucket").where(F.col("sequence").between(F.col("min_ledger"), F.col("max_ledger")))
-    return met.groupBy("hash").agg(F.min("sequence").alias("earliest"), F.count("*").alias("ledgers"))
+    met = met.groupBy("hash").agg(F.min("sequence").alias("earliest"), F.count("*").alias("ledgers"))
+    opened = bounds.where("max_ledger = 0")
+    opened = opened.join(_from_on(opened.select("min_ledger").distinct(), ledgers), "min_ledger").select("hash", "earliest", "ledgers")
+    none = bounds.select("hash", F.lit(None).cast("long").alias("earliest"), F.lit(0).cast("long").alias("ledgers"))
+    return met.unionByName(opened).unionByName(none).groupBy("hash").agg(F.min("earliest").alias("earliest"), F.sum("ledgers").alias("ledgers"))
+
+
+def _from_on(mins: DataFrame, ledgers: DataFrame) -> DataFrame:
+    """Earliest and number of ledgers from each min_ledger on: those of its stretch of 65,536, and of later stretches.
+
+    Sequences have 32 bits, so a stretch has at most that many ledgers and the window over stretches as many rows."""
+    points = ledgers.groupBy(F.col("sequence").alias("at")).agg(F.count("*").alias("n")).unionByName(mins.select(F.col("min_ledger").alias("at"), F.lit(0).cast("long").alias("n")))
+    points = points.groupBy("at").agg(F.sum("n").alias("n"), F.max(F.when(F.col("n") == 0, True)).alias("asked")).withColumn("stretch", F.floor(F.col("at") / 65536))
+    seen = F.when(F.col("n") > 0, F.col("at"))
+    here = Window.partitionBy("stretch").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    after = Window.orderBy(F.desc("stretch")).rowsBetween(Window.unboundedPreceding, -1)
+    later = points.groupBy("stretch").agg(F.sum("n").alias("_n"), F.min(seen).alias("_first"))
+    later = later.select("stretch", F.coalesce(F.sum("_n").over(after), F.lit(0)).alias("_n"), F.min("_first").over(after).alias("_first"))
+    own = points.select("at", "stretch", "asked", F.sum("n").over(here).alias("n"), F.min(seen).over(here).alias("first")).where("asked")
+    return own.join(later, "stretch").select(F.col("at").alias("min_ledger"), F.coalesce("first", "_first").alias("earliest"), (F.col("n") + F.col("_n")).alias("ledgers"))
 
 
 def trustline_state(requests: DataFrame, trustlines: DataFrame) -> DataFrame:

@@ -85,7 +85,8 @@ _add("jn2_attach_trade_tx", lambda t: J.attach_trade_tx(N.normalize_trades(t.tra
 _add("jn4_intent_vs_outcome", lambda t: J.intent_vs_outcome(t.operations, N.index_effects(t.effects)), f"SELECT coalesce(a.ledger, b.ledger) AS ledger, coalesce(a.tx_order, b.tx_order) AS tx_order, coalesce(a.n, 0) AS operations, coalesce(b.n, 0) AS effects FROM (SELECT ledger, tx_order, count(*) AS n FROM operations GROUP BY ALL) a FULL JOIN (SELECT id_ledger AS ledger, tx_order, count(*) AS n FROM {NE} GROUP BY ALL) b ON a.ledger = b.ledger AND a.tx_order = b.tx_order")
 _add("jn5_silent_operations", lambda t: J.silent_operations(t.operations, N.index_effects(t.effects)), f"SELECT ledger, count(*) AS silent FROM operations WHERE id NOT IN (SELECT toid FROM {NE} WHERE toid IS NOT NULL) GROUP BY ledger")
 _add("jn6_explain_codes", lambda t: J.explain_codes(N.normalize_transactions(t.transactions)).select("hash", "result_code", "explanation"), f"SELECT hash, result_code, CASE lower(trim(result_code)) WHEN 'tx_success' THEN 'The transaction succeeded.' WHEN 'tx_failed' THEN 'One of the operations failed.' WHEN 'tx_bad_seq' THEN 'The sequence number does not match the source account.' WHEN 'tx_insufficient_fee' THEN 'The fee is too small.' ELSE 'No explanation available.' END AS explanation FROM {NX}")
-_add("jn7_admissible_ledgers", lambda t: J.admissible_ledgers(t.transactions, t.ledgers), "SELECT t.hash, min(l.sequence) AS earliest, count(*) AS ledgers FROM transactions t JOIN ledgers l ON l.sequence BETWEEN t.min_ledger AND t.max_ledger WHERE t.max_ledger > 0 GROUP BY t.hash")
+_add("jn7_admissible_ledgers", lambda t: J.admissible_ledgers(t.transactions.where("max_ledger > 0"), t.ledgers).where("ledgers > 0"), "SELECT t.hash, min(l.sequence) AS earliest, count(*) AS ledgers FROM transactions t JOIN ledgers l ON l.sequence BETWEEN t.min_ledger AND t.max_ledger WHERE t.max_ledger > 0 GROUP BY t.hash")
+_add("jn7b_all_admissible_ledgers", lambda t: J.admissible_ledgers(t.transactions, t.ledgers), "SELECT t.hash, min(l.sequence) AS earliest, count(l.sequence) AS ledgers FROM transactions t LEFT JOIN ledgers l ON l.sequence >= t.min_ledger AND (t.max_ledger = 0 OR l.sequence <= t.max_ledger) GROUP BY t.hash")
 _add("jn8_trustline_state", lambda t: J.trustline_state(t.accounts.select(F.col("id").alias("account"), F.when(F.col("auth_required"), F.concat(F.lit("C"), F.col("id").substr(-2, 2).cast("int").cast("string"))).otherwise("C1").alias("asset_code")), t.trustlines), "SELECT r.account, r.asset_code, CASE WHEN l.is_authorized IS NULL THEN 'NOT_FOUND' WHEN l.is_authorized THEN 'AUTHORIZED' WHEN l.is_authorized_to_maintain_liabilities THEN 'MAINTAIN_LIABILITIES' ELSE 'UNAUTHORIZED' END AS state FROM (SELECT id AS account, CASE WHEN auth_required THEN 'C' || CAST(CAST(right(id, 2) AS INT) AS VARCHAR) ELSE 'C1' END AS asset_code FROM accounts) r LEFT JOIN trustlines l ON l.account = r.account AND l.asset_code = r.asset_code")
 _add("jn9_probe_storage", lambda t: J.probe_storage(t.storage, t.storage.select("contract_id", "key").distinct()).select("contract_id", "key", "durability", "value", "found"), "SELECT k.contract_id, k.key, d.durability, s.value, s.key IS NOT NULL AS found FROM (SELECT DISTINCT contract_id, key FROM storage) k CROSS JOIN (SELECT 'persistent' AS durability UNION ALL SELECT 'temporary') d LEFT JOIN storage s ON s.contract_id = k.contract_id AND s.key = k.key AND s.durability = d.durability")
 _add("jn10_created_balance_ids", lambda t: J.created_balance_ids(t.effects), "SELECT ledger, min_by(balance_id, event_id) AS balance_id FROM effects WHERE type = 'claimable_balance_created' GROUP BY ledger")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.operators import aggregates as A
 from tallyspark.operators import filters as X
+from tallyspark.operators import joins as J
 from tallyspark.operators import normalize as N
 from tallyspark.operators import windows as W
 from tallyspark.plans import registry
@@ -89,3 +90,10 @@ def test_page_is_truncated(spark):
     assert [r.k for r in rows] == [4, 5, 6, 7] and all(r.truncated for r in rows)
     assert not any(r.truncated for r in X.page(df, "k", 7, 4).collect())
     assert X.filter_direction(spark.createDataFrame([("self",), ("related",)], "direction string"), "incoming").count() == 1
+
+
+def test_admissible_ledgers_of_every_transaction(spark):
+    ledgers = spark.createDataFrame([(5,), (9,), (70_000,), (200_000,)], "sequence long")
+    txs = [("closed", 6, 70_000), ("open", 6, 0), ("on it", 9, 0), ("next stretch", 10, 0), ("far", 140_000, 0), ("late", 200_001, 0), ("none", 10, 20), ("crossed", 9, 5), ("null", None, None)]
+    got = {r.hash: (r.earliest, r.ledgers) for r in J.admissible_ledgers(spark.createDataFrame(txs, "hash string, min_ledger long, max_ledger long"), ledgers).collect()}
+    assert got == {"closed": (9, 2), "open": (9, 3), "on it": (9, 3), "next stretch": (70_000, 2), "far": (200_000, 1), "late": (None, 0), "none": (None, 0), "crossed": (None, 0), "null": (5, 4)}
