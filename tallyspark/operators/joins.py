@@ -108,6 +108,16 @@ def created_balance_ids(effects: DataFrame) -> DataFrame:
     return effects.where("type = 'claimable_balance_created'").groupBy("ledger").agg(F.min_by("balance_id", "event_id").alias("balance_id"))
 
 
+def created_balances_by_tx(effects: DataFrame) -> DataFrame:
+    """Every created balance with its transaction (toid >> 12), and each transaction without one with a null balance.
+
+    Balances of effects with a malformed id have a null transaction."""
+    own = effects.select(F.shiftright(toid(F.col("id")), 12).alias("tx"), "type", "balance_id")
+    created = own.where("type = 'claimable_balance_created'").select("tx", "balance_id")
+    misses = own.where("tx is not null").select("tx").distinct().join(created.select("tx").distinct(), "tx", "left_anti")
+    return created.unionByName(misses.withColumn("balance_id", F.lit(None).cast("string")))
+
+
 def diff_snapshots(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFrame:
     """set, changed, removed or same for every key of either side."""
     a, b = before.select(key, F.col(value).alias("before")), after.select(key, F.col(value).alias("after"))

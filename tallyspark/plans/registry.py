@@ -90,6 +90,7 @@ _add("jn7b_all_admissible_ledgers", lambda t: J.admissible_ledgers(t.transaction
 _add("jn8_trustline_state", lambda t: J.trustline_state(t.accounts.select(F.col("id").alias("account"), F.when(F.col("auth_required"), F.concat(F.lit("C"), F.col("id").substr(-2, 2).cast("int").cast("string"))).otherwise("C1").alias("asset_code")), t.trustlines), "SELECT r.account, r.asset_code, CASE WHEN l.is_authorized IS NULL THEN 'NOT_FOUND' WHEN l.is_authorized THEN 'AUTHORIZED' WHEN l.is_authorized_to_maintain_liabilities THEN 'MAINTAIN_LIABILITIES' ELSE 'UNAUTHORIZED' END AS state FROM (SELECT id AS account, CASE WHEN auth_required THEN 'C' || CAST(CAST(right(id, 2) AS INT) AS VARCHAR) ELSE 'C1' END AS asset_code FROM accounts) r LEFT JOIN trustlines l ON l.account = r.account AND l.asset_code = r.asset_code")
 _add("jn9_probe_storage", lambda t: J.probe_storage(t.storage, t.storage.select("contract_id", "key").distinct()).select("contract_id", "key", "durability", "value", "found"), "SELECT k.contract_id, k.key, d.durability, s.value, s.key IS NOT NULL AS found FROM (SELECT DISTINCT contract_id, key FROM storage) k CROSS JOIN (SELECT 'persistent' AS durability UNION ALL SELECT 'temporary') d LEFT JOIN storage s ON s.contract_id = k.contract_id AND s.key = k.key AND s.durability = d.durability")
 _add("jn10_created_balance_ids", lambda t: J.created_balance_ids(t.effects), "SELECT ledger, min_by(balance_id, event_id) AS balance_id FROM effects WHERE type = 'claimable_balance_created' GROUP BY ledger")
+_add("jn10b_created_balances_by_tx", lambda t: J.created_balances_by_tx(t.effects), f"SELECT toid // 4096 AS tx, balance_id FROM {NE} WHERE type = 'claimable_balance_created' UNION ALL SELECT DISTINCT toid // 4096, NULL FROM {NE} WHERE toid IS NOT NULL AND toid // 4096 NOT IN (SELECT toid // 4096 FROM {NE} WHERE type = 'claimable_balance_created' AND toid IS NOT NULL)")
 _add("jn11_claimable_lifecycle", lambda t: J.claimable_lifecycle(t.effects), "SELECT *, claimed - created AS age, claimed IS NULL AS still_open FROM (SELECT balance_id, min(ledger) FILTER (WHERE type = 'claimable_balance_created') AS created, min(ledger) FILTER (WHERE type = 'claimable_balance_claimed') AS claimed FROM effects WHERE balance_id IS NOT NULL GROUP BY balance_id) WHERE created IS NOT NULL")
 _add("jn12_diff_snapshots", lambda t: J.diff_snapshots(t.accounts.where("auth_required"), t.accounts.where("auth_revocable").withColumn("home_domain", F.when(F.col("auth_immutable"), "x").otherwise(F.col("home_domain"))), "id", "home_domain"), "SELECT coalesce(a.id, b.id) AS id, a.home_domain AS before, b.home_domain AS after, CASE WHEN a.home_domain IS NULL AND b.home_domain IS NOT NULL THEN 'set' WHEN a.home_domain IS NOT NULL AND b.home_domain IS NULL THEN 'removed' WHEN a.home_domain <> b.home_domain THEN 'changed' ELSE 'same' END AS change FROM (SELECT * FROM accounts WHERE auth_required) a FULL JOIN (SELECT id, CASE WHEN auth_immutable THEN 'x' ELSE home_domain END AS home_domain FROM accounts WHERE auth_revocable) b ON a.id = b.id")
 _EDGES = "SELECT selling AS src, buying AS dst, greatest(1, CAST(price_n AS BIGINT)) % 4 + 1 AS rate FROM offers UNION ALL SELECT buying, selling, CAST(price_d AS BIGINT) % 3 + 1 FROM offers"

@@ -97,3 +97,11 @@ def test_admissible_ledgers_of_every_transaction(spark):
     txs = [("closed", 6, 70_000), ("open", 6, 0), ("on it", 9, 0), ("next stretch", 10, 0), ("far", 140_000, 0), ("late", 200_001, 0), ("none", 10, 20), ("crossed", 9, 5), ("null", None, None)]
     got = {r.hash: (r.earliest, r.ledgers) for r in J.admissible_ledgers(spark.createDataFrame(txs, "hash string, min_ledger long, max_ledger long"), ledgers).collect()}
     assert got == {"closed": (9, 2), "open": (9, 3), "on it": (9, 3), "next stretch": (70_000, 2), "far": (200_000, 1), "late": (None, 0), "none": (None, 0), "crossed": (None, 0), "null": (5, 4)}
+
+
+def test_created_balances_of_every_transaction(spark):
+    tx = lambda n, op, effect: f"{n * 4096 + op:019d}-{effect:010d}"
+    made = "claimable_balance_created"
+    rows = [(tx(1, 1, 1), made, "B1"), (tx(1, 2, 1), made, "B2"), (tx(2, 1, 1), made, "B3"), (tx(3, 1, 1), "claimable_balance_claimed", "B1"), (tx(3, 1, 2), "trade", None), ("odd", made, "B4"), ("odd", "trade", None)]
+    got = J.created_balances_by_tx(spark.createDataFrame(rows, "id string, type string, balance_id string")).collect()
+    assert sorted(((r.tx, r.balance_id) for r in got), key=str) == sorted([(1, "B1"), (1, "B2"), (2, "B3"), (3, None), (None, "B4")], key=str)
