@@ -150,6 +150,12 @@ def quote_paths(edges: DataFrame, requests: DataFrame, hops: int = 3) -> DataFra
     return found.where("dst = target").groupBy("src", "target").agg(F.max("rate").alias("rate"))
 
 
+def asset_pairs(edges: DataFrame) -> DataFrame:
+    """Every ordered pair of different assets of the edges, as requests of quote_paths."""
+    assets = edges.select(F.col("src").alias("a")).unionByName(edges.select(F.col("dst").alias("a"))).where("a is not null").distinct()
+    return assets.select(F.col("a").alias("src")).crossJoin(assets.select(F.col("a").alias("target"))).where("src <> target")
+
+
 def ledger_chain(ledgers: DataFrame) -> DataFrame:
     """Ledgers whose predecessor is missing or has another hash."""
     before = ledgers.select((F.col("sequence") + 1).alias("sequence"), F.col("hash").alias("_hash"))

@@ -96,13 +96,17 @@ _add("jn12_diff_snapshots", lambda t: J.diff_snapshots(t.accounts.where("auth_re
 _EDGES = "SELECT selling AS src, buying AS dst, greatest(1, CAST(price_n AS BIGINT)) % 4 + 1 AS rate FROM offers UNION ALL SELECT buying, selling, CAST(price_d AS BIGINT) % 3 + 1 FROM offers"
 
 
-def _quotes(t: Tables):
+def _edges(t: Tables):
     o = t.offers
-    edges = o.select(F.col("selling").alias("src"), F.col("buying").alias("dst"), (F.greatest(F.lit(1), "price_n") % 4 + 1).alias("rate")).unionByName(
+    return o.select(F.col("selling").alias("src"), F.col("buying").alias("dst"), (F.greatest(F.lit(1), "price_n") % 4 + 1).alias("rate")).unionByName(
         o.select(F.col("buying").alias("src"), F.col("selling").alias("dst"), (F.col("price_d") % 3 + 1).alias("rate"))
     )
+
+
+def _quotes(t: Tables):
+    o = t.offers
     asks = o.select(F.lit("Brand#1").alias("src"), F.col("selling").alias("target")).distinct().where("target <> src and target < 'Brand#15'")
-    return J.quote_paths(edges, asks, 3)
+    return J.quote_paths(_edges(t), asks, 3)
 
 
 _add("jn13_quote_paths", _quotes, f"""WITH e AS (SELECT src, dst, max(rate) AS rate FROM ({_EDGES}) WHERE src <> dst GROUP BY src, dst),
@@ -111,6 +115,7 @@ w1 AS (SELECT r.src, e.dst, r.target, e.rate, [r.src, e.dst] AS seen FROM r JOIN
 w2 AS (SELECT w1.src, e.dst, target, w1.rate * e.rate AS rate, list_append(seen, e.dst) AS seen FROM w1 JOIN e ON e.src = w1.dst WHERE w1.dst <> target AND NOT list_contains(seen, e.dst)),
 w3 AS (SELECT w2.src, e.dst, target, w2.rate * e.rate AS rate, seen FROM w2 JOIN e ON e.src = w2.dst WHERE w2.dst <> target AND NOT list_contains(seen, e.dst))
 SELECT src, target, CAST(max(rate) AS BIGINT) AS rate FROM (SELECT src, dst, target, rate FROM w1 UNION ALL SELECT src, dst, target, rate FROM w2 UNION ALL SELECT src, dst, target, rate FROM w3) WHERE dst = target GROUP BY src, target""")
+_add("jn13b_all_quote_paths", lambda t: J.quote_paths(_edges(t), J.asset_pairs(_edges(t)), 3))
 _add("jn14_fee_bump_audit", lambda t: J.fee_bump_audit(t.transactions), "SELECT o.hash, o.inner_hash, o.fee_charged - i.fee_charged AS escalation, o.fee_account <> i.source_account AS payer_differs FROM transactions o JOIN transactions i ON i.hash = o.inner_hash")
 _add("jn18_config_drift", lambda t: J.config_drift(t.accounts, t.accounts.groupBy("home_domain").agg(F.min("low_threshold").alias("want_low"))), "SELECT a.id, a.low_threshold, e.want_low FROM accounts a JOIN (SELECT home_domain, min(low_threshold) AS want_low FROM accounts GROUP BY home_domain) e ON e.home_domain = a.home_domain WHERE a.low_threshold IS DISTINCT FROM e.want_low")
 

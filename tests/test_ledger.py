@@ -105,3 +105,25 @@ def test_created_balances_of_every_transaction(spark):
     rows = [(tx(1, 1, 1), made, "B1"), (tx(1, 2, 1), made, "B2"), (tx(2, 1, 1), made, "B3"), (tx(3, 1, 1), "claimable_balance_claimed", "B1"), (tx(3, 1, 2), "trade", None), ("odd", made, "B4"), ("odd", "trade", None)]
     got = J.created_balances_by_tx(spark.createDataFrame(rows, "id string, type string, balance_id string")).collect()
     assert sorted(((r.tx, r.balance_id) for r in got), key=str) == sorted([(1, "B1"), (1, "B2"), (2, "B3"), (3, None), (None, "B4")], key=str)
+
+
+def test_quote_paths_of_all_pairs(spark):
+    from itertools import permutations
+
+    edges = [("A", "B", 2), ("B", "C", 3), ("A", "C", 5), ("C", "D", 2), ("D", "A", 1), ("A", "B", 1), ("E", "E", 4)]
+    df = spark.createDataFrame(edges, "src string, dst string, rate long")
+    best = {(a, b): max(r for x, y, r in edges if (x, y) == (a, b)) for a, b, _ in edges}
+    want = {}
+    for n in (2, 3, 4):
+        for path in permutations("ABCDE", n):
+            if all(step in best for step in zip(path, path[1:])):
+                rate = 1
+                for step in zip(path, path[1:]):
+                    rate *= best[step]
+                want[path[0], path[-1]] = max(rate, want.get((path[0], path[-1]), 0))
+    assert {(r.src, r.target): r.rate for r in J.quote_paths(df, J.asset_pairs(df), 3).collect()} == want
+    quotes = registry.queries()["jn13b_all_quote_paths"](spark, DATA).groupBy("src").count().collect()
+    offers = Tables(spark, DATA).offers
+    n = offers.select("selling").union(offers.select("buying")).distinct().count()
+    # some pairs have no path of three hops
+    assert len(quotes) == n and n * (n - 1) // 2 < sum(r["count"] for r in quotes) <= n * (n - 1)
