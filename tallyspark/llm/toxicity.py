@@ -1,10 +1,11 @@
 """Toxicity by a subsequence string-kernel support vector machine with Nystroem landmarks.
 
-Unit of judgement: a word of a sentence, lower-cased, letters only, between boundary marks; runs of single letters
-("i d i o t") are joined into one unit. The kernel of two units is the normalised gap-weighted kernel over
+Unit of judgement: a word of a sentence, lower-cased, letters only, between boundary marks; runs of four or more
+single letters ("i d i o t") are one more unit. The kernel of two units is the normalised gap-weighted kernel over
 subsequences of three characters, each weighted LAMBDA to the power of the stretch it spans (at most SPAN), so
 inserted or missing characters only lower it. A sentence has the decision value of its worst unit, a document that
-of its worst sentence, and a logistic curve turns it into a score.
+of its worst sentence, and a logistic curve turns it into a score. So an insult made of words that are each
+ordinary is not seen.
 
 Learning is multiple-instance: labels mark documents, so units that are typical of toxic documents in a bounded
 sample become landmarks and positive examples (with one inserted letter too); units of clean documents are the
@@ -15,17 +16,22 @@ As the decision is linear in the kernel's feature map, the landmarks fold into o
 judging a unit costs the same whatever their number.
 
 Defined cases: null or empty texts, or texts without letters, have no unit and get the lowest score of the curve;
-without labels of both classes every score is the share of positive labels (0 if none). Texts are used whole.
+without labels of both classes, or without a unit that tells them apart, every score is the share of positive labels,
+but NO_EVIDENCE at most, so that nothing is called toxic. Texts are used whole; repeated rows get equal scores; of
+several labels of an id the largest counts; ties between units go to the alphabetically first; an empty table gives an
+empty result; columns other than the id and the text are passed through.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,48 +40,56 @@ from .common import fresh, materialize, ship, without, worker_state
 LAMBDA, SPAN, SIZE = 0.7, 6, 128
 LONG = 24  # letters of a unit judged at once; longer ones are judged in overlapping windows
 NO_UNIT = -3.0
-CACHE = 12_000_000  # characters of tokens that a worker remembers
-SPACED = re.compile(r"(?<!\S)(?:[^\W\d_][\s.*_-]+){3,}[^\W\d_](?!\S)")
+NO_EVIDENCE = 0.25
+CACHE = 150_000  # tokens in each of the two generations that a worker remembers
+SLICE = 2_000_000  # characters judged at once
+_SINGLE = re.compile(r"[^\W\d_][.*_-]*")
 _NOT_LETTER = re.compile(r"[\W\d_]+")
 _state: dict = worker_state("toxicity")
 OFFSETS = [(j, k) for k in range(2, SPAN) for j in range(1, k)]
+POWERS = LAMBDA ** np.arange(8)
 
 
 def unit_of(token: str) -> str:
-    return _NOT_LETTER.sub("", token)
+    return _NOT_LETTER.sub("", token.lower())
 
 
-def tokens_of(text: str | None) -> set[str]:
-    """Raw lower-case tokens of a text, with runs of single letters also joined."""
-    if not text:
-        return set()
-    low = text.lower()
-    out = set(low.split())
-    for m in SPACED.finditer(low):
-        out.add(unit_of(m[0]))
-    return out
+def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, str]]]:
+    """Of texts: the different tokens between white space, the number of each in turn, where every text's begin (and the
+    last's end), and (text, unit) of runs of single letters."""
+    parts = pc.utf8_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
+    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(parts).to_numpy(zero_copy_only=False))])
+    coded = parts.flatten().dictionary_encode()
+    different, number = coded.dictionary.to_numpy(zero_copy_only=False), coded.indices.to_numpy()
+    single = np.array([_SINGLE.fullmatch(t) is not None for t in different], bool)
+    at = np.flatnonzero(single[number]) if len(number) else np.empty(0, np.int64)
+    owner = np.searchsorted(ends, at, side="right") - 1
+    runs = np.split(np.arange(len(at)), np.flatnonzero((np.diff(at) != 1) | (np.diff(owner) != 0)) + 1)
+    return different, number, ends, [(int(owner[r[0]]), "".join(unit_of(t) for t in different[number[at[r]]])) for r in runs if len(r) >= 4]
 
 
 def _codes(units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, code, weight) of every subsequence of each unit, repeated codes of a row summed."""
-    width = max((len(u) for u in units), default=0) + 2
+    size = np.fromiter(map(len, units), np.int64, len(units))
+    width = int(size.max(initial=0)) + 2
     grid = np.zeros((len(units), width + SPAN), dtype=np.int64)
-    for i, u in enumerate(units):
-        cs = np.fromiter(map(ord, u), dtype=np.int64, count=len(u))
-        grid[i, 1 : len(u) + 1] = 3 + cs % (SIZE - 3)
-        grid[i, 0], grid[i, len(u) + 1] = 1, 2
-    rows, codes, weights = [], [], []
+    chars = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), "<u4")
+    grid[np.repeat(np.arange(len(units)), size), np.arange(1, len(chars) + 1) - np.repeat(np.cumsum(size) - size, size)] = 3 + chars % (SIZE - 3)
+    grid[:, 0], grid[np.arange(len(units)), size + 1] = 1, 2
+    keys = []
     a = grid[:, :width]
     index = np.broadcast_to(np.arange(len(units))[:, None], a.shape)
     for j, k in OFFSETS:
         b, c = grid[:, j : j + width], grid[:, k : k + width]
         live = (a > 0) & (c > 0)
-        codes.append(((a * SIZE + b) * SIZE + c)[live])
-        rows.append(index[live])
-        weights.append(np.full(len(codes[-1]), LAMBDA ** (k + 1)))
-    key = np.concatenate(rows) * SIZE**3 + np.concatenate(codes)
-    unique, inverse = np.unique(key, return_inverse=True)
-    return unique // SIZE**3, unique % SIZE**3, np.bincount(inverse, np.concatenate(weights), len(unique))
+        # the span in the lowest bits, so that sorting numbers is enough
+        keys.append((((index * SIZE + a) * SIZE + b) * SIZE + c)[live] * 8 + k + 1)
+    key = np.concatenate(keys)
+    key.sort()
+    weights, key = POWERS[key & 7], key >> 3
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    weights = np.add.reduceat(weights, first) if len(first) else weights
+    return key[first] // SIZE**3, key[first] % SIZE**3, weights
 
 
 def features(units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,20 +144,19 @@ class Model:
 
     def decide(self, units: list[str]) -> np.ndarray:
         """Units longer than LONG are judged in overlapping windows; the worst counts."""
-        parts, owner = [], []
-        for i, u in enumerate(units):
-            for at in range(0, max(1, len(u) - LONG // 2), LONG // 2) if len(u) > LONG else (0,):
-                parts.append(u[at : at + LONG])
-                owner.append(i)
+        size = np.fromiter(map(len, units), np.int64, len(units))
+        owner = np.flatnonzero((size >= 3) & (size <= LONG))
+        owner = owner[np.argsort(size[owner], kind="stable")]  # of like lengths together, as rows are padded
+        parts = [units[i] for i in owner.tolist()]
+        windows = [(i, units[i][at : at + LONG]) for i in np.flatnonzero(size > LONG).tolist() for at in range(0, size[i] - LONG // 2, LONG // 2)]
+        owner = np.append(owner, np.array([i for i, _ in windows], np.int64))
+        parts += [p for _, p in windows]
         out = np.full(len(units), NO_UNIT)
-        owner = np.array(owner)
         for lo in range(0, len(parts), 2000):
-            row, code, weight = features(parts[lo : lo + 2000])
-            value = np.bincount(row, weight * self.table[code], len(parts[lo : lo + 2000])) + self.bias
+            some = parts[lo : lo + 2000]
+            row, code, weight = features(some)
+            value = np.bincount(row, weight * self.table[code], len(some)) + self.bias
             np.maximum.at(out, owner[lo : lo + 2000], value)
-        for i, u in enumerate(units):
-            if len(u) < 3:
-                out[i] = NO_UNIT
         return out
 
     def score(self, value):
@@ -188,35 +201,72 @@ def _inserted(word: str) -> list[str]:
     return out
 
 
-def document_values(texts: list[str | None], model: Model) -> np.ndarray:
-    """Worst decision value of each text; each worker keeps the values of the tokens it has met."""
+def _known_values(different: np.ndarray, model: Model) -> np.ndarray:
+    """Decision values of tokens. A worker keeps those of tokens it has met, in two generations: a full one becomes the
+    old one, from which what is met again returns."""
     worker_state("toxicity")
-    if _state.get("key") != model.key or _state["size"] > CACHE:
-        _state.update(key=model.key, known={}, units={}, size=0)
-    known, judged = _state["known"], _state["units"]
-    sets = [tokens_of(t) for t in texts]
-    missing = set().union(*sets).difference(known) if sets else set()
-    if missing:
-        _state["size"] += sum(map(len, missing)) + 10 * len(missing)
-        units = {t: unit_of(t) for t in missing}
-        new = list(set(units.values()).difference(judged))
-        for lo in range(0, len(new), 20_000):
-            part = new[lo : lo + 20_000]
-            judged.update(zip(part, model.decide(part).tolist()))
-        known.update((t, judged[u]) for t, u in units.items())
-    get = known.__getitem__
-    return np.array([max(map(get, s), default=NO_UNIT) for s in sets])
+    if _state.get("key") != model.key:
+        _state.update(key=model.key, young={}, old={})
+    young, old = _state["young"], _state["old"]
+    words = different.tolist()
+    out = np.array([young.get(t) or old.get(t, np.nan) for t in words])
+    new = np.flatnonzero(np.isnan(out))
+    if len(new):
+        out[new] = model.decide([unit_of(t) for t in different[new]])
+    young.update(zip(words, out.tolist()))
+    if len(young) > CACHE:
+        _state.update(young={}, old=young)
+    return out
+
+
+def document_values(texts: pa.Array, model: Model) -> np.ndarray:
+    """Worst decision value of each text."""
+    different, number, ends, runs = tokens(texts)
+    value = np.append(_known_values(different, model)[number], NO_UNIT)
+    out = np.where(np.diff(ends) > 0, np.maximum.reduceat(value, ends[:-1]), NO_UNIT)
+    if runs:
+        np.maximum.at(out, [r[0] for r in runs], model.decide([r[1] for r in runs]))
+    return out
+
+
+def slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """texts in stretches of about SLICE bytes."""
+    at = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))]) // SLICE
+    bounds = np.flatnonzero(np.diff(at[:-1], prepend=-1)).tolist() + [len(texts)]
+    for a, b in zip(bounds, bounds[1:]):
+        yield texts.slice(a, b - a)
 
 
 def _value_udf(model: Model):
     @F.arrow_udf("double")
     def run(texts: pa.Array) -> pa.Array:
-        out = [document_values(texts.slice(at, 64).to_pylist(), model) for at in range(0, len(texts), 64)]
-        return pa.array(np.concatenate(out) if out else np.empty(0), pa.float64())
+        return pa.array(np.concatenate([np.empty(0), *(document_values(x, model) for x in slices(texts))]), pa.float64())
 
     return run
 
 
+def _units_udf():
+    @F.arrow_udf("array<string>")
+    def run(texts: pa.Array) -> pa.Array:
+        out: list[list[str]] = []
+        for x in slices(texts):
+            different, number, ends, runs = tokens(x)
+            own = np.array([unit_of(t) for t in different], object)[number]
+            sets = [set(own[a:b]) for a, b in zip(ends, ends[1:])]
+            for at, unit in runs:
+                sets[at].add(unit)
+            out += [sorted(u for u in s if len(u) >= 3) for s in sets]
+        return pa.array(out, pa.list_(pa.string()))
+
+    return run
+
+
+def _flat(share: float) -> Model:
+    out = Model(np.zeros(SIZE**3, np.float32), 0.0, 0.0, 0.0)
+    out.constant = min(share, NO_EVIDENCE)
+    return out
+
+
 def learn(docs: DataFrame, labels: DataFrame, where: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 3000, landmarks: int = 160, negatives: int = 8_000, mining: int = 2) -> Model:
     """Model from labels (id, label) of documents that satisfy where."""
     spark = docs.sparkSession
@@ -230,21 +280,13 @@ def learn(docs: DataFrame, labels: DataFrame, where: Column, id_col: str = "doc_
     totals = {int(r[0]): r[1] for r in picked.groupBy("y").count().collect()}
     n_pos, n_neg = totals.get(1, 0), totals.get(0, 0)
     if not n_pos or not n_neg:
-        p = n_pos / (n_pos + n_neg) if n_pos + n_neg else 0.0
-        flat = Model(np.zeros(SIZE**3, np.float32), 0.0, 0.0, 0.0)
-        flat.slope, flat.constant = 0.0, p
-        return flat
-
-    @F.arrow_udf("array<string>")
-    def units(texts: pa.Array) -> pa.Array:
-        return pa.array([sorted({unit_of(t) for t in tokens_of(x.as_py())} - {""}) for x in texts], pa.list_(pa.string()))
-
+        return _flat(n_pos / (n_pos + n_neg) if n_pos + n_neg else 0.0)
     counts = (
-        picked.select("y", F.explode(units("text")).alias("unit"))
+        picked.select("y", F.explode(_units_udf()("text")).alias("unit"))
         .groupBy("unit")
         .agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
     )
-    counts = materialize(counts.where(F.char_length("unit") >= 3), "toxic-units")
+    counts = materialize(counts, "toxic-units")
     # A unit is evidence if it is in more toxic documents, and in hardly any clean one, than one of all the units
     # would be by chance.
     rate = n_pos / (n_pos + n_neg)
@@ -252,16 +294,15 @@ def learn(docs: DataFrame, labels: DataFrame, where: Column, id_col: str = "doc_
     least = max(2, math.ceil(math.log(max(2, rows)) / -math.log(rate)) if rate < 1 else 2)
     usable = counts.where((F.col("neg") <= 0.02 * F.col("pos")) & (F.col("pos") >= min(least, max(2, n_pos // 4))))
     top = usable.orderBy(F.desc("pos"), "unit").limit(20 * landmarks)
+    evident = [(i, r["unit"], r["pos"]) for i, r in enumerate(top.collect())]
     bags = (
-        picked.where("y = 1").select("id", F.explode(units("text")).alias("unit")).join(F.broadcast(top.select("unit")), "unit")
-        .groupBy("id").agg(F.collect_set("unit").alias("us")).select("us").collect()
-    )  # at most `sample` rows of evident units
-    weight = {r["unit"]: r["pos"] for r in top.collect()}
-    positive = cover([set(r[0]) for r in bags], weight)
+        picked.where("y = 1").select("id", F.explode(_units_udf()("text")).alias("unit"))
+        .join(F.broadcast(spark.createDataFrame(evident, "number int, unit string, pos long")), "unit")
+        .groupBy("id").agg(F.collect_set("number").alias("us")).select("us").collect()
+    )  # at most `sample` rows of numbers of at most 20 * landmarks evident units
+    positive = cover([{evident[i][1] for i in r[0]} for r in bags], {u: n for _, u, n in evident})
     if not positive:
-        flat = Model(np.zeros(SIZE**3, np.float32), 0.0, 0.0, 0.0)
-        flat.constant = rate
-        return flat
+        return _flat(rate)
     clean = counts.where("neg >= 1 and pos <= neg")
     negative = [r[0] for r in clean.orderBy(F.xxhash64("unit")).limit(negatives).collect()]
     marks = positive[:landmarks]
