@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,10 +125,50 @@ def test_plan_is_optimal_on_small_cases():
     rng = np.random.default_rng(4)
     for _ in range(60):
         items = sorted(rng.integers(1, 30, 9).tolist(), reverse=True)
-        plan = packing.plan(Counter(items), 30)
-        used = Counter(n for f, t in plan for n in f for _ in range(t))
-        assert used == Counter(items) and all(sum(f) <= 30 for f, _ in plan)
-        assert sum(t for _, t in plan) == brute_bins(items, 30)
+        assert whole_plan(Counter(items), 30).bins == brute_bins(items, 30)
+
+
+def whole_plan(counts, capacity, **limits):
+    """A plan that was checked to hold every item once, in fillings that fit."""
+    plan = packing.plan(counts, capacity, **limits)
+    held = Counter()
+    for filling, times in plan.fillings:
+        assert packing.used_by(filling) <= capacity
+        for n, k in filling:
+            held[n] += k * times
+    assert held == Counter(counts) and plan.bound <= plan.bins == sum(t for _, t in plan.fillings)
+    return plan
+
+
+def test_plan_of_many_short_items():
+    assert whole_plan({3: 1365 * 4097}, 4096).proved
+    assert whole_plan({1500: 1000, 1300: 1000, 3: 500_000}, 4096).bins == 1050
+    assert whole_plan({n: 3 for n in range(1, 4097)}, 4096).proved
+    assert packing.plan({}, 4096) == ([], 0, 0, True)
+
+
+def test_plan_beats_best_fit():
+    few = [26, 11, 6, 14, 12, 10, 7]  # best fit takes four
+    plan = whole_plan(Counter(few), 30)
+    assert plan.bins == 3 and plan.proved
+    counts = {37: 2500, 31: 1500, 47: 500}
+    plan = whole_plan(counts, 100)
+    assert plan.bins == 1875 < 2000 == sum(t for _, t in packing.best_fit_decreasing(counts, 100)) and not plan.proved
+    assert not whole_plan(counts, 100, node_limit=1).proved
+
+
+def test_pack_runs_the_search(spark):
+    rows = [(i, n) for i, n in enumerate(n for n, c in {37: 250, 31: 150, 47: 50}.items() for _ in range(c))]
+    items = spark.createDataFrame([(i, n, 0, 0) for i, n in rows], "id long, length long, offset int, _salt int").drop("_salt")
+    out = packing.pack(items, ["id"], capacity=100, per_salt=20).collect()
+    assert sorted((r.id, r.length) for r in out) == rows and len({r.sequence_id for r in out}) == 188
+    rooms = {}
+    for r in sorted(out, key=lambda r: r.offset):
+        assert rooms.get(r.sequence_id, 0) == r.offset
+        rooms[r.sequence_id] = r.offset + r.length
+    assert max(rooms.values()) <= 100
+    with pytest.raises(ValueError):
+        packing.pack(items.withColumn("length", F.lit(101)), ["id"], capacity=100)
 
 
 def test_pack_documents(spark):
@@ -146,13 +187,17 @@ def test_pack_documents(spark):
     assert packing.pack_documents(docs(spark, []), BPE).count() == 0
 
 
-def test_fast_tokens_equal_plain():
+def test_fast_tokens_equal_plain(monkeypatch):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(BPE)
-    rows = ["", "don't I'LL x.,y ., 'S", "İ. É, ß́", "<|endoftext|> <|EndOfText|>", "a\u0085b\x1cc 日本。", "Plain words, and more."]
-    want = [np.array(t.encode(r, add_special_tokens=False).ids, "<u4").tobytes() for r in rows]
-    assert packing._encode_words(BPE, rows) == want
+    rows = [None, "", "don't I'LL x.,y ., 'S", "İ. É, ß́", "<|endoftext|> <|EndOfText|>", "a\u0085b\x1cc 日本。", "Plain words, and more."]
+    rows += ["Latin ſ ŉ ǅ word, x), (y). 3. z..", "a  b", *(f"word{chr(97 + i % 26)}{i}. Ünd," for i in range(300))]
+    want = [t.encode(r or "", add_special_tokens=False).ids for r in rows]
+    words = packing.Words(BPE)
+    assert [x.tolist() for x in words.encode(rows)] == want
+    monkeypatch.setattr(packing, "WORDS", 40)  # nearly all is forgotten before every slice
+    assert [words.encode([r])[0].tolist() for r in rows] == want and len(words.row) < 100
 
 
 def test_chat_round_trip(spark):
@@ -404,6 +449,29 @@ def test_toxicity(spark):
     assert all(s[i] < 0.3 for i in (4, 5, 6, 7))
     flat = toxicity.learn(docs(spark, rows), lab.where("toxic = 0"), F.lit(True))
     assert toxicity.score(docs(spark, tests), flat).where("toxicity <> 0").count() == 0
+    # nothing tells toxic texts apart: none is called so
+    for labels_, texts in ((lab.where("toxic = 1"), rows), (lab, [(i, " ".join(plain)) for i, _ in rows])):
+        blind = toxicity.learn(docs(spark, texts), labels_, F.lit(True))
+        assert toxicity.score(docs(spark, tests), blind).where("toxicity >= 0.3").count() == 0
+    assert toxicity.score(docs(spark, []), model).count() == 0 and toxicity.score(docs(spark, rows[:2] * 2), model).select("toxicity").distinct().count() <= 2
+
+
+def test_document_values_are_those_of_the_worst_unit():
+    model = toxicity.Model(np.random.default_rng(6).normal(size=toxicity.SIZE**3).astype(np.float32), -0.1, key=5)
+    texts = ["one Two, three", None, "", " a b c d ef", "x. y. z. w", "a b c and d", "é" * 60 + " 12 !!", "one Two, three"]
+    want = []
+    for t in texts:
+        words = (t or "").split()
+        single = [len(w.strip(".*_-")) == 1 for w in words]
+        units = [toxicity.unit_of(w) for w in words]
+        for a in range(len(words)):
+            if single[a] and (a == 0 or not single[a - 1]):
+                run = list(itertools.takewhile(lambda i: single[i], range(a, len(words))))
+                units += ["".join(units[i] for i in run)] * (len(run) > 3)
+        want.append(max([float(model.decide([u])[0]) for u in units], default=toxicity.NO_UNIT))
+
+    for _ in range(2):  # judged, then remembered
+        assert toxicity.document_values(pa.array(texts), model).tolist() == pytest.approx(want)
 
 
 def test_kernel_is_a_gapped_subsequence_kernel():
@@ -452,7 +520,7 @@ def test_pipeline_against_plain(spark):
     pairs = lambda df: Counter(tuple(r) for r in df.select("doc_id", "text").collect())
     model = toxicity.learn(given, spark.read.parquet(f"{d}/labels.parquet"), F.lit(True))
     flat = getattr(model, "constant", None)
-    toxic = lambda t: (flat if flat is not None else model.score(toxicity.document_values([t], model))[0]) >= corpus_pipeline.TOXIC
+    toxic = lambda t: (flat if flat is not None else model.score(toxicity.document_values(pa.array([t], pa.string()), model))[0]) >= corpus_pipeline.TOXIC
     one = corpus_pipeline.drop_toxic(spark, given, d).cache()
     assert pairs(one) == Counter({k: n for k, n in pairs(given).items() if not toxic(k[1])}) and one.columns == given.columns
 
