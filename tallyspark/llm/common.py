@@ -22,10 +22,18 @@ _states: dict[str, dict] = {}
 
 
 def worker_state(name: str) -> dict:
-    """What an operator keeps in a Python worker; workers are reused, so it drops what others have left there."""
-    for other, kept in _states.items():
-        if other != name:
-            kept.clear()
+    """What an operator keeps in a Python worker; workers are reused, so it drops what others have left there, and the
+    memory that Arrow holds on to goes back to the system."""
+    left = [kept for other, kept in _states.items() if other != name and kept]
+    for kept in left:
+        kept.clear()
+    if left:
+        import gc
+
+        import pyarrow as pa
+
+        gc.collect()
+        pa.default_memory_pool().release_unused()
     return _states.setdefault(name, {})
 
 

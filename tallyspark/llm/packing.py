@@ -39,7 +39,7 @@ from .common import materialize, ship, without, worker_state
 # ---------------------------------------------------------------- tokens
 
 _state: dict = worker_state("packing")
-WORDS = 300_000  # chunks that a worker remembers when it forgets the rarer half and those met in one slice only
+WORDS = 200_000  # chunks that a worker remembers when it forgets the rarer half and those met in one slice only
 SLICE = 2_000_000  # characters that are encoded at once
 _LATIN = re.compile("[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")  # all letters whose lower case is one letter
 _LAST_MARK = re.compile("(?<=[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f])[.,](?![^ ])")
@@ -400,7 +400,7 @@ def placements(fillings_: list[tuple[Filling, int]]) -> dict[int, np.ndarray]:
     return {n: np.array(rows, dtype=np.int64) for n, rows in out.items()}
 
 
-def pack(items: DataFrame, order_by: list[str], length_col: str = "length", capacity: int = 4096, node_limit: int = 20_000, per_salt: int = 50_000) -> DataFrame:
+def pack(items: DataFrame, order_by: list[str], length_col: str = "length", capacity: int = 4096, node_limit: int = 20_000, per_salt: int = 2_000) -> DataFrame:
     """items with sequence_id, offset, fewest_possible (long) and proved (boolean): the lower bound on the number of
     sequences, and whether the plan is known to have as few as can be. Lengths are 1 to capacity. items must be a
     stored table (it is read three times and must not change between); order_by makes rows distinct enough to number

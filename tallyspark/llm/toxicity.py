@@ -41,7 +41,7 @@ LAMBDA, SPAN, SIZE = 0.7, 6, 128
 LONG = 24  # letters of a unit judged at once; longer ones are judged in overlapping windows
 NO_UNIT = -3.0
 NO_EVIDENCE = 0.25
-CACHE = 150_000  # tokens in each of the two generations that a worker remembers
+CACHE = 100_000  # tokens in each of the two generations that a worker remembers
 SLICE = 2_000_000  # characters judged at once
 _SINGLE = re.compile(r"[^\W\d_][.*_-]*")
 _NOT_LETTER = re.compile(r"[\W\d_]+")
