@@ -13,16 +13,15 @@ def first_text(*names: str) -> Column:
     return F.coalesce(*[F.nullif(F.col(n), F.lit("")) for n in names])
 
 
-def asset_key(kind: str, code: str, issuer: str) -> Column:
+def asset_key(kind: Column, code: Column, issuer: Column) -> Column:
     """`native`, CODE:ISSUER, or the code alone without an issuer."""
-    return F.when(F.col(kind) == "native", "native").otherwise(F.concat_ws(":", F.nullif(F.col(code), F.lit("")), F.nullif(F.col(issuer), F.lit(""))))
+    blank = lambda c: F.nullif(c, F.lit(""))
+    return F.when(kind == "native", "native").otherwise(F.concat_ws(":", blank(code), blank(issuer)))
 
 
-def price_of(n: Column, d: Column, base: Column, counter: Column) -> Column:
-    """Rational price, else counter by base, else 0."""
-    return F.coalesce(
-        F.when(d != 0, n.cast("double") / d.cast("double")), F.when(base != 0, counter.cast("double") / base.cast("double")), F.lit(0.0)
-    )
+def price_of(rational: Column, base: Column, counter: Column) -> Column:
+    """The rational price, else counter by base, else 0."""
+    return F.coalesce(rational, F.when(base > 0, counter.cast("double") / base.cast("double")), F.lit(0.0))
 
 
 def toid(id_col: Column) -> Column:
@@ -30,25 +29,46 @@ def toid(id_col: Column) -> Column:
     return F.when(id_col.rlike(r"^\d+-\d+$"), F.substring_index(id_col, "-", 1).try_cast("bigint"))
 
 
-# Prefix of an effect type and its category, in the order of testing.
+# What an effect type begins with or equals, and its category, in the order of testing.
 CATEGORIES = (
-    ("account", "Account"),
-    ("trustline", "Trustline"),
-    ("trade", "Trade"),
-    ("claimable_balance", "Claimable balance"),
-    ("liquidity_pool", "Liquidity pool"),
-    ("contract", "Contract"),
-    ("signer", "Signer"),
+    ("signer_", "Signers"),
+    ("trustline_", "Trustlines"),
+    ("claimable_balance_", "Claimable balances"),
+    ("liquidity_pool_", "Liquidity pools"),
+    ("offer_", "DEX offers & trades"),
+    ("data_", "Data entries"),
+    ("contract_", "Smart contracts"),
+    ("account_", "Account balances & settings"),
 )
+WHOLE_TYPES = (("trade", "DEX offers & trades"), ("sequence_bumped", "Account balances & settings"))
 
 
 def effect_category(kind: Column) -> Column:
+    """Sponsorship is tested first: such types begin with another category's prefix."""
     out = F.when(kind.contains("sponsorship"), "Sponsorship")
     for prefix, name in CATEGORIES:
         out = out.when(kind.startswith(prefix), name)
+    for whole, name in WHOLE_TYPES:
+        out = out.when(kind == whole, name)
     return out.otherwise("Other")
 
 
+def money(text: Column) -> Column:
+    """A decimal amount out of text; null where it is none."""
+    return text.try_cast("decimal(19,7)").cast(MONEY)
+
+
+def epoch(text: Column) -> Column:
+    """Seconds since 1970 of an ISO time; null where it is none."""
+    return F.unix_seconds(F.try_to_timestamp(text))
+
+
+def ratio(n: Column, d: Column) -> Column:
+    """A rational given as two whole numbers in text; null where it is none."""
+    n, d = n.try_cast("decimal(20,0)").cast("double"), d.try_cast("decimal(20,0)").cast("double")
+    return F.when(d != 0, n / d)
+
+
 def direction(account: Column, source: Column, destination: Column) -> Column:
     return (
         F.when((source == account) & (destination == account), "self")

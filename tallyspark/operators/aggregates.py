@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.columns import MONEY, direction
+from .normalize import FLAGS
 
 
 def _money(c) -> Column:
@@ -14,7 +17,8 @@ def _money(c) -> Column:
 
 
 def trade_summary(trades: DataFrame, by=("base_asset", "counter_asset")) -> DataFrame:
-    """VWAP is counter over base volume, 0 without base volume; the mean price is unweighted."""
+    """VWAP is counter over base volume, 0 without base volume; the mean price is unweighted. Over everything (by
+    nothing) there is one row, of zeros and null times if there are no trades."""
     out = trades.groupBy(*by).agg(
         F.count("*").alias("trades"), _money("base_amount").alias("base_volume"), _money("counter_amount").alias("counter_volume"),
         F.round(F.coalesce(F.avg("price"), F.lit(0.0)), 6).alias("mean_price"), F.coalesce(F.max("price"), F.lit(0.0)).alias("high"), F.coalesce(F.min("price"), F.lit(0.0)).alias("low"),
@@ -40,12 +44,31 @@ def counts(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def ledger_effects_summary(effects: DataFrame) -> DataFrame:
-    """By ledger; distinct transactions are (ledger, order). Each distinct count is its own two-step aggregation inside Spark."""
+    """By ledger; distinct transactions are (ledger, order). One pass: what is told apart are the effects of one ledger,
+    whose number the protocol bounds."""
+    distinct = lambda c, name: F.size(F.collect_set(c)).cast("long").alias(name)
     return effects.groupBy("ledger").agg(
-        F.count("*").alias("effects"), F.countDistinct("type").alias("types"), F.countDistinct("account").alias("accounts"), F.countDistinct("id_ledger", "tx_order").alias("transactions"), F.countDistinct("toid").alias("operations")
+        F.count("*").alias("effects"), distinct("type", "types"), distinct("account", "accounts"),
+        distinct(F.when(F.col("toid").isNotNull(), F.struct("id_ledger", "tx_order")), "transactions"), distinct("toid", "operations"),
     )
 
 
+def effects_overview(by_ledger: DataFrame) -> DataFrame:
+    """Ledgers seen, and their effects and transactions, out of ledger_effects_summary."""
+    return by_ledger.agg(F.count("*").alias("ledgers"), F.coalesce(F.sum("effects"), F.lit(0)).alias("effects"), F.coalesce(F.sum("transactions"), F.lit(0)).alias("transactions"))
+
+
+def _one_row(*parts: DataFrame) -> DataFrame:
+    """One-row tables side by side."""
+    return reduce(lambda a, b: a.crossJoin(F.broadcast(b)), parts)
+
+
+def distinct_count(df: DataFrame, key: str, name: str) -> DataFrame:
+    """One row: how many values of key there are, by grouping first (several distinct counts in one aggregation would
+    multiply its rows)."""
+    return df.where(F.col(key).isNotNull()).groupBy(key).count().agg(F.count("*").alias(name))
+
+
 def effects_by(effects: DataFrame, key: str) -> DataFrame:
     return effects.groupBy(key).agg(F.count("*").alias("n"), F.countDistinct("subject").alias("subjects"))
 
@@ -66,22 +89,40 @@ def contract_event_summary(events: DataFrame) -> DataFrame:
     return out.select(F.when(F.col("_g") == 1, "name").when(F.col("_g") == 2, "type").otherwise("total").alias("grouped_by"), F.coalesce("name", "type", F.lit("")).alias("value"), "n", "first_ledger", "last_ledger", "failed")
 
 
+def contract_event_totals(events: DataFrame) -> DataFrame:
+    """One row: events, contracts (blank ids apart), transactions, failed, first and last ledger above 0."""
+    seen = F.when(F.col("ledger") > 0, F.col("ledger"))
+    total = events.agg(F.count("*").alias("events"), F.count_if(~F.col("successful")).alias("failed"), F.min(seen).alias("first_ledger"), F.max(seen).alias("last_ledger"))
+    return _one_row(total, distinct_count(events.where("contract_id <> ''"), "contract_id", "contracts"), distinct_count(events.where("tx_hash <> ''"), "tx_hash", "transactions"))
+
+
 def most_active(df: DataFrame, key: str, k: int, order: str | None = None) -> DataFrame:
-    """The k most frequent keys; ties to the first seen (order column) or the smallest key."""
+    """The k most frequent keys that are neither null nor blank; ties to the first seen (order column) or the smallest."""
     tie = F.min(order) if order else F.min(key)
-    return df.groupBy(key).agg(F.count("*").alias("n"), tie.alias("_tie")).orderBy(F.desc("n"), "_tie", key).limit(k).drop("_tie")
+    named = df.where(F.col(key).isNotNull() & (F.col(key) != ""))
+    return named.groupBy(key).agg(F.count("*").alias("n"), tie.alias("_tie")).orderBy(F.desc("n"), "_tie", key).limit(k).drop("_tie")
 
 
 def offer_book_summary(offers: DataFrame) -> DataFrame:
-    return offers.agg(F.count("*").alias("offers"), F.countDistinct("seller").alias("sellers"), F.countDistinct("pair").alias("pairs"))
+    return _one_row(offers.agg(F.count("*").alias("offers")), distinct_count(offers, "seller", "sellers"), distinct_count(offers, "pair", "pairs"))
 
 
-def offer_totals(offers: DataFrame) -> DataFrame:
-    sell = offers.groupBy(F.col("selling").alias("asset")).agg(F.lit("selling").alias("side"), F.sum("amount").cast(MONEY).alias("total"))
-    buy = offers.groupBy(F.col("buying").alias("asset")).agg(F.lit("buying").alias("side"), F.sum(F.col("buying_amount").cast(MONEY)).cast(MONEY).alias("total"))
+def offer_totals(offers: DataFrame, by=()) -> DataFrame:
+    """What is sold and (approximately) bought of each asset, in all or by further columns such as the seller."""
+    sell = offers.groupBy(*by, F.col("selling").alias("asset")).agg(F.lit("selling").alias("side"), F.sum("amount").cast(MONEY).alias("total"))
+    buy = offers.groupBy(*by, F.col("buying").alias("asset")).agg(F.lit("buying").alias("side"), F.sum(F.col("buying_amount").cast(MONEY)).cast(MONEY).alias("total"))
     return sell.unionByName(buy)
 
 
+def best_prices(offers: DataFrame) -> DataFrame:
+    """(base, counter, best_ask, best_bid, spread) of each pair, in counter for one of base: the least price of offers
+    that sell base, and the largest that those who sell counter would pay. Prices that are not positive are left out."""
+    least = offers.where("price > 0").groupBy("selling", "buying").agg(F.min("price").alias("least"))
+    asks = least.select(F.col("selling").alias("base"), F.col("buying").alias("counter"), F.col("least").alias("best_ask"))
+    bids = least.select(F.col("buying").alias("base"), F.col("selling").alias("counter"), (1 / F.col("least")).alias("best_bid"))
+    return asks.join(bids, ["base", "counter"], "full").withColumn("spread", F.round(F.col("best_ask") - F.col("best_bid"), 7))
+
+
 def order_book_depth(offers: DataFrame) -> DataFrame:
     """Cumulative amount by price level of each pair."""
     levels = offers.groupBy("selling", "buying", "price").agg(F.sum("amount").cast(MONEY).alias("amount"))
@@ -89,45 +130,121 @@ def order_book_depth(offers: DataFrame) -> DataFrame:
     return levels.withColumn("depth", F.sum("amount").over(w).cast(MONEY))
 
 
-def pool_summary(reserves: DataFrame) -> DataFrame:
-    return reserves.agg(F.countDistinct("id").alias("pools"), F.count("*").alias("reserve_entries"), F.sum(F.when(F.col("place") == 0, F.col("participants"))).alias("participants"))
+def pool_summary(reserves: DataFrame, by=()) -> DataFrame:
+    """Pools, their reserve entries and participants, in all or by type; reserves have one row a reserve, or one with a
+    null place."""
+    head = F.coalesce("place", F.lit(0)) == 0
+    return reserves.groupBy(*by).agg(F.count_if(head).alias("pools"), F.count("place").alias("reserve_entries"), F.coalesce(F.sum(F.when(head, F.col("participants"))), F.lit(0)).alias("participants"))
 
 
 def pool_inventory(reserves: DataFrame) -> DataFrame:
-    return reserves.groupBy("kind", "code", "issuer").agg(F.sum("amount").cast(MONEY).alias("amount"), F.count("*").alias("n"))
+    held = reserves.where("place is not null")
+    return held.groupBy("kind", "code", "issuer").agg(F.sum("amount").cast(MONEY).alias("amount"), F.count("*").alias("n"))
+
+
+def pool_positions(reserves: DataFrame, accounts: DataFrame) -> DataFrame:
+    """(account, pool, asset, shares, amount): what each holder's shares are worth of every reserve, pro rata. Lines of
+    pool shares are among the raw balances of accounts; a pool without shares gives 0."""
+    line = accounts.select("id", F.explode("balances").alias("b")).where("b.asset_type = 'liquidity_pool_shares'")
+    shares = line.select(F.col("id").alias("account"), F.col("b.liquidity_pool_id").alias("pool"), F.coalesce(F.col("b.balance").try_cast("decimal(19,7)"), F.lit(0)).cast("decimal(19,7)").alias("shares"))
+    pools = reserves.where("place is not null").select(F.col("id").alias("pool"), "asset", F.col("amount").alias("_amount"), "total_shares")
+    part = F.coalesce(F.col("shares").cast("double") / F.nullif("total_shares", F.lit(0)).cast("double"), F.lit(0.0))
+    return shares.join(pools, "pool").select("account", "pool", "asset", "shares", F.round(F.col("_amount").cast("double") * part, 6).alias("amount"))
+
+
+def pool_price_bounds(reserves: DataFrame, bps: int = 200) -> DataFrame:
+    """(id, spot, min_price, max_price) of pools of two reserves: second for one of the first, and that price less and
+    more so many hundredths of a per cent."""
+    side = lambda i: F.max(F.when(F.col("place") == i, F.col("amount"))).cast("double")
+    spot = reserves.groupBy("id").agg((side(1) / F.nullif(side(0), F.lit(0.0))).alias("spot")).where("spot is not null")
+    return price_bounds(spot, bps)
+
+
+def price_bounds(df: DataFrame, bps: int = 200) -> DataFrame:
+    """df (with spot) with min_price and max_price, of 7 places."""
+    delta = F.col("spot") * (bps / 10_000)
+    return df.withColumns({"min_price": F.round(F.col("spot") - delta, 7), "max_price": F.round(F.col("spot") + delta, 7)})
 
 
 def asset_summary(assets: DataFrame) -> DataFrame:
-    return assets.agg(F.count("*").alias("records"), F.countDistinct("asset_code").alias("codes"), F.countDistinct("asset_issuer").alias("issuers"), F.sum("holders").alias("holders"), F.sum("claimable_balances").alias("claimable_balances"))
+    total = assets.agg(F.count("*").alias("records"), F.coalesce(F.sum("holders"), F.lit(0)).alias("holders"), F.coalesce(F.sum("claimable_balances"), F.lit(0)).alias("claimable_balances"))
+    return _one_row(total, distinct_count(assets, "asset_code", "codes"), distinct_count(assets, "asset_issuer", "issuers"))
 
 
 def ambiguous_codes(assets: DataFrame) -> DataFrame:
     return assets.groupBy("asset_code").agg(F.countDistinct("asset_issuer").alias("issuers")).where("issuers > 1")
 
 
-def asset_stats(trustlines: DataFrame) -> DataFrame:
+# Where units of an asset can be.
+PLACES = ("authorized", "maintain", "unauthorized", "claimable", "pool")
+
+
+def asset_stats(trustlines: DataFrame, claimables: DataFrame, reserves: DataFrame) -> DataFrame:
+    """By asset: entries and amounts on trustlines of each authorisation, in claimable balances and in pools, and all of
+    it as supply. One aggregation over the three inputs; native is not issued and stays out."""
     state = F.when(F.col("is_authorized"), "authorized").when(F.col("is_authorized_to_maintain_liabilities"), "maintain").otherwise("unauthorized")
-    return trustlines.groupBy("asset_code", "asset_issuer", state.alias("state")).agg(F.count("*").alias("holders"), F.sum("balance").cast(MONEY).alias("balance"))
+    amount = lambda c: F.col(c).cast(MONEY).alias("amount")
+    lines = trustlines.select(F.concat_ws(":", "asset_code", "asset_issuer").alias("asset"), state.alias("place"), amount("balance"))
+    claims = claimables.select("asset", F.lit("claimable").alias("place"), amount("amount"))
+    pools = reserves.where("place is not null").select("asset", F.lit("pool").alias("place"), amount("amount"))
+    every = lines.unionByName(claims).unionByName(pools).where("asset <> 'native'")
+    at = lambda p: F.col("place") == p
+    return every.groupBy("asset").agg(
+        *[F.count_if(at(p)).alias(f"{p}_count") for p in PLACES],
+        *[F.coalesce(F.sum(F.when(at(p), F.col("amount"))), F.lit(0)).cast(MONEY).alias(f"{p}_amount") for p in PLACES],
+        _money("amount").alias("supply"),
+    )
 
 
-def fee_stats(transactions: DataFrame, width: int = 1000, base: int = 100) -> DataFrame:
-    """Percentiles from the histogram of fees in each bucket of ledgers: the fees are few, the transactions many."""
+def fee_stats(transactions: DataFrame, ledgers: DataFrame, width: int = 1000) -> DataFrame:
+    """By bucket of ledgers: percentiles out of the histogram of fees (the fees are few, the transactions many), the base
+    fee of its newest ledger, the share of capacity that was used, and the larger of base fee and p90 as recommended."""
     hist = transactions.groupBy(F.floor(F.col("ledger") / width).alias("bucket"), F.col("fee_charged").alias("fee")).agg(F.count("*").alias("n"))
     w = Window.partitionBy("bucket").orderBy("fee").rowsBetween(Window.unboundedPreceding, 0)
     ranked = hist.withColumn("cum", F.sum("n").over(w)).withColumn("total", F.sum("n").over(Window.partitionBy("bucket")))
-    q = lambda p: F.min(F.when(F.col("cum") >= F.ceil(p * F.col("total")), F.col("fee")))
-    return ranked.groupBy("bucket").agg(
-        F.min("fee").alias("min_fee"), F.max_by("fee", F.struct("n", -F.col("fee"))).alias("mode_fee"), q(0.5).alias("p50"), q(0.9).alias("p90"), q(0.99).alias("p99"), F.greatest(F.lit(base), q(0.9)).alias("recommended")
-    )
+    q = lambda p: F.min(F.when(F.col("cum") * 100 >= F.col("total") * p, F.col("fee"))).alias(f"p{p}")
+    fees = ranked.groupBy("bucket").agg(F.min("fee").alias("min_fee"), F.max_by("fee", F.struct("n", -F.col("fee"))).alias("mode_fee"), *map(q, (50, 90, 95, 99)))
+    used = F.round(F.sum("operation_count").cast("double") / F.nullif(F.sum("max_tx_set_size"), F.lit(0)).cast("double"), 4)
+    load = ledgers.groupBy(F.floor(F.col("sequence") / width).alias("bucket")).agg(F.max_by("base_fee", "sequence").alias("base_fee"), used.alias("capacity_usage"))
+    out = fees.join(load, "bucket", "left").withColumn("base_fee", F.coalesce("base_fee", F.lit(100)))
+    return out.withColumn("recommended", F.greatest("base_fee", "p90"))
 
 
 def fee_estimates(stats: DataFrame, op_counts=(1, 2, 10)) -> DataFrame:
-    """Monotone tiers times the operation counts (a short list)."""
-    tiers = stats.select("bucket", F.col("p50").alias("low"), F.greatest("p50", "p90").alias("recommended"), F.greatest("p50", "p90", "p99").alias("high"))
+    """Tiers of which none is below the one before, times the operation counts (a short list, each at least 1)."""
+    if any(n < 1 for n in op_counts):
+        raise ValueError("a transaction has at least one operation")
+    low = F.greatest("base_fee", "p50")
+    recommended = F.greatest(low, F.col("p90"))
+    tiers = stats.select("bucket", low.alias("low"), recommended.alias("recommended"), F.greatest(recommended, F.col("p99")).alias("high"))
     n = F.explode(F.array(*[F.lit(x).cast("bigint") for x in op_counts])).alias("operations")
     return tiers.select("*", n).select("bucket", "operations", *[(F.col(c) * F.col("operations")).alias(c) for c in ("low", "recommended", "high")])
 
 
+def failing_operations(transactions: DataFrame) -> DataFrame:
+    """Failed transactions with the place (from 0) and code of their first operation that did not succeed; null where all
+    did, or none is known."""
+    codes = F.filter(F.transform("operation_codes", lambda c, i: F.struct(i.alias("at"), c.alias("code"))), lambda x: x["code"] != "op_success")
+    first = F.get(codes, F.lit(0))
+    return transactions.where("status = 'failed'").select("hash", "result_code", first["at"].alias("failing_index"), first["code"].alias("failing_code"))
+
+
+def operation_code_counts(transactions: DataFrame) -> DataFrame:
+    """Operations of failed transactions by code."""
+    return counts(transactions.where("status = 'failed'").select(F.explode("operation_codes").alias("code")), "code")
+
+
+# The address fields of an operation.
+ADDRESSES = ("source_account", "funder", "account", "to", "from", "into")
+
+
+def counterparties(operations: DataFrame) -> DataFrame:
+    """(account, counterparty, n): by how many operations each source account is tied to each other address in them."""
+    others = F.array_distinct(F.array(*[F.nullif(c, F.lit("")) for c in ADDRESSES]))
+    each = operations.select(F.col("source_account").alias("account"), F.explode(others).alias("counterparty"))
+    return counts(each.where("account <> '' and counterparty is not null and counterparty <> account"), "account", "counterparty")
+
+
 def reserve_requirements(accounts: DataFrame) -> DataFrame:
     """Formula A, clamping net entries at 0; half a unit an entry."""
     net = F.greatest(F.lit(0), F.col("subentry_count") - F.col("num_sponsored") + F.col("num_sponsoring"))
@@ -136,25 +253,59 @@ def reserve_requirements(accounts: DataFrame) -> DataFrame:
     return out.withColumn("available", (F.col("balance") - F.col("reserve_stroops").cast("decimal(19,7)") / 10_000_000).cast(MONEY)).withColumn("below", F.col("available") <= 0)
 
 
-def reserve_impact(accounts: DataFrame) -> DataFrame:
-    """Formula B, which may reach 0, and the unsponsored estimate."""
-    b = F.greatest(F.lit(0), 2 + F.col("subentry_count") + F.col("num_sponsoring") - F.col("num_sponsored"))
-    return accounts.select("id", b.cast("bigint").alias("entries_b"), (2 + F.col("subentry_count")).cast("bigint").alias("entries_unsponsored"), (F.col("num_sponsoring") * 5_000_000).alias("responsibility"), (F.col("num_sponsored") * 5_000_000).alias("relief"))
+def reserve_totals(requirements: DataFrame) -> DataFrame:
+    return requirements.agg(F.count("*").alias("accounts"), F.count_if("below").alias("at_or_below"), F.coalesce(F.sum("reserve_stroops"), F.lit(0)).alias("reserve_stroops"), _money("available").alias("available"))
 
 
-# Flag columns and their bits.
-FLAGS = {"auth_required": 1, "auth_revocable": 2, "auth_immutable": 4, "auth_clawback_enabled": 8}
+def reserve_impact(accounts: DataFrame, ledgers: DataFrame) -> DataFrame:
+    """Formula B, which may reach 0, and the unsponsored estimate, in the base reserve of the newest ledger (one row)."""
+    reserve = ledgers.agg(F.coalesce(F.max_by("base_reserve", "sequence"), F.lit(5_000_000)).alias("base_reserve"))
+    b = F.greatest(F.lit(0), 2 + F.col("subentry_count") + F.col("num_sponsoring") - F.col("num_sponsored"))
+    with_, without = b.cast("bigint"), (2 + F.col("subentry_count")).cast("bigint")
+    each = accounts.crossJoin(F.broadcast(reserve)).select("id", with_.alias("entries_b"), without.alias("entries_unsponsored"), "num_sponsoring", "num_sponsored", "base_reserve")
+    stroops = lambda c, name: (F.col(c) * F.col("base_reserve")).alias(name)
+    return each.select("id", "entries_b", "entries_unsponsored", stroops("num_sponsoring", "responsibility"), stroops("num_sponsored", "relief"), stroops("entries_b", "minimum"), stroops("entries_unsponsored", "minimum_unsponsored"))
 
 
 def flag_audit(accounts: DataFrame) -> DataFrame:
-    mask = sum((F.when(F.col(c), bit).otherwise(0) for c, bit in FLAGS.items()), F.lit(0))
-    return accounts.select("id", mask.cast("int").alias("mask"), (F.col("master_weight") == 0).alias("locked"))
+    """Of each account: its flags as a number, whether all are off, whether it is locked (nobody can sign), and what an
+    audit would note, as short codes. Takes primary_weight and other_signers as normalize_accounts gives them."""
+    on = F.col
+    mask = sum((F.when(on(c), bit).otherwise(0) for c, bit in FLAGS.items()), F.lit(0))
+    no_master = on("primary_weight") == 0
+    locked = no_master & (on("other_signers") == 0)
+    noted = (
+        (on("auth_immutable"), "immutable"),
+        (on("auth_required") & on("auth_revocable"), "gated_and_freezable"),
+        (on("auth_revocable") & ~on("auth_required"), "freezable"),
+        (on("auth_required") & ~on("auth_revocable"), "gated"),
+        (on("auth_clawback_enabled"), "clawback"),
+        (on("auth_clawback_enabled") & ~on("auth_revocable"), "clawback_without_revocable"),
+        (no_master & (on("other_signers") > 0), "master_disabled"),
+        (locked, "locked"),
+        (on("auth_immutable") & no_master, "locked_issuer"),
+    )
+    findings = F.array_compact(F.array(*[F.when(c, name) for c, name in noted]))
+    return accounts.select("id", mask.cast("int").alias("mask"), (mask == 0).alias("defaults"), locked.alias("locked"), findings.alias("findings"))
+
+
+def finding_counts(audit: DataFrame) -> DataFrame:
+    return counts(audit.select(F.explode("findings").alias("finding")), "finding")
+
+
+LEVELS = ("low", "med", "high")
 
 
 def signing_power(accounts: DataFrame) -> DataFrame:
-    both = F.col("master_weight") + F.col("other_weight")
-    level = lambda who, name, c: (who >= F.col(c)).alias(f"{name}_{c.split('_')[0]}")
-    return accounts.select("id", *[level(F.col("master_weight"), "master", c) for c in ("low_threshold", "med_threshold", "high_threshold")], *[level(both, "all", c) for c in ("low_threshold", "med_threshold", "high_threshold")])
+    """Which levels the own key alone and all signers together can meet, and whether nobody can sign at all."""
+    meets = lambda who, weight: [(F.col(weight) >= F.greatest(F.lit(1), F.col(f"{n}_threshold"))).alias(f"{who}_{n}") for n in LEVELS]
+    return accounts.select("id", *meets("master", "primary_weight"), *meets("all", "total_weight"), (F.col("total_weight") == 0).alias("locked"))
+
+
+def signing_counts(power: DataFrame) -> DataFrame:
+    """(level, master, all): how many accounts can meet each level."""
+    one = power.agg(*[F.count_if(f"{who}_{n}").alias(f"{who}_{n}") for who in ("master", "all") for n in LEVELS])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(n).alias("level"), F.col(f"master_{n}").alias("master"), F.col(f"all_{n}").alias("all")) for n in LEVELS])))
 
 
 def trustline_headroom(trustlines: DataFrame) -> DataFrame:
@@ -162,15 +313,51 @@ def trustline_headroom(trustlines: DataFrame) -> DataFrame:
     return trustlines.select("account", "asset_code", (F.col("limit") - F.col("balance") - F.col("buying_liabilities")).cast(MONEY).alias("headroom"), unlimited.alias("unlimited"), (F.col("balance") == 0).alias("removable"))
 
 
+def headroom_totals(headroom: DataFrame) -> DataFrame:
+    """By asset code: lines, unlimited and removable ones, and the headroom of the limited ones."""
+    return headroom.groupBy("asset_code").agg(F.count("*").alias("lines"), F.count_if("unlimited").alias("unlimited"), F.count_if("removable").alias("removable"), _money(F.when(~F.col("unlimited"), F.col("headroom"))).alias("headroom"))
+
+
 def claimable_summary(claimables: DataFrame) -> DataFrame:
     return claimables.groupBy("destination", "asset", "predicate").agg(F.count("*").alias("n"), F.sum("amount").cast(MONEY).alias("amount"))
 
 
-def claimable_at(claimables: DataFrame, now: int, created: int = 0) -> DataFrame:
-    """Claimable or not at a time: absolute bounds hold before it, relative ones count from creation, not negates absolute."""
-    p, bound = F.col("predicate"), F.col("bound")
-    ok = F.when(p == "unconditional", True).when(p == "absolute", bound > now).when(p == "relative", bound + created > now).when(p == "not", bound <= now)
-    return claimables.withColumn("claimable", ok)
+def predicate_text(p: Column, depth: int = 4) -> Column:
+    """A claim predicate (a VARIANT) written out; `unknown` for what is none or is nested deeper."""
+    at = lambda path, kind="string": F.try_variant_get(p, path, kind)
+    out = F.when(at("$.unconditional", "boolean").isNotNull(), "unconditional")
+    for bound in ("before_absolute_time", "before_relative_time"):
+        out = out.when(at(f"$.{bound}").isNotNull(), F.concat(F.lit(f"{bound}("), at(f"$.{bound}"), F.lit(")")))
+    if depth > 1:
+        inner = F.try_variant_get(p, "$.not", "variant")
+        out = out.when(inner.isNotNull(), F.concat(F.lit("not("), predicate_text(inner, depth - 1), F.lit(")")))
+        for word in ("and", "or"):
+            parts = F.try_variant_get(p, f"$.{word}", "array<variant>")
+            out = out.when(parts.isNotNull(), F.concat(F.lit(f"{word}("), F.array_join(F.transform(parts, lambda x: predicate_text(x, depth - 1)), ", "), F.lit(")")))
+    return out.otherwise("unknown")
+
+
+def predicate_holds(p: Column, now: Column, created: Column, depth: int = 4) -> Column:
+    """Whether a claim predicate holds at a time; null where that depends on something unknown."""
+    at = lambda path, kind="string": F.try_variant_get(p, path, kind)
+    out = F.when(at("$.unconditional", "boolean").isNotNull(), at("$.unconditional", "boolean"))
+    out = out.when(at("$.before_absolute_time").isNotNull(), now < at("$.before_absolute_time").try_cast("bigint"))
+    out = out.when(at("$.before_relative_time").isNotNull(), now < created + at("$.before_relative_time").try_cast("bigint"))
+    if depth > 1:
+        inner = F.try_variant_get(p, "$.not", "variant")
+        out = out.when(inner.isNotNull(), ~predicate_holds(inner, now, created, depth - 1))
+        for word, join in (("and", F.forall), ("or", F.exists)):
+            parts = F.try_variant_get(p, f"$.{word}", "array<variant>")
+            out = out.when(parts.isNotNull(), join(parts, lambda x: predicate_holds(x, now, created, depth - 1)))
+    return out
+
+
+def claimable_at(claimables: DataFrame, now: int, created: str) -> DataFrame:
+    """(id, destination, predicate, claimable): every claimant's predicate tree (JSON text in the raw claimants) written
+    out, and whether it lets them claim at a time in seconds; created is the column of the creation time."""
+    each = claimables.select("id", F.col(created).alias("_created"), F.inline("claimants"))
+    p = F.try_parse_json("predicate")
+    return each.select("id", "destination", predicate_text(p).alias("predicate"), predicate_holds(p, F.lit(now), F.col("_created")).alias("claimable"))
 
 
 def batch_profile(operations: DataFrame) -> DataFrame:
@@ -181,9 +368,21 @@ def muxed_deposits(payments: DataFrame) -> DataFrame:
     return payments.groupBy("to", "muxed_id").agg(F.count("*").alias("n"), F.sum("amount").cast(MONEY).alias("amount"))
 
 
+def memo_deposits(payments: DataFrame, transactions: DataFrame) -> DataFrame:
+    """Payments and their amount by destination and the memo of their transaction; those without a memo are apart."""
+    memos = transactions.select(F.col("hash").alias("transaction_hash"), "memo_type", "memo").dropDuplicates(["transaction_hash"])
+    return payments.join(memos, "transaction_hash", "left").groupBy("destination", "memo_type", "memo").agg(F.count("*").alias("n"), _money("amount").alias("amount"))
+
+
 def simulation_profile(sims: DataFrame) -> DataFrame:
     status = lambda s: F.count_if(F.col("status") == s).alias(s)
-    return sims.groupBy("contract_id").agg(F.count("*").alias("n"), status("success"), status("error"), status("restore"), F.sum("instructions").alias("instructions"), F.sum("read_bytes").alias("read_bytes"), F.expr("percentile_disc(0.5) within group (order by min_resource_fee)").cast("bigint").alias("fee_p50"))
+    total = lambda c: F.sum(c).alias(c)
+    keys = lambda c: F.sum(F.greatest(F.lit(0), F.coalesce(F.size(c), F.lit(0)))).alias(f"{c}_keys")
+    fee = F.col("min_resource_fee").try_cast("bigint")
+    q = lambda p: F.expr(f"percentile_disc({p / 100}) within group (order by _fee)").cast("bigint").alias(f"fee_p{p}")
+    return sims.withColumn("_fee", fee).groupBy("contract_id").agg(
+        F.count("*").alias("n"), status("success"), status("error"), status("restore"), total("instructions"), total("read_bytes"), total("write_bytes"), keys("read_only"), keys("read_write"), q(50), q(90), q(99)
+    )
 
 
 def state_changes(sims: DataFrame) -> DataFrame:
@@ -191,23 +390,61 @@ def state_changes(sims: DataFrame) -> DataFrame:
     return sims.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
-def triage_errors(log: DataFrame, rules, fallback: str = "unknown") -> DataFrame:
-    """The first matching rule (text, class) of a short list."""
-    text, out = F.lower("message"), None
-    for part, name in rules:
-        out = (F if out is None else out).when(text.contains(part), name)
+# The texts that tell failures apart, by rule set, in the order of testing: (class, any of these texts, and
+# any of these too).
+RULE_SETS = {
+    "preflight": (
+        ("contract_missing", ("missing value for key", "no contract", "invalid contract"), ()),
+        ("method_missing", ("unknown method", "function not found", "missingvalue"), ()),
+        ("argument", ("argument", "type mismatch", "unexpectedtype"), ()),
+        ("authorization", ("auth",), ("missing", "required", "invalid")),
+        ("expired", ("expired", "ttl", "archived"), ()),
+    ),
+    "bounds": (
+        ("too_late", ("tx_too_late", "txtoolate"), ()),
+        ("too_early", ("tx_too_early", "txtooearly"), ()),
+        ("no_result", ("timeout", "try_again_later", "expired", "not found"), ()),
+    ),
+    "multi_contract": (
+        ("contract_id", ("invalid contract id", "invalid contract"), ()),
+        ("method_missing", ("missing",), ("function",)),
+        ("method_missing", ("unknown method", "no such method", "function not found"), ()),
+        ("authorization", ("auth", "unauthorized", "signature"), ()),
+        ("reverted", ("trap", "revert", "panic", "host invocation failed", "contract error"), ()),
+        ("expired", ("expired", "ttl", "archived"), ()),
+    ),
+    "simulation": (
+        ("host_validation", ("hostvalidationerror",), ()),
+        ("contract_missing", ("contractnotfound", "does not exist"), ()),
+        ("method_missing", ("nonexistent_method", "symbolnotfound"), ()),
+    ),
+}
+
+
+def triage_errors(log: DataFrame, rules, column: str = "message", fallback: str = "unknown") -> DataFrame:
+    """Rows by the class of the first rule that their text meets; rules as in RULE_SETS, case aside."""
+    text, out = F.lower(F.coalesce(column, F.lit(""))), None
+    any_of = lambda parts: reduce(lambda a, b: a | b, [text.contains(p) for p in parts])
+    for name, some, also in rules:
+        met = any_of(some) & any_of(also) if also else any_of(some)
+        out = (F if out is None else out).when(met, name)
     return log.groupBy(out.otherwise(fallback).alias("class")).agg(F.count("*").alias("n"))
 
 
-def ttl_report(entries: DataFrame, latest: int, soon: int = 17_280) -> DataFrame:
+def ttl_report(entries: DataFrame, latest: int, soon: int = 17_280, seconds: int = 5) -> DataFrame:
+    """By contract, tier and state: entries, and the least time left in ledgers and in seconds."""
     left = F.col("live_until_ledger") - latest
     state = F.when(left <= 0, "expired").when(left < soon, "expiring").otherwise("healthy")
-    return entries.groupBy("contract_id", "durability", state.alias("state")).agg(F.count("*").alias("n"), F.min(left).alias("least_left"))
+    return entries.groupBy("contract_id", "durability", state.alias("state")).agg(F.count("*").alias("n"), F.min(left).alias("least_left"), (F.greatest(F.lit(0), F.min(left)) * seconds).alias("least_seconds"))
 
 
-def archive_status(entries: DataFrame, latest: int) -> DataFrame:
-    state = F.when(F.col("live_until_ledger").isNull(), "unknown").when(F.col("live_until_ledger") < latest, "archived").otherwise("accessible")
-    return entries.groupBy("contract_id", state.alias("state")).agg(F.count("*").alias("n"))
+def archive_status(entries: DataFrame, sims: DataFrame, latest: int) -> DataFrame:
+    """By contract and state: archived where a simulation says that it has to be restored or the entry's last ledger is
+    past, else accessible; unknown without a last ledger."""
+    restore = sims.where("status = 'restore'").select("contract_id", F.lit(True).alias("_restore")).distinct()
+    past = F.col("live_until_ledger") < latest
+    state = F.when(F.coalesce("_restore", F.lit(False)) | F.coalesce(past, F.lit(False)), "archived").when(past.isNull(), "unknown").otherwise("accessible")
+    return entries.join(restore, "contract_id", "left").groupBy("contract_id", state.alias("state")).agg(F.count("*").alias("n"))
 
 
 def auth_entries(sims: DataFrame, latest: int) -> DataFrame:
@@ -216,14 +453,48 @@ def auth_entries(sims: DataFrame, latest: int) -> DataFrame:
 
 
 def ledger_profile(ledgers: DataFrame, width: int = 100) -> DataFrame:
+    """By bucket: totals, failure rate, base fee and reserve of the newest ledger in whole units, protocols seen."""
     ok, bad = F.sum("successful_transaction_count"), F.sum("failed_transaction_count")
-    return ledgers.groupBy(F.floor(F.col("sequence") / width).alias("bucket")).agg(ok.alias("ok"), bad.alias("failed"), F.sum("operation_count").alias("operations"), F.round(bad.cast("double") / F.nullif(ok + bad, F.lit(0)).cast("double"), 6).alias("failure_rate"), F.countDistinct("protocol_version").alias("protocols"))
+    units = lambda c: (F.max_by(c, "sequence").cast("decimal(19,7)") / 10_000_000).cast("decimal(19,7)").alias(c)
+    return ledgers.groupBy(F.floor(F.col("sequence") / width).alias("bucket")).agg(
+        ok.alias("ok"), bad.alias("failed"), F.sum("operation_count").alias("operations"), F.round(bad.cast("double") / F.nullif(ok + bad, F.lit(0)).cast("double"), 6).alias("failure_rate"),
+        units("base_fee"), units("base_reserve"), F.array_join(F.array_sort(F.collect_set("protocol_version")), ",").alias("protocols"),
+    )
+
+
+def operation_types(operations: DataFrame) -> DataFrame:
+    """Operations by account and type, and by type over all accounts (null account)."""
+    each = counts(operations, "source_account", "type")
+    overall = each.groupBy("type").agg(F.sum("n").alias("n"))
+    return each.unionByName(overall.withColumn("source_account", F.lit(None).cast("string")))
+
+
+def storage_summary(probe: DataFrame) -> DataFrame:
+    """By tier, of probed keys: found, missing, and found with a value that is no JSON."""
+    bad = F.col("found") & F.col("value").isNotNull() & F.try_parse_json("value").isNull()
+    return probe.groupBy("durability").agg(F.count_if("found").alias("found"), F.count_if(~F.col("found")).alias("missing"), F.count_if(bad).alias("undecodable"))
+
+
+def coverage(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """Of each resource, given with its ledger column: oldest and newest ledger, and how many between are missing."""
+    parts = [df.select(F.lit(name).alias("resource"), F.col(c).cast("long").alias("s")).where("s is not null") for name, (df, c) in tables.items()]
+    seen = reduce(DataFrame.unionByName, parts).distinct()
+    return seen.groupBy("resource").agg(F.min("s").alias("oldest"), F.max("s").alias("newest"), (F.max("s") - F.min("s") + 1 - F.count("*")).alias("missing"))
+
+
+def ordered_counts(df: DataFrame, key: str) -> DataFrame:
+    """The most frequent first, ties by name."""
+    return counts(df, key).orderBy(F.desc("n"), key)
+
+
+def newest(df: DataFrame, order: str, n: int, most: int = 200) -> DataFrame:
+    """The n newest rows, n held within 1 and most."""
+    return df.orderBy(F.desc(order)).limit(max(1, min(n, most)))
 
 
-def coverage(df: DataFrame, column: str = "ledger") -> DataFrame:
-    """Oldest and newest ledger and how many between them are missing."""
-    seen = df.select(F.col(column).alias("s")).distinct()
-    return seen.agg(F.min("s").alias("oldest"), F.max("s").alias("newest"), (F.max("s") - F.min("s") + 1 - F.count("*")).alias("missing"))
+def union_payment_kinds(*operations: DataFrame) -> DataFrame:
+    """Payment-like operations of several kinds in one table; columns that a kind lacks are null."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), operations)
 
 
 def effects_per_operation(effects: DataFrame, operations: DataFrame) -> DataFrame:
@@ -240,13 +511,17 @@ def invocation_summary(results: DataFrame) -> DataFrame:
     return results.agg(F.count("*").alias("total"), F.count_if(F.col("status") == "success").alias("succeeded"), F.count_if(~F.col("status").eqNullSafe("success")).alias("failed"))
 
 
-def flatten_invocations(auth: DataFrame, depth: int = 8) -> DataFrame:
-    """One row a call of every entry's `invocation` tree (a VARIANT of contract, function, args, sub), down to depth."""
+def flatten_invocations(auth: DataFrame, depth: int = 16) -> DataFrame:
+    """One row a call of every entry's `invocation` tree (a VARIANT of contract, function, args, sub). A tree deeper than
+    depth is an error, not cut."""
     get = lambda path, kind: F.try_variant_get("node", path, kind)
     level = auth.select("id", F.try_variant_get("invocation", "$.contract", "string").alias("root"), F.col("invocation").alias("node"))
     out = None
     for d in range(depth):
-        calls = level.select("id", F.lit(d).alias("depth"), "root", get("$.contract", "string").alias("contract"), get("$.function", "string").alias("function"), get("$.args", "bigint").alias("args"))
+        args = get("$.args", "bigint")
+        if d == depth - 1:
+            args = F.when(F.size(get("$.sub", "array<variant>")) > 0, F.raise_error(F.lit(f"calls deeper than {depth}")).cast("bigint")).otherwise(args)
+        calls = level.select("id", F.lit(d).alias("depth"), "root", get("$.contract", "string").alias("contract"), get("$.function", "string").alias("function"), args.alias("args"))
         out = calls if out is None else out.unionByName(calls)
         level = level.select("id", "root", F.explode(get("$.sub", "array<variant>")).alias("node"))
     return out

@@ -2,14 +2,59 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def filter_resource(df: DataFrame, watch: DataFrame | None = None, key: str = "source_account", include_failed: bool = True) -> DataFrame:
-    """Rows whose key is in the one-column watch list; optionally only successful ones."""
-    out = df if include_failed or "successful" not in df.columns else df.where("successful")
-    return out if watch is None else out.join(watch.toDF(key).distinct(), key, "left_semi")
+# Which criterion each resource can be filtered by.
+SUPPORT = {
+    "account": ("transactions", "operations", "payments", "effects"),
+    "ledger": ("transactions", "operations", "payments", "effects"),
+    "transaction": ("operations", "payments", "effects"),
+    "operation": ("effects",),
+    "liquidity_pool": ("transactions", "operations", "effects"),
+    "claimable_balance": ("transactions", "operations", "payments", "effects"),
+    "asset_pair": ("trades",),
+    "include_failed": ("transactions", "operations"),
+}
+#: The columns that a criterion is looked for in; those that a table lacks are left out.
+CRITERIA = {
+    "account": ("source_account", "account", "source", "destination", "from", "to", "funder", "into", "trustor", "seller"),
+    "ledger": ("ledger", "ledger_attr"),
+    "transaction": ("transaction_hash",),
+    "operation": ("operation_id",),
+    "liquidity_pool": ("liquidity_pool_id",),
+    "claimable_balance": ("balance_id",),
+}
+
+
+def filter_resource(df: DataFrame, resource: str, include_failed: bool | None = None, **criteria) -> DataFrame:
+    """Rows of a resource that meet every criterion: a value, or a one-column DataFrame of values (a watch list). A row
+    meets one if any of the criterion's columns does. What the support matrix rules out is an error.
+
+    Failed transactions and their operations are left out unless asked for, where success is known."""
+    asked = [*criteria, *(["include_failed"] if include_failed is not None else [])]
+    for name in asked:
+        if resource not in SUPPORT.get(name, ()):
+            raise ValueError(f"{resource} cannot be filtered by {name}")
+    success = next((c for c in ("successful", "transaction_successful") if c in df.columns), None)
+    if not include_failed and success:
+        df = df.where(F.col(success))
+    for name, wanted in criteria.items():
+        columns = [c for c in CRITERIA[name] if c in df.columns]
+        if not columns:
+            raise ValueError(f"this table has no column for {name}")
+        if not isinstance(wanted, DataFrame):
+            df = df.where(reduce(lambda x, y: x | y, [F.coalesce(F.col(c) == wanted, F.lit(False)) for c in columns]))
+        elif len(columns) == 1:
+            df = df.join(wanted.toDF(columns[0]).distinct(), columns[0], "left_semi")
+        else:
+            # each row meets each watched value once: rows with several parties are put together again
+            rows = df.withColumn("_row", F.monotonically_increasing_id()).withColumn("_party", F.explode(F.array_distinct(F.array(*columns))))
+            df = rows.join(wanted.toDF("_party").distinct(), "_party", "left_semi").dropDuplicates(["_row"]).drop("_row", "_party")
+    return df
 
 
 def trades_for_pair(trades: DataFrame, base: str, counter: str) -> DataFrame:
@@ -33,17 +78,32 @@ def filter_assets(assets: DataFrame, code: str | None = None, issuer: str | None
     return out if issuer is None else out.where(F.col("asset_issuer") == issuer)
 
 
-def recent_ledgers(df: DataFrame, lookback: int = 17_280, column: str = "ledger") -> DataFrame:
-    """Rows of the last `lookback` ledgers up to the newest one."""
-    latest = df.agg(F.max(column).alias("_latest"))
-    return df.join(F.broadcast(latest), F.col(column).between(F.greatest(F.lit(1), F.col("_latest") - lookback), F.col("_latest"))).drop("_latest")
+def ledger_range(latest: int, start: int | None = None, end: int | None = None, lookback: int = 17_280) -> tuple[int, int]:
+    """First and last ledger asked for, both within 1 and the latest, the first not after the last."""
+    latest = max(1, latest)
+    last = latest if end is None else min(max(1, end), latest)
+    first = max(1, latest - lookback) if start is None else max(1, start)
+    return min(first, last), last
+
+
+def recent_ledgers(df: DataFrame, start: int | None = None, end: int | None = None, lookback: int = 17_280, column: str = "ledger") -> DataFrame:
+    """Rows of a range of ledgers, by default the last `lookback` ones up to the newest. The newest is asked for first (one
+    number), so that the range is plain numbers, which the scan can use."""
+    latest = df.agg(F.max(column)).first()[0]
+    first, last = ledger_range(latest or 1, start, end, lookback)
+    return df.where(F.col(column).between(first, last))
 
 
-def effects_for_accounts(effects: DataFrame, accounts: DataFrame, columns=("account", "sponsor")) -> DataFrame:
-    """Effects that name a watched account in any of the columns, once each."""
-    keys = effects.select("event_id", F.explode(F.array_distinct(F.array(*columns))).alias("id")).where("id is not null")
-    hit = keys.join(accounts.select("id"), "id", "left_semi").select("event_id").distinct()
-    return effects.join(hit, "event_id", "left_semi")
+# The columns by which an effect is related to an account.
+PARTIES = ("account", "source_account", "created_account", "destination", "trustor", "seller")
+
+
+def effects_for_accounts(effects: DataFrame, accounts: DataFrame, key: str, columns=PARTIES) -> DataFrame:
+    """Effects that name a watched account in any of the columns, once each; key tells effects apart."""
+    parties = F.explode(F.array_distinct(F.array(*[F.trim(c) for c in columns]))).alias("id")
+    watched = accounts.toDF("id").where("id <> ''").distinct()
+    hit = effects.select(key, parties).join(watched, "id", "left_semi").select(key).distinct()
+    return effects.join(hit, key, "left_semi")
 
 
 def native_balance_effects(effects: DataFrame) -> DataFrame:
@@ -80,6 +140,17 @@ def _all():
     return Window.partitionBy(F.lit(0))  # over at most n + 1 rows
 
 
+# The forms that identifiers must have.
+FORMS = {"hash": "^[0-9a-fA-F]{64}$", "pool": "^[0-9a-fA-F]{64}$", "asset_code": "^[A-Za-z0-9]{1,12}$", "contract": "^C[A-Z2-7]{55}$"}
+LAST_LEDGER = 2**31 - 1
+
+
+def identifier_rules(**columns: str) -> dict:
+    """Rules of audit_identifiers out of column names by form: hash, pool, asset_code, contract or ledger."""
+    rule = lambda form, c: F.col(c).between(1, LAST_LEDGER) if form == "ledger" else F.col(c).rlike(FORMS[form])
+    return {form: rule(form, c) for form, c in columns.items()}
+
+
 def audit_identifiers(df: DataFrame, rules: dict) -> DataFrame:
     """(rule, violations): rows that break each rule, in one pass; nulls break it."""
     one = df.agg(*[F.count_if(~F.coalesce(rule, F.lit(False))).alias(name) for name, rule in rules.items()])
@@ -88,7 +159,9 @@ def audit_identifiers(df: DataFrame, rules: dict) -> DataFrame:
 
 
 def classify_time_bounds(txs: DataFrame, now: int) -> DataFrame:
-    low, high = F.col("min_time"), F.col("max_time")
+    """bounds, and the seconds until they open (not yet valid) and close (valid, with an upper bound). A transaction is
+    still valid at its last second; an upper bound of 0 is none."""
+    low, high = F.coalesce("min_time", F.lit(0)), F.coalesce("max_time", F.lit(0))
     state = (
         F.when((low < 0) | (high < 0) | ((high > 0) & (high <= low)), "invalid")
         .when(low > now, "not_yet_valid")
@@ -96,7 +169,12 @@ def classify_time_bounds(txs: DataFrame, now: int) -> DataFrame:
         .when(high == 0, "open_ended")
         .otherwise("valid")
     )
-    return txs.withColumn("bounds", state)
+    out = txs.withColumn("bounds", state)
+    return out.withColumns({"opens_in": F.when(F.col("bounds") == "not_yet_valid", low - now), "closes_in": F.when(F.col("bounds").isin("valid", "not_yet_valid") & (high > 0), high - now)})
+
+
+def time_bound_counts(classified: DataFrame) -> DataFrame:
+    return classified.groupBy("bounds").agg(F.count("*").alias("n"), F.min("closes_in").alias("soonest_close"))
 
 
 def lookup(requests: DataFrame, table: DataFrame, key: str) -> DataFrame:

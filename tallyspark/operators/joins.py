@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import toid
+from ..sources.tables import shared_folder
 
 
 def attach_ledgers(payments: DataFrame, transactions: DataFrame) -> DataFrame:
@@ -27,24 +30,69 @@ def intent_vs_outcome(operations: DataFrame, effects: DataFrame) -> DataFrame:
     return a.join(b, ["ledger", "tx_order"], "full").select("ledger", "tx_order", zero("operations"), zero("effects"))
 
 
-def silent_operations(operations: DataFrame, effects: DataFrame) -> DataFrame:
-    """Operations without an effect, by ledger."""
-    return operations.join(effects.select(F.col("toid").alias("id")).where("id is not null"), "id", "left_anti").groupBy("ledger").agg(F.count("*").alias("silent"))
+def silent_operations(operations: DataFrame, effects: DataFrame, ledgers: DataFrame) -> DataFrame:
+    """By ledger: operations without an effect, operations there are and those that the header counts; a ledger whose
+    header is missing has null there."""
+    heard = effects.select(F.col("toid").alias("id"), F.lit(True).alias("_heard")).where("id is not null").distinct()
+    each = operations.select("id", "ledger").join(heard, "id", "left").groupBy("ledger").agg(F.count_if(F.col("_heard").isNull()).alias("silent"), F.count("*").alias("operations"))
+    header = ledgers.select(F.col("sequence").alias("ledger"), F.col("operation_count").alias("header_operations"))
+    return each.where("silent > 0").join(header, "ledger", "left")
 
 
-# Explanations of result codes.
+# Result codes, with our own explanations.
 EXPLANATIONS = {
-    "tx_success": "The transaction succeeded.",
-    "tx_failed": "One of the operations failed.",
-    "tx_bad_seq": "The sequence number does not match the source account.",
-    "tx_insufficient_fee": "The fee is too small.",
+    "tx_failed": "At least one operation did not succeed, so none took effect.",
+    "tx_bad_seq": "The sequence number is not the next one of the source account.",
+    "tx_bad_auth": "Signatures are missing, wrong or too light for the thresholds.",
+    "tx_insufficient_balance": "The source account could not pay the fee and keep its reserve.",
+    "tx_insufficient_fee": "The fee offered was below what the network asked for.",
+    "tx_no_source_account": "There is no such source account.",
+    "tx_too_early": "It arrived before its time bounds open.",
+    "tx_too_late": "It arrived after its time bounds close.",
+    "op_underfunded": "The account holds less than the operation needs.",
+    "op_no_destination": "The receiving account does not exist and has to be created first.",
+    "op_low_reserve": "It would leave the account below its reserve.",
+    "op_no_trust": "The receiver has no trustline for this asset.",
+    "op_line_full": "The receiver's trustline would go over its limit.",
+    "op_not_authorized": "The issuer has not authorised the trustline.",
+    "op_bad_auth": "The operation's own source account did not sign well enough.",
+    "op_no_issuer": "The account that should issue the asset does not exist.",
+    "op_src_no_trust": "The sender has no trustline for this asset.",
+    "op_cross_self": "The offer would trade against another one of the same account.",
+}
+# Effect types by what they happened to, with our own wording of what happened.
+_CHANGES = {"created": "was added", "removed": "was taken away", "updated": "was changed"}
+_ENTRIES = {"account": "an account", "signer": "a signer", "trustline": "a trustline", "offer": "an offer", "data": "a data entry", "claimable_balance": "a claimable balance", "liquidity_pool": "a liquidity pool"}
+_OTHER = {
+    "account_credited": "an account received funds",
+    "account_debited": "an account gave up funds",
+    "account_thresholds_updated": "an account's signing thresholds were changed",
+    "account_home_domain_updated": "an account's home domain was changed",
+    "account_flags_updated": "an issuer's flags were changed",
+    "sequence_bumped": "an account's sequence number was raised",
+    "trustline_authorized": "an issuer allowed a holder to use its asset",
+    "trustline_deauthorized": "an issuer withdrew a holder's authorisation",
+    "trustline_flags_updated": "a trustline's authorisation flags were changed",
+    "trade": "two offers met and assets were exchanged",
+    "claimable_balance_claimed": "a claimable balance was taken by a claimant",
+    "claimable_balance_claimant_created": "an account may from now on claim a balance",
+    "claimable_balance_clawed_back": "an issuer took a claimable balance back",
+    "liquidity_pool_deposited": "assets went into a liquidity pool",
+    "liquidity_pool_withdrew": "assets came out of a liquidity pool",
+    "liquidity_pool_trade": "assets were exchanged with a liquidity pool",
+    "liquidity_pool_revoked": "pool shares were turned into claimable balances",
+    "contract_credited": "a contract received funds",
+    "contract_debited": "a contract gave up funds",
 }
+_NOT_SO = ("account_updated", "claimable_balance_removed", "claimable_balance_updated", "liquidity_pool_updated")
+EFFECTS = {f"{e}_{c}": f"{what} {did}" for e, what in _ENTRIES.items() for c, did in _CHANGES.items() if f"{e}_{c}" not in _NOT_SO} | _OTHER
+FALLBACK = "No explanation available."
 
 
-def explain_codes(df: DataFrame, fallback: str = "No explanation available.") -> DataFrame:
-    spark = df.sparkSession
-    dim = spark.createDataFrame(list(EXPLANATIONS.items()), "_code string, explanation string")
-    return df.join(F.broadcast(dim), F.lower(F.trim("result_code")) == F.col("_code"), "left").drop("_code").fillna({"explanation": fallback})
+def explain_codes(df: DataFrame, column: str = "result_code", explanations: dict[str, str] = EXPLANATIONS, fallback: str = FALLBACK) -> DataFrame:
+    """df with explanation: that of the code in lower case without outer spaces, or the fallback."""
+    dim = df.sparkSession.createDataFrame(list(explanations.items()), "_code string, explanation string")
+    return df.join(F.broadcast(dim), F.lower(F.trim(column)) == F.col("_code"), "left").drop("_code").fillna({"explanation": fallback})
 
 
 def admissible_ledgers(txs: DataFrame, ledgers: DataFrame, width: int = 16) -> DataFrame:
@@ -79,14 +127,20 @@ def _from_on(mins: DataFrame, ledgers: DataFrame) -> DataFrame:
     return own.join(later, "stretch").select(F.col("at").alias("min_ledger"), F.coalesce("first", "_first").alias("earliest"), (F.col("n") + F.col("_n")).alias("ledgers"))
 
 
-def trustline_state(requests: DataFrame, trustlines: DataFrame) -> DataFrame:
+def trustline_state(requests: DataFrame, trustlines: DataFrame, issuers: DataFrame) -> DataFrame:
+    """Authorisation of each (account, asset_code, asset_issuer) asked for, with the issuer's flags; null flags where the
+    issuer is not there."""
+    keys = ["account", "asset_code", "asset_issuer"]
+    line = F.coalesce("_line", F.lit(False))
     state = (
-        F.when(F.col("is_authorized").isNull(), "NOT_FOUND")
+        F.when(~line, "NOT_FOUND")
         .when(F.col("is_authorized"), "AUTHORIZED")
         .when(F.col("is_authorized_to_maintain_liabilities"), "MAINTAIN_LIABILITIES")
         .otherwise("UNAUTHORIZED")
     )
-    return requests.join(trustlines.select("account", "asset_code", "is_authorized", "is_authorized_to_maintain_liabilities"), ["account", "asset_code"], "left").select("account", "asset_code", state.alias("state"))
+    lines = trustlines.select(*keys, "is_authorized", "is_authorized_to_maintain_liabilities", F.lit(True).alias("_line"))
+    flags = issuers.select(F.col("id").alias("asset_issuer"), "auth_required", "auth_revocable", "auth_clawback_enabled")
+    return requests.join(lines, keys, "left").join(flags, "asset_issuer", "left").select(*keys, state.alias("state"), "auth_required", "auth_revocable", "auth_clawback_enabled")
 
 
 def probe_storage(entries: DataFrame, keys: DataFrame) -> DataFrame:
@@ -97,15 +151,19 @@ def probe_storage(entries: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def claimable_lifecycle(effects: DataFrame) -> DataFrame:
-    """Created and claimed ledger, age and whether open, in one pass over the effects."""
-    at = lambda kind: F.min(F.when(F.col("type") == kind, F.col("ledger")))
-    out = effects.where("balance_id is not null").groupBy("balance_id").agg(at("claimable_balance_created").alias("created"), at("claimable_balance_claimed").alias("claimed"))
-    return out.where("created is not null").withColumn("age", F.col("claimed") - F.col("created")).withColumn("still_open", F.col("claimed").isNull())
+    """Ledgers in which each created balance was created, claimed and clawed back, its age at its end in ledgers, and
+    whether it is still open, in one pass over the effects."""
+    at = lambda kind, name: F.min(F.when(F.col("type") == f"claimable_balance_{kind}", F.col("ledger"))).alias(name)
+    out = effects.where("balance_id is not null").groupBy("balance_id").agg(at("created", "created"), at("claimed", "claimed"), at("clawed_back", "clawed_back")).where("created is not null")
+    end = F.coalesce("claimed", "clawed_back")
+    return out.withColumn("age", end - F.col("created")).withColumn("still_open", end.isNull())
 
 
 def created_balance_ids(effects: DataFrame) -> DataFrame:
-    """The first created balance of each ledger."""
-    return effects.where("type = 'claimable_balance_created'").groupBy("ledger").agg(F.min_by("balance_id", "event_id").alias("balance_id"))
+    """The first created balance of each transaction, in the order of effects; null for transactions without one. Effects
+    whose id does not decode belong to none."""
+    own = effects.select(F.shiftright(toid(F.col("id")), 12).alias("tx"), "id", F.when(F.col("type") == "claimable_balance_created", F.col("balance_id")).alias("balance_id")).where("tx is not null")
+    return own.groupBy("tx").agg(F.min_by("balance_id", F.when(F.col("balance_id").isNotNull(), F.col("id"))).alias("balance_id"))
 
 
 def created_balances_by_tx(effects: DataFrame) -> DataFrame:
@@ -118,11 +176,20 @@ def created_balances_by_tx(effects: DataFrame) -> DataFrame:
     return created.unionByName(misses.withColumn("balance_id", F.lit(None).cast("string")))
 
 
-def diff_snapshots(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFrame:
-    """set, changed, removed or same for every key of either side."""
-    a, b = before.select(key, F.col(value).alias("before")), after.select(key, F.col(value).alias("after"))
-    change = F.when(F.col("before").isNull() & F.col("after").isNotNull(), "set").when(F.col("before").isNotNull() & F.col("after").isNull(), "removed").when(F.col("before") != F.col("after"), "changed").otherwise("same")
-    return a.join(b, key, "full").withColumn("change", change)
+def diff_snapshots(before: DataFrame, after: DataFrame, key: str, attributes: list[str], amounts: list[str] = []) -> DataFrame:
+    """(key, attribute, before, after, change, delta) for every key of either side: set, changed, removed or same; the
+    delta of an amount counts a missing side as 0."""
+    a, b = (df.select(key, *[F.col(c).alias(f"_{side}_{c}") for c in (*attributes, *amounts)]) for side, df in (("a", before), ("b", after)))
+
+    def one(c: str) -> Column:
+        old, new = F.col(f"_a_{c}"), F.col(f"_b_{c}")
+        delta = F.coalesce(new, F.lit(0)).cast("decimal(38,7)") - F.coalesce(old, F.lit(0)).cast("decimal(38,7)") if c in amounts else F.lit(None)
+        return F.struct(F.lit(c).alias("attribute"), old.cast("string").alias("before"), new.cast("string").alias("after"), delta.cast("decimal(38,7)").alias("delta"))
+
+    each = a.join(b, key, "full").select(key, F.inline(F.array(*map(one, (*attributes, *amounts)))))
+    old, new = F.col("before"), F.col("after")
+    change = F.when(old.isNull() & new.isNotNull(), "set").when(old.isNotNull() & new.isNull(), "removed").when(old != new, "changed").otherwise("same")
+    return each.withColumn("change", change)
 
 
 def fee_bump_audit(txs: DataFrame) -> DataFrame:
@@ -133,21 +200,52 @@ def fee_bump_audit(txs: DataFrame) -> DataFrame:
 
 
 def quote_paths(edges: DataFrame, requests: DataFrame, hops: int = 3) -> DataFrame:
-    """Best rate from source to destination over at most `hops` edges (selling, buying, rate), no asset twice.
-
-    Edges are first cut to the best of each pair; every hop joins and keeps the visited assets."""
-    best = edges.groupBy("src", "dst").agg(F.max("rate").alias("rate"))
-    step = best.where("src <> dst")
-    walk = requests.join(step, "src").select("src", "dst", "target", "rate", F.array("src", "dst").alias("seen"))
-    found = walk
-    for _ in range(hops - 1):
-        nxt = step.select(F.col("src").alias("dst"), F.col("dst").alias("_next"), F.col("rate").alias("_rate"))
-        walk = (
-            walk.where("dst <> target").join(nxt, "dst").where(~F.array_contains("seen", F.col("_next")))
-            .select("src", F.col("_next").alias("dst"), "target", (F.col("rate") * F.col("_rate")).alias("rate"), F.array_append("seen", F.col("_next")).alias("seen"))
-        )
-        found = found.unionByName(walk)
-    return found.where("dst = target").groupBy("src", "target").agg(F.max("rate").alias("rate"))
+    """(src, target, rate): the best rate for each request (src, target) over at most `hops` edges (src, dst, rate), each
+    the amount of dst that one of src buys, no asset twice.
+
+    Edges are first cut to the best of each pair. All targets of a source are found together. Of the walks of two edges
+    between the same ends the best `hops` are kept: what is still to come holds fewer assets than that, so it leaves one
+    of them free. Longer walks are kept by the set of their assets."""
+    best = _stored(edges.where("src <> dst").groupBy("src", "dst").agg(F.max("rate").alias("rate")), "edges")
+    sources = _stored(requests.select("src").distinct(), "sources")
+    step = best.select(F.col("src").alias("dst"), F.col("dst").alias("_to"), F.col("rate").alias("_rate"))
+    walk = sources.join(best, "src").withColumn("seen", F.array("src", "dst"))
+    found = [walk.select("src", "dst", "rate")]
+    ends = Window.partitionBy("src", "dst").orderBy(F.desc("rate"), "seen")
+    for hop in range(2, hops + 1):
+        on = walk.join(step, "dst").where(~F.array_contains("seen", F.col("_to")))
+        walk = on.select("src", F.col("_to").alias("dst"), (F.col("rate") * F.col("_rate")).alias("rate"), F.array_append("seen", F.col("_to")).alias("seen"))
+        if hop == hops:
+            found.append(walk.select("src", "dst", "rate"))
+            break
+        if hop == 2:
+            walk = walk.withColumn("_n", F.row_number().over(ends)).where(F.col("_n") <= hops).drop("_n")
+        else:
+            walk = walk.groupBy("src", "dst", F.array_sort("seen").alias("seen")).agg(F.max("rate").alias("rate"))
+        walk = _stored(walk, "walk")
+        found.append(walk.select("src", "dst", "rate"))
+    rates = reduce(DataFrame.unionByName, found).groupBy("src", F.col("dst").alias("target")).agg(F.max("rate").alias("rate"))
+    return requests.select("src", "target").distinct().join(rates, ["src", "target"])
+
+
+def strict_receive(edges: DataFrame, requests: DataFrame, hops: int = 3) -> DataFrame:
+    """(src, target, receive, send_max) with the least amount of src that buys `receive` of target and whether that is
+    within send_max; requests without a path have null and false."""
+    found = quote_paths(edges, requests, hops)
+    out = requests.join(found, ["src", "target"], "left").withColumn("spend", F.round(F.col("receive").cast("double") / F.col("rate"), 7))
+    return out.withColumn("within", F.coalesce(F.col("spend") <= F.col("send_max").cast("double"), F.lit(False))).drop("rate")
+
+
+def strict_send(edges: DataFrame, requests: DataFrame, hops: int = 3) -> DataFrame:
+    """(src, target, send) with the most that it buys of target; null without a path."""
+    found = quote_paths(edges, requests, hops)
+    return requests.join(found, ["src", "target"], "left").withColumn("received", F.round(F.col("send").cast("double") * F.col("rate"), 7)).drop("rate")
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def asset_pairs(edges: DataFrame) -> DataFrame:
@@ -157,15 +255,21 @@ def asset_pairs(edges: DataFrame) -> DataFrame:
 
 
 def ledger_chain(ledgers: DataFrame) -> DataFrame:
-    """Ledgers whose predecessor is missing or has another hash."""
-    before = ledgers.select((F.col("sequence") + 1).alias("sequence"), F.col("hash").alias("_hash"))
-    problem = F.when(F.col("_hash").isNull(), "gap").when(F.col("_hash") != F.col("prev_hash"), "hash")
-    return ledgers.join(before, "sequence", "left").select("sequence", problem.alias("problem")).where("problem is not null")
+    """Each ledger's close interval in seconds and problem: its predecessor is missing (gap) or has another hash (hash)."""
+    before = ledgers.select((F.col("sequence") + 1).alias("sequence"), F.col("hash").alias("_hash"), F.col("closed_at").alias("_closed"))
+    problem = F.when(F.col("_hash").isNull(), "gap").when(~F.col("_hash").eqNullSafe(F.col("prev_hash")), "hash")
+    return ledgers.join(before, "sequence", "left").select("sequence", problem.alias("problem"), (F.col("closed_at") - F.col("_closed")).alias("interval"))
+
+
+# What an account's configuration is held against.
+CONFIGURED = ("low_threshold", "med_threshold", "high_threshold", "primary_weight")
 
 
-def config_drift(accounts: DataFrame, expected: DataFrame) -> DataFrame:
-    """Accounts whose thresholds differ from the expected ones of their domain."""
-    return accounts.join(expected, "home_domain").where(~F.col("low_threshold").eqNullSafe(F.col("want_low"))).select("id", "low_threshold", "want_low")
+def config_drift(accounts: DataFrame, expected: DataFrame, key: str, columns=CONFIGURED) -> DataFrame:
+    """(id, setting, actual, expected) where they differ; expected has a row of the columns for each value of key."""
+    want = expected.select(key, *[F.col(c).alias(f"_want_{c}") for c in columns])
+    each = F.inline(F.array(*[F.struct(F.lit(c).alias("setting"), F.col(c).alias("actual"), F.col(f"_want_{c}").alias("expected")) for c in columns]))
+    return accounts.join(want, key).select("id", each).where(~F.col("actual").eqNullSafe(F.col("expected")))
 
 
 def attach_operation_refs(changes: DataFrame, operations: DataFrame) -> DataFrame:

@@ -4,31 +4,64 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import ratio
 
-def asset_dimension(uses: dict[str, tuple[DataFrame, str]]) -> DataFrame:
-    """Assets over several tables, each given with its asset column: uses in all, resources, first and last ledger."""
-    rows = [df.select(F.col(c).alias("asset"), F.lit(name).alias("resource"), "ledger") for name, (df, c) in uses.items()]
+
+def asset_dimension(uses: dict[str, tuple[DataFrame, str]], ledger: str = "ledger") -> DataFrame:
+    """Assets over several tables, each given with its asset column: label, uses in all and by table, first and last
+    ledger. A table without a ledger column counts without one."""
+    at = lambda df: F.col(ledger).cast("long") if ledger in df.columns else F.lit(None).cast("long")
+    rows = [df.select(F.col(c).alias("asset"), F.lit(name).alias("resource"), at(df).alias("ledger")) for name, (df, c) in uses.items()]
     every = reduce(DataFrame.unionByName, rows).where("asset is not null and asset <> ''")
-    return every.groupBy("asset").agg(F.count("*").alias("uses"), F.countDistinct("resource").alias("resources"), F.min("ledger").alias("first_ledger"), F.max("ledger").alias("last_ledger"))
+    by = [F.count_if(F.col("resource") == name).alias(f"{name}_uses") for name in uses]
+    out = every.groupBy("asset").agg(F.count("*").alias("uses"), *by, F.min("ledger").alias("first_ledger"), F.max("ledger").alias("last_ledger"))
+    return out.withColumn("label", F.when(F.col("asset") == "native", "XLM (native)").otherwise(F.col("asset")))
+
+
+# The form of an issued asset's reference.
+ISSUED = "^[A-Za-z0-9]{1,12}:[A-Za-z0-9]+$"
 
 
-def audit_asset_refs(df: DataFrame, columns: list[str]) -> DataFrame:
+def audit_asset_refs(df: DataFrame, columns: list[str], issued: str = ISSUED) -> DataFrame:
+    """(name, reason, n) over the columns given: ok, empty, no_issuer (a code alone) or malformed."""
     stacked = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("ref")) for c in columns])).alias("x")
-    reason = F.when(F.coalesce("x.ref", F.lit("")) == "", "empty").when(F.col("x.ref") == "native", "ok").when(F.instr("x.ref", ":") == 0, "no_issuer").otherwise("ok")
+    ref = F.coalesce("x.ref", F.lit(""))
+    reason = F.when(ref == "", "empty").when((ref == "native") | ref.rlike(issued), "ok").when(F.instr(ref, ":") == 0, "no_issuer").otherwise("malformed")
     return df.select(stacked).groupBy(F.col("x.name").alias("name"), reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
-def price_source_report(trades: DataFrame) -> DataFrame:
-    source = F.when(F.col("price_d") != 0, "rational").when(F.col("base_amount") != 0, "amounts").otherwise("none")
-    return trades.groupBy(source.alias("source")).agg(F.count("*").alias("n"))
+def price_source_report(trades: DataFrame, offers: DataFrame, tolerance: float = 0.01) -> DataFrame:
+    """(resource, source, n, disagree) of raw trades and offers: priced by the rational, by the amounts (of an offer: the
+    decimal price) or not at all, and how many rationals are off the other price by more than a share of it."""
+
+    def source(df: DataFrame, name: str, rational: Column, other: Column) -> DataFrame:
+        kind = F.when(rational.isNotNull(), "rational").when(other.isNotNull(), "amounts").otherwise("none")
+        off = F.coalesce(F.abs(rational - other) > tolerance * other, F.lit(False))
+        return df.select(F.lit(name).alias("resource"), kind.alias("source"), off.alias("off"))
+
+    base, counter = (F.col(c).try_cast("double") for c in ("base_amount", "counter_amount"))
+    both = source(trades, "trades", ratio(F.col("price.n"), F.col("price.d")), F.when(base > 0, counter / base)).unionByName(
+        source(offers, "offers", ratio(F.col("price_r.n"), F.col("price_r.d")), F.col("price").try_cast("double"))
+    )
+    return both.groupBy("resource", "source").agg(F.count("*").alias("n"), F.count_if("off").alias("disagree"))
+
+
+# The forms of ids.
+ID_FORMS = {"effects": r"^\d+-\d+$", "trades": r"^\d+-\d+$", "operations": r"^\d+$"}
+
+
+def id_report(tables: dict[str, DataFrame], forms: dict[str, str] = ID_FORMS) -> DataFrame:
+    """(resource, pattern, n): ids that decode, are empty, or do not decode (wrong form, or a number beyond 64 bits)."""
 
+    def one(name: str, df: DataFrame) -> DataFrame:
+        number = F.substring_index("id", "-", 1).try_cast("bigint")
+        pattern = F.when(F.coalesce("id", F.lit("")) == "", "empty").when(F.col("id").rlike(forms[name]) & number.isNotNull(), "decodes").otherwise("malformed")
+        return df.select(F.lit(name).alias("resource"), pattern.alias("pattern"))
 
-def id_report(effects: DataFrame) -> DataFrame:
-    pattern = F.when(F.col("id").rlike(r"^\d+-\d+$"), "toid").when(F.col("id").isNull() | (F.col("id") == ""), "empty").otherwise("malformed")
-    return effects.groupBy(pattern.alias("pattern")).agg(F.count("*").alias("n"))
+    return reduce(DataFrame.unionByName, [one(n, df) for n, df in tables.items()]).groupBy("resource", "pattern").agg(F.count("*").alias("n"))
 
 
 def batch_overlap(archive: DataFrame, batch: DataFrame, token: str) -> DataFrame:

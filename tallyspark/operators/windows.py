@@ -23,11 +23,12 @@ def latest_n(df: DataFrame, key: str, order: str, n: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-def sequence_gaps(txs: DataFrame) -> DataFrame:
-    w = Window.partitionBy("source_account").orderBy("o_orderkey")
-    step = F.col("source_sequence") - F.lag("source_sequence").over(w)
+def sequence_gaps(txs: DataFrame, order: list[str], account: str = "source_account", sequence: str = "source_sequence") -> DataFrame:
+    """Steps of an account's sequence other than 1, in the order given: gap, repeat or regression."""
+    w = Window.partitionBy(account).orderBy(*order)
+    step = F.col(sequence) - F.lag(sequence).over(w)
     kind = F.when(step == 0, "repeat").when(step < 0, "regression").when(step > 1, "gap")
-    return txs.select("source_account", "o_orderkey", step.cast("bigint").alias("step"), kind.alias("kind")).where("kind is not null")
+    return txs.select(account, *order, step.cast("bigint").alias("step"), kind.alias("kind")).where("kind is not null")
 
 
 def status_transitions(polls: DataFrame) -> DataFrame:

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import functions as F
 
-from ..functions.columns import direction
 from ..operators import aggregates as A
 from ..operators import filters as X
 from ..operators import joins as J
@@ -15,84 +12,35 @@ from ..operators import quality as Q
 from ..operators import windows as W
 from ..sources import tables as S
 from ..streaming import streams as R
-from .views import Tables, with_views
-
-_all: dict[str, tuple[Callable[[Tables], object], str | None]] = {}
-
-
-def _add(name: str, run, sql: str | None = None) -> None:
-    _all[name] = (run, sql)
-
-
-# Normalised tables in SQL, for the oracle.
-NP = """(SELECT id, coalesce(nullif(type, ''), 'payment') AS type, ledger, transaction_hash,
- coalesce(nullif(from_muxed, ''), nullif("from", ''), nullif(funder, ''), nullif(source_account, '')) AS source,
- coalesce(nullif(to_muxed, ''), nullif("to", ''), nullif(account, ''), nullif(into_muxed, ''), nullif("into", '')) AS destination,
- CAST(CASE WHEN type <> 'account_merge' THEN coalesce(amount, destination_amount, starting_balance) END AS DECIMAL(38,7)) AS amount,
- CASE WHEN destination_asset_type IS NOT NULL THEN CASE WHEN destination_asset_type = 'native' THEN 'native' ELSE concat_ws(':', destination_asset_code, destination_asset_issuer) END
-   WHEN asset_type = 'native' THEN 'native' ELSE concat_ws(':', asset_code, asset_issuer) END AS asset FROM payments)"""
-NT = """(SELECT id, regexp_replace(id, '^(.+)-[^-]*$', '\\1') AS operation_id, ledger, close_time, base_asset, counter_asset,
- CAST(base_amount AS DECIMAL(38,7)) AS base_amount, CAST(counter_amount AS DECIMAL(38,7)) AS counter_amount,
- coalesce(CASE WHEN price_d <> 0 THEN CAST(price_n AS DOUBLE) / CAST(price_d AS DOUBLE) END, CASE WHEN base_amount <> 0 THEN CAST(counter_amount AS DOUBLE) / CAST(base_amount AS DOUBLE) END, 0.0) AS price,
- coalesce(base_account, base_liquidity_pool_id) AS base_party, coalesce(trade_type, 'orderbook') AS venue FROM trades)"""
-NO = """(SELECT id, seller, selling, buying, selling || '/' || buying AS pair, CAST(amount AS DECIMAL(38,7)) AS amount, coalesce(CASE WHEN price_d <> 0 THEN CAST(price_n AS DOUBLE) / CAST(price_d AS DOUBLE) END, price) AS price,
- round(CAST(amount AS DOUBLE) * coalesce(CASE WHEN price_d <> 0 THEN CAST(price_n AS DOUBLE) / CAST(price_d AS DOUBLE) END, price), 7) AS buying_amount, last_modified_ledger FROM offers)"""
-NA = """(SELECT concat_ws(':', asset_code, asset_issuer) AS asset, asset_code, asset_issuer, coalesce(authorized + maintain + unauthorized, num_accounts, 0) AS holders, coalesce(num_claimable_balances, 0) AS claimable_balances FROM assets)"""
-NR = """(SELECT id, CAST(fee_bp / 100.0 AS DOUBLE) AS fee_percent, coalesce(total_trustlines, 0) AS participants, place, CASE WHEN a = 'native' THEN 'native' WHEN instr(a, ':') > 0 THEN 'issued' ELSE 'unknown' END AS kind,
- split_part(a, ':', 1) AS code, CASE WHEN instr(a, ':') > 0 THEN substr(a, instr(a, ':') + 1) END AS issuer, CAST(m AS DECIMAL(38,7)) AS amount
- FROM (SELECT *, 0 AS place, asset_a AS a, amount_a AS m FROM pools UNION ALL SELECT *, 1, asset_b, amount_b FROM pools))"""
-NE = """(SELECT *, toid // 4294967296 AS id_ledger, (toid // 4096) % 1048576 AS tx_order, toid % 4096 AS op_index, CASE WHEN toid IS NOT NULL THEN CAST(split_part(id, '-', 2) AS BIGINT) END AS effect_index
- FROM (SELECT *, CASE WHEN regexp_matches(id, '^\\d+-\\d+$') THEN try_cast(split_part(id, '-', 1) AS BIGINT) END AS toid FROM effects))"""
-CAT = """CASE WHEN type LIKE '%sponsorship%' THEN 'Sponsorship' WHEN type LIKE 'account%' THEN 'Account' WHEN type LIKE 'trustline%' THEN 'Trustline' WHEN type LIKE 'trade%' THEN 'Trade' WHEN type LIKE 'claimable_balance%' THEN 'Claimable balance'
- WHEN type LIKE 'liquidity_pool%' THEN 'Liquidity pool' WHEN type LIKE 'contract%' THEN 'Contract' WHEN type LIKE 'signer%' THEN 'Signer' ELSE 'Other' END"""
-NF = f"(SELECT id, ledger, type, account AS subject, CAST(coalesce(amount, starting_balance) AS DECIMAL(38,7)) AS amount, {CAT} AS category FROM effects)"
-NC = """(SELECT id, type, ledger, tx_hash, CASE WHEN regexp_matches(contract_id, '^C[0-9]+$') THEN contract_id ELSE '' END AS contract_id, coalesce(name, '(unnamed)') AS name, coalesce(in_successful_contract_call, true) AS successful FROM contract_events)"""
-ND = """(SELECT *, CAST(CASE WHEN type = 'account_created' THEN starting_balance WHEN type = 'account_credited' AND coalesce(asset_type, 'native') = 'native' THEN amount WHEN type = 'account_debited' AND coalesce(asset_type, 'native') = 'native' THEN -amount END AS DECIMAL(38,7)) AS delta FROM effects)"""
-DIR = "CASE WHEN source = inspected AND destination = inspected THEN 'self' WHEN destination = inspected THEN 'incoming' WHEN source = inspected THEN 'outgoing' ELSE 'related' END"
-NI = f"(SELECT *, {DIR} AS direction FROM (SELECT *, source AS inspected FROM {NP} UNION ALL SELECT *, destination FROM {NP} WHERE destination IS DISTINCT FROM source) WHERE inspected IS NOT NULL)"
-NX = """(SELECT hash, ledger, source_account, CASE WHEN successful THEN 'success' ELSE 'failed' END AS status, CASE WHEN memo_type <> 'none' AND memo <> '' THEN memo END AS memo,
- coalesce(lower(regexp_replace(result_code, '([a-z0-9])([A-Z])', '\\1_\\2', 'g')), CASE WHEN successful THEN 'tx_success' ELSE 'tx_failed' END) AS result_code FROM transactions)"""
-
-_add("nrm1_normalize_payments", lambda t: N.normalize_payments(t.payments), f"SELECT * FROM {NP}")
-_add("nrm2_normalize_trades", lambda t: N.normalize_trades(t.trades), f"SELECT * FROM {NT}")
-_add("nrm3_normalize_offers", lambda t: N.normalize_offers(t.offers), f"SELECT * FROM {NO}")
-_add("nrm4_normalize_pools", lambda t: N.normalize_pools(t.pools), f"SELECT * FROM {NR}")
-_add("nrm5_normalize_assets", lambda t: N.normalize_assets(t.assets), f"SELECT * FROM {NA}")
-_add("nrm6_normalize_ledgers", lambda t: N.normalize_ledgers(t.ledgers), "SELECT sequence, hash, prev_hash, successful_transaction_count, failed_transaction_count, operation_count, closed_at, coalesce(base_fee_in_stroops, 100) AS base_fee, coalesce(base_reserve_in_stroops, 5000000) AS base_reserve, protocol_version FROM ledgers")
-_add("nrm7_normalize_transactions", lambda t: N.normalize_transactions(t.transactions), f"SELECT * FROM {NX}")
-_add("nrm8_normalize_contract_events", lambda t: N.normalize_contract_events(t.contract_events), f"SELECT * FROM {NC}")
-_add("nrm9_normalize_effects", lambda t: N.normalize_effects(t.effects), f"SELECT * FROM {NF}")
+from .catalog import add as _add
+from .catalog import oracle_sql, queries  # noqa: F401
+from .normal_sql import NA, NC, ND, NE, NF, NI, NO, NP, NR, NT, NU, NX
+from .views import Tables
+
+_add("nrm1_normalize_payments", lambda t: N.normalize_payments(t.raw_payments), f"SELECT * FROM {NP}")
+_add("nrm2_normalize_trades", lambda t: N.normalize_trades(t.raw_trades), f"SELECT * FROM {NT}")
+_add("nrm4_normalize_pools", lambda t: N.normalize_pools(t.raw_pools), f"SELECT * FROM {NR}")
+_add("nrm5_normalize_assets", lambda t: N.normalize_assets(t.raw_assets), f"SELECT * FROM {NA}")
+_add("nrm7_normalize_transactions", lambda t: N.normalize_transactions(t.raw_transactions), f"SELECT * FROM {NX}")
+_add("nrm8_normalize_contract_events", lambda t: N.normalize_contract_events(t.raw_contract_events), f"SELECT * FROM {NC}")
+_add("nrm9_normalize_effects", lambda t: N.normalize_effects(t.raw_effects), f"SELECT * FROM {NF}")
 _add("nrm11_index_effects", lambda t: N.index_effects(t.effects).select("event_id", "id", "toid", "id_ledger", "tx_order", "op_index", "effect_index"), f"SELECT event_id, id, toid, id_ledger, tx_order, op_index, effect_index FROM {NE}")
-_add("nrm12_decode_event_values", lambda t: N.decode_event_values(t.contract_events), "SELECT id, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS value, try_cast(json_extract_string(props, '$.k') AS BIGINT) IS NOT NULL AS decoded FROM contract_events")
-_add("src2_read_contract_events", lambda t: S.read_contract_events(t.contract_events, 50000000, 50200000, ["contract"], ["C1", "C2", "C3"]).select("id", "contract_id", "ledger"), "SELECT id, contract_id, ledger FROM contract_events WHERE ledger BETWEEN 50000000 AND 50200000 AND type = 'contract' AND contract_id IN ('C1', 'C2', 'C3')")
 
-_add("flt1_filter_resource", lambda t: X.filter_resource(t.transactions, t.accounts.where("auth_immutable").select("id"), include_failed=False).select("hash", "source_account"), "SELECT hash, source_account FROM transactions WHERE successful AND source_account IN (SELECT id FROM accounts WHERE auth_immutable)")
-_add("flt2_trades_for_pair", lambda t: X.trades_for_pair(N.normalize_trades(t.trades), "ECONOMY", "Brand#3"), f"SELECT id, counter_amount AS base_amount, base_amount AS counter_amount, CASE WHEN price = 0 THEN 0.0 ELSE 1.0 / price END AS price FROM {NT} WHERE base_asset = 'Brand#3' AND counter_asset = 'ECONOMY'")
-_add("flt3_filter_offers", lambda t: X.filter_offers(N.normalize_offers(t.offers), "Brand#3", "ECONOMY"), f"SELECT * FROM {NO} WHERE selling = 'Brand#3' AND buying = 'ECONOMY'")
-_add("flt4_filter_assets", lambda t: X.filter_assets(N.normalize_assets(t.assets), "Brand#3"), f"SELECT * FROM {NA} WHERE asset_code = 'Brand#3'")
-_add("flt5_recent_ledgers", lambda t: X.recent_ledgers(t.effects).select("event_id", "ledger"), "SELECT event_id, ledger FROM effects WHERE ledger >= greatest(1, (SELECT max(ledger) FROM effects) - 17280)")
-_add("flt6_effects_for_accounts", lambda t: X.effects_for_accounts(t.effects, t.accounts.where("low_threshold = 0").select("id")).select("event_id", "account", "sponsor"), "SELECT event_id, account, sponsor FROM effects WHERE account IN (SELECT id FROM accounts WHERE low_threshold = 0) OR sponsor IN (SELECT id FROM accounts WHERE low_threshold = 0)")
+_add("flt2_trades_for_pair", lambda t: X.trades_for_pair(N.normalize_trades(t.raw_trades), "ECONOMY", "Brand#3"), f"SELECT id, counter_amount AS base_amount, base_amount AS counter_amount, CASE WHEN price = 0 THEN 0.0 ELSE 1.0 / price END AS price FROM {NT} WHERE base_asset = 'Brand#3' AND counter_asset = 'ECONOMY'")
+_add("flt3_filter_offers", lambda t: X.filter_offers(N.normalize_offers(t.raw_offers), "Brand#3", "ECONOMY"), f"SELECT * FROM {NO} WHERE selling = 'Brand#3' AND buying = 'ECONOMY'")
+_add("flt4_filter_assets", lambda t: X.filter_assets(N.normalize_assets(t.raw_assets), "Brand#3"), f"SELECT * FROM {NA} WHERE asset_code = 'Brand#3'")
 _add("flt7_native_balance_effects", lambda t: X.native_balance_effects(t.effects).select("event_id", "account", "delta"), f"SELECT event_id, account, delta FROM {ND} WHERE delta IS NOT NULL")
 _add("flt8_balances_for_claimants", lambda t: X.balances_for_claimants(t.claimables, t.accounts.where("med_threshold = 1").select("id")).select("id", "destination", "amount"), "SELECT id, destination, amount FROM claimables WHERE destination IN (SELECT id FROM accounts WHERE med_threshold = 1)")
-_add("flt9_filter_direction", lambda t: X.filter_direction(A.with_direction(N.normalize_payments(t.payments)), "incoming").select("id", "inspected", "direction"), f"SELECT id, inspected, direction FROM {NI} WHERE direction IN ('incoming', 'self')")
+_add("flt9_filter_direction", lambda t: X.filter_direction(A.with_direction(N.normalize_payments(t.raw_payments)), "incoming").select("id", "inspected", "direction"), f"SELECT id, inspected, direction FROM {NI} WHERE direction IN ('incoming', 'self')")
 _add("flt10_page", lambda t: X.page(t.effects.select("event_id", "type"), "event_id", 100, 50), "SELECT event_id, type, (SELECT count(*) > 50 FROM (SELECT 1 FROM effects WHERE event_id > 100 LIMIT 51)) AS truncated FROM effects WHERE event_id > 100 ORDER BY event_id LIMIT 50")
-_add("flt11_audit_identifiers", lambda t: X.audit_identifiers(t.effects, {"toid": F.col("id").rlike(r"^\d+-\d+$"), "balance": F.col("balance_id").rlike("^B[0-9]+$"), "ledger": F.col("ledger").between(1, 2**31 - 1)}), "SELECT 'toid' AS rule, count(*) FILTER (WHERE NOT coalesce(regexp_matches(id, '^\\d+-\\d+$'), false)) AS violations FROM effects UNION ALL SELECT 'balance', count(*) FILTER (WHERE NOT coalesce(regexp_matches(balance_id, '^B[0-9]+$'), false)) FROM effects UNION ALL SELECT 'ledger', count(*) FILTER (WHERE NOT coalesce(ledger BETWEEN 1 AND 2147483647, false)) FROM effects")
-_add("flt12_classify_time_bounds", lambda t: X.classify_time_bounds(t.transactions, 1055).select("hash", "min_time", "max_time", "bounds"), "SELECT hash, min_time, max_time, CASE WHEN min_time < 0 OR max_time < 0 OR (max_time > 0 AND max_time <= min_time) THEN 'invalid' WHEN min_time > 1055 THEN 'not_yet_valid' WHEN max_time > 0 AND max_time < 1055 THEN 'expired' WHEN max_time = 0 THEN 'open_ended' ELSE 'valid' END AS bounds FROM transactions")
 _add("flt13_lookup", lambda t: X.lookup(t.transactions.select(F.col("ledger").alias("sequence")), t.ledgers.select("sequence", "hash"), "sequence"), "SELECT r.sequence, l.hash, l.sequence IS NOT NULL AS found FROM (SELECT DISTINCT ledger AS sequence FROM transactions) r LEFT JOIN ledgers l ON l.sequence = r.sequence")
 
-_add("jn1_attach_ledgers", lambda t: J.attach_ledgers(N.normalize_payments(t.payments).withColumn("ledger", F.lit(None).cast("bigint")), t.transactions).select("id", "ledger"), "SELECT p.id, t.ledger FROM payments p LEFT JOIN transactions t ON t.hash = p.transaction_hash")
-_add("jn2_attach_trade_tx", lambda t: J.attach_trade_tx(N.normalize_trades(t.trades), t.operations).select("id", "operation_id", "transaction_hash"), f"SELECT n.id, n.operation_id, o.transaction_hash FROM {NT} n LEFT JOIN operations o ON CAST(o.id AS VARCHAR) = n.operation_id")
+_add("jn1_attach_ledgers", lambda t: J.attach_ledgers(N.normalize_payments(t.raw_payments).withColumn("ledger", F.lit(None).cast("bigint")), t.transactions).select("id", "ledger"), "SELECT p.id, t.ledger FROM payments p LEFT JOIN transactions t ON t.hash = p.transaction_hash")
+_add("jn2_attach_trade_tx", lambda t: J.attach_trade_tx(N.normalize_trades(t.raw_trades), t.operations).select("id", "operation_id", "transaction_hash"), f"SELECT n.id, n.operation_id, o.transaction_hash FROM {NT} n LEFT JOIN operations o ON CAST(o.id AS VARCHAR) = n.operation_id")
 _add("jn4_intent_vs_outcome", lambda t: J.intent_vs_outcome(t.operations, N.index_effects(t.effects)), f"SELECT coalesce(a.ledger, b.ledger) AS ledger, coalesce(a.tx_order, b.tx_order) AS tx_order, coalesce(a.n, 0) AS operations, coalesce(b.n, 0) AS effects FROM (SELECT ledger, tx_order, count(*) AS n FROM operations GROUP BY ALL) a FULL JOIN (SELECT id_ledger AS ledger, tx_order, count(*) AS n FROM {NE} GROUP BY ALL) b ON a.ledger = b.ledger AND a.tx_order = b.tx_order")
-_add("jn5_silent_operations", lambda t: J.silent_operations(t.operations, N.index_effects(t.effects)), f"SELECT ledger, count(*) AS silent FROM operations WHERE id NOT IN (SELECT toid FROM {NE} WHERE toid IS NOT NULL) GROUP BY ledger")
-_add("jn6_explain_codes", lambda t: J.explain_codes(N.normalize_transactions(t.transactions)).select("hash", "result_code", "explanation"), f"SELECT hash, result_code, CASE lower(trim(result_code)) WHEN 'tx_success' THEN 'The transaction succeeded.' WHEN 'tx_failed' THEN 'One of the operations failed.' WHEN 'tx_bad_seq' THEN 'The sequence number does not match the source account.' WHEN 'tx_insufficient_fee' THEN 'The fee is too small.' ELSE 'No explanation available.' END AS explanation FROM {NX}")
-_add("jn7_admissible_ledgers", lambda t: J.admissible_ledgers(t.transactions.where("max_ledger > 0"), t.ledgers).where("ledgers > 0"), "SELECT t.hash, min(l.sequence) AS earliest, count(*) AS ledgers FROM transactions t JOIN ledgers l ON l.sequence BETWEEN t.min_ledger AND t.max_ledger WHERE t.max_ledger > 0 GROUP BY t.hash")
 _add("jn7b_all_admissible_ledgers", lambda t: J.admissible_ledgers(t.transactions, t.ledgers), "SELECT t.hash, min(l.sequence) AS earliest, count(l.sequence) AS ledgers FROM transactions t LEFT JOIN ledgers l ON l.sequence >= t.min_ledger AND (t.max_ledger = 0 OR l.sequence <= t.max_ledger) GROUP BY t.hash")
-_add("jn8_trustline_state", lambda t: J.trustline_state(t.accounts.select(F.col("id").alias("account"), F.when(F.col("auth_required"), F.concat(F.lit("C"), F.col("id").substr(-2, 2).cast("int").cast("string"))).otherwise("C1").alias("asset_code")), t.trustlines), "SELECT r.account, r.asset_code, CASE WHEN l.is_authorized IS NULL THEN 'NOT_FOUND' WHEN l.is_authorized THEN 'AUTHORIZED' WHEN l.is_authorized_to_maintain_liabilities THEN 'MAINTAIN_LIABILITIES' ELSE 'UNAUTHORIZED' END AS state FROM (SELECT id AS account, CASE WHEN auth_required THEN 'C' || CAST(CAST(right(id, 2) AS INT) AS VARCHAR) ELSE 'C1' END AS asset_code FROM accounts) r LEFT JOIN trustlines l ON l.account = r.account AND l.asset_code = r.asset_code")
 _add("jn9_probe_storage", lambda t: J.probe_storage(t.storage, t.storage.select("contract_id", "key").distinct()).select("contract_id", "key", "durability", "value", "found"), "SELECT k.contract_id, k.key, d.durability, s.value, s.key IS NOT NULL AS found FROM (SELECT DISTINCT contract_id, key FROM storage) k CROSS JOIN (SELECT 'persistent' AS durability UNION ALL SELECT 'temporary') d LEFT JOIN storage s ON s.contract_id = k.contract_id AND s.key = k.key AND s.durability = d.durability")
-_add("jn10_created_balance_ids", lambda t: J.created_balance_ids(t.effects), "SELECT ledger, min_by(balance_id, event_id) AS balance_id FROM effects WHERE type = 'claimable_balance_created' GROUP BY ledger")
 _add("jn10b_created_balances_by_tx", lambda t: J.created_balances_by_tx(t.effects), f"SELECT toid // 4096 AS tx, balance_id FROM {NE} WHERE type = 'claimable_balance_created' UNION ALL SELECT DISTINCT toid // 4096, NULL FROM {NE} WHERE toid IS NOT NULL AND toid // 4096 NOT IN (SELECT toid // 4096 FROM {NE} WHERE type = 'claimable_balance_created' AND toid IS NOT NULL)")
-_add("jn11_claimable_lifecycle", lambda t: J.claimable_lifecycle(t.effects), "SELECT *, claimed - created AS age, claimed IS NULL AS still_open FROM (SELECT balance_id, min(ledger) FILTER (WHERE type = 'claimable_balance_created') AS created, min(ledger) FILTER (WHERE type = 'claimable_balance_claimed') AS claimed FROM effects WHERE balance_id IS NOT NULL GROUP BY balance_id) WHERE created IS NOT NULL")
-_add("jn12_diff_snapshots", lambda t: J.diff_snapshots(t.accounts.where("auth_required"), t.accounts.where("auth_revocable").withColumn("home_domain", F.when(F.col("auth_immutable"), "x").otherwise(F.col("home_domain"))), "id", "home_domain"), "SELECT coalesce(a.id, b.id) AS id, a.home_domain AS before, b.home_domain AS after, CASE WHEN a.home_domain IS NULL AND b.home_domain IS NOT NULL THEN 'set' WHEN a.home_domain IS NOT NULL AND b.home_domain IS NULL THEN 'removed' WHEN a.home_domain <> b.home_domain THEN 'changed' ELSE 'same' END AS change FROM (SELECT * FROM accounts WHERE auth_required) a FULL JOIN (SELECT id, CASE WHEN auth_immutable THEN 'x' ELSE home_domain END AS home_domain FROM accounts WHERE auth_revocable) b ON a.id = b.id")
 _EDGES = "SELECT selling AS src, buying AS dst, greatest(1, CAST(price_n AS BIGINT)) % 4 + 1 AS rate FROM offers UNION ALL SELECT buying, selling, CAST(price_d AS BIGINT) % 3 + 1 FROM offers"
 
 
@@ -117,74 +65,37 @@ w3 AS (SELECT w2.src, e.dst, target, w2.rate * e.rate AS rate, seen FROM w2 JOIN
 SELECT src, target, CAST(max(rate) AS BIGINT) AS rate FROM (SELECT src, dst, target, rate FROM w1 UNION ALL SELECT src, dst, target, rate FROM w2 UNION ALL SELECT src, dst, target, rate FROM w3) WHERE dst = target GROUP BY src, target""")
 _add("jn13b_all_quote_paths", lambda t: J.quote_paths(_edges(t), J.asset_pairs(_edges(t)), 3))
 _add("jn14_fee_bump_audit", lambda t: J.fee_bump_audit(t.transactions), "SELECT o.hash, o.inner_hash, o.fee_charged - i.fee_charged AS escalation, o.fee_account <> i.source_account AS payer_differs FROM transactions o JOIN transactions i ON i.hash = o.inner_hash")
-_add("jn18_config_drift", lambda t: J.config_drift(t.accounts, t.accounts.groupBy("home_domain").agg(F.min("low_threshold").alias("want_low"))), "SELECT a.id, a.low_threshold, e.want_low FROM accounts a JOIN (SELECT home_domain, min(low_threshold) AS want_low FROM accounts GROUP BY home_domain) e ON e.home_domain = a.home_domain WHERE a.low_threshold IS DISTINCT FROM e.want_low")
 
-_add("agg1_trade_summary", lambda t: A.trade_summary(N.normalize_trades(t.trades)), f"SELECT *, CASE WHEN base_volume = 0 THEN 0.0 ELSE round(CAST(counter_volume AS DOUBLE) / CAST(base_volume AS DOUBLE), 6) END AS vwap FROM (SELECT base_asset, counter_asset, count(*) AS trades, CAST(sum(base_amount) AS DECIMAL(38,7)) AS base_volume, CAST(sum(counter_amount) AS DECIMAL(38,7)) AS counter_volume, round(avg(price), 6) AS mean_price, max(price) AS high, min(price) AS low, min(close_time) AS first_time, max(close_time) AS last_time, count(*) FILTER (WHERE venue = 'orderbook') AS orderbook_trades, count(*) FILTER (WHERE venue = 'liquidity_pool') AS pool_trades FROM {NT} GROUP BY base_asset, counter_asset)")
-_add("agg2_payment_summary", lambda t: A.payment_summary(N.normalize_payments(t.payments)), f"SELECT inspected, count(*) AS total, count(*) FILTER (WHERE direction = 'incoming') AS incoming, count(*) FILTER (WHERE direction = 'outgoing') AS outgoing, count(*) FILTER (WHERE direction = 'self') AS self_payments, count(*) FILTER (WHERE direction = 'related') AS related FROM {NI} GROUP BY inspected")
-_add("agg3_payments_by_asset", lambda t: A.counts(A.with_direction(N.normalize_payments(t.payments)), "inspected", "asset"), f"SELECT inspected, asset, count(*) AS n FROM {NI} GROUP BY inspected, asset")
+_add("agg1_trade_summary", lambda t: A.trade_summary(N.normalize_trades(t.raw_trades)), f"SELECT *, CASE WHEN base_volume = 0 THEN 0.0 ELSE round(CAST(counter_volume AS DOUBLE) / CAST(base_volume AS DOUBLE), 6) END AS vwap FROM (SELECT base_asset, counter_asset, count(*) AS trades, CAST(sum(base_amount) AS DECIMAL(38,7)) AS base_volume, CAST(sum(counter_amount) AS DECIMAL(38,7)) AS counter_volume, round(avg(price), 6) AS mean_price, max(price) AS high, min(price) AS low, min(close_time) AS first_time, max(close_time) AS last_time, count(*) FILTER (WHERE venue = 'orderbook') AS orderbook_trades, count(*) FILTER (WHERE venue = 'liquidity_pool') AS pool_trades FROM {NT} GROUP BY base_asset, counter_asset)")
+_add("agg2_payment_summary", lambda t: A.payment_summary(N.normalize_payments(t.raw_payments)), f"SELECT inspected, count(*) AS total, count(*) FILTER (WHERE direction = 'incoming') AS incoming, count(*) FILTER (WHERE direction = 'outgoing') AS outgoing, count(*) FILTER (WHERE direction = 'self') AS self_payments, count(*) FILTER (WHERE direction = 'related') AS related FROM {NI} GROUP BY inspected")
+_add("agg3_payments_by_asset", lambda t: A.counts(A.with_direction(N.normalize_payments(t.raw_payments)), "inspected", "asset"), f"SELECT inspected, asset, count(*) AS n FROM {NI} GROUP BY inspected, asset")
 _add("agg4_ledger_effects_summary", lambda t: A.ledger_effects_summary(N.index_effects(t.effects)), f"SELECT ledger, count(*) AS effects, count(DISTINCT type) AS types, count(DISTINCT account) AS accounts, count(DISTINCT toid // 4096) AS transactions, count(DISTINCT toid) AS operations FROM {NE} GROUP BY ledger")
-_add("agg5_effects_by_type", lambda t: A.effects_by(N.normalize_effects(t.effects), "type"), f"SELECT type, count(*) AS n, count(DISTINCT subject) AS subjects FROM {NF} GROUP BY type")
-_add("agg6_effects_by_category", lambda t: A.share_of_total(N.normalize_effects(t.effects), "category"), f"SELECT category, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM effects), 1) AS share FROM {NF} GROUP BY category")
-_add("agg8_contract_event_summary", lambda t: A.contract_event_summary(N.normalize_contract_events(t.contract_events)), f"SELECT CASE WHEN g = 1 THEN 'name' WHEN g = 2 THEN 'type' ELSE 'total' END AS grouped_by, coalesce(name, type, '') AS value, n, first_ledger, last_ledger, failed FROM (SELECT name, type, grouping(name, type) AS g, count(*) AS n, min(ledger) FILTER (WHERE ledger > 0) AS first_ledger, max(ledger) FILTER (WHERE ledger > 0) AS last_ledger, count(*) FILTER (WHERE NOT successful) AS failed FROM {NC} GROUP BY GROUPING SETS ((name), (type), ()))")
-_add("agg9_most_active_contract", lambda t: A.most_active(t.contract_events, "contract_id", 1, "event_id"), "SELECT contract_id, n FROM (SELECT contract_id, count(*) AS n, min(event_id) AS f FROM contract_events GROUP BY contract_id) ORDER BY n DESC, f LIMIT 1")
-_add("agg10_offer_book_summary", lambda t: A.offer_book_summary(N.normalize_offers(t.offers)), f"SELECT count(*) AS offers, count(DISTINCT seller) AS sellers, count(DISTINCT pair) AS pairs FROM {NO}")
-_add("agg11_offer_totals", lambda t: A.offer_totals(N.normalize_offers(t.offers)), f"SELECT selling AS asset, 'selling' AS side, CAST(sum(amount) AS DECIMAL(38,7)) AS total FROM {NO} GROUP BY selling UNION ALL SELECT buying, 'buying', CAST(sum(CAST(buying_amount AS DECIMAL(38,7))) AS DECIMAL(38,7)) FROM {NO} GROUP BY buying")
-_add("agg12_order_book_depth", lambda t: A.order_book_depth(N.normalize_offers(t.offers)), f"SELECT *, CAST(sum(amount) OVER (PARTITION BY selling, buying ORDER BY price ROWS UNBOUNDED PRECEDING) AS DECIMAL(38,7)) AS depth FROM (SELECT selling, buying, price, CAST(sum(amount) AS DECIMAL(38,7)) AS amount FROM {NO} GROUP BY selling, buying, price)")
-_add("agg13_pool_summary", lambda t: A.pool_summary(N.normalize_pools(t.pools)), f"SELECT count(DISTINCT id) AS pools, count(*) AS reserve_entries, CAST(sum(participants) FILTER (WHERE place = 0) AS BIGINT) AS participants FROM {NR}")
-_add("agg14_pool_inventory", lambda t: A.pool_inventory(N.normalize_pools(t.pools)), f"SELECT kind, code, issuer, CAST(sum(amount) AS DECIMAL(38,7)) AS amount, count(*) AS n FROM {NR} GROUP BY kind, code, issuer")
-_add("agg15_asset_summary", lambda t: A.asset_summary(N.normalize_assets(t.assets)), f"SELECT count(*) AS records, count(DISTINCT asset_code) AS codes, count(DISTINCT asset_issuer) AS issuers, CAST(sum(holders) AS BIGINT) AS holders, CAST(sum(claimable_balances) AS BIGINT) AS claimable_balances FROM {NA}")
-_add("agg16_ambiguous_codes", lambda t: A.ambiguous_codes(N.normalize_assets(t.assets)), f"SELECT asset_code, count(DISTINCT asset_issuer) AS issuers FROM {NA} GROUP BY asset_code HAVING count(DISTINCT asset_issuer) > 1")
-_add("agg17_asset_stats", lambda t: A.asset_stats(t.trustlines), "SELECT asset_code, asset_issuer, CASE WHEN is_authorized THEN 'authorized' WHEN is_authorized_to_maintain_liabilities THEN 'maintain' ELSE 'unauthorized' END AS state, count(*) AS holders, CAST(sum(balance) AS DECIMAL(38,7)) AS balance FROM trustlines GROUP BY ALL")
-_FEES = "SELECT ledger // 1000 AS bucket, min(fee_charged) AS min_fee, (SELECT 1) AS one, percentile_disc(0.5) WITHIN GROUP (ORDER BY fee_charged) AS p50, percentile_disc(0.9) WITHIN GROUP (ORDER BY fee_charged) AS p90, percentile_disc(0.99) WITHIN GROUP (ORDER BY fee_charged) AS p99 FROM transactions GROUP BY 1"
-_MODE = "SELECT bucket, arg_max(fee, n * 1000000 - fee) AS mode_fee FROM (SELECT ledger // 1000 AS bucket, fee_charged AS fee, count(*) AS n FROM transactions GROUP BY 1, 2) GROUP BY bucket"
-_add("agg18_fee_stats", lambda t: A.fee_stats(t.transactions), f"SELECT f.bucket, min_fee, mode_fee, p50, p90, p99, greatest(100, p90) AS recommended FROM ({_FEES}) f JOIN ({_MODE}) m ON m.bucket = f.bucket")
-_add("agg19_fee_estimates", lambda t: A.fee_estimates(A.fee_stats(t.transactions)), f"SELECT bucket, operations, p50 * operations AS low, greatest(p50, p90) * operations AS recommended, greatest(p50, p90, p99) * operations AS high FROM ({_FEES}) CROSS JOIN (SELECT unnest([1::BIGINT, 2, 10]) AS operations)")
-_add("agg20_failure_summary", lambda t: A.counts(N.normalize_transactions(t.transactions).where("status = 'failed'"), "result_code"), f"SELECT result_code, count(*) AS n FROM {NX} WHERE status = 'failed' GROUP BY result_code")
-_add("agg21_counterparties", lambda t: A.counts(A.with_direction(N.normalize_payments(t.payments)).where("direction in ('incoming', 'outgoing')").select("inspected", F.when(F.col("direction") == "incoming", F.col("source")).otherwise(F.col("destination")).alias("counterparty")), "inspected", "counterparty"), f"SELECT inspected, CASE WHEN direction = 'incoming' THEN source ELSE destination END AS counterparty, count(*) AS n FROM {NI} WHERE direction IN ('incoming', 'outgoing') GROUP BY ALL")
+_add("agg5_effects_by_type", lambda t: A.effects_by(N.normalize_effects(t.raw_effects), "type"), f"SELECT type, count(*) AS n, count(DISTINCT subject) AS subjects FROM {NF} GROUP BY type")
+_add("agg6_effects_by_category", lambda t: A.share_of_total(N.normalize_effects(t.raw_effects), "category"), f"SELECT category, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM effects), 1) AS share FROM {NF} GROUP BY category")
+_add("agg8_contract_event_summary", lambda t: A.contract_event_summary(N.normalize_contract_events(t.raw_contract_events)), f"SELECT CASE WHEN g = 1 THEN 'name' WHEN g = 2 THEN 'type' ELSE 'total' END AS grouped_by, coalesce(name, type, '') AS value, n, first_ledger, last_ledger, failed FROM (SELECT name, type, grouping(name, type) AS g, count(*) AS n, min(ledger) FILTER (WHERE ledger > 0) AS first_ledger, max(ledger) FILTER (WHERE ledger > 0) AS last_ledger, count(*) FILTER (WHERE NOT successful) AS failed FROM {NC} GROUP BY GROUPING SETS ((name), (type), ()))")
+_add("agg10_offer_book_summary", lambda t: A.offer_book_summary(N.normalize_offers(t.raw_offers)), f"SELECT count(*) AS offers, count(DISTINCT seller) AS sellers, count(DISTINCT pair) AS pairs FROM {NO}")
+_add("agg11_offer_totals", lambda t: A.offer_totals(N.normalize_offers(t.raw_offers)), f"SELECT selling AS asset, 'selling' AS side, CAST(sum(amount) AS DECIMAL(38,7)) AS total FROM {NO} GROUP BY selling UNION ALL SELECT buying, 'buying', CAST(sum(CAST(buying_amount AS DECIMAL(38,7))) AS DECIMAL(38,7)) FROM {NO} GROUP BY buying")
+_add("agg12_order_book_depth", lambda t: A.order_book_depth(N.normalize_offers(t.raw_offers)), f"SELECT *, CAST(sum(amount) OVER (PARTITION BY selling, buying ORDER BY price ROWS UNBOUNDED PRECEDING) AS DECIMAL(38,7)) AS depth FROM (SELECT selling, buying, price, CAST(sum(amount) AS DECIMAL(38,7)) AS amount FROM {NO} GROUP BY selling, buying, price)")
+_add("agg14_pool_inventory", lambda t: A.pool_inventory(N.normalize_pools(t.raw_pools)), f"SELECT kind, code, issuer, CAST(sum(amount) AS DECIMAL(38,7)) AS amount, count(*) AS n FROM {NR} WHERE place IS NOT NULL GROUP BY kind, code, issuer")
+_add("agg15_asset_summary", lambda t: A.asset_summary(N.normalize_assets(t.raw_assets)), f"SELECT count(*) AS records, count(DISTINCT asset_code) AS codes, count(DISTINCT asset_issuer) AS issuers, CAST(sum(holders) AS BIGINT) AS holders, CAST(sum(claimable_balances) AS BIGINT) AS claimable_balances FROM {NA}")
+_add("agg16_ambiguous_codes", lambda t: A.ambiguous_codes(N.normalize_assets(t.raw_assets)), f"SELECT asset_code, count(DISTINCT asset_issuer) AS issuers FROM {NA} GROUP BY asset_code HAVING count(DISTINCT asset_issuer) > 1")
 _add("agg22_sponsorships", lambda t: A.counts(t.effects.where("type like '%_sponsorship_created'").withColumn("entry", F.regexp_replace("type", "_sponsorship_created$", "")), "sponsor", "entry"), "SELECT sponsor, replace(type, '_sponsorship_created', '') AS entry, count(*) AS n FROM effects WHERE type LIKE '%_sponsorship_created' GROUP BY ALL")
 _add("agg23_reserve_requirements", lambda t: A.reserve_requirements(t.accounts), "SELECT *, available <= 0 AS below FROM (SELECT id, balance, reserve_stroops, CAST(balance - CAST(reserve_stroops / 10000000 AS DECIMAL(19,7)) AS DECIMAL(38,7)) AS available FROM (SELECT id, balance, (2 + greatest(0, subentry_count - num_sponsored + num_sponsoring)) * 5000000 AS reserve_stroops FROM accounts))")
-_add("agg24_reserve_impact", lambda t: A.reserve_impact(t.accounts), "SELECT id, greatest(0, 2 + subentry_count + num_sponsoring - num_sponsored) AS entries_b, 2 + subentry_count AS entries_unsponsored, num_sponsoring * 5000000 AS responsibility, num_sponsored * 5000000 AS relief FROM accounts")
-_add("agg25_flag_audit", lambda t: A.flag_audit(t.accounts), "SELECT id, CAST(auth_required AS INT) + 2 * CAST(auth_revocable AS INT) + 4 * CAST(auth_immutable AS INT) + 8 * CAST(auth_clawback_enabled AS INT) AS mask, master_weight = 0 AS locked FROM accounts")
-_add("agg26_signing_power", lambda t: A.signing_power(t.accounts), "SELECT id, master_weight >= low_threshold AS master_low, master_weight >= med_threshold AS master_med, master_weight >= high_threshold AS master_high, master_weight + other_weight >= low_threshold AS all_low, master_weight + other_weight >= med_threshold AS all_med, master_weight + other_weight >= high_threshold AS all_high FROM accounts")
 _add("agg27_trustline_headroom", lambda t: A.trustline_headroom(t.trustlines), """SELECT account, asset_code, CAST("limit" - balance - buying_liabilities AS DECIMAL(38,7)) AS headroom, "limit" = 922337203685.4775807 AS unlimited, balance = 0 AS removable FROM trustlines""")
 _add("agg28_claimable_summary", lambda t: A.claimable_summary(t.claimables), "SELECT destination, asset, predicate, count(*) AS n, CAST(sum(amount) AS DECIMAL(38,7)) AS amount FROM claimables GROUP BY ALL")
-_add("agg29_claimable_at", lambda t: A.claimable_at(t.claimables, 500, 100).select("id", "destination", "claimable"), "SELECT id, destination, CASE predicate WHEN 'unconditional' THEN true WHEN 'absolute' THEN bound > 500 WHEN 'relative' THEN bound + 100 > 500 ELSE bound <= 500 END AS claimable FROM claimables")
 _add("agg30_batch_profile", lambda t: A.batch_profile(t.operations), "SELECT size, count(*) AS transactions FROM (SELECT transaction_hash, count(*) AS size FROM operations GROUP BY 1) GROUP BY size")
 _add("agg31_memo_breakdown", lambda t: A.share_of_total(t.transactions, "memo_type"), "SELECT memo_type, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM transactions), 1) AS share FROM transactions GROUP BY memo_type")
 _add("agg32_muxed_deposits", lambda t: A.muxed_deposits(t.payments), """SELECT "to", muxed_id, count(*) AS n, CAST(sum(amount) AS DECIMAL(38,7)) AS amount FROM payments GROUP BY ALL""")
-_add("agg33_simulation_profile", lambda t: A.simulation_profile(t.simulations), "SELECT contract_id, count(*) AS n, count(*) FILTER (WHERE status = 'success') AS success, count(*) FILTER (WHERE status = 'error') AS error, count(*) FILTER (WHERE status = 'restore') AS restore, CAST(sum(instructions) AS BIGINT) AS instructions, CAST(sum(read_bytes) AS BIGINT) AS read_bytes, percentile_disc(0.5) WITHIN GROUP (ORDER BY min_resource_fee) AS fee_p50 FROM simulations GROUP BY contract_id")
 _add("agg34_state_changes", lambda t: A.state_changes(t.simulations), "SELECT CASE WHEN before_value IS NULL AND after_value IS NULL THEN 'none' WHEN before_value IS NULL THEN 'created' WHEN after_value IS NULL THEN 'removed' ELSE 'updated' END AS kind, count(*) AS n FROM simulations GROUP BY 1")
-_RULES = [("not found", "not_found"), ("too late", "expired"), ("insufficient", "funds"), ("trap", "contract"), ("timeout", "network")]
-_add("agg36_triage_errors", lambda t: A.triage_errors(t.simulations, _RULES), "SELECT CASE " + " ".join(f"WHEN lower(message) LIKE '%{a}%' THEN '{b}'" for a, b in _RULES) + " ELSE 'unknown' END AS class, count(*) AS n FROM simulations GROUP BY 1")
-_add("agg37_ttl_report", lambda t: A.ttl_report(t.storage, 50010000), "SELECT contract_id, durability, CASE WHEN live_until_ledger - 50010000 <= 0 THEN 'expired' WHEN live_until_ledger - 50010000 < 17280 THEN 'expiring' ELSE 'healthy' END AS state, count(*) AS n, min(live_until_ledger - 50010000) AS least_left FROM storage GROUP BY 1, 2, 3")
-_add("agg38_archive_status", lambda t: A.archive_status(t.storage, 50010000), "SELECT contract_id, CASE WHEN live_until_ledger IS NULL THEN 'unknown' WHEN live_until_ledger < 50010000 THEN 'archived' ELSE 'accessible' END AS state, count(*) AS n FROM storage GROUP BY 1, 2")
 _add("agg39_auth_entries", lambda t: A.auth_entries(t.simulations, 50000000), "SELECT credential, signed, coalesce(CASE WHEN credential = 'address' THEN expiration_ledger < 50000000 END, false) AS expired, count(*) AS n, CAST(max(CASE WHEN credential = 'address' THEN floor((expiration_ledger - 50000000) * 5 / 60.0) END) AS BIGINT) AS most_minutes FROM simulations GROUP BY 1, 2, 3")
-_add("agg42_ledger_profile", lambda t: A.ledger_profile(t.ledgers), "SELECT sequence // 100 AS bucket, CAST(sum(successful_transaction_count) AS BIGINT) AS ok, CAST(sum(failed_transaction_count) AS BIGINT) AS failed, CAST(sum(operation_count) AS BIGINT) AS operations, round(CAST(sum(failed_transaction_count) AS DOUBLE) / CAST(nullif(sum(successful_transaction_count) + sum(failed_transaction_count), 0) AS DOUBLE), 6) AS failure_rate, count(DISTINCT protocol_version) AS protocols FROM ledgers GROUP BY 1")
-_add("agg44_operation_types", lambda t: A.counts(t.operations, "source_account", "type"), "SELECT source_account, type, count(*) AS n FROM operations GROUP BY ALL")
-_add("agg45_storage_summary", lambda t: t.storage.groupBy("contract_id", "durability").agg(F.count("*").alias("found"), F.count_if(F.col("value").isNull()).alias("without_value")), "SELECT contract_id, durability, count(*) AS found, count(*) FILTER (WHERE value IS NULL) AS without_value FROM storage GROUP BY ALL")
-_add("agg46_coverage", lambda t: A.coverage(t.ledgers, "sequence"), "SELECT min(sequence) AS oldest, max(sequence) AS newest, max(sequence) - min(sequence) + 1 - count(DISTINCT sequence) AS missing FROM ledgers")
 
 _add("win1_balance_history", lambda t: W.balance_history(X.native_balance_effects(t.effects), t.accounts), f"SELECT account, event_id, delta, CAST(balance - sum(delta) OVER (PARTITION BY account) + sum(delta) OVER (PARTITION BY account ORDER BY ledger, event_id ROWS UNBOUNDED PRECEDING) AS DECIMAL(38,7)) AS running FROM (SELECT e.account, e.event_id, e.ledger, e.delta, a.balance FROM {ND} e JOIN accounts a ON a.id = e.account WHERE e.delta IS NOT NULL)")
 _add("win2_latest_n", lambda t: W.latest_n(t.effects.select("account", "event_id", "type"), "account", "event_id", 5), "SELECT * FROM (SELECT account, event_id, type, CAST(row_number() OVER (PARTITION BY account ORDER BY event_id DESC) AS INT) AS rank FROM effects) WHERE rank <= 5")
-_add("win3_sequence_gaps", lambda t: W.sequence_gaps(t.transactions), "SELECT source_account, o_orderkey, step, CASE WHEN step = 0 THEN 'repeat' WHEN step < 0 THEN 'regression' WHEN step > 1 THEN 'gap' END AS kind FROM (SELECT source_account, o_orderkey, CAST(source_sequence - lag(source_sequence) OVER (PARTITION BY source_account ORDER BY o_orderkey) AS BIGINT) AS step FROM transactions) WHERE step IS NOT NULL AND step <> 1")
-_add("win4_ledger_chain", lambda t: J.ledger_chain(t.ledgers), "SELECT * FROM (SELECT l.sequence, CASE WHEN b.hash IS NULL THEN 'gap' WHEN b.hash <> l.prev_hash THEN 'hash' END AS problem FROM ledgers l LEFT JOIN ledgers b ON b.sequence + 1 = l.sequence) WHERE problem IS NOT NULL")
 _add("win5_status_transitions", lambda t: W.status_transitions(t.polls), "SELECT transaction_id, poll, status, lead(polled_at) OVER (PARTITION BY transaction_id ORDER BY polled_at, poll) - polled_at AS seconds, status IN ('completed', 'error') AS terminal FROM (SELECT *, lag(status) OVER (PARTITION BY transaction_id ORDER BY polled_at, poll) AS b FROM polls) WHERE b IS NULL OR b <> status")
-_add("win6_trade_bars", lambda t: W.trade_bars(N.normalize_trades(t.trades)), f"SELECT base_asset, counter_asset, ledger // 7 AS bucket, arg_min(price, (ledger, id)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (ledger, id)) AS close, CAST(sum(base_amount) AS DECIMAL(38,7)) AS volume FROM {NT} GROUP BY 1, 2, 3")
-_add("top1_ordered_counts", lambda t: A.counts(t.effects, "type").orderBy(F.desc("n"), "type"), "SELECT type, count(*) AS n FROM effects GROUP BY type ORDER BY n DESC, type")
-_add("top2_newest", lambda t: t.effects.select("event_id", "ledger").orderBy(F.desc("event_id")).limit(100), "SELECT event_id, ledger FROM effects ORDER BY event_id DESC LIMIT 100")
+_add("win6_trade_bars", lambda t: W.trade_bars(N.normalize_trades(t.raw_trades)), f"SELECT base_asset, counter_asset, ledger // 7 AS bucket, arg_min(price, (ledger, id)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (ledger, id)) AS close, CAST(sum(base_amount) AS DECIMAL(38,7)) AS volume FROM {NT} GROUP BY 1, 2, 3")
 _add("top4_most_active", lambda t: A.most_active(t.transactions, "source_account", 10), "SELECT source_account, count(*) AS n FROM transactions GROUP BY source_account ORDER BY n DESC, source_account LIMIT 10")
-_add("set1_union_payment_kinds", lambda t: A.counts(N.normalize_payments(t.payments.where("type like 'path%'")).unionByName(N.normalize_payments(t.payments.where("type not like 'path%'"))), "type"), "SELECT type, count(*) AS n FROM payments GROUP BY type")
-_add("set3_batch_overlap", lambda t: Q.batch_overlap(t.effects.where("event_id % 3 = 0"), t.effects.where("event_id % 2 = 0"), "event_id").select("event_id", "repeated"), "SELECT event_id, event_id % 3 = 0 AS repeated FROM effects WHERE event_id % 2 = 0")
 _add("set4_tier_difference", lambda t: Q.tier_difference(t.storage), "SELECT contract_id, key, CASE WHEN bool_or(durability = 'persistent') THEN 'persistent' ELSE 'temporary' END AS only_in FROM storage GROUP BY contract_id, key HAVING count(DISTINCT durability) = 1")
-_add("qlt1_asset_dimension", lambda t: Q.asset_dimension({"payments": (N.normalize_payments(t.payments), "asset"), "trades": (t.trades, "base_asset"), "offers": (t.offers.withColumnRenamed("last_modified_ledger", "ledger"), "selling")}), f"SELECT asset, count(*) AS uses, count(DISTINCT r) AS resources, min(ledger) AS first_ledger, max(ledger) AS last_ledger FROM (SELECT asset, 'p' AS r, ledger FROM {NP} UNION ALL SELECT base_asset, 't', ledger FROM trades UNION ALL SELECT selling, 'o', last_modified_ledger FROM offers) WHERE asset IS NOT NULL AND asset <> '' GROUP BY asset")
-_add("qlt2_audit_asset_refs", lambda t: Q.audit_asset_refs(t.pools, ["asset_a", "asset_b"]), "SELECT name, CASE WHEN coalesce(ref, '') = '' THEN 'empty' WHEN ref = 'native' THEN 'ok' WHEN instr(ref, ':') = 0 THEN 'no_issuer' ELSE 'ok' END AS reason, count(*) AS n FROM (SELECT 'asset_a' AS name, asset_a AS ref FROM pools UNION ALL SELECT 'asset_b', asset_b FROM pools) GROUP BY ALL")
-_add("qlt3_price_source_report", lambda t: Q.price_source_report(t.trades), "SELECT CASE WHEN price_d <> 0 THEN 'rational' WHEN base_amount <> 0 THEN 'amounts' ELSE 'none' END AS source, count(*) AS n FROM trades GROUP BY 1")
-_add("qlt4_id_report", lambda t: Q.id_report(t.effects), "SELECT CASE WHEN regexp_matches(id, '^\\d+-\\d+$') THEN 'toid' WHEN id IS NULL OR id = '' THEN 'empty' ELSE 'malformed' END AS pattern, count(*) AS n FROM effects GROUP BY 1")
 
-_add("str2_watch_accounts", lambda t: R.run_bounded(R.watch_accounts(R.stream_events(t.spark, t.folder), t.customer.where("c_custkey % 5 = 0").select(F.col("c_custkey").alias("user_id"))).select("event_id", "user_id"), t.spark), "SELECT event_id, user_id FROM events WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_custkey % 5 = 0)")
-_add("str3_resumable", lambda t: R.run_bounded(R.resumable(R.stream_events(t.spark, t.folder)).select("event_id"), t.spark), "SELECT DISTINCT event_id FROM events")
-_add("str7_stream_counts", lambda t: R.run_bounded(R.stream_counts(R.stream_events(t.spark, t.folder)), t.spark, "complete"), "SELECT CAST(floor(epoch(date_trunc('day', ts))) AS BIGINT) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
-_add("str8_stream_balances", lambda t: R.run_bounded(R.stream_balances(R.stream_events(t.spark, t.folder)), t.spark, "complete"), "SELECT user_id, CAST(sum(CAST(value AS DECIMAL(19,7))) AS DECIMAL(38,7)) AS balance, count(*) AS n FROM events GROUP BY user_id")
 
 # Nested raw columns over the flat views, for the operators that unnest them.
 _CALL = "named_struct('contract', {}, 'function', {}, 'args', {}, 'sub', {})"
@@ -194,12 +105,6 @@ _TREE = "parse_json(to_json(" + _CALL.format("contract_id", "concat('f', id % 3)
 _KEY = "named_struct('key_type', {}, 'contract', contract_id, 'key', cast(id % {} as string), 'durability', {})"
 
 
-def _raw_accounts(t: Tables):
-    return t.accounts.withColumn(
-        "balances", F.expr("array(named_struct('asset_type', 'credit_alphanum4', 'balance', cast(1 as decimal(19,7))), named_struct('asset_type', 'native', 'balance', balance))")
-    ).withColumn("signers", F.expr("array(named_struct('key', id, 'weight', master_weight), named_struct('key', concat('S', substr(id, -2)), 'weight', other_weight))"))
-
-
 def _raw_simulations(t: Tables):
     return t.simulations.select(
         F.col("id").cast("string").alias("id"), "contract_id", "status", F.col("message").alias("error"), F.col("min_resource_fee").cast("string").alias("min_resource_fee"), "instructions", "read_bytes", "write_bytes",
@@ -224,16 +129,6 @@ def _archive(t: Tables):
     return t.spark.read.schema("event_id long, ledger long").parquet(f"{path}/*")
 
 
-def _raw_payment_events(t: Tables):
-    text = lambda name, sql="cast(null as string)": F.expr(sql).alias(name)
-    return R.stream_events(t.spark, t.folder).select(
-        text("id", "cast(event_id as string)"), text("type", "if(event_id % 5 = 0, '', event_type)"), F.col("event_id").alias("ledger"), text("transaction_hash", "md5(cast(event_id as string))"),
-        text("source_account", "concat('G', user_id)"), text("from", "if(event_id % 2 = 0, concat('F', user_id), null)"), text("from_muxed"), text("to", "concat('T', user_id)"), text("to_muxed"), text("funder"), text("account"), text("into"), text("into_muxed"),
-        F.col("value").cast("decimal(19,7)").alias("amount"), F.lit(None).cast("decimal(19,7)").alias("destination_amount"), F.lit(None).cast("decimal(19,7)").alias("starting_balance"),
-        text("asset_type", "'native'"), text("asset_code"), text("asset_issuer"), text("destination_asset_type"), text("destination_asset_code"), text("destination_asset_issuer"),
-    )
-
-
 _OPFX = "SELECT *, concat(lpad(cast(id + CASE WHEN l_linenumber = 3 THEN 4000 ELSE 0 END as {}), 19, '0'), '-1') AS effect_id FROM operations"
 
 
@@ -241,15 +136,10 @@ def _operation_effects(t: Tables):
     return t.operations.select(F.expr("concat(lpad(cast(id + if(l_linenumber = 3, 4000, 0) as string), 19, '0'), '-1')").alias("id"), F.col("l_quantity").alias("delta"))
 
 
-_add("src1_read_table", lambda t: S.read_table(t.spark, _stored(t, t.ledgers.withColumn("closed_at", F.col("closed_at").cast("string")), "ledgers"), "ledgers"), "SELECT sequence, hash, prev_hash, successful_transaction_count, failed_transaction_count, operation_count, CAST(closed_at AS VARCHAR) AS closed_at, base_fee_in_stroops, base_reserve_in_stroops, protocol_version FROM ledgers")
 _add("src3_read_storage", lambda t: S.read_storage_entries(t.spark, _stored(t, t.storage, "storage_entries", by="durability"), "persistent").select("contract_id", "key", "durability", "value", "last_modified_ledger", "live_until_ledger"), "SELECT contract_id, key, durability, value, last_modified_ledger, live_until_ledger FROM storage WHERE durability = 'persistent'")
 _add("src4_read_simulations", lambda t: S.read_simulations(t.spark, _stored(t, _raw_simulations(t), "simulations", "json")).select("id", "status", F.col("read_only")[1]["key"].alias("second_key"), F.col("events")[0]["ok"].alias("first_ok"), F.col("_corrupt_record").isNotNull().alias("corrupt")), "SELECT CAST(id AS VARCHAR) AS id, status, CAST(id % 9 AS VARCHAR) AS second_key, id % 4 <> 0 AS first_ok, false AS corrupt FROM simulations")
-_add("nrm10_normalize_accounts", lambda t: N.normalize_accounts(_raw_accounts(t)), "SELECT id, CAST(balance AS DECIMAL(38,7)) AS native_balance, subentry_count, num_sponsored, num_sponsoring, master_weight AS primary_weight, CAST(other_weight > 0 AS BIGINT) AS cosigners FROM accounts")
-_add("nrm13_explode_account_data", lambda t: N.explode_account_data(t.accounts.select("id", F.create_map(F.lit("domain"), F.base64("home_domain"), F.lit("none"), F.lit("")).alias("data"))), "SELECT id, 'domain' AS name, home_domain AS value FROM accounts UNION ALL SELECT id, 'none', NULL FROM accounts")
 _add("jn3_attach_operation_refs", lambda t: J.attach_operation_refs(_operation_effects(t), t.operations), f"SELECT e.effect_id AS id, e.l_quantity AS delta, CAST(split_part(e.effect_id, '-', 1) AS BIGINT) AS operation_id, o.transaction_hash, o.ledger FROM ({_OPFX.format('varchar')}) e LEFT JOIN operations o ON o.id = CAST(split_part(e.effect_id, '-', 1) AS BIGINT)")
-_add("jn15_account_relationships", lambda t: J.account_relationships(_raw_accounts(t), t.trustlines, t.effects, N.normalize_payments(t.payments)), f"SELECT account, kind, other, count(*) AS n FROM (SELECT id AS account, 'signer' AS kind, 'S' || right(id, 2) AS other FROM accounts UNION ALL SELECT account, 'issuer', asset_issuer FROM trustlines UNION ALL SELECT account, 'sponsor', sponsor FROM effects UNION ALL SELECT source, 'counterparty', destination FROM {NP} UNION ALL SELECT destination, 'counterparty', source FROM {NP}) WHERE account <> other GROUP BY 1, 2, 3")
 _add("jn16_check_effect_scopes", lambda t: J.check_effect_scopes(t.operations.select("ledger", "id"), t.operations.join(t.transactions.where("tx_order <> 2").select(F.col("hash").alias("transaction_hash")), "transaction_hash").select("ledger", "id")), "SELECT ledger, id, 1 AS surplus FROM operations WHERE transaction_hash NOT IN (SELECT hash FROM transactions WHERE tx_order <> 2)")
-_add("jn17_diff_storage", lambda t: J.diff_storage(t.storage.where("last_modified_ledger % 3 <> 0"), t.storage.where("last_modified_ledger % 4 <> 0").withColumn("value", F.expr("if(last_modified_ledger % 7 = 0, 'new', value)"))), "SELECT contract_id, key, durability, before, after, CASE WHEN before IS NULL OR after IS NULL THEN 'unavailable' WHEN before = after THEN 'identical' ELSE 'changed' END AS state FROM (SELECT contract_id, key, durability, CASE WHEN last_modified_ledger % 3 <> 0 THEN value END AS before, CASE WHEN last_modified_ledger % 4 <> 0 THEN CASE WHEN last_modified_ledger % 7 = 0 THEN 'new' ELSE value END END AS after FROM storage WHERE last_modified_ledger % 3 <> 0 OR last_modified_ledger % 4 <> 0)")
 _add("agg7_effects_per_operation", lambda t: A.effects_per_operation(N.index_effects(_operation_effects(t)), t.operations), f"SELECT ledger, count(*) AS operations, CAST(coalesce(sum(n), 0) AS BIGINT) AS effects, count(*) FILTER (WHERE n IS NULL) AS without_effects, CAST(coalesce(sum(n), 0) AS DOUBLE) / count(*) AS effects_per_operation FROM operations o LEFT JOIN (SELECT CAST(split_part(effect_id, '-', 1) AS BIGINT) AS oid, count(*) AS n FROM ({_OPFX.format('varchar')}) GROUP BY 1) e ON e.oid = o.id GROUP BY ledger")
 _add("agg35_invocation_summary", lambda t: A.invocation_summary(t.simulations), "SELECT count(*) AS total, count(*) FILTER (WHERE status = 'success') AS succeeded, count(*) FILTER (WHERE status <> 'success') AS failed FROM simulations")
 _CALLS = """(SELECT id, 0 AS depth, contract_id AS root, contract_id AS contract, concat('f', id % 3) AS function, id % 4 AS args FROM simulations
@@ -260,15 +150,8 @@ _add("agg40_flatten_invocations", _calls, f"SELECT * FROM {_CALLS}")
 _add("agg40_invocation_trees", lambda t: A.invocation_trees(_calls(t)), f"SELECT id, count(*) AS calls, max(depth) AS deepest FROM {_CALLS} GROUP BY id")
 _add("agg41_footprint_keys", lambda t: A.footprint_keys(_raw_simulations(t)), "SELECT access, key_type, durability, count(*) AS n, count(DISTINCT key) AS keys FROM (SELECT 'read_only' AS access, 'contract_code' AS key_type, 'persistent' AS durability, id % 7 AS key FROM simulations UNION ALL SELECT 'read_only', 'contract_data', 'temporary', id % 9 FROM simulations UNION ALL SELECT 'read_write', 'contract_data', 'persistent', id % 11 FROM simulations) GROUP BY 1, 2, 3")
 _add("agg43_diagnostics", lambda t: A.diagnostics(_raw_simulations(t)), "SELECT type, contract, count(*) FILTER (WHERE good) AS ok, count(*) FILTER (WHERE NOT good) AS failed FROM (SELECT 'contract' AS type, contract_id AS contract, id % 4 <> 0 AS good FROM simulations UNION ALL SELECT 'diagnostic', contract_id, id % 3 = 0 FROM simulations) GROUP BY 1, 2")
-_add("str1_payment_stream", lambda t: R.run_bounded(R.payment_stream(_raw_payment_events(t)), t.spark), "SELECT CAST(event_id AS VARCHAR) AS id, CASE WHEN event_id % 5 = 0 THEN 'payment' ELSE event_type END AS type, event_id AS ledger, md5(CAST(event_id AS VARCHAR)) AS transaction_hash, concat(CASE WHEN event_id % 2 = 0 THEN 'F' ELSE 'G' END, user_id) AS source, concat('T', user_id) AS destination, CAST(CAST(value AS DECIMAL(19,7)) AS DECIMAL(38,7)) AS amount, 'native' AS asset FROM events")
 _add("str4_bounded_run", lambda t: R.run_bounded(R.stream_events(t.spark, t.folder).select("event_id", "event_type"), t.spark, seconds=600), "SELECT event_id, event_type FROM events")
 _add("str5_observe_counts", lambda t: R.observe_counts(R.stream_events(t.spark, t.folder), F.col("event_type") == "purchase", t.spark), "SELECT count(*) AS received, count(*) FILTER (WHERE event_type = 'purchase') AS passed FROM events")
 _add("str6_retention_gaps", lambda t: R.retention_gaps(_archive(t)), "SELECT ledger AS after, nxt AS before, nxt - ledger - 1 AS missing FROM (SELECT ledger, lead(ledger) OVER (ORDER BY ledger) AS nxt FROM (SELECT DISTINCT ledger FROM contract_events)) WHERE nxt > ledger + 1")
 
-
-def queries() -> dict:
-    return {name: (lambda spark, folder, run=run: run(Tables(spark, folder))) for name, (run, _) in _all.items()}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {name: with_views(sql) for name, (_, sql) in _all.items() if sql}
+from . import reports  # noqa: E402, F401  its queries join the list

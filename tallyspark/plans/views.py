@@ -18,12 +18,20 @@ DIALECT = {
         "epoch": lambda x: f"unix_seconds(cast({x} as timestamp))",
         "div": lambda a, b: f"(({a}) div {b})",
         "str": lambda x: f"cast({x} as string)",
+        "iso": lambda x: f"date_format(timestamp_seconds({x}), \"yyyy-MM-dd'T'HH:mm:ss'Z'\")",
+        "row": lambda *x: "named_struct(" + ", ".join("'{}', {}".format(n.strip(' \n"'), e) for n, e in (y.split("=", 1) for y in x)) + ")",
+        "list": lambda *x: "array(" + ", ".join(x) + ")",
+        "collect": lambda x: f"collect_list({x})",
     },
     "duck": {
         "days": lambda x: f"date_diff('day', date '1995-01-01', cast({x} as date))",
         "epoch": lambda x: f"cast(floor(epoch({x})) as bigint)",
         "div": lambda a, b: f"(({a}) // {b})",
         "str": lambda x: f"cast({x} as varchar)",
+        "iso": lambda x: f"strftime(make_timestamp(({x}) * 1000000), '%Y-%m-%dT%H:%M:%SZ')",
+        "row": lambda *x: "struct_pack(" + ", ".join("{} := {}".format(n.strip(), e) for n, e in (y.split("=", 1) for y in x)) + ")",
+        "list": lambda *x: "[" + ", ".join(x) + "]",
+        "collect": lambda x: f"list({x})",
     },
 }
 
@@ -99,13 +107,13 @@ FROM operations o JOIN part p ON o.l_partkey = p.p_partkey WHERE o.l_linestatus
 SELECT CASE WHEN event_id % 50 = 0 THEN 'no-toid-here' ELSE concat(lpad({str:({epoch:ts} - 1704067200) * 858993459 + (event_id % 30) * 4096 + event_id % 5}, 19, '0'), '-', lpad({str:event_id % 4 + 1}, 10, '0')) END AS id,
   50000000 + {div:{epoch:ts} - 1704067200,5} AS ledger,
   CASE event_id % 12 WHEN 0 THEN 'account_created' WHEN 1 THEN 'account_credited' WHEN 2 THEN 'account_debited' WHEN 3 THEN 'trustline_created' WHEN 4 THEN 'trustline_sponsorship_created' WHEN 5 THEN 'trade'
-    WHEN 6 THEN 'claimable_balance_created' WHEN 7 THEN 'claimable_balance_claimed' WHEN 8 THEN 'liquidity_pool_deposited' WHEN 9 THEN 'contract_credited' WHEN 10 THEN 'mystery' ELSE 'signer_created' END AS type,
+    WHEN 6 THEN 'claimable_balance_created' WHEN 7 THEN CASE WHEN event_id % 24 = 7 THEN 'claimable_balance_claimed' ELSE 'offer_created' END WHEN 8 THEN 'liquidity_pool_deposited' WHEN 9 THEN 'contract_credited' WHEN 10 THEN CASE WHEN event_id % 72 = 22 THEN 'claimable_balance_clawed_back' ELSE 'mystery' END ELSE 'signer_created' END AS type,
   concat('G', lpad({str:user_id}, 6, '0')) AS account,
   CASE WHEN event_id % 12 = 4 THEN concat('G', lpad({str:user_id % 7}, 6, '0')) END AS sponsor,
   CASE WHEN event_id % 24 = 1 THEN 'credit_alphanum4' ELSE 'native' END AS asset_type,
   cast(CASE WHEN event_id % 12 IN (1, 2) THEN value END as decimal(19,7)) AS amount,
   cast(CASE WHEN event_id % 12 = 0 THEN value END as decimal(19,7)) AS starting_balance,
-  CASE WHEN event_id % 12 IN (6, 7) THEN concat('B', {str:{div:event_id,12}}) END AS balance_id, event_id
+  CASE WHEN event_id % 12 = 6 OR event_id % 24 = 7 OR event_id % 72 = 22 THEN concat('B', {str:{div:event_id,12}}) END AS balance_id, event_id
 FROM events""",
     "contract_events": """
 SELECT {str:event_id} AS id, concat('C', {str:user_id % 25}) AS contract_id, 50000000 + {div:{epoch:ts} - 1704067200,5} AS ledger,
@@ -150,16 +158,85 @@ SELECT event_id AS id, concat('C', {str:user_id % 25}) AS contract_id, CASE even
     "polls": """
 SELECT concat('T', {str:user_id}) AS transaction_id, {epoch:ts} AS polled_at, event_id AS poll,
   CASE WHEN event_id % 10 < 4 THEN 'pending' WHEN event_id % 10 < 7 THEN 'processing' WHEN event_id % 10 < 9 THEN 'completed' ELSE 'error' END AS status FROM events""",
+    # The same records as their declared raw schemas have them: numbers as text, nested columns, defaults left out.
+    "raw_ledgers": """
+SELECT hash AS id, CASE WHEN sequence % 4 <> 0 THEN hash END AS hash, prev_hash, sequence, cast(successful_transaction_count as int) AS successful_transaction_count,
+  cast(CASE WHEN sequence % 6 <> 0 THEN failed_transaction_count END as int) AS failed_transaction_count, cast(operation_count as int) AS operation_count,
+  cast(CASE WHEN sequence % 3 <> 0 THEN operation_count + failed_transaction_count END as int) AS tx_set_operation_count, {iso:closed_at} AS closed_at, '105443902087.3472865' AS total_coins,
+  concat({str:sequence % 1000}, '.5') AS fee_pool, base_fee_in_stroops, base_reserve_in_stroops, cast(CASE WHEN sequence % 5 <> 0 THEN 100 END as int) AS max_tx_set_size, protocol_version FROM ledgers""",
+    "raw_transactions": """
+SELECT hash AS id, hash, successful, CASE WHEN o_orderkey % 2 = 0 THEN ledger END AS ledger_attr, CASE WHEN o_orderkey % 2 = 1 THEN ledger END AS ledger, {iso:ledger * 5} AS created_at, source_account,
+  {str:source_sequence} AS source_account_sequence, fee_account, {str:fee_charged} AS fee_charged, {str:max_fee} AS max_fee, cast(operation_count as int) AS operation_count, memo_type, memo,
+  CASE WHEN o_orderkey % 3 <> 0 THEN result_code END AS result_code,
+  CASE WHEN NOT successful THEN {row:transaction=result_code;operations=CASE o_orderkey % 4 WHEN 0 THEN {list:'op_success';'opUnderfunded';'op_success'} WHEN 1 THEN {list:'op_no_trust';'op_line_full'} WHEN 2 THEN {list:'op_success'} END} END AS result_codes,
+  CASE WHEN inner_hash IS NOT NULL THEN {row:hash=inner_hash;max_fee={str:max_fee}} END AS inner_transaction, min_time, max_time, min_ledger, max_ledger, o_orderkey FROM transactions""",
+    "raw_payments": """
+SELECT CASE WHEN cast(id as bigint) % 8 = 1 THEN '' ELSE id END AS id, id AS paging_token, CASE WHEN type = 'payment' AND cast(id as bigint) % 5 = 1 THEN NULL ELSE type END AS type, source_account,
+  {iso:ledger * 5} AS created_at, transaction_hash, true AS transaction_successful, ledger, "from", from_muxed, "to", to_muxed, {str:amount} AS amount, asset_type, asset_code, asset_issuer,
+  {str:amount} AS source_amount, asset_type AS source_asset_type, asset_code AS source_asset_code, asset_issuer AS source_asset_issuer, {str:destination_amount} AS destination_amount,
+  destination_asset_type, destination_asset_code, CASE WHEN cast(id as bigint) % 7 <> 0 THEN destination_asset_issuer END AS destination_asset_issuer, funder, account, {str:starting_balance} AS starting_balance, "into", into_muxed FROM payments""",
+    "raw_operations": """
+SELECT p.id, p.id AS paging_token, p.type, p.source_account, {iso:p.ledger * 5} AS created_at, p.transaction_hash, true AS transaction_successful, p."from", p."to", p.funder, p.account, p."into",
+  CASE WHEN cast(p.id as bigint) % 6 = 1 THEN 'G000001' END AS trustor, {str:p.amount} AS amount, p.asset_type, p.asset_code, p.asset_issuer FROM payments p""",
+    "raw_trades": """
+SELECT CASE WHEN ledger % 5 <> 0 THEN id END AS id, id AS paging_token, {iso:close_time} AS ledger_close_time, trade_type, base_account, base_liquidity_pool_id, {str:base_amount} AS base_amount,
+  'credit_alphanum12' AS base_asset_type, base_asset AS base_asset_code, cast(NULL as string) AS base_asset_issuer, CASE WHEN ledger % 3 <> 0 THEN counter_account END AS counter_account,
+  CASE WHEN ledger % 3 = 0 THEN 'Lcounter' END AS counter_liquidity_pool_id, {str:counter_amount} AS counter_amount, 'credit_alphanum12' AS counter_asset_type, counter_asset AS counter_asset_code,
+  cast(NULL as string) AS counter_asset_issuer, CASE WHEN ledger % 2 = 0 THEN true END AS base_is_seller, {row:n={str:price_n};d=CASE WHEN price_n % 50 = 7 THEN 'none' ELSE {str:price_d} END} AS price FROM trades""",
+    "raw_offers": """
+SELECT id, id AS paging_token, seller, {row:asset_type='credit_alphanum12';asset_code=selling;asset_issuer=cast(NULL as string)} AS selling,
+  {row:asset_type='credit_alphanum12';asset_code=buying;asset_issuer=cast(NULL as string)} AS buying, {str:amount} AS amount, {str:price} AS price, {row:n={str:price_n};d={str:price_d}} AS price_r,
+  last_modified_ledger, {iso:last_modified_ledger * 5} AS last_modified_time FROM offers""",
+    "raw_assets": """
+SELECT 'credit_alphanum12' AS asset_type, asset_code, CASE WHEN num_accounts % 7 <> 0 THEN asset_issuer END AS asset_issuer, concat(asset_code, '_', asset_issuer) AS paging_token, num_accounts,
+  CASE WHEN authorized IS NOT NULL THEN {row:authorized=CASE WHEN maintain % 3 <> 0 THEN authorized END;authorized_to_maintain_liabilities=maintain;unauthorized=unauthorized} END AS accounts,
+  CASE WHEN num_accounts % 2 = 0 THEN {row:authorized='12.5';authorized_to_maintain_liabilities={str:num_accounts};unauthorized=cast(NULL as string)} END AS balances, num_claimable_balances,
+  concat({str:num_accounts}, '.25') AS claimable_balances_amount, num_accounts % 4 AS num_liquidity_pools, '7.0000001' AS liquidity_pools_amount, cast(NULL as bigint) AS num_contracts, cast(NULL as string) AS contracts_amount,
+  CASE WHEN num_accounts % 5 <> 0 THEN {row:auth_required=num_accounts % 2 = 0;auth_revocable=cast(NULL as boolean);auth_immutable=false;auth_clawback_enabled=num_accounts % 3 = 0} END AS flags FROM assets""",
+    "raw_pools": """
+SELECT id, id AS paging_token, CASE WHEN p_partkey % 6 <> 0 THEN fee_bp END AS fee_bp, CASE WHEN p_partkey % 9 <> 0 THEN type END AS type, CASE WHEN p_partkey % 8 <> 0 THEN total_trustlines END AS total_trustlines,
+  {str:total_shares} AS total_shares, CASE WHEN p_partkey % 11 <> 0 THEN {list:{row:asset=asset_a;amount={str:amount_a}};{row:asset=CASE WHEN p_partkey % 10 = 0 THEN '' ELSE asset_b END;amount={str:amount_b}}} END AS reserves,
+  p_partkey AS last_modified_ledger, {iso:p_partkey * 5} AS last_modified_time FROM pools""",
+    "raw_claimables": """
+SELECT id, max(asset) AS asset, {str:max(amount)} AS amount, {collect:{row:destination=destination;predicate=predicate}} AS claimants, cast(min(o_orderkey) as bigint) AS last_modified_ledger FROM (
+  SELECT *, cast(substr(id, 2) as bigint) AS o_orderkey FROM (SELECT id, asset, amount, destination, translate(CASE bound % 7 WHEN 0 THEN '<"unconditional":true>' WHEN 1 THEN concat('<"before_absolute_time":"', {str:bound}, '">') WHEN 2 THEN concat('<"before_relative_time":"', {str:bound}, '">')
+    WHEN 3 THEN concat('<"not":<"before_absolute_time":"', {str:bound}, '">>') WHEN 4 THEN concat('<"and":[<"before_relative_time":"', {str:bound}, '">,<"not":<"before_absolute_time":"300">>]>')
+    WHEN 5 THEN concat('<"or":[<"not":<"unconditional":true>>,<"before_absolute_time":"', {str:bound}, '">]>') ELSE '<"odd":1>' END, '<>', concat(chr(123), chr(125))) AS predicate FROM claimables)) GROUP BY id""",
+    "raw_effects": """
+SELECT id, type, CASE WHEN event_id % 9 = 0 THEN '' WHEN event_id % 9 <> 1 THEN account END AS account, CASE WHEN event_id % 7 = 0 THEN 'G000003' END AS source_account, CASE WHEN type = 'account_created' THEN account END AS created_account,
+  CASE WHEN event_id % 11 = 0 THEN 'G000005' END AS destination, {iso:ledger * 5} AS created_at, CASE WHEN event_id % 36 = 1 THEN 'Ccontract' END AS contract, CASE WHEN event_id % 36 = 10 THEN {row:id={str:event_id}} END AS liquidity_pool,
+  CASE WHEN asset_type <> 'native' THEN 'USD' END AS asset_code, CASE WHEN asset_type <> 'native' AND event_id % 48 = 1 THEN 'G000009' END AS asset_issuer, CASE WHEN event_id % 8 <> 3 THEN asset_type END AS asset_type,
+  {str:amount} AS amount, {str:starting_balance} AS starting_balance, CASE WHEN event_id % 36 = 0 THEN account END AS trustor, cast(NULL as string) AS offer_id, CASE WHEN event_id % 36 = 9 THEN account END AS seller,
+  sponsor, cast(NULL as string) AS new_sponsor, cast(NULL as string) AS former_sponsor, balance_id, cast(NULL as int) AS weight, cast(NULL as string) AS name, event_id FROM effects""",
+    "raw_contract_events": """
+SELECT id, CASE WHEN event_id % 13 <> 0 THEN type END AS type, CASE WHEN event_id % 17 <> 0 THEN ledger END AS ledger, {iso:ledger * 5} AS ledger_closed_at, tx_hash,
+  CASE WHEN event_id % 19 = 0 THEN contract_id ELSE concat('C', lpad(translate(substr(contract_id, 2), '0189', 'WXYZ'), 55, 'A')) END AS contract_id,
+  CASE WHEN name IS NULL THEN NULL ELSE {list:{row:xdr_type=CASE WHEN event_id % 14 = 0 THEN 'scvString' ELSE 'scvSymbol' END;value=name};{row:xdr_type='scvU32';value='7'}} END AS topic,
+  CASE WHEN event_id % 15 <> 0 THEN {row:xdr_type=kind;value=typed} END AS value,
+  in_successful_contract_call, id AS paging_token, event_id FROM (SELECT *,
+  CASE event_id % 9 WHEN 0 THEN 'scvU32' WHEN 1 THEN 'scvI128' WHEN 2 THEN 'scvBytes' WHEN 3 THEN 'scvString' WHEN 4 THEN 'scvVec' WHEN 5 THEN 'scvMap' WHEN 6 THEN 'scvBool' WHEN 7 THEN 'scvU32' ELSE 'scvError' END AS kind,
+  CASE event_id % 9 WHEN 0 THEN {str:event_id} WHEN 1 THEN '-170141183460469231731687303715884105728' WHEN 2 THEN 'AQID' WHEN 3 THEN props
+    WHEN 4 THEN translate(concat('[<"type":"scvI64","value":"', {str:event_id}, '">,<"type":"scvVec","value":[<"type":"scvBool","value":"true">]>]'), '<>', concat(chr(123), chr(125)))
+    WHEN 5 THEN translate(concat('[<"key":<"type":"scvSymbol","value":"k">,"val":<"type":"scvU32","value":"', {str:event_id}, '">>,<"key":<"type":"scvU32","value":"2">,"val":<"type":"scvBytes","value":"AQID">>]'), '<>', concat(chr(123), chr(125)))
+    WHEN 6 THEN 'true' WHEN 7 THEN 'abc' ELSE 'x' END AS typed FROM contract_events)""",
+    "raw_accounts": """
+SELECT id, {str:num} AS sequence, cast(subentry_count as int) AS subentry_count, cast(CASE WHEN num % 5 <> 4 THEN num_sponsored END as int) AS num_sponsored, cast(num_sponsoring as int) AS num_sponsoring, CASE WHEN num % 9 = 0 THEN 'G000001' END AS sponsor, home_domain,
+  CASE WHEN num % 14 <> 0 THEN {row:low_threshold=low_threshold;med_threshold=med_threshold;high_threshold=high_threshold} END AS thresholds,
+  CASE WHEN num % 15 <> 0 THEN {row:auth_required=auth_required;auth_revocable=auth_revocable;auth_immutable=auth_immutable;auth_clawback_enabled=CASE WHEN auth_clawback_enabled THEN true END} END AS flags,
+  CASE WHEN num % 4 = 0 THEN {list:{row:key=id;weight=master_weight}} WHEN num % 13 = 0 THEN {list:{row:key='Sx';weight=other_weight}} ELSE {list:{row:key='Sx';weight=other_weight};{row:key=id;weight=master_weight};{row:key='Sy';weight=1}} END AS signers,
+  {list:{row:asset_type='credit_alphanum4';asset_code=concat('C', {str:num % 25});asset_issuer=concat('G', lpad({str:num % 10}, 6, '0'));balance=CASE WHEN num % 12 = 0 THEN '0.0000000' ELSE {str:balance} END;"limit"=CASE WHEN num % 6 = 0 THEN '922337203685.4775807' ELSE '20000' END;buying_liabilities={str:num % 30};selling_liabilities='1.5';is_authorized=num % 3 = 0;is_authorized_to_maintain_liabilities=num % 2 = 0;liquidity_pool_id=cast(NULL as string)};
+   {row:asset_type='liquidity_pool_shares';asset_code=cast(NULL as string);asset_issuer=cast(NULL as string);balance={str:num % 7};"limit"='9';buying_liabilities='0';selling_liabilities='0';is_authorized=true;is_authorized_to_maintain_liabilities=true;liquidity_pool_id=md5({str:num % 200 + 1})};
+   {row:asset_type='native';asset_code=cast(NULL as string);asset_issuer=cast(NULL as string);balance={str:balance};"limit"=cast(NULL as string);buying_liabilities='0';selling_liabilities='0';is_authorized=true;is_authorized_to_maintain_liabilities=true;liquidity_pool_id=cast(NULL as string)}} AS balances FROM (SELECT *, cast(substr(id, 2) as bigint) AS num FROM accounts)""",
 }
 
 
 def render(sql: str, dialect: str) -> str:
-    """Fill in {name:argument,...}; arguments may hold other ones."""
+    """Fill in {name:argument,...}; arguments may hold other ones. Those of rows (name=value) and lists end at semicolons."""
     f = DIALECT[dialect]
     pattern = re.compile(r"\{(\w+):([^{}]*)\}")
     while m := pattern.search(sql):
-        sql = sql[: m.start()] + f[m[1]](*m[2].split(",")) + sql[m.end() :]
-    return re.sub(r'"(\w+)"', r"`\1`", sql) if dialect == "spark" else sql
+        sql = sql[: m.start()] + f[m[1]](*m[2].split(";" if m[1] in ("row", "list", "collect", "iso", "str") else ",")) + sql[m.end() :]
+    return re.sub(r'"(from|to|into|limit)"', r"`\1`", sql) if dialect == "spark" else sql
 
 
 def needed(names) -> list[str]:

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.aggregates import with_direction
+from ..operators.filters import filter_direction
 from ..operators.normalize import normalize_payments
-from ..sources.tables import shared_folder
+from ..sources.tables import SCHEMAS, shared_folder
 
 
-def stream_table(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+def stream_payments(spark: SparkSession, folder: str, format: str = "parquet", files_per_trigger: int = 100) -> DataFrame:
+    """Raw payments as they arrive as files, with their declared schema."""
+    return spark.readStream.schema(SCHEMAS["payments"]).format(format).option("maxFilesPerTrigger", files_per_trigger).load(f"{folder}/payments")
 
 
 def stream_events(spark: SparkSession, folder: str) -> DataFrame:
@@ -19,22 +24,25 @@ def stream_events(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def watch_accounts(stream: DataFrame, accounts: DataFrame) -> DataFrame:
-    """Stream-static semi join with a watch list."""
-    return stream.join(accounts.select("user_id").distinct(), "user_id", "left_semi")
+def watch_accounts(payments: DataFrame, accounts: DataFrame, mode: str = "all") -> DataFrame:
+    """Normalised payments of a stream that touch a watched account (one-column list), a row for each account they touch,
+    with the direction from its side, as far as the mode lets it pass (see filter_direction)."""
+    touched = with_direction(payments).join(F.broadcast(accounts.toDF("inspected").distinct()), "inspected")
+    return filter_direction(touched, mode)
 
 
-def resumable(stream: DataFrame, token: str = "event_id", time: str = "ts", delay: str = "1 hour") -> DataFrame:
-    """Each token once, though the source may repeat it within the delay."""
+def resumable(stream: DataFrame, token: str, time: str, delay: str = "1 hour") -> DataFrame:
+    """Each token once, though the source may repeat it within the delay. What was taken before a stop does not come
+    again: a query that is started anew with its checkpoint goes on behind it."""
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([token])
 
 
-def stream_counts(stream: DataFrame, width: str = "1 day", delay: str = "1 hour") -> DataFrame:
-    return stream.withWatermark("ts", delay).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.unix_seconds("w.start").alias("start"), "event_type", "n")
+def stream_counts(stream: DataFrame, key: str, time: str, width: str = "1 day", delay: str = "1 hour") -> DataFrame:
+    return stream.withWatermark(time, delay).groupBy(F.window(time, width).alias("w"), key).agg(F.count("*").alias("n")).select(F.unix_seconds("w.start").alias("start"), key, "n")
 
 
-def stream_balances(stream: DataFrame) -> DataFrame:
-    return stream.groupBy("user_id").agg(F.sum(F.col("value").cast("decimal(19,7)")).cast("decimal(38,7)").alias("balance"), F.count("*").alias("n"))
+def stream_balances(stream: DataFrame, account: str, delta: str) -> DataFrame:
+    return stream.groupBy(account).agg(F.sum(F.col(delta).cast("decimal(19,7)")).cast("decimal(38,7)").alias("balance"), F.count("*").alias("n"))
 
 
 def payment_stream(stream: DataFrame) -> DataFrame:
@@ -42,33 +50,48 @@ def payment_stream(stream: DataFrame) -> DataFrame:
     return normalize_payments(stream)
 
 
-def run_bounded(stream: DataFrame, spark: SparkSession, mode: str = "append", seconds: float | None = None) -> DataFrame:
-    """Process what there is and stop, at the latest after so many seconds. Every batch goes to a table in the shared folder."""
-    where = shared_folder(spark, "stream")
-    writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{where}-state")
-    if mode == "append":
-        query = writer.format("parquet").option("path", where).start()
-    else:
-        query = writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(where)).start()
-    _await(query, seconds)
-    return spark.read.schema(stream.schema).parquet(where)
+def run_bounded(stream: DataFrame, spark: SparkSession, mode: str = "append", seconds: float | None = None, events: int | None = None, where: str | None = None) -> DataFrame:
+    """Process what there is and stop, at the latest after so many seconds, or once so many events have been written
+    (whole batches, so that a source with few files a batch stops closer). Every batch goes to a table in the shared
+    folder, under its number, which a batch that is repeated after a failure overwrites; a run that is given the folder
+    of an earlier one goes on behind it."""
+    where = where or shared_folder(spark, "stream")
+    path = lambda batch: f"{where}/batch={batch if mode == 'append' else 0}"
+    written = 0
+
+    def write(df: DataFrame, batch: int) -> None:
+        nonlocal written
+        df.write.mode("overwrite").parquet(path(batch))
+        if events is not None:
+            written += spark.read.parquet(path(batch)).count()
+
+    query = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{where}-state").foreachBatch(write).start()
+    began = time.monotonic()
+    while not query.awaitTermination(1):
+        if (seconds is not None and time.monotonic() - began > seconds) or (events is not None and written >= events):
+            query.stop()
+            break
+    if query.exception():
+        raise query.exception()
+    return spark.read.schema(stream.schema).parquet(f"{where}/batch=*")
 
 
-def _await(query, seconds: float | None = None) -> None:
-    if seconds is None:
-        query.awaitTermination()
-    elif not query.awaitTermination(seconds):
-        query.stop()
+def _await(query) -> None:
+    query.awaitTermination()
 
 
 def observe_counts(stream: DataFrame, condition, spark: SparkSession) -> DataFrame:
-    """(received, passed): rows that came and rows that met the condition, as the engine observed them on the way."""
-    seen = stream.observe("received", F.count("*").alias("n")).where(condition).observe("passed", F.count("*").alias("n"))
+    """(received, passed): rows that came and rows that met the condition, counted in the batch that they came in; each
+    batch's counts are a row of a table, so any number of batches adds up."""
+    seen = stream.select(F.coalesce(condition, F.lit(False)).alias("passed"))
     where = shared_folder(spark, "observed")
-    query = seen.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{where}-state").format("noop").start()
-    _await(query)
-    count = lambda name: sum(p.observedMetrics[name]["n"] for p in query.recentProgress if name in p.observedMetrics)
-    return spark.range(1).select(F.lit(count("received")).cast("long").alias("received"), F.lit(count("passed")).cast("long").alias("passed"))
+
+    def write(df: DataFrame, batch: int) -> None:
+        df.agg(F.count("*").alias("received"), F.count_if("passed").alias("passed")).write.mode("overwrite").parquet(f"{where}/batch={batch}")
+
+    _await(seen.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{where}-state").foreachBatch(write).start())
+    counted = spark.read.schema("received long, passed long").parquet(f"{where}/batch=*")
+    return counted.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("received", "passed")])
 
 
 def archive_events(stream: DataFrame, path: str, bucket: int = 10_000) -> None:

@@ -40,25 +40,26 @@ def test_against_sql(spark, duck, name):
     assert got == sorted(tuple(text(r[i]) for i in at) for r in rel.fetchall())
 
 
-def test_no_python_in_plans(spark):
-    t = Tables(spark, DATA)
-    plan = A.trade_summary(N.normalize_trades(t.trades))._jdf.queryExecution().toString()
-    assert "Python" not in plan and "CartesianProduct" not in plan
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
 
 
-TRADE = "id string, close_time long, ledger long, base_asset string, counter_asset string, base_amount decimal(19,7), counter_amount decimal(19,7), price_n long, price_d long, trade_type string, base_account string, base_liquidity_pool_id string, counter_account string"
+def test_no_python_in_plans(spark):
+    t = Tables(spark, DATA)
+    for df in (A.trade_summary(N.normalize_trades(t.raw_trades)), N.decode_event_values(t.raw_contract_events), A.claimable_at(t.raw_claimables, 5, "last_modified_ledger")):
+        plan = plan_of(df)
+        assert "Python" not in plan and "CartesianProduct" not in plan
 
 
-def test_trade_cases(spark):
-    d = decimal.Decimal
-    rows = [
-        ("123456789-0", 1, 1, "A", "B", d(100), d(25), 1, 4, "orderbook", "G1", None, "G2"),
-        ("nodashes", 2, 1, "A", "B", d(300), d(150), None, None, "liquidity_pool", None, "P", "G2"),
-    ]
-    n = N.normalize_trades(spark.createDataFrame(rows, TRADE))
-    assert [(r.operation_id, r.price, r.base_party) for r in n.orderBy("id").collect()] == [("123456789", 0.25, "G1"), ("nodashes", 0.5, "P")]
-    s = A.trade_summary(n).first()
-    assert (s.base_volume, s.counter_volume, s.mean_price, s.vwap, s.high, s.low, s.orderbook_trades, s.pool_trades) == (d(400), d(175), 0.375, 0.4375, 0.5, 0.25, 1, 1)
+def test_plans(spark):
+    t = Tables(spark, DATA)
+    for df in (A.ledger_effects_summary(N.index_effects(t.effects)), A.offer_book_summary(N.normalize_offers(t.raw_offers)), A.asset_summary(N.normalize_assets(t.raw_assets))):
+        assert "Expand" not in plan_of(df)
+    quotes = J.quote_paths(t.spark.createDataFrame([("A", "B", 2)], "src string, dst string, rate long"), t.spark.createDataFrame([("A", "B")], "src string, target string"))
+    assert "CartesianProduct" not in plan_of(quotes) and "NestedLoop" not in plan_of(quotes)
+    plain = spark.read.parquet(f"{DATA}/orders.parquet").withColumnRenamed("o_orderkey", "ledger")
+    recent = plan_of(X.recent_ledgers(plain, lookback=10))
+    assert "NestedLoop" not in recent and "GreaterThanOrEqual(o_orderkey" in recent  # the range reaches the scan
 
 
 def test_malformed_effect_ids(spark):
@@ -69,12 +70,14 @@ def test_malformed_effect_ids(spark):
 
 
 def test_reserves(spark):
-    rows = [("a", 3, 0, 0, decimal.Decimal(50)), ("b", 2, 0, 1, decimal.Decimal(50)), ("c", 1, 3, 0, decimal.Decimal(0))]
+    rows = [("a", 3, 0, 0, decimal.Decimal(50)), ("b", 2, 0, 1, decimal.Decimal(50)), ("c", 1, 3, 0, decimal.Decimal(0)), ("d", 4, 1, 0, decimal.Decimal(0)), ("e", 0, 0, 3, decimal.Decimal(0))]
     df = spark.createDataFrame(rows, "id string, subentry_count long, num_sponsored long, num_sponsoring long, balance decimal(19,7)")
     a = {r.id: r for r in A.reserve_requirements(df).collect()}
-    assert a["a"].reserve_stroops == 25_000_000 and a["b"].available == decimal.Decimal("47.5")
-    b = {r.id: r for r in A.reserve_impact(df).collect()}
-    assert b["c"].entries_b == 0 and b["c"].relief == 15_000_000
+    assert a["a"].reserve_stroops == a["d"].reserve_stroops == 25_000_000 and a["b"].available == decimal.Decimal("47.5")
+    ledgers = spark.createDataFrame([(1, 1), (2, 5_000_000)], "sequence long, base_reserve long")
+    b = {r.id: r for r in A.reserve_impact(df, ledgers).collect()}
+    assert b["c"].entries_b == 0 and b["c"].relief == 15_000_000 and b["e"].responsibility == 15_000_000 and b["e"].minimum == 25_000_000
+    assert A.reserve_impact(df, ledgers.limit(0)).where("minimum = 25000000").count() > 0
 
 
 def test_running_balance_ends_at_current(spark):
