@@ -6,8 +6,8 @@ the histogram (length -> count), whose size is bounded by the capacity and not b
 taken, the undominated fillings of the room around it are enumerated (a filling is dominated if swapping an item
 of it for a larger open one, or adding an open one, still fits), best fit first, and each is applied as often as
 the counts allow. A branch is cut when its waste exceeds what a better plan than the incumbent may waste. The
-first incumbent is plain best-fit decreasing. The search ends at the lower bound, when no branch is left, or after
-`node_limit` nodes; the plan says which lower bound it was held against and whether it is proved the best.
+first incumbent is plain best-fit decreasing. The search ends at the lower bound, when no branch is left, or when its
+`effort` is spent; the plan says which lower bound it was held against and whether it is proved the best.
 
 Spark then gives each item its rank among the items of its length and the plan's intervals of ranks give its
 sequence and place. Ranks are counted within (length, salt), with as many salts as a length has rows for, so no
@@ -260,21 +260,21 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[tuple[Fil
     return [x for group in rooms.values() for x in group]
 
 
-def fillings(room: int, counts: dict[int, int], limit: int, one_perfect: bool) -> tuple[list[Filling], bool]:
-    """Undominated fillings of room from counts, least waste first, and whether these are all that matter.
+def fillings(room: int, counts: dict[int, int], limit: int, one_perfect: bool) -> tuple[list[Filling], bool, int]:
+    """Undominated fillings of room from counts, least waste first, whether these are all that matter, and the choices made.
 
     Length after length, from the largest, decides how many of it go in, the most first; a stack holds the open choices.
     With one_perfect the first filling without waste is enough. `limit` choices end the search once a filling is found."""
     ascending = sorted(n for n, c in counts.items() if c and n <= room)
     if not ascending:
-        return [()], True
+        return [()], True, 1
     if ascending[-1] == room:
-        return [((room, 1),)], True
+        return [((room, 1),)], True, 1
     for n in reversed(ascending if one_perfect else ()):  # a perfect pair is the cheapest find
         if 2 * n < room:
             break
         if counts.get(room - n, 0) > (2 * n == room):
-            return [((n, 2),) if 2 * n == room else ((n, 1), (room - n, 1))], False
+            return [((n, 2),) if 2 * n == room else ((n, 1), (room - n, 1))], False, 1
     mass = list(itertools.accumulate((n * counts[n] for n in ascending), initial=0))
     found: dict[Filling, int] = {}
 
@@ -297,7 +297,7 @@ def fillings(room: int, counts: dict[int, int], limit: int, one_perfect: bool) -
         steps += 1
         i = bisect.bisect_right(ascending, left, 0, i)
         if left == 0 and one_perfect:
-            return [chosen], False
+            return [chosen], False, steps
         if left and left - mass[i] >= passed:  # whatever follows, an item passed by would fit
             continue
         if i == 0:
@@ -314,35 +314,29 @@ def fillings(room: int, counts: dict[int, int], limit: int, one_perfect: bool) -
             stack.append((left - k * n, i - 1, min(passed, n) if k < counts[n] else passed, chosen + ((n, k),) if k else chosen))
         if len(stack) > limit and found:
             break
-    return sorted(found, key=lambda f: (found[f], f)), not stack
+    return sorted(found, key=lambda f: (found[f], f)), not stack, steps
 
 
-def plan(counts: dict[int, int], capacity: int, node_limit: int = 20_000, fill_limit: int = 2_000) -> Plan:
-    """Every item once, in as few bins as the search finds.
-
-    The search ends at the lower bound, when every branch is cut (both prove the plan), or after node_limit nodes; a
-    node whose fillings were not all listed (fill_limit) leaves the plan unproved too, unless it meets the bound."""
-    counts = {n: c for n, c in counts.items() if c}
-    if not counts:
-        return Plan([], 0, 0, True)
-    bound = lower_bound(counts, capacity)
-    best = best_fit_decreasing(counts, capacity)
+def _search(counts: dict[int, int], capacity: int, best: list[tuple[Filling, int]], bound: int, effort: int, fill_limit: int) -> tuple[list[tuple[Filling, int]], bool, int]:
+    """The best plan found, at first the one given; whether no better one is left; and the effort that remains."""
     bins = sum(t for _, t in best)
     total = sum(n * c for n, c in counts.items())
     open_ = dict(counts)
     path: list[tuple[Filling, int]] = []
-    waste = nodes = 0
+    waste = 0
     whole = True
 
     def moves() -> Iterator[tuple[Filling, int]]:
-        nonlocal whole
+        nonlocal whole, effort
         big = max(open_)
         rest = dict(open_)
         rest[big] -= 1
-        listed, all_ = fillings(capacity - big, rest, fill_limit, True)
+        listed, all_, steps = fillings(capacity - big, rest, fill_limit, True)
+        effort -= steps
         for i in itertools.count():
             if i == len(listed) and not all_:  # the others, now that the first ones have led nowhere
-                others, all_ = fillings(capacity - big, rest, fill_limit, False)
+                others, all_, steps = fillings(capacity - big, rest, fill_limit, False)
+                effort -= steps
                 whole, all_ = whole and all_, True
                 listed += [f for f in others if f not in listed]
             if i == len(listed):
@@ -365,14 +359,14 @@ def plan(counts: dict[int, int], capacity: int, node_limit: int = 20_000, fill_l
         waste += sign * times * (capacity - used_by(filling))
 
     stack = [moves()] if bins > bound else []
-    while stack and nodes < node_limit and bins > bound:
+    while stack and effort > 0 and bins > bound:
         move = next(stack[-1], None)
         if move is None:
             stack.pop()
             if path:
                 apply(path.pop(), -1)
             continue
-        nodes += 1
+        effort -= NODE
         apply(move, 1)
         path.append(move)
         if waste > (bins - 1) * capacity - total:  # as many bins as the best plan, or more
@@ -382,7 +376,35 @@ def plan(counts: dict[int, int], capacity: int, node_limit: int = 20_000, fill_l
             apply(path.pop(), -1)
         else:
             stack.append(moves())
-    return Plan(best, bins, bound, bins == bound or (whole and not stack))
+    return best, whole and not stack, effort
+
+
+NODE = 20  # what a node costs beside the choices at it
+
+
+def plan(counts: dict[int, int], capacity: int, effort: int = 600_000, fill_limit: int = 2_000) -> Plan:
+    """Every item once, in as few bins as the search finds.
+
+    First only the items of the incumbent's imperfect bins are searched for a better plan, then all. The search ends at
+    the lower bound, when every branch is cut (both prove the plan), or when the effort (choices made) is spent; a node
+    whose fillings were not all listed (fill_limit) leaves the plan unproved too, unless it meets the bound."""
+    counts = {n: c for n, c in counts.items() if c}
+    if not counts:
+        return Plan([], 0, 0, True)
+    bound = lower_bound(counts, capacity)
+    best = best_fit_decreasing(counts, capacity)
+    whole = False
+    if sum(t for _, t in best) > bound:
+        perfect = [x for x in best if used_by(x[0]) == capacity]
+        others = [x for x in best if used_by(x[0]) < capacity]
+        left: dict[int, int] = {}
+        for filling, times in others:
+            for n, k in filling:
+                left[n] = left.get(n, 0) + k * times
+        found, _, rest = _search(left, capacity, others, bound - sum(t for _, t in perfect), effort // 2, fill_limit)
+        best, whole, _ = _search(counts, capacity, perfect + found, bound, effort // 2 + rest, fill_limit)
+    bins = sum(t for _, t in best)
+    return Plan(best, bins, bound, whole or bins == bound)
 
 
 def placements(fillings_: list[tuple[Filling, int]]) -> dict[int, np.ndarray]:
@@ -400,7 +422,7 @@ def placements(fillings_: list[tuple[Filling, int]]) -> dict[int, np.ndarray]:
     return {n: np.array(rows, dtype=np.int64) for n, rows in out.items()}
 
 
-def pack(items: DataFrame, order_by: list[str], length_col: str = "length", capacity: int = 4096, node_limit: int = 20_000, per_salt: int = 2_000) -> DataFrame:
+def pack(items: DataFrame, order_by: list[str], length_col: str = "length", capacity: int = 4096, effort: int = 600_000, per_salt: int = 2_000) -> DataFrame:
     """items with sequence_id, offset, fewest_possible (long) and proved (boolean): the lower bound on the number of
     sequences, and whether the plan is known to have as few as can be. Lengths are 1 to capacity. items must be a
     stored table (it is read three times and must not change between); order_by makes rows distinct enough to number
@@ -412,7 +434,7 @@ def pack(items: DataFrame, order_by: list[str], length_col: str = "length", capa
     counts = {r[0]: r[1] for r in lengths}
     if None in counts:
         raise ValueError(f"lengths must be 1 to {capacity}")
-    found = plan(counts, capacity, node_limit)
+    found = plan(counts, capacity, effort)
     shared = spark.sparkContext.broadcast(placements(found.fillings))  # bounded by the number of lengths, not of items
     salts = spark.createDataFrame([(n, -(-c // per_salt)) for n, c in counts.items()], "_n int, _salts long")
     salted = items.join(F.broadcast(salts), F.col(length_col).cast("int") == F.col("_n"))

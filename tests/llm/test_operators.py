@@ -154,7 +154,7 @@ def test_plan_beats_best_fit():
     counts = {37: 2500, 31: 1500, 47: 500}
     plan = whole_plan(counts, 100)
     assert plan.bins == 1875 < 2000 == sum(t for _, t in packing.best_fit_decreasing(counts, 100)) and not plan.proved
-    assert not whole_plan(counts, 100, node_limit=1).proved
+    assert not whole_plan(counts, 100, effort=1).proved
 
 
 def test_pack_runs_the_search(spark):
