@@ -26,6 +26,7 @@ from pyspark.sql import Window
 from .common import fresh, materialize, ship, without, worker_state
 
 BLOCK, LEVEL = 2048, 6
+CLOSE = 0.01  # a margin below this is measured again, more finely
 _state: dict = worker_state("language")
 _NOT_WORD = re.compile(r"[\W\d_]+")
 
@@ -52,16 +53,28 @@ def learn(docs: DataFrame, where: Column, text_col: str = "text", lang_col: str
         raise ValueError(f"more than {max_langs} languages")
     if not langs:
         return {}
-    # per_lang * max_langs small rows at most; the slice is what fits the dictionary
+    # per_lang * max_langs small rows at most, each of twice its share of the dictionary, as others may be shorter
     share = max(64, dict_bytes * 2 // per_lang)
     middle = F.greatest(F.lit(1), (F.char_length("text") / 2 - share / 2).cast("int"))
     slices = own.join(F.broadcast(pick), ["lang", "h"]).groupBy("lang", "h").agg(F.min(F.col("text").substr(middle, F.lit(share))).alias("text"))
-    out: dict[str, bytes] = {}
+    parts: dict[str, list[bytes]] = {}
     for r in slices.orderBy("lang", "h").collect():
-        out[r[0]] = (out.get(r[0], b"") + normal(r[2]))[-dict_bytes:]
+        parts.setdefault(r[0], []).append(normal(r[2]))
+    out = {k: b"".join(x[: _even([len(y) for y in v], dict_bytes)] for x in v) for k, v in parts.items()}
     return {k: v for k, v in out.items() if v.strip()}
 
 
+def _even(sizes: list[int], total: int) -> int:
+    """The largest size such that all of these, cut to it, come to at most total."""
+    left, most = total, 0
+    for i, n in enumerate(sorted(sizes)):
+        most = left // (len(sizes) - i)
+        if n > most:
+            return most
+        left -= n
+    return max(sizes, default=0)
+
+
 def _compressors(dicts: dict[str, bytes]):
     worker_state("language")
     key = hash(tuple(sorted(dicts.items())))
@@ -81,40 +94,57 @@ def _compressors(dicts: dict[str, bytes]):
     return _state["made"]
 
 
-def identify_texts(texts: list[str | None], dicts: dict[str, bytes]) -> list[tuple[str, float, float, int]]:
-    """(language, margin, score, letters) of each text."""
+def _size(compressor, raw: bytes) -> int:
+    return sum([len(compressor.compress(raw[i : i + BLOCK])) for i in range(0, len(raw), BLOCK)])
+
+
+def _order(sizes: list[tuple[int, str]]) -> tuple[list[tuple[int, str]], float]:
+    """Languages from the smallest size on, and the margin of the first."""
+    order = sorted(sizes)
+    return order, (order[1][0] - order[0][0]) / max(1, order[1][0]) if len(order) > 1 else 1.0
+
+
+def _turns(raw: bytes, most: int = 16) -> list[bytes]:
+    """The text begun at up to `most` of its words, what comes before put at the end: the sum of their sizes is finer than
+    the whole bytes of one."""
+    words = raw.split()
+    k = min(len(words), most)
+    return [b" " + b" ".join(words[j:] + words[:j]) + b" " for j in (i * len(words) // k for i in range(k))]
+
+
+def identify_texts(texts: list[str | None], dicts: dict[str, bytes]) -> list[tuple[str, float, float]]:
+    """(language, margin, score) of each text."""
     raws = [normal(t) if t else b"" for t in texts]
-    letters = [len(r) - r.count(b" ") if t and any(map(str.isalpha, t)) else 0 for t, r in zip(texts, raws)]
+    letters = [bool(t) and any(map(str.isalpha, t)) for t in texts]
     if not dicts:
-        return [("und", 0.0, 0.0, n) for n in letters]
+        return [("und", 0.0, 0.0) for _ in texts]
     # one compressor after the other over the whole batch: its tables stay in the processor's cache
-    sizes = []
-    for lang, c in _compressors(dicts):
-        sizes.append((lang, [sum([len(c.compress(r[i : i + BLOCK])) for i in range(0, len(r), BLOCK)]) for r in raws]))
+    made = _compressors(dicts)
+    sizes = [(lang, [_size(c, r) for r in raws]) for lang, c in made]
     out = []
-    for i, n in enumerate(letters):
-        if not n:
-            out.append(("und", 0.0, 0.0, 0))
+    for i, some in enumerate(letters):
+        if not some:
+            out.append(("und", 0.0, 0.0))
             continue
-        order = sorted((s[i], lang) for lang, s in sizes)
-        margin = (order[1][0] - order[0][0]) / max(1, order[1][0]) if len(order) > 1 else 1.0
-        out.append((order[0][1], margin, 1.0 - math.exp(-20.0 * margin) if len(order) > 1 else 1.0, n))
+        order, margin = _order([(s[i], lang) for lang, s in sizes])
+        if margin < CLOSE and len(turns := _turns(raws[i])) > 1:
+            order, margin = _order([(sum(_size(c, t) for t in turns), lang) for lang, c in made])
+        out.append((order[0][1], margin, 1.0 - math.exp(-20.0 * margin) if len(order) > 1 else 1.0))
     return out
 
 
-def identify(docs: DataFrame, dicts: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", narrow: float = 0.002, short: int = 200, prefix: str = "lang_") -> DataFrame:
+def identify(docs: DataFrame, dicts: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", narrow: float = 0.002, prefix: str = "lang_") -> DataFrame:
     """docs with lang_pred string, lang_margin double, lang_score double, lang_rejected boolean added (the names begin
-    with prefix); columns of these names are replaced.
-
-    Texts of fewer than `short` bytes of letters are not rejected for their margin: sizes are whole bytes there."""
+    with prefix); columns of these names are replaced. A text is rejected whose margin is below narrow, at any length;
+    of short texts, whose sizes are a few bytes, these are the ties."""
     ship(docs.sparkSession)
 
-    @F.arrow_udf("struct<lang:string,margin:double,score:double,letters:long>")
+    @F.arrow_udf("struct<lang:string,margin:double,score:double>")
     def run(texts: pa.Array) -> pa.Array:
         rows = [r for at in range(0, len(texts), 256) for r in identify_texts(texts.slice(at, 256).to_pylist(), dicts)]
-        columns = zip(*rows) if rows else ((), (), (), ())
-        kinds = (pa.string(), pa.float64(), pa.float64(), pa.int64())
-        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["lang", "margin", "score", "letters"])
+        columns = zip(*rows) if rows else ((), (), ())
+        kinds = (pa.string(), pa.float64(), pa.float64())
+        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["lang", "margin", "score"])
 
     # not deterministic for the planner: a later filter must not run it twice
     lid = fresh(docs, "_lid")
@@ -125,5 +155,5 @@ def identify(docs: DataFrame, dicts: dict[str, bytes], id_col: str = "doc_id", t
         r["lang"].alias(f"{prefix}pred"),
         r["margin"].alias(f"{prefix}margin"),
         r["score"].alias(f"{prefix}score"),
-        ((r["lang"] == "und") | ((r["margin"] < narrow) & (r["letters"] >= short))).alias(f"{prefix}rejected"),
+        ((r["lang"] == "und") | (r["margin"] < narrow)).alias(f"{prefix}rejected"),
     )
