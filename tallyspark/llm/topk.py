@@ -9,8 +9,9 @@ Cost: every query meets every candidate once, in blocks of bounded size; nothing
 rows emitted are at most k for each query and block.
 
 Defined cases: a vector that is null, or holds a null or non-finite component, takes no part; an all-zero
-vector takes part with score 0; vectors of other lengths lack the missing terms (weight 0). Repeated ids are
-separate candidates (ordered by id, so they tie), equal query rows are one query; a candidate with the query's own id is never returned.
+vector takes part with score 0; vectors of other lengths lack the missing terms (weight 0). Repeated rows are separate
+candidates (equal ids tie), equal query rows are one query; a candidate with the query's own id is never returned. Rows
+with a null id take no part; without queries or candidates the result is empty; only the named columns are used.
 Weights must fit 64-bit sums: |floor(256 x)| below 2**28 is safe up to 2**7 terms.
 """
 
@@ -112,8 +113,9 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, query_block: in
     left = (
         queries.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(qs)).cast("int")).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(cs - 1))))
     )
+    # by place in the stored table, so that equal rows are spread too
     right = (
-        candidates.withColumn("cb", F.pmod(F.xxhash64("id", "w"), F.lit(cs)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qs - 1))))
+        candidates.withColumn("cb", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(cs)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qs - 1))))
     )
     parts = max(1, min(qs * cs, 4000))
     left, right = left.repartition(parts, "cb", "qb"), right.repartition(parts, "cb", "qb")
