@@ -1,8 +1,9 @@
 """URL filter: rules, and gradient-boosted trees on lexical features for what no rule covers.
 
 Everything on the main path is DataFrame expressions and Spark's own tree learner; no Python runs on executors.
-The trees learn from labelled URLs (by default those that the rules decide). Training reads at most
-`train_rows` of them, taken by the hash of the URL; that bound is the only sample here.
+The trees learn from labelled URLs: those given, or else those that the rules decide. Training reads at most
+`train_rows` of them, taken by the hash of the URL; that bound is the only sample here. Suffix statistics are counted
+over all labelled URLs, once.
 
 Host: after the first `://` up to `/`, `?`, `#` or the end, A-Z lower-cased; path: from there up to `?`, `#` or the
 end. Defined cases: a null url or one without `://` has empty host and path, fits no rule and is judged by
@@ -77,11 +78,18 @@ def _lexical(df: DataFrame) -> DataFrame:
     )
 
 
-def _with_suffix_stats(df: DataFrame, labelled: DataFrame) -> DataFrame:
+def _suffix_stats(labelled: DataFrame) -> dict[str, DataFrame]:
     """Smoothed share of blocked urls by last label and by last two labels of the host, over all labelled urls."""
+    out = {}
     for key in ("suffix", "suffix2"):
-        stats = labelled.groupBy(key).agg(((F.sum("label") + 1) / (F.count("*") + 2)).alias(f"f_{key}"), F.count("*").alias("_n"))
-        df = df.join(stats.withColumnRenamed("_n", f"_n_{key}"), key, "left").fillna({f"f_{key}": 0.5})
+        stats = labelled.groupBy(key).agg(((F.sum("label") + 1) / (F.count("*") + 2)).alias(f"f_{key}"), F.count("*").alias(f"_n_{key}"))
+        out[key] = materialize(stats, f"urls-{key}")
+    return out
+
+
+def _with_suffix_stats(df: DataFrame, stats: dict[str, DataFrame]) -> DataFrame:
+    for key, table in stats.items():
+        df = df.join(table, key, "left").fillna({f"f_{key}": 0.5})
     return df.withColumn("f_suffix_n", F.log1p(F.coalesce("_n_suffix2", F.lit(0)).cast("double"))).drop("_n_suffix", "_n_suffix2")
 
 
@@ -90,19 +98,27 @@ def judge(
     id_col: str = "page_id",
     url_col: str = "url",
     rules=RULES,
+    labels: DataFrame | None = None,
     train_rows: int = 20_000,
     trees: int = 8,
     depth: int = 3,
     threshold: float = 0.5,
 ) -> DataFrame:
-    """(id, url, host, path, rule, verdict, blocked_score); blocked_score is null where a rule decides."""
+    """(id, url, host, path, rule, verdict, blocked_score); blocked_score is null where a rule decides. labels: labelled
+    urls (url, blocked), of which those without either take no part."""
     host, path = split_url(F.col("url"))
     base = pages.select(F.col(id_col), F.col(url_col).cast("string").alias("url"))
     base = base.withColumns({"host": host, "path": path})
     rule, by_rule = rule_columns(F.col("host"), F.col("path"), rules)
     base = base.withColumns({"rule": rule, "by_rule": by_rule})
-    names = _lexical(base.where("by_rule is not null").withColumn("label", (F.col("by_rule") == "block").cast("double")))
-    sample = _with_suffix_stats(names, names)
+    if labels is None:
+        known = base.where("by_rule is not null").select("url", "host", "path", (F.col("by_rule") == "block").cast("double").alias("label"))
+    else:
+        host, path = split_url(F.col("url"))
+        known = labels.where("url is not null and blocked is not null").select(F.col("url").cast("string").alias("url"), F.col("blocked").cast("boolean").cast("double").alias("label")).withColumns({"host": host, "path": path})
+    names = _lexical(known)
+    stats = _suffix_stats(names)
+    sample = _with_suffix_stats(names, stats)
     sample = materialize(
         sample.select("label", *FEATURES, F.xxhash64("url").alias("_o")).orderBy("_o").limit(train_rows).drop("_o").coalesce(4), "urls-train"
     )
@@ -114,7 +130,7 @@ def judge(
     vector = VectorAssembler(inputCols=FEATURES, outputCol="features")
     learner = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=7, labelCol="label", featuresCol="features")
     model = learner.fit(vector.transform(sample))
-    scored = model.transform(vector.transform(_with_suffix_stats(_lexical(base), names)))
+    scored = model.transform(vector.transform(_with_suffix_stats(_lexical(base), stats)))
     p = vector_to_array("probability")[1]
     return scored.select(
         *out,
