@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 def ship(spark: SparkSession) -> None:
@@ -38,12 +38,15 @@ def worker_state(name: str) -> dict:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: spark.checkpoint.dir, or, where unset (tests), an own temporary one."""
+    """The shared folder for intermediate tables: spark.checkpoint.dir; where unset, a local session (tests) has an own
+    temporary one, and any other is refused."""
     conf = spark.sparkContext.getConf()
     where = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
     if not where:
         where = spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a shared folder")
         where = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(where)
         where = spark.sparkContext.getCheckpointDir()
@@ -98,21 +101,27 @@ def likely_in(df: DataFrame, key: str, keys: DataFrame, log2_bits: int = 26) ->
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for every node of edges (a, b): the smallest node reachable.
 
-    Alternates the large-star and small-star steps; each is one aggregation and one join, so a hub's
-    neighbours are never gathered in one place. Every round is written to the shared folder.
-    Self loops and repeated edges change nothing; without edges the result is empty.
-    """
+    Alternates the large-star and small-star steps; each is one aggregation and one join. The few nodes of more than a
+    thousandth of the edges (2,000 at most, as each edge has two ends) get their label by broadcast, so that no hub's
+    edges meet in one task. Every round is written to the shared folder. Self loops and repeated edges change nothing;
+    without edges the result is empty; no convergence within the rounds is an error."""
+    most = 1000
+
+    def labelled(rows: DataFrame, own: Column) -> DataFrame:
+        """rows (a, b) with m, the least of own over the rows of a."""
+        least = rows.groupBy("a").agg(F.min(own).alias("m"), F.count("*").alias("_d"))
+        hubs = F.broadcast(least.where(F.col("_d") > most).select("a", "m"))
+        few = least.where(F.col("_d") <= most).select("a", "m")
+        return rows.join(hubs, "a").unionByName(rows.join(hubs.select("a"), "a", "left_anti").join(few, "a"))
 
     def large(e: DataFrame) -> DataFrame:
         both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        return labelled(both, F.least("a", "b")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
     def small(e: DataFrame) -> DataFrame:
         # a > b throughout
-        least = e.groupBy("a").agg(F.min("b").alias("m"))
-        moved = e.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        return moved.unionByName(least.select("a", F.col("m").alias("b")))
+        moved = labelled(e, F.col("b")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        return moved.unionByName(e.groupBy("a").agg(F.min("b").alias("b")))
 
     def stamp(e: DataFrame) -> tuple:
         row = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
@@ -124,11 +133,14 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if before[0] == 0:
             break
+        most = max(1000, before[0] // 1000)
         now = materialize(small(large(now)).distinct(), "cc")
         after = stamp(now)
         if after == before:
             break
         before = after
+    else:
+        raise RuntimeError(f"components did not converge in {rounds} rounds")
     pairs = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return pairs.unionByName(roots)
