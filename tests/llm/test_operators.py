@@ -43,6 +43,32 @@ def test_components_against_union_find(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_a_hub_and_a_chain(spark, monkeypatch):
+    from tallyspark.llm import common
+
+    hub = [(5000, i) for i in range(3000)] + [(i, i + 1) for i in range(6000, 6040)] + [(7, 7)]
+    df = spark.createDataFrame(hub, "a long, b long")
+    got = {r.node: r.component for r in connected_components(df).collect()}
+    assert len(got) == 3001 + 41 and {got[i] for i in (0, 2999, 5000)} == {0} and {got[i] for i in range(6000, 6041)} == {6000}
+    with pytest.raises(RuntimeError):
+        common.connected_components(df, rounds=1)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from tallyspark.llm import common
+
+    class Context:
+        master = "spark://somewhere:7077"
+        getConf = staticmethod(dict)
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        conf, sparkContext = {}, Context
+
+    with pytest.raises(ValueError):
+        common.scratch(Session)
+
+
 def test_likely_in_loses_nothing(spark):
     df, keys = spark.range(2000), spark.range(0, 2000, 7)
     got = {r.id for r in likely_in(df, "id", keys).collect()}
@@ -65,6 +91,65 @@ def test_top_k(spark):
     assert {(q, -s, i) for q, s, i in want} == {(q, s, i) for q, _, i, s in got}
 
 
+def test_top_k_of_repeated_rows_is_that_of_its_sql(spark, tmp_path):
+    import duckdb
+
+    v = lambda *x: [float(a) for a in x]
+    rows = [(50, v(1, 2)), (50, v(1, 2)), (1, v(1, 1)), (2, v(2, 2)), (2, v(2, 2)), (3, v(0, 0)), (None, v(1, 1)), (100, v(1, 2, 3)), (4, []), (6, v(math.inf, 1)), (7, v(1, 1))]
+    spark.createDataFrame([(i, x, "w", 1) for i, x in rows], "vec_id long, embedding array<float>, w string, rank int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in queries.op1_top_k(spark, str(tmp_path)).collect())
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert got == sorted(duck.sql(queries.OP1_SQL).fetchall()) and len(got) == 10
+    empty = topk.quantised(spark.createDataFrame([], "vec_id long, embedding array<float>"))
+    assert topk.top_k(empty, empty).count() == 0
+
+
+def test_segment_second_draws_and_inclusion():
+    """Draws without replacement: the second one has the probability of all ordered pairs that end in it; and
+    sums weighted by inclusion estimate those over all segmentations."""
+    lat = segment.lattice(PIECES, 1.0)
+    text = "tin on"
+    paths = {}
+
+    def walk(chunks, ids, lp):
+        if not chunks:
+            paths[tuple(ids)] = lp
+            return
+        def go(node, ids, lp):
+            if not lat.count[node]:
+                walk(chunks[1:], ids, lp)
+            for e in range(lat.first[node], lat.first[node] + lat.count[node]):
+                go(int(lat.to[e]), [*ids, int(lat.piece[e])], lp + lat.logp[e])
+        go(lat.start[chunks[0]], ids, lp)
+
+    n = 6000
+    drawn = segment.sample(lat, [text] * n, segment._mix(np.arange(n, dtype=np.uint64)), 3)
+    walk(segment.spaced(text).split(" "), [], 0.0)
+    p = {k: math.exp(v) for k, v in paths.items()}
+    assert sum(p.values()) == pytest.approx(1)
+    assert all(len({tuple(x[0]) for x in d}) == 3 for d in drawn)
+    assert all(x[1] == pytest.approx(paths[tuple(x[0])]) and x[2] >= y[2] for d in drawn for x, y in zip(d, d[1:]))
+    second = Counter(tuple(d[1][0]) for d in drawn)
+    want = {b: sum(p[a] * p[b] / (1 - p[a]) for a in p if a != b) for b in p}
+    for b, w in want.items():
+        if w > 0.02:
+            assert abs(second[b] / n - w) < 4 * math.sqrt(w * (1 - w) / n) + 0.002
+    # weighted by their inclusion the drawn ones stand for all: of any quantity, on average, the sum over all
+    for f in (lambda x: 1.0, len):
+        share = np.mean([sum(p[tuple(x[0])] * f(x[0]) / x[3] for x in d) for d in drawn])
+        assert share == pytest.approx(sum(v * f(k) for k, v in p.items()), rel=0.03)
+
+
+def test_segment_marks_and_long_words(spark):
+    long = "x" * 5000 + " 日本語" * 300
+    rows = {r.doc_id: r for r in segment.encode_samples(docs(spark, [(1, "a\u2581b"), (2, long), (3, "  two  spaces "), (4, "")]), PIECES, k=1).collect()}
+    assert [rows[i].round_trip for i in (1, 2, 3, 4)] == [False, True, True, True]
+    back = segment.decode(spark.createDataFrame([(rows[1].ids,), (rows[3].ids,)], "ids array<int>"), PIECES).collect()
+    assert {r.text for r in back} == {"a b", "  two  spaces "}
+    assert segment.encode_samples(docs(spark, []), PIECES).count() == 0
+
+
 def test_segment_matches_enumeration():
     lat = segment.Lattice(PIECES, 1.0)
     word = "abac"
@@ -211,6 +296,41 @@ def test_chat_round_trip(spark):
     assert "Python" not in out._jdf.queryExecution().toString()
 
 
+def test_chat_of_odd_rows(spark):
+    rows = [(None, 1, "user", "a", 9, "x"), (None, 0, "assistant", "b", 9, "x"), (3, None, "user", "n", 9, "x"), (3, 1, "user", "r", 9, "x"), (3, 1, "user", "r", 9, "x"), (4, 1, "assistant", "", 9, "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, ts int, blocks string")
+    got = {r.conv_id: [tuple(x) for x in r.t] for r in chat.format_chats(df).select("conv_id", chat.read_back(F.col("formatted")).alias("t")).collect()}
+    assert got == {None: [("assistant", "b"), ("user", "a")], 3: [("user", "n"), ("user", "r"), ("user", "r")], 4: [("assistant", "")]}
+    assert chat.format_chats(df.limit(0)).count() == 0
+    many = spark.range(4000).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.col("id").cast("string").alias("text"))
+    out = chat.format_chats(many).select(F.size("loss_spans").alias("n"), chat.masked_text(F.col("formatted"), F.col("loss_spans")).alias("m")).first()
+    assert out.n == 2000 and out.m == "".join(str(i) for i in range(1, 4000, 2))
+
+
+def test_secrets_base_against_plain():
+    """Base spans by a scanner that tries every start, over texts of the patterns' own parts."""
+    import re as regex
+
+    rng = np.random.default_rng(12)
+    parts = ["password", "PASSWD", "secret", "Token", "api_key", "apikey", '"', "'", " ", "  ", ":", "=", "abcdefgh", "Ab1+/_.=-", "AKIA", "AKIAABCDEFGHIJKL", "0123456789abcdef" * 2, "deadbeef" * 5, "\n", "é", "x"]
+    assign = regex.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", regex.I | regex.A)
+    kinds = ((assign, lambda m: len(m[1]) >= 8), (regex.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 16), (regex.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 32))
+    for _ in range(400):
+        text = "".join(rng.choice(parts, 12))
+        want = []
+        for kind, (pattern, fits) in enumerate(kinds):
+            at = 0
+            while at < len(text):
+                m = pattern.match(text, at)
+                if not m:
+                    at += 1
+                    continue
+                if fits(m):
+                    want.append((m.start(), kind, m.end()))
+                at = m.end()
+        assert secrets.scan(text)[0] == sorted(want), text
+
+
 def test_secrets_base_and_layers(spark):
     import base64
     import gzip
@@ -319,6 +439,37 @@ def test_urls(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_urls_learn_from_given_labels(spark):
+    rng = np.random.default_rng(3)
+    url = lambda bad: f"http://{'x9k2q7' if bad else 'garden'}{rng.integers(1000)}.org/{'a=1&b=2?' + 'z' * 30 if bad else 'news'}"
+    labels = [(url(i % 2 == 0), i % 2 == 0) for i in range(600)]
+    fresh = [(i, url(i % 2 == 0)) for i in range(200)] + [(900, None), (901, "http://a.com/x")]
+    pages = spark.createDataFrame([(i, u, "h", "s") for i, u in fresh], "page_id long, url string, host string, suffix string")
+    out = {r.page_id: r for r in urls.judge(pages, labels=spark.createDataFrame(labels, "url string, blocked boolean")).collect()}
+    right = sum((out[i].verdict == "block") == (i % 2 == 0) for i in range(200))
+    assert right >= 190 and out[901].verdict == "allow" and out[901].blocked_score is None and len(out) == len(fresh)
+    # labels of one class, or none, give that class, or allow
+    for some, want in ((labels[::2], "block"), (labels[1::2], "allow"), ([], "allow")):
+        got = urls.judge(pages, labels=spark.createDataFrame(some, "url string, blocked boolean")).where("rule is null").select("verdict").distinct().collect()
+        assert [r.verdict for r in got] == [want]
+
+
+def test_urls_rules_against_plain(spark):
+    import re as regex
+
+    hosts = ["com", "a.com", "xcom", "EXAMPLE.com", "www.example.com", "w.www.example.com", "net", "n.net", "example.com.net", "", "org:80"]
+    paths = ["", "/", "/en/", "/en", "/es/x", "/fr/", "?q=/en/", "#/en/", "/EN/", "/en/?a#b"]
+    rows = list(enumerate([f"{s}{h}{p}" for s in ("http://", "x://y://", "//", "") for h in hosts for p in paths] + ["http://net/es/\nx"]))
+    got = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    for i, u in rows:
+        m = regex.search(r"://([^/?#]*)([^?#]*)", u, regex.S)
+        host, path = (m[1].translate({c: c + 32 for c in range(65, 91)}), m[2]) if m else ("", "")
+        fits = [(len(h + p), h + p, v) for v, h, p in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        best = max(fits, default=None)
+        assert (got[i].host, got[i].path, got[i].rule) == (host, path, best[1] if best else None), u
+        assert not best or got[i].verdict == best[2]
+
+
 def brute_components(rows, words, percent):
     sets = {}
     for i, t in rows:
@@ -389,6 +540,18 @@ def hot_and_pairs(rng, hot, pairs, cos):
     return near(rng, np.repeat(unit(rng.normal(size=(1, 64))), hot, axis=0), 0.999), x, near(rng, x, cos)
 
 
+def test_near_vectors_of_repeated_ids_and_many_lengths(spark):
+    rows = [(1, [1.0, 0.0])] * 3 + [(2, [1.0, 0.0]), (3, [0.0, 1.0]), (None, [1.0, 0.0])]
+    rows += [(100 * d + i, [1.0] * d) for d in range(3, 70) for i in range(2)]
+    df = spark.createDataFrame([(i, v, 1, "m") for i, v in rows], "vec_id long, embedding array<double>, rep int, mult string")
+    got = vectors.near_vectors(df).collect()
+    assert len(got) == len(rows)
+    links = {(r.vec_id, r.n_links, r.component_id, r.kept) for r in got}
+    assert {(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True), (None, 0, None, True)} <= links
+    assert all((100 * d + i, 1, 100 * d, i == 0) in links for d in range(3, 70) for i in range(2))
+    assert vectors.near_vectors(df.limit(0)).count() == 0
+
+
 def test_near_vectors_finds_far_links_beside_a_hot_group(spark):
     group, a, b = hot_and_pairs(np.random.default_rng(4), 600, 700, 0.91)
     rows = [(i, v.tolist()) for i, v in enumerate(np.vstack([group, a, b]))]
@@ -430,6 +593,38 @@ def test_language(spark):
     assert language.identify(docs(spark, [(1, "abc")]), language.learn(docs(spark, []), F.lit(True))).first().lang_pred == "und"
 
 
+def test_language_against_plain(spark):
+    """Sizes by the library's own compressor, without blocks' reuse, decide; ties are rejected at every length."""
+    import zstandard
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    dicts = language.learn(rows, F.lit(True), per_lang=50, dict_bytes=4096)
+    assert set(dicts) == {r[0] for r in rows.where("lang is not null").select("lang").distinct().collect()} and all(2000 < len(d) <= 4096 for d in dicts.values())
+    made = {}
+    for lang, d in dicts.items():
+        z = zstandard.ZstdCompressionParameters.from_level(language.LEVEL, source_size=language.BLOCK, dict_size=len(d), min_match=3, write_content_size=False, write_checksum=False, write_dict_id=False)
+        made[lang] = lambda raw, d=d, z=z: sum(len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=z).compress(raw[i : i + language.BLOCK])) for i in range(0, len(raw), language.BLOCK))
+    texts = [r.text for r in rows.select("text").limit(40).collect()] + ["a", "12 3", "", None, "q"]
+    for t, (lang, margin, score) in zip(texts, language.identify_texts(texts, dicts)):
+        if not t or not any(map(str.isalpha, t)):
+            assert (lang, margin, score) == ("und", 0.0, 0.0)
+            continue
+        sizes = sorted((f(language.normal(t)), name) for name, f in made.items())
+        plain = (sizes[1][0] - sizes[0][0]) / sizes[1][0]
+        assert 0 <= score <= 1 and (plain < language.CLOSE or (lang, margin) == (sizes[0][1], plain))
+    same = {k: next(iter(dicts.values())) for k in ("xx", "aa", "mm")}
+    out = language.identify(docs(spark, [(1, "some words that tie"), (1, "some words that tie"), (2, "long " * 3000)]), same).collect()
+    assert all(r.lang_pred == "aa" and r.lang_rejected and r.lang_margin == 0 for r in out) and len(out) == 3
+    assert language.identify(docs(spark, []), dicts).count() == 0
+
+
+def test_even_cuts():
+    for sizes, total in (([5, 5], 20), ([5, 50, 500], 60), ([], 5), ([7], 3), ([0, 0, 9], 4)):
+        cut = language._even(sizes, total)
+        assert sum(min(n, cut) for n in sizes) <= total
+        assert cut >= max(sizes, default=0) or sum(min(n, cut + 1) for n in sizes) > total
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(5)
     plain = ["table", "window", "garden", "river", "simple", "morning", "walking", "letter", "number", "yellow"]
