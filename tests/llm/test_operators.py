@@ -307,6 +307,16 @@ def test_chat_of_odd_rows(spark):
     assert out.n == 2000 and out.m == "".join(str(i) for i in range(1, 4000, 2))
 
 
+def test_secrets_of_odd_rows(spark):
+    rows = [*ODD, (9, "token=abcdefgh12"), (9, "token=abcdefgh12"), (10, "a " * 60_000 + "secret: hunter2hunter2")]
+    df = docs(spark, rows).withColumn("spans", F.lit("mine")).withColumn("base", F.lit(0))
+    got = secrets.find_secrets(df).collect()
+    assert sorted((str(r.doc_id), len(r.base), len(r.spans)) for r in got) == sorted((str(i), int(i in (9, 10)), int(i in (9, 10))) for i, _ in rows)
+    clean = secrets.redact(df)
+    assert clean.columns == df.columns and clean.where("text like '%hunter2%' or text like '%abcdefgh12%'").count() == 0 and clean.count() == len(rows)
+    assert secrets.find_secrets(df.limit(0)).count() == secrets.redact(df.limit(0)).count() == 0
+
+
 def test_secrets_base_against_plain():
     """Base spans by a scanner that tries every start, over texts of the patterns' own parts."""
     import re as regex
