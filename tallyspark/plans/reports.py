@@ -433,8 +433,8 @@ add(
 )
 add(
     "agg38_archive_status",
-    lambda t: A.archive_status(t.storage, _raw_simulations(t).where("id % 1000 < 7"), 50010000),
-    "SELECT contract_id, CASE WHEN contract_id IN (SELECT contract_id FROM simulations WHERE status = 'restore' AND id % 1000 < 7) OR live_until_ledger < 50010000 THEN 'archived' WHEN live_until_ledger IS NULL THEN 'unknown' ELSE 'accessible' END AS state, count(*) AS n FROM storage GROUP BY 1, 2",
+    lambda t: A.archive_status(t.storage, _raw_simulations(t), 50010000),
+    "SELECT contract_id, CASE WHEN contract_id IN (SELECT contract_id FROM simulations WHERE status = 'restore') OR live_until_ledger < 50010000 THEN 'archived' WHEN live_until_ledger IS NULL THEN 'unknown' ELSE 'accessible' END AS state, count(*) AS n FROM storage GROUP BY 1, 2",
 )
 add(
     "agg42_ledger_profile",
