@@ -27,7 +27,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without a letter and texts whose margin is narrow; the predicted language fills a null lang."""
+    """Rejects texts without a letter (null and empty ones among them) and texts whose margin is narrow, at any length; the
+    predicted language fills a null lang. Repeated rows go or stay together; without any learned language all go."""
     dicts = language.learn(docs, F.lit(True))
     own = "found_"
     while any(c.lower().startswith(own) for c in docs.columns):
@@ -47,12 +48,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every finding is replaced by a mark; no document goes."""
+    """Every finding is replaced by a mark; no document goes. Null and empty texts stay as they are, long ones are scanned
+    whole, repeated rows give repeated results, and n_chars follows the text."""
     return secrets.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces with their token ids, sequence and place."""
+    """Pieces with their token ids, sequence and place. A null or empty text is one piece of the end id, a long one is cut
+    into pieces, repeated rows are packed as separate documents, and of no documents there are no pieces."""
     return packing.pack_documents(docs, tokenizer("word_bpe_49k.json"), 4096, 1, keep_ids=True)
 
 
