@@ -68,32 +68,29 @@ def format_chats(rows: DataFrame, loss_role: str = "assistant") -> DataFrame:
         .withColumn("runs", runs)
         .select("conv_id", F.transform("runs", block).alias("blocks"))
     )
-    # Running sums: the place of each block, then of each assistant text inside it.
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
-
     def spans_of(b: Column, at: Column) -> Column:
-        first = F.struct((at + b["head"]).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
-        return F.aggregate(
-            b["own"],
-            first,
-            lambda acc, n: F.struct(
-                (acc["at"] + n + len(sep)).alias("at"),
-                F.concat(acc["spans"], F.array(F.struct(acc["at"].alias("start"), n.alias("length")))).alias("spans"),
-            ),
-            lambda acc: acc["spans"],
-        )
+        return F.zip_with(running(F.transform(b["own"], lambda n: n + len(sep))), b["own"], lambda s, n: F.struct((at + b["head"] + s).alias("start"), n.alias("length")))
 
-    loss = F.aggregate(
-        "blocks",
-        zero,
-        lambda acc, b: F.struct(
-            (acc["at"] + F.char_length(b["text"])).alias("at"), F.concat(acc["spans"], spans_of(b, acc["at"])).alias("spans")
-        ),
-        lambda acc: acc["spans"],
-    )
+    places = running(F.transform("blocks", lambda b: F.char_length(b["text"])))
+    loss = F.flatten(F.zip_with("blocks", places, spans_of))
     return done.select("conv_id", F.array_join(F.transform("blocks", lambda b: b["text"]), "").alias("formatted"), loss.alias("loss_spans"))
 
 
+def running(lengths: Column, run: int = 64) -> Column:
+    """What comes before each of lengths, summed. Sums are taken in runs of so many, and then over the runs, as every
+    step of an aggregation copies the array that it adds to."""
+
+    def sums(part: Column) -> Column:
+        first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("before"))
+        return F.aggregate(part, first, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.array_append(acc["before"], acc["at"]).alias("before")))
+
+    numbers = F.sequence(F.lit(0), F.ceil(F.size(lengths) / run).cast("int") - 1)
+    runs = F.transform(numbers, lambda k: sums(F.slice(lengths, k * run + 1, run)))
+    starts = sums(F.transform(runs, lambda r: r["at"]))["before"]
+    whole = F.flatten(F.zip_with(runs, starts, lambda r, at: F.transform(r["before"], lambda x: x + at)))
+    return F.when(F.size(lengths) > 0, whole).otherwise(F.array().cast("array<int>"))
+
+
 def read_back(formatted: Column) -> Column:
     """array<struct<role, text>> of the turns of a formatted string."""
     blocks = F.filter(F.split(formatted, "</s>", -1), lambda b: b != "")
