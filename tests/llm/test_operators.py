@@ -732,8 +732,8 @@ def test_pipeline_against_plain(spark):
     dicts = language.learn(one, F.lit(True))
 
     def named(text):
-        lang, margin, _, letters = language.identify_texts([text], dicts)[0]
-        return lang != "und" and (margin >= corpus_pipeline.NARROW or letters < 200)
+        lang, margin, _ = language.identify_texts([text], dicts)[0]
+        return lang != "und" and margin >= corpus_pipeline.NARROW
 
     two = corpus_pipeline.drop_unknown_language(spark, one, d).cache()
     assert pairs(two) == Counter({k: n for k, n in pairs(one).items() if named(k[1])})
@@ -763,7 +763,7 @@ def test_pipeline_against_plain(spark):
             assert offset == at
             at += length
         assert at <= 4096
-    assert len(seq) >= packing.lower_bound(Counter(r.length for r in five), 4096)
+    assert len(seq) == packing.lower_bound(Counter(r.length for r in five), 4096) == five[0].fewest_possible and five[0].proved
 
 
 def test_pipeline_on_empty_tables(spark):
