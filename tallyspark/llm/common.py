@@ -101,18 +101,14 @@ def likely_in(df: DataFrame, key: str, keys: DataFrame, log2_bits: int = 26) ->
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for every node of edges (a, b): the smallest node reachable.
 
-    Alternates the large-star and small-star steps; each is one aggregation and one join. The few nodes of more than a
-    thousandth of the edges (2,000 at most, as each edge has two ends) get their label by broadcast, so that no hub's
-    edges meet in one task. Every round is written to the shared folder. Self loops and repeated edges change nothing;
-    without edges the result is empty; no convergence within the rounds is an error."""
-    most = 1000
+    Alternates the large-star and small-star steps; each is one aggregation and one join. Nothing is gathered, but a
+    hub's edges meet in one task of the join (labelling hubs by broadcast instead made plans too large for the driver).
+    Every round is written to the shared folder. Self loops and repeated edges change nothing; without edges the result
+    is empty; no convergence within the rounds is an error."""
 
     def labelled(rows: DataFrame, own: Column) -> DataFrame:
         """rows (a, b) with m, the least of own over the rows of a."""
-        least = rows.groupBy("a").agg(F.min(own).alias("m"), F.count("*").alias("_d"))
-        hubs = F.broadcast(least.where(F.col("_d") > most).select("a", "m"))
-        few = least.where(F.col("_d") <= most).select("a", "m")
-        return rows.join(hubs, "a").unionByName(rows.join(hubs.select("a"), "a", "left_anti").join(few, "a"))
+        return rows.join(rows.groupBy("a").agg(F.min(own).alias("m")), "a")
 
     def large(e: DataFrame) -> DataFrame:
         both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -133,7 +129,6 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if before[0] == 0:
             break
-        most = max(1000, before[0] // 1000)
         now = materialize(small(large(now)).distinct(), "cc")
         after = stamp(now)
         if after == before:
