@@ -10,6 +10,7 @@ from pyspark.sql import Window
 
 from ..functions.columns import MONEY, direction
 from .normalize import FLAGS
+from .trees import fold, unfold
 
 
 def _money(c) -> Column:
@@ -322,42 +323,38 @@ def claimable_summary(claimables: DataFrame) -> DataFrame:
     return claimables.groupBy("destination", "asset", "predicate").agg(F.count("*").alias("n"), F.sum("amount").cast(MONEY).alias("amount"))
 
 
-def predicate_text(p: Column, depth: int = 4) -> Column:
-    """A claim predicate (a VARIANT) written out; `unknown` for what is none or is nested deeper."""
-    at = lambda path, kind="string": F.try_variant_get(p, path, kind)
-    out = F.when(at("$.unconditional", "boolean").isNotNull(), "unconditional")
-    for bound in ("before_absolute_time", "before_relative_time"):
-        out = out.when(at(f"$.{bound}").isNotNull(), F.concat(F.lit(f"{bound}("), at(f"$.{bound}"), F.lit(")")))
-    if depth > 1:
-        inner = F.try_variant_get(p, "$.not", "variant")
-        out = out.when(inner.isNotNull(), F.concat(F.lit("not("), predicate_text(inner, depth - 1), F.lit(")")))
-        for word in ("and", "or"):
-            parts = F.try_variant_get(p, f"$.{word}", "array<variant>")
-            out = out.when(parts.isNotNull(), F.concat(F.lit(f"{word}("), F.array_join(F.transform(parts, lambda x: predicate_text(x, depth - 1)), ", "), F.lit(")")))
-    return out.otherwise("unknown")
-
-
-def predicate_holds(p: Column, now: Column, created: Column, depth: int = 4) -> Column:
-    """Whether a claim predicate holds at a time; null where that depends on something unknown."""
-    at = lambda path, kind="string": F.try_variant_get(p, path, kind)
-    out = F.when(at("$.unconditional", "boolean").isNotNull(), at("$.unconditional", "boolean"))
-    out = out.when(at("$.before_absolute_time").isNotNull(), now < at("$.before_absolute_time").try_cast("bigint"))
-    out = out.when(at("$.before_relative_time").isNotNull(), now < created + at("$.before_relative_time").try_cast("bigint"))
-    if depth > 1:
-        inner = F.try_variant_get(p, "$.not", "variant")
-        out = out.when(inner.isNotNull(), ~predicate_holds(inner, now, created, depth - 1))
-        for word, join in (("and", F.forall), ("or", F.exists)):
-            parts = F.try_variant_get(p, f"$.{word}", "array<variant>")
-            out = out.when(parts.isNotNull(), join(parts, lambda x: predicate_holds(x, now, created, depth - 1)))
-    return out
+def _predicates(nodes: DataFrame) -> DataFrame:
+    """What a claim predicate (a VARIANT node) says by itself: its word, text and whether it holds (with now and created),
+    and its parts. What is no predicate is `unknown`."""
+    at = lambda path, kind="string": F.try_variant_get("node", path, kind)
+    word = (
+        F.when(at("$.unconditional", "boolean").isNotNull(), "unconditional").when(at("$.before_absolute_time").isNotNull(), "before_absolute_time").when(at("$.before_relative_time").isNotNull(), "before_relative_time")
+        .when(at("$.not", "variant").isNotNull(), "not").when(at("$.and", "array<variant>").isNotNull(), "and").when(at("$.or", "array<variant>").isNotNull(), "or").otherwise("unknown")
+    )
+    time = F.when(F.col("word") == "before_absolute_time", at("$.before_absolute_time")).when(F.col("word") == "before_relative_time", at("$.before_relative_time"))
+    parts = F.when(F.col("word") == "not", F.array(at("$.not", "variant"))).when(F.col("word") == "and", at("$.and", "array<variant>")).when(F.col("word") == "or", at("$.or", "array<variant>"))
+    start = F.when(F.col("word") == "before_relative_time", F.col("created")).otherwise(0)
+    holds = F.when(F.col("word") == "unconditional", at("$.unconditional", "boolean")).otherwise(F.col("now") < start + F.col("time").try_cast("bigint"))
+    out = nodes.withColumn("word", word).withColumn("time", time).withColumns({"parts": parts, "holds": holds})
+    return out.withColumn("text", F.when(F.col("time").isNotNull(), F.concat("word", F.lit("("), "time", F.lit(")"))).otherwise(F.col("word"))).drop("node", "time")
+
+
+def _judged(nodes: DataFrame) -> DataFrame:
+    """Predicates with those that they are made of (kids: text, holds)."""
+    texts = F.array_join(F.transform("kids", lambda k: k["text"]), ", ")
+    word = F.col("word")
+    holds = F.when(word == "not", ~F.get("kids", F.lit(0))["holds"]).when(word == "and", F.forall("kids", lambda k: k["holds"])).when(word == "or", F.exists("kids", lambda k: k["holds"])).otherwise(F.col("holds"))
+    return nodes.withColumns({"text": F.when(word.isin("not", "and", "or"), F.concat(word, F.lit("("), texts, F.lit(")"))).otherwise(F.col("text")), "holds": holds})
 
 
 def claimable_at(claimables: DataFrame, now: int, created: str) -> DataFrame:
-    """(id, destination, predicate, claimable): every claimant's predicate tree (JSON text in the raw claimants) written
-    out, and whether it lets them claim at a time in seconds; created is the column of the creation time."""
-    each = claimables.select("id", F.col(created).alias("_created"), F.inline("claimants"))
-    p = F.try_parse_json("predicate")
-    return each.select("id", "destination", predicate_text(p).alias("predicate"), predicate_holds(p, F.lit(now), F.col("_created")).alias("claimable"))
+    """(id, destination, predicate, claimable): every claimant's predicate tree (JSON text in the raw claimants), of any
+    depth, written out, and whether it lets them claim at a time in seconds; null where that depends on something unknown.
+    created is the column of the creation time."""
+    each = claimables.select("id", F.col(created).alias("created"), F.lit(now).alias("now"), F.inline("claimants"))
+    roots = _predicates(each.withColumn("node", F.try_parse_json("predicate")).drop("predicate"))
+    done = fold(unfold(roots, _predicates, ["now", "created"]), _judged, {"text": "string", "holds": "boolean"})
+    return done.select("id", "destination", F.col("text").alias("predicate"), F.col("holds").alias("claimable"))
 
 
 def batch_profile(operations: DataFrame) -> DataFrame:
@@ -511,20 +508,15 @@ def invocation_summary(results: DataFrame) -> DataFrame:
     return results.agg(F.count("*").alias("total"), F.count_if(F.col("status") == "success").alias("succeeded"), F.count_if(~F.col("status").eqNullSafe("success")).alias("failed"))
 
 
-def flatten_invocations(auth: DataFrame, depth: int = 16) -> DataFrame:
-    """One row a call of every entry's `invocation` tree (a VARIANT of contract, function, args, sub). A tree deeper than
-    depth is an error, not cut."""
-    get = lambda path, kind: F.try_variant_get("node", path, kind)
-    level = auth.select("id", F.try_variant_get("invocation", "$.contract", "string").alias("root"), F.col("invocation").alias("node"))
-    out = None
-    for d in range(depth):
-        args = get("$.args", "bigint")
-        if d == depth - 1:
-            args = F.when(F.size(get("$.sub", "array<variant>")) > 0, F.raise_error(F.lit(f"calls deeper than {depth}")).cast("bigint")).otherwise(args)
-        calls = level.select("id", F.lit(d).alias("depth"), "root", get("$.contract", "string").alias("contract"), get("$.function", "string").alias("function"), args.alias("args"))
-        out = calls if out is None else out.unionByName(calls)
-        level = level.select("id", "root", F.explode(get("$.sub", "array<variant>")).alias("node"))
-    return out
+def flatten_invocations(auth: DataFrame) -> DataFrame:
+    """One row a call of every entry's `invocation` tree (a VARIANT of contract, function, args, sub), of any depth."""
+
+    def calls(nodes: DataFrame) -> DataFrame:
+        get = lambda path, kind: F.try_variant_get("node", path, kind)
+        return nodes.withColumns({"contract": get("$.contract", "string"), "function": get("$.function", "string"), "args": get("$.args", "bigint"), "parts": get("$.sub", "array<variant>")}).drop("node")
+
+    roots = auth.select("id", F.try_variant_get("invocation", "$.contract", "string").alias("root"), F.col("invocation").alias("node"))
+    return unfold(calls(roots), calls, ["id", "root"]).all().select("id", "depth", "root", "contract", "function", "args")
 
 
 def invocation_trees(calls: DataFrame) -> DataFrame:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import asset_key, toid
 
 # Which criterion each resource can be filtered by.
 SUPPORT = {
@@ -19,20 +20,22 @@ SUPPORT = {
     "asset_pair": ("trades",),
     "include_failed": ("transactions", "operations"),
 }
-#: The columns that a criterion is looked for in; those that a table lacks are left out.
-CRITERIA = {
-    "account": ("source_account", "account", "source", "destination", "from", "to", "funder", "into", "trustor", "seller"),
-    "ledger": ("ledger", "ledger_attr"),
-    "transaction": ("transaction_hash",),
-    "operation": ("operation_id",),
-    "liquidity_pool": ("liquidity_pool_id",),
-    "claimable_balance": ("balance_id",),
-}
+#: The columns that an account is looked for in; those that a table lacks are left out.
+ACCOUNTS = ("source_account", "account", "source", "destination", "from", "to", "funder", "into", "trustor", "seller")
+#: How many bits of an operation's number follow those of its ledger and of its transaction.
+LEDGER_BITS, TX_BITS = 32, 12
+
 
+def filter_resource(df: DataFrame, resource: str, include_failed: bool | None = None, operations: DataFrame | None = None, effects: DataFrame | None = None, **criteria) -> DataFrame:
+    """Rows of a raw resource that meet every criterion: a value, or a one-column DataFrame of values (a watch list); for
+    asset_pair two assets, `native` or CODE:ISSUER, whose trades are meant in either orientation. What the support matrix
+    rules out is an error.
 
-def filter_resource(df: DataFrame, resource: str, include_failed: bool | None = None, **criteria) -> DataFrame:
-    """Rows of a resource that meet every criterion: a value, or a one-column DataFrame of values (a watch list). A row
-    meets one if any of the criterion's columns does. What the support matrix rules out is an error.
+    A row meets `account` if any of its parties does. A ledger, transaction or operation is a range of the numbers that
+    ids begin with: a single value reaches the scan as plain bounds of the id. Pools and claimable balances are named by
+    effects only, so operations and transactions are found through those (give `effects`); transactions, whose records
+    have no number, through `operations`. What is found that way is asked for first when it is the one range that a
+    single transaction spans; everything else is a semi join.
 
     Failed transactions and their operations are left out unless asked for, where success is known."""
     asked = [*criteria, *(["include_failed"] if include_failed is not None else [])]
@@ -43,20 +46,114 @@ def filter_resource(df: DataFrame, resource: str, include_failed: bool | None =
     if not include_failed and success:
         df = df.where(F.col(success))
     for name, wanted in criteria.items():
-        columns = [c for c in CRITERIA[name] if c in df.columns]
-        if not columns:
-            raise ValueError(f"this table has no column for {name}")
-        if not isinstance(wanted, DataFrame):
-            df = df.where(reduce(lambda x, y: x | y, [F.coalesce(F.col(c) == wanted, F.lit(False)) for c in columns]))
-        elif len(columns) == 1:
-            df = df.join(wanted.toDF(columns[0]).distinct(), columns[0], "left_semi")
-        else:
-            # each row meets each watched value once: rows with several parties are put together again
-            rows = df.withColumn("_row", F.monotonically_increasing_id()).withColumn("_party", F.explode(F.array_distinct(F.array(*columns))))
-            df = rows.join(wanted.toDF("_party").distinct(), "_party", "left_semi").dropDuplicates(["_row"]).drop("_row", "_party")
+        df = _BY[name](df, resource, wanted, {"operations": operations, "effects": effects})
     return df
 
 
+def _given(tables: dict, name: str, why: str) -> DataFrame:
+    if tables[name] is None:
+        raise ValueError(f"{why} is found through {name}, which are not given")
+    return tables[name]
+
+
+def _by_values(df: DataFrame, columns: list[str], wanted) -> DataFrame:
+    """Rows one of whose columns is wanted."""
+    if not columns:
+        raise ValueError("this table has no column for it")
+    if not isinstance(wanted, DataFrame):
+        return df.where(reduce(lambda x, y: x | y, [F.coalesce(F.col(f"`{c}`") == wanted, F.lit(False)) for c in columns]) if len(columns) > 1 else F.col(f"`{columns[0]}`") == wanted)
+    if len(columns) == 1:
+        return df.join(wanted.toDF("_wanted").distinct(), F.col(f"`{columns[0]}`") == F.col("_wanted"), "left_semi")
+    # each row meets each watched value once: rows with several parties are put together again
+    rows = df.withColumn("_row", F.monotonically_increasing_id()).withColumn("_party", F.explode(F.array_distinct(F.array(*[f"`{c}`" for c in columns]))))
+    return rows.join(wanted.toDF("_party").distinct(), "_party", "left_semi").dropDuplicates(["_row"]).drop("_row", "_party")
+
+
+def number_of(resource: str) -> Column:
+    """The number of the operation that a record belongs to: its id, or what its id begins with."""
+    return toid(F.col("id")) if resource == "effects" else F.coalesce(F.nullif("id", F.lit("")), "paging_token").try_cast("bigint")
+
+
+def id_range(resource: str, low: int, high: int) -> Column:
+    """Records whose operation's number is in [low, high], as bounds of the id's text: effects' ids are of one width,
+    other ids have no leading zeros, so that numbers of one length stand in the order of their texts."""
+    if resource == "effects":
+        return (F.col("id") >= f"{low:019d}-") & (F.col("id") < f"{high:019d}.") & toid(F.col("id")).between(low, high)
+    key = F.coalesce(F.nullif("id", F.lit("")), "paging_token") if resource == "payments" else F.col("id")
+    lengths = range(len(str(max(low, 0))), len(str(max(high, 0))) + 1)
+    parts = [(key >= str(max(low, 10 ** (n - 1) if n > 1 else 0))) & (key <= str(min(high, 10**n - 1))) & (F.length(key) == n) for n in lengths]
+    return reduce(lambda x, y: x | y, parts)
+
+
+def _by_number(df: DataFrame, resource: str, wanted, bits: int) -> DataFrame:
+    """Records whose operation's number without its last bits is wanted."""
+    if not isinstance(wanted, DataFrame):
+        return df.where(id_range(resource, int(wanted) << bits, ((int(wanted) + 1) << bits) - 1))
+    keys = wanted.toDF("_number").select(F.col("_number").cast("bigint")).distinct()
+    return df.withColumn("_number", F.shiftright(number_of(resource), bits)).join(keys, "_number", "left_semi").drop("_number")
+
+
+def _by_account(df, resource, wanted, tables):
+    return _by_values(df, [c for c in ACCOUNTS if c in df.columns], wanted)
+
+
+def _by_ledger(df, resource, wanted, tables):
+    if resource not in ("transactions", "payments"):
+        return _by_number(df, resource, wanted, LEDGER_BITS)
+    # what the record says, or else what its other column or its number says
+    first, second = ("ledger_attr", F.col("ledger")) if resource == "transactions" else ("ledger", F.shiftright(number_of(resource), LEDGER_BITS))
+    if isinstance(wanted, DataFrame):
+        keys = wanted.toDF("_ledger").select(F.col("_ledger").cast("bigint")).distinct()
+        return df.withColumn("_ledger", F.coalesce(first, second)).join(keys, "_ledger", "left_semi").drop("_ledger")
+    return df.where((F.col(first) == wanted) | (F.col(first).isNull() & (second == wanted)))
+
+
+def _by_transaction(df, resource, wanted, tables):
+    if resource != "effects":
+        return _by_values(df, ["transaction_hash"], wanted)
+    mine = _by_values(_given(tables, "operations", "a transaction's range of effects"), ["transaction_hash"], wanted)
+    numbers = mine.select(F.shiftright(number_of("operations"), TX_BITS).alias("n")).where("n is not null").distinct()
+    if isinstance(wanted, DataFrame):
+        return _by_number(df, resource, numbers, TX_BITS)
+    one = numbers.first()  # a transaction has one number
+    return _by_number(df, resource, one.n, TX_BITS) if one else df.where(F.lit(False))
+
+
+def _by_operation(df, resource, wanted, tables):
+    return _by_number(df, resource, wanted, 0)
+
+
+def _through_effects(named):
+    """A filter on what effects name: the effects themselves, their operations, or the transactions of those."""
+
+    def by(df, resource, wanted, tables):
+        own = lambda e: named(e).alias("_named")
+        if resource == "effects":
+            return _by_values(df.withColumn("_named", own(df)), ["_named"], wanted).drop("_named") if isinstance(wanted, DataFrame) else df.where(named(df) == wanted)
+        effects = _given(tables, "effects", "it")
+        numbers = _by_values(effects.select("id", own(effects)), ["_named"], wanted).select(toid(F.col("id")).alias("n")).where("n is not null").distinct()
+        if resource != "transactions":
+            return _by_number(df, resource, numbers, 0)
+        hashes = _by_number(_given(tables, "operations", "an effect's transaction"), "operations", numbers, 0).select(F.col("transaction_hash").alias("_hash")).distinct()
+        return df.join(hashes, F.col("hash") == F.col("_hash"), "left_semi")
+
+    return by
+
+
+def _by_pair(df, resource, wanted, tables):
+    base, counter = (asset_key(F.col(f"{side}_asset_type"), F.col(f"{side}_asset_code"), F.col(f"{side}_asset_issuer")) for side in ("base", "counter"))
+    a, b = wanted
+    # codes as well, which a scan can use
+    code = lambda side, x: F.col(f"{side}_asset_type") == "native" if x == "native" else F.col(f"{side}_asset_code") == x.partition(":")[0]
+    return df.where((code("base", a) & code("counter", b) & (base == a) & (counter == b)) | (code("base", b) & code("counter", a) & (base == b) & (counter == a)))
+
+
+_BY = {
+    "account": _by_account, "ledger": _by_ledger, "transaction": _by_transaction, "operation": _by_operation, "asset_pair": _by_pair,
+    "liquidity_pool": _through_effects(lambda e: e["liquidity_pool"]["id"]), "claimable_balance": _through_effects(lambda e: e["balance_id"]),
+}
+
+
 def trades_for_pair(trades: DataFrame, base: str, counter: str) -> DataFrame:
     """Trades of a pair in either orientation, turned to (base, counter)."""
     as_is = (F.col("base_asset") == base) & (F.col("counter_asset") == counter)

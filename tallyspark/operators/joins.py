@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import toid
-from ..sources.tables import shared_folder
+from ..sources.tables import stored
 
 
 def attach_ledgers(payments: DataFrame, transactions: DataFrame) -> DataFrame:
@@ -95,28 +95,29 @@ def explain_codes(df: DataFrame, column: str = "result_code", explanations: dict
     return df.join(F.broadcast(dim), F.lower(F.trim(column)) == F.col("_code"), "left").drop("_code").fillna({"explanation": fallback})
 
 
-def admissible_ledgers(txs: DataFrame, ledgers: DataFrame, width: int = 16) -> DataFrame:
+def admissible_ledgers(txs: DataFrame, ledgers: DataFrame) -> DataFrame:
     """Earliest and number of ledgers in [min_ledger, max_ledger] of every transaction, 0 where there is none; with an
     open upper bound (0 or null) only the lower one counts.
 
-    A closed range becomes an equality on buckets of `width` ledgers, then the exact test; for an open one see _from_on."""
-    own = ledgers.select("sequence", F.floor(F.col("sequence") / width).alias("bucket"))
-    bounds = txs.select("hash", F.coalesce("min_ledger", F.lit(0)).cast("long").alias("min_ledger"), F.coalesce("max_ledger", F.lit(0)).cast("long").alias("max_ledger"))
-    closed = bounds.where("max_ledger > 0 and max_ledger >= min_ledger")
-    buckets = F.sequence(F.floor(F.col("min_ledger") / width), F.floor(F.col("max_ledger") / width))
-    met = closed.withColumn("bucket", F.explode(buckets)).join(own, "bucket").where(F.col("sequence").between(F.col("min_ledger"), F.col("max_ledger")))
-    met = met.groupBy("hash").agg(F.min("sequence").alias("earliest"), F.count("*").alias("ledgers"))
-    opened = bounds.where("max_ledger = 0")
-    opened = opened.join(_from_on(opened.select("min_ledger").distinct(), ledgers), "min_ledger").select("hash", "earliest", "ledgers")
-    none = bounds.select("hash", F.lit(None).cast("long").alias("earliest"), F.lit(0).cast("long").alias("ledgers"))
-    return met.unionByName(opened).unionByName(none).groupBy("hash").agg(F.min("earliest").alias("earliest"), F.sum("ledgers").alias("ledgers"))
+    However wide a range is, it costs two look-ups: how many ledgers there are from its lower bound on, less those from
+    behind its upper one."""
+    bound = lambda c: F.least(F.greatest(F.coalesce(F.col(c).cast("long"), F.lit(0)), F.lit(0)), F.lit(LAST_SEQUENCE))
+    bounds = txs.select("hash", bound("min_ledger").alias("low"), F.when(F.col("max_ledger") > 0, bound("max_ledger")).alias("high")).withColumn("behind", F.col("high") + 1)
+    asked = bounds.select(F.col("low").alias("at")).unionByName(bounds.where("behind is not null").select(F.col("behind").alias("at"))).distinct()
+    on = _from_on(asked, ledgers)
+    out = bounds.join(on.select(F.col("at").alias("low"), "earliest", "ledgers"), "low").join(on.select(F.col("at").alias("behind"), F.col("ledgers").alias("later")), "behind", "left")
+    some = F.col("earliest") <= F.coalesce("high", F.lit(LAST_SEQUENCE))
+    return out.select("hash", F.when(some, F.col("earliest")).alias("earliest"), F.when(some, F.col("ledgers") - F.coalesce("later", F.lit(0))).otherwise(0).alias("ledgers"))
 
 
-def _from_on(mins: DataFrame, ledgers: DataFrame) -> DataFrame:
-    """Earliest and number of ledgers from each min_ledger on: those of its stretch of 65,536, and of later stretches.
+LAST_SEQUENCE = 2**32 - 1
+
+
+def _from_on(asked: DataFrame, ledgers: DataFrame) -> DataFrame:
+    """Earliest and number of ledgers from each of asked (at) on: those of its stretch of 65,536, and of later stretches.
 
     Sequences have 32 bits, so a stretch has at most that many ledgers and the window over stretches as many rows."""
-    points = ledgers.groupBy(F.col("sequence").alias("at")).agg(F.count("*").alias("n")).unionByName(mins.select(F.col("min_ledger").alias("at"), F.lit(0).cast("long").alias("n")))
+    points = ledgers.groupBy(F.col("sequence").alias("at")).agg(F.count("*").alias("n")).unionByName(asked.select("at", F.lit(0).cast("long").alias("n")))
     points = points.groupBy("at").agg(F.sum("n").alias("n"), F.max(F.when(F.col("n") == 0, True)).alias("asked")).withColumn("stretch", F.floor(F.col("at") / 65536))
     seen = F.when(F.col("n") > 0, F.col("at"))
     here = Window.partitionBy("stretch").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -124,7 +125,7 @@ def _from_on(mins: DataFrame, ledgers: DataFrame) -> DataFrame:
     later = points.groupBy("stretch").agg(F.sum("n").alias("_n"), F.min(seen).alias("_first"))
     later = later.select("stretch", F.coalesce(F.sum("_n").over(after), F.lit(0)).alias("_n"), F.min("_first").over(after).alias("_first"))
     own = points.select("at", "stretch", "asked", F.sum("n").over(here).alias("n"), F.min(seen).over(here).alias("first")).where("asked")
-    return own.join(later, "stretch").select(F.col("at").alias("min_ledger"), F.coalesce("first", "_first").alias("earliest"), (F.col("n") + F.col("_n")).alias("ledgers"))
+    return own.join(later, "stretch").select("at", F.coalesce("first", "_first").alias("earliest"), (F.col("n") + F.col("_n")).alias("ledgers"))
 
 
 def trustline_state(requests: DataFrame, trustlines: DataFrame, issuers: DataFrame) -> DataFrame:
@@ -206,8 +207,8 @@ def quote_paths(edges: DataFrame, requests: DataFrame, hops: int = 3) -> DataFra
     Edges are first cut to the best of each pair. All targets of a source are found together. Of the walks of two edges
     between the same ends the best `hops` are kept: what is still to come holds fewer assets than that, so it leaves one
     of them free. Longer walks are kept by the set of their assets."""
-    best = _stored(edges.where("src <> dst").groupBy("src", "dst").agg(F.max("rate").alias("rate")), "edges")
-    sources = _stored(requests.select("src").distinct(), "sources")
+    best = stored(edges.where("src <> dst").groupBy("src", "dst").agg(F.max("rate").alias("rate")), "edges")
+    sources = stored(requests.select("src").distinct(), "sources")
     step = best.select(F.col("src").alias("dst"), F.col("dst").alias("_to"), F.col("rate").alias("_rate"))
     walk = sources.join(best, "src").withColumn("seen", F.array("src", "dst"))
     found = [walk.select("src", "dst", "rate")]
@@ -222,7 +223,7 @@ def quote_paths(edges: DataFrame, requests: DataFrame, hops: int = 3) -> DataFra
             walk = walk.withColumn("_n", F.row_number().over(ends)).where(F.col("_n") <= hops).drop("_n")
         else:
             walk = walk.groupBy("src", "dst", F.array_sort("seen").alias("seen")).agg(F.max("rate").alias("rate"))
-        walk = _stored(walk, "walk")
+        walk = stored(walk, "walk")
         found.append(walk.select("src", "dst", "rate"))
     rates = reduce(DataFrame.unionByName, found).groupBy("src", F.col("dst").alias("target")).agg(F.max("rate").alias("rate"))
     return requests.select("src", "target").distinct().join(rates, ["src", "target"])
@@ -242,16 +243,10 @@ def strict_send(edges: DataFrame, requests: DataFrame, hops: int = 3) -> DataFra
     return requests.join(found, ["src", "target"], "left").withColumn("received", F.round(F.col("send").cast("double") * F.col("rate"), 7)).drop("rate")
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def asset_pairs(edges: DataFrame) -> DataFrame:
-    """Every ordered pair of different assets of the edges, as requests of quote_paths."""
-    assets = edges.select(F.col("src").alias("a")).unionByName(edges.select(F.col("dst").alias("a"))).where("a is not null").distinct()
-    return assets.select(F.col("a").alias("src")).crossJoin(assets.select(F.col("a").alias("target"))).where("src <> target")
+def traded_pairs(trades: DataFrame) -> DataFrame:
+    """Both orientations of every pair of assets that was traded, as requests of quote_paths."""
+    both = F.explode(F.array(*[F.struct(F.col(a).alias("src"), F.col(b).alias("target")) for a, b in (("base_asset", "counter_asset"), ("counter_asset", "base_asset"))])).alias("p")
+    return trades.select(both).select("p.src", "p.target").where("src <> target").distinct()
 
 
 def ledger_chain(ledgers: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import MONEY, asset_key, effect_category, epoch, first_text, money, price_of, ratio, toid
+from .trees import fold, unfold
 
 
 def _or_zero(c: Column) -> Column:
@@ -188,46 +189,65 @@ WHOLE, WIDE = ("scvU32", "scvI32"), ("scvU64", "scvI64", "scvU128", "scvI128", "
 TEXTS = ("scvSymbol", "scvString", "scvAddress")
 
 
-def _decoded(kind: Column, value: Column, node: Column, depth: int) -> Column:
-    """JSON text of a typed value: small integers as numbers, wide ones as strings, bytes as hex text. Null where it is
-    not what its type says, is of another type, or is nested deeper than depth."""
-    text = lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
+def _values(nodes: DataFrame) -> DataFrame:
+    """What a typed value (kind, value, payload) decodes to by itself, as JSON text: small integers as numbers, wide ones
+    as strings, bytes as hex text; null where it is not what its type says or is of another type. Its parts are the
+    elements of a vector, or keys and values of a map in turn."""
+    kind, value = F.col("kind"), F.col("value")
+    text = F.regexp_extract(F.to_json(F.struct(value.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
     number = value.rlike(r"^-?\d+$")
-    raw = F.try_to_binary(value, F.lit("base64"))
-    out = (
+    json = (
         F.when(kind.isin("void", "scvVoid"), "null")
         .when(kind == "scvBool", F.when(value.isin("true", "false"), value))
         .when(kind.isin(*WHOLE), F.when(number, value))
         .when(kind.isin(*WIDE), F.when(number, F.concat(F.lit('"'), value, F.lit('"'))))
-        .when(kind == "scvBytes", F.concat(F.lit('"0x'), F.lower(F.hex(raw)), F.lit('"')))
-        .when(kind.isin(*TEXTS) & value.isNotNull(), text(value))
+        .when(kind == "scvBytes", F.concat(F.lit('"0x'), F.lower(F.hex(F.try_to_binary(value, F.lit("base64")))), F.lit('"')))
+        .when(kind.isin(*TEXTS) & value.isNotNull(), text)
     )
-    if not depth:
-        return out
+    items = F.try_variant_get("payload", "$", "array<variant>")
+    pair = lambda x: F.array(F.try_variant_get(x, "$.key", "variant"), F.try_variant_get(x, "$.val", "variant"))
+    parts = F.when(kind == "scvVec", items).when(kind == "scvMap", F.flatten(F.transform(items, pair)))
+    return nodes.withColumns({"json": json, "parts": parts}).drop("value", "payload")
 
-    def child(x: Column) -> Column:
-        return _decoded(F.try_variant_get(x, "$.type", "string"), F.try_variant_get(x, "$.value", "string"), F.try_variant_get(x, "$.value", "variant"), depth - 1)
 
-    def whole(parts: Column, left: str, right: str) -> Column:
-        return F.when(~F.exists(parts, F.isnull), F.concat(F.lit(left), F.array_join(parts, ","), F.lit(right)))
+def _inner_values(nodes: DataFrame) -> DataFrame:
+    """Nodes of {type, value}."""
+    get = lambda path, kind: F.try_variant_get("node", path, kind)
+    return _values(nodes.withColumns({"kind": get("$.type", "string"), "value": get("$.value", "string"), "payload": get("$.value", "variant")}).drop("node"))
 
-    def entry(x: Column) -> Column:
-        key = child(F.try_variant_get(x, "$.key", "variant"))
-        return F.concat(F.when(key.startswith('"'), key).otherwise(F.concat(F.lit('"'), F.replace(key, F.lit('"'), F.lit('\\"')), F.lit('"'))), F.lit(":"), child(F.try_variant_get(x, "$.val", "variant")))
 
-    items = F.try_variant_get(node, "$", "array<variant>")
-    return out.when(kind == "scvVec", whole(F.transform(items, child), "[", "]")).when(kind == "scvMap", whole(F.transform(items, entry), "{", "}"))
+def _put_together(nodes: DataFrame) -> DataFrame:
+    """Vectors and maps out of what their parts decode to (kids); null if one does not."""
+    texts = F.transform("kids", lambda k: k["json"])
+    key = lambda k: F.when(k.startswith('"'), k).otherwise(F.concat(F.lit('"'), F.replace(k, F.lit('"'), F.lit('\\"')), F.lit('"')))
+    entries = F.transform(F.filter(F.transform("kids", lambda k, i: F.struct(i.alias("i"), k["json"].alias("key"))), lambda e: e["i"] % 2 == 0), lambda e: F.concat(key(e["key"]), F.lit(":"), F.get("kids", e["i"] + 1)["json"]))
+    whole = F.when(F.col("kind") == "scvVec", F.concat(F.lit("["), F.array_join(texts, ","), F.lit("]"))).otherwise(F.concat(F.lit("{"), F.array_join(entries, ","), F.lit("}")))
+    made = F.when(~F.exists(texts, F.isnull), whole)
+    return nodes.withColumn("json", F.when(F.col("parts").isNull(), F.col("json")).otherwise(made))
 
 
-def decode_event_values(events: DataFrame, depth: int = 3) -> DataFrame:
-    """Each event's value (xdr_type, value) as JSON-safe text, with whether it decoded and why not. Elements of vectors
-    ({type, value}) and entries of maps ({key, val}) are typed in turn, down to depth below the top."""
-    kind, value = F.coalesce("value.xdr_type", F.lit("void")), F.col("value.value")
-    json = _decoded(kind, value, F.try_parse_json(value), depth)
-    known = kind.isin("void", "scvVoid", "scvBool", "scvBytes", "scvVec", "scvMap", *WHOLE, *WIDE, *TEXTS)
-    out = events.select("id", kind.alias("xdr_type"), json.alias("value"), known.alias("_known"))
-    error = F.when(F.col("value").isNotNull(), None).when(F.col("_known"), F.concat(F.lit("not a value of type "), "xdr_type")).otherwise(F.concat(F.lit("unsupported type "), "xdr_type"))
-    return out.select("id", "xdr_type", "value", F.col("value").isNotNull().alias("decoded"), error.alias("error"))
+KNOWN = ("void", "scvVoid", "scvBool", "scvBytes", "scvVec", "scvMap", *WHOLE, *WIDE, *TEXTS)
+
+
+def decode_values(typed: DataFrame) -> DataFrame:
+    """typed with its kind and value (text; vectors and maps as JSON of typed values, nested to any depth) replaced by
+    json, JSON-safe text, which is null where something is not what its type says, or of an unknown type."""
+    roots = _values(typed.withColumn("payload", F.try_parse_json("value")))
+    return fold(unfold(roots, _inner_values, []), _put_together, {"json": "string"})
+
+
+def decode_event_values(events: DataFrame) -> DataFrame:
+    """Each event's value (xdr_type, value) as JSON-safe text, with whether it decoded and why not."""
+    out = decode_values(events.select("id", F.coalesce("value.xdr_type", F.lit("void")).alias("kind"), F.col("value.value").alias("value")))
+    error = F.when(F.col("json").isNotNull(), None).when(F.col("kind").isin(*KNOWN), F.concat(F.lit("not a value of type "), "kind")).otherwise(F.concat(F.lit("unsupported type "), "kind"))
+    return out.select("id", F.col("kind").alias("xdr_type"), F.col("json").alias("value"), F.col("json").isNotNull().alias("decoded"), error.alias("error"))
+
+
+def decode_event_topics(events: DataFrame) -> DataFrame:
+    """(id, place, xdr_type, value, decoded): every topic of an event, in order, decoded by its type."""
+    topics = events.select("id", F.posexplode("topic").alias("topic_place", "t"))
+    out = decode_values(topics.select("id", "topic_place", F.coalesce("t.xdr_type", F.lit("void")).alias("kind"), F.col("t.value").alias("value")))
+    return out.select("id", F.col("topic_place").alias("place"), F.col("kind").alias("xdr_type"), F.col("json").alias("value"), F.col("json").isNotNull().alias("decoded"))
 
 
 def normalize_accounts(raw: DataFrame) -> DataFrame:

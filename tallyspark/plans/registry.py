@@ -51,19 +51,20 @@ def _edges(t: Tables):
     )
 
 
-def _quotes(t: Tables):
-    o = t.offers
-    asks = o.select(F.lit("Brand#1").alias("src"), F.col("selling").alias("target")).distinct().where("target <> src and target < 'Brand#15'")
-    return J.quote_paths(_edges(t), asks, 3)
+_pairs = lambda t: J.traded_pairs(N.normalize_trades(t.raw_trades))
+_PAIRS = f"(SELECT base_asset AS src, counter_asset AS target FROM {NT} WHERE base_asset <> counter_asset UNION SELECT counter_asset, base_asset FROM {NT} WHERE base_asset <> counter_asset)"
+
+
+def _quoted(hops: int) -> str:
+    """(src, target, rate) of every traded pair, by all paths of different assets."""
+    walks = ["SELECT src, dst, rate, [src, dst] AS seen FROM e"] + [f"SELECT w.src, e.dst, w.rate * e.rate AS rate, list_append(seen, e.dst) AS seen FROM w{n} w JOIN e ON e.src = w.dst WHERE NOT list_contains(seen, e.dst)" for n in range(1, hops)]
+    named = ", ".join(f"w{n} AS ({w})" for n, w in enumerate(walks, 1))
+    every = " UNION ALL ".join(f"SELECT src, dst, rate FROM w{n}" for n in range(1, hops + 1))
+    return f"WITH e AS (SELECT src, dst, max(rate) AS rate FROM ({_EDGES}) WHERE src <> dst GROUP BY src, dst), {named} SELECT r.src, r.target, CAST(max(w.rate) AS BIGINT) AS rate FROM {_PAIRS} r JOIN ({every}) w ON w.src = r.src AND w.dst = r.target GROUP BY r.src, r.target"
 
 
-_add("jn13_quote_paths", _quotes, f"""WITH e AS (SELECT src, dst, max(rate) AS rate FROM ({_EDGES}) WHERE src <> dst GROUP BY src, dst),
-r AS (SELECT DISTINCT 'Brand#1' AS src, selling AS target FROM offers WHERE selling <> 'Brand#1' AND selling < 'Brand#15'),
-w1 AS (SELECT r.src, e.dst, r.target, e.rate, [r.src, e.dst] AS seen FROM r JOIN e ON e.src = r.src),
-w2 AS (SELECT w1.src, e.dst, target, w1.rate * e.rate AS rate, list_append(seen, e.dst) AS seen FROM w1 JOIN e ON e.src = w1.dst WHERE w1.dst <> target AND NOT list_contains(seen, e.dst)),
-w3 AS (SELECT w2.src, e.dst, target, w2.rate * e.rate AS rate, seen FROM w2 JOIN e ON e.src = w2.dst WHERE w2.dst <> target AND NOT list_contains(seen, e.dst))
-SELECT src, target, CAST(max(rate) AS BIGINT) AS rate FROM (SELECT src, dst, target, rate FROM w1 UNION ALL SELECT src, dst, target, rate FROM w2 UNION ALL SELECT src, dst, target, rate FROM w3) WHERE dst = target GROUP BY src, target""")
-_add("jn13b_all_quote_paths", lambda t: J.quote_paths(_edges(t), J.asset_pairs(_edges(t)), 3))
+_add("jn13_quote_paths", lambda t: J.quote_paths(_edges(t), _pairs(t), 3), _quoted(3))
+_add("jn13b_all_quote_paths", lambda t: J.quote_paths(_edges(t), _pairs(t), 2), _quoted(2))
 _add("jn14_fee_bump_audit", lambda t: J.fee_bump_audit(t.transactions), "SELECT o.hash, o.inner_hash, o.fee_charged - i.fee_charged AS escalation, o.fee_account <> i.source_account AS payer_differs FROM transactions o JOIN transactions i ON i.hash = o.inner_hash")
 
 _add("agg1_trade_summary", lambda t: A.trade_summary(N.normalize_trades(t.raw_trades)), f"SELECT *, CASE WHEN base_volume = 0 THEN 0.0 ELSE round(CAST(counter_volume AS DOUBLE) / CAST(base_volume AS DOUBLE), 6) END AS vwap FROM (SELECT base_asset, counter_asset, count(*) AS trades, CAST(sum(base_amount) AS DECIMAL(38,7)) AS base_volume, CAST(sum(counter_amount) AS DECIMAL(38,7)) AS counter_volume, round(avg(price), 6) AS mean_price, max(price) AS high, min(price) AS low, min(close_time) AS first_time, max(close_time) AS last_time, count(*) FILTER (WHERE venue = 'orderbook') AS orderbook_trades, count(*) FILTER (WHERE venue = 'liquidity_pool') AS pool_trades FROM {NT} GROUP BY base_asset, counter_asset)")

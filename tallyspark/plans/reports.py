@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import aggregates as A
 from ..operators import filters as X
 from ..operators import joins as J
+from ..operators import markets as M
 from ..operators import normalize as N
 from ..operators import quality as Q
 from ..operators import windows as W
@@ -14,7 +15,7 @@ from ..sources import tables as S
 from ..streaming import streams as R
 from .catalog import add
 from .normal_sql import NA, NC, NE, NF, NI, NL, NO, NP, NR, NT, NU, NX
-from .registry import _OPFX, _edges, _operation_effects, _raw_simulations, _stored
+from .registry import _OPFX, _PAIRS, _edges, _operation_effects, _pairs, _quoted, _raw_simulations, _stored
 from .views import Tables
 
 payments = lambda t: N.normalize_payments(t.raw_payments)
@@ -115,6 +116,12 @@ add(
     f"""SELECT id, k AS xdr_type, v AS value, v IS NOT NULL AS decoded, CASE WHEN v IS NULL THEN CASE WHEN k IN {_KNOWN} THEN 'not a value of type ' || k ELSE 'unsupported type ' || k END END AS error
     FROM (SELECT id, k, {_value_sql('k', 'w', 2)} AS v FROM (SELECT id, coalesce(value.xdr_type, 'void') AS k, value.value AS w FROM raw_contract_events))""",
 )
+add(
+    "nrm8b_decode_topics",
+    lambda t: N.decode_event_topics(t.raw_contract_events),
+    f"""SELECT id, place, k AS xdr_type, v AS value, v IS NOT NULL AS decoded FROM (SELECT *, {_value_sql('k', 'w', 0)} AS v FROM (
+    SELECT id, CAST(i - 1 AS INT) AS place, topic[i].xdr_type AS k, topic[i].value AS w FROM (SELECT id, topic, unnest(range(1, len(topic) + 1)) AS i FROM raw_contract_events)))""",
+)
 add(
     "nrm13_explode_account_data",
     lambda t: N.explode_account_data(t.accounts.select("id", F.create_map(F.lit("domain"), F.base64("home_domain"), F.lit("none"), F.lit("")).alias("data_attr"))),
@@ -141,6 +148,66 @@ add(
     lambda t: X.filter_resource(t.raw_payments, "payments", account=t.accounts.where("auth_immutable").select("id")).select("paging_token", "type"),
     "SELECT paging_token, type FROM raw_payments WHERE " + " OR ".join(f'coalesce({c} IN {_WATCHED}, false)' for c in ("source_account", "account", '"from"', '"to"', "funder", '"into"')),
 )
+# Each criterion on every resource that it is supported for, over records as their declared tables have them.
+_FLT1 = {"transactions": ("raw_transactions", "hash"), "operations": ("raw_operations", "id"), "payments": ("raw_payments", "paging_token"), "effects": ("raw_op_effects", "id"), "trades": ("raw_trades", "paging_token")}
+
+
+def _filtered(t: Tables, criterion: str, wanted):
+    out = None
+    for resource in X.SUPPORT[criterion]:
+        view, key = _FLT1[resource]
+        rows = X.filter_resource(getattr(t, view), resource, operations=t.raw_operations, effects=t.raw_op_effects, **{criterion: wanted})
+        rows = rows.select(F.lit(resource).alias("resource"), F.col(key).alias("id"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _met(**conditions: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{r}' AS resource, {_FLT1[r][1]} AS id FROM {_FLT1[r][0]} WHERE {c}" + (" AND successful" if r == "transactions" else "") for r, c in conditions.items())
+
+
+_NUMBER = {"operations": "CAST(id AS BIGINT)", "payments": "CAST(paging_token AS BIGINT)", "effects": "CAST(split_part(id, '-', 1) AS BIGINT)"}
+_one = lambda df, c: df.agg(F.min(c)).first()[0]
+_LEDGERS = "(SELECT ledger FROM transactions WHERE ledger % 97 = 0)"
+
+
+def _ledger_met(test: str) -> str:
+    return _met(transactions=f"coalesce(ledger_attr, ledger) {test}", **{r: f"{n} // 4294967296 {test}" for r, n in _NUMBER.items()})
+
+
+add("flt1c_by_ledger", lambda t: _filtered(t, "ledger", _one(t.transactions, "ledger")), _ledger_met("= (SELECT min(ledger) FROM transactions)"))
+add("flt1d_by_watched_ledgers", lambda t: _filtered(t, "ledger", t.transactions.where("ledger % 97 = 0").select("ledger")), _ledger_met(f"IN {_LEDGERS}"))
+_HASHES = "(SELECT hash FROM transactions WHERE o_orderkey % 31 = 0)"
+
+
+def _transaction_met(test: str) -> str:
+    return _met(operations=f"transaction_hash {test}", payments=f"transaction_hash {test}", effects=f"{_NUMBER['effects']} // 4096 IN (SELECT {_NUMBER['operations']} // 4096 FROM raw_operations WHERE transaction_hash {test})")
+
+
+add("flt1e_by_transaction", lambda t: _filtered(t, "transaction", _one(t.operations, "transaction_hash")), _transaction_met("= (SELECT min(transaction_hash) FROM operations)"))
+add("flt1f_by_watched_transactions", lambda t: _filtered(t, "transaction", t.transactions.where("o_orderkey % 31 = 0").select("hash")), _transaction_met(f"IN {_HASHES}"))
+add("flt1g_by_operation", lambda t: _filtered(t, "operation", _one(t.operations, "id")), _met(effects=f"{_NUMBER['effects']} = (SELECT min(id) FROM operations)"))
+add("flt1h_by_watched_operations", lambda t: _filtered(t, "operation", t.operations.where("l_partkey % 3 = 0").select("id")), _met(effects=f"{_NUMBER['effects']} IN (SELECT id FROM operations WHERE l_partkey % 3 = 0)"))
+
+
+def _named_met(named: str, test: str, **more: str) -> str:
+    numbers = f"(SELECT {_NUMBER['effects']} FROM raw_op_effects WHERE {named} {test})"
+    own = {"transactions": f"hash IN (SELECT transaction_hash FROM raw_operations WHERE {_NUMBER['operations']} IN {numbers})", "operations": f"{_NUMBER['operations']} IN {numbers}", "effects": f"{named} {test}"}
+    return _met(**own, **{r: f"{_NUMBER[r]} IN {numbers}" for r in more})
+
+
+add("flt1i_by_pool", lambda t: _filtered(t, "liquidity_pool", _one(t.raw_op_effects, "liquidity_pool.id")), _named_met("liquidity_pool.id", "= (SELECT min(liquidity_pool.id) FROM raw_op_effects)"))
+add("flt1j_by_watched_pools", lambda t: _filtered(t, "liquidity_pool", t.pools.where("p_partkey % 5 = 0").select("id")), _named_met("liquidity_pool.id", "IN (SELECT id FROM pools WHERE p_partkey % 5 = 0)"))
+add("flt1k_by_claimable_balance", lambda t: _filtered(t, "claimable_balance", _one(t.raw_op_effects, "balance_id")), _named_met("balance_id", "= (SELECT min(balance_id) FROM raw_op_effects)", payments=""))
+add("flt1l_by_watched_balances", lambda t: _filtered(t, "claimable_balance", t.raw_claimables.where("last_modified_ledger % 7 = 0").select("id")), _named_met("balance_id", "IN (SELECT id FROM raw_claimables WHERE last_modified_ledger % 7 = 0)", payments=""))
+add("flt1m_by_asset_pair", lambda t: _filtered(t, "asset_pair", ("ECONOMY", "Brand#3")), _met(trades="(base_asset_code = 'Brand#3' AND counter_asset_code = 'ECONOMY') OR (base_asset_code = 'ECONOMY' AND counter_asset_code = 'Brand#3')"))
+_PARTY = {"transactions": ("source_account",), "operations": ("source_account", "account", '"from"', '"to"', "funder", '"into"', "trustor"), "payments": ("source_account", "account", '"from"', '"to"', "funder", '"into"'), "effects": ("account", "source_account", "destination", "trustor", "seller")}
+add("flt1n_by_watched_accounts", lambda t: _filtered(t, "account", t.accounts.where("auth_immutable").select("id")), _met(**{r: "(" + " OR ".join(f"coalesce({c} IN {_WATCHED}, false)" for c in columns) + ")" for r, columns in _PARTY.items()}))
+add(
+    "flt1o_include_failed",
+    lambda t: X.filter_resource(t.raw_transactions, "transactions", account=_one(t.transactions, "source_account"), include_failed=True).select("hash", "successful"),
+    "SELECT hash, successful FROM raw_transactions WHERE source_account = (SELECT min(source_account) FROM transactions)",
+)
 add("flt5_recent_ledgers", lambda t: X.recent_ledgers(t.effects).select("event_id", "ledger"), "SELECT event_id, ledger FROM effects WHERE ledger >= greatest(1, (SELECT max(ledger) FROM effects) - 17280)")
 add("flt5b_ledger_range", lambda t: X.recent_ledgers(t.effects, 50100000, 10**9).select("event_id", "ledger"), "SELECT event_id, ledger FROM effects WHERE ledger >= 50100000")
 add(
@@ -236,11 +303,56 @@ add(
 )
 add(
     "jn13c_strict_receive",
-    lambda t: J.strict_receive(_edges(t), J.asset_pairs(_edges(t)).withColumns({"receive": F.lit(25).cast("decimal(19,7)"), "send_max": F.lit(5).cast("decimal(19,7)")}), 3),
+    lambda t: J.strict_receive(_edges(t), _pairs(t).withColumns({"receive": F.lit(25).cast("decimal(19,7)"), "send_max": F.lit(5).cast("decimal(19,7)")}), 3),
+    f"""SELECT r.src, r.target, CAST(25 AS DECIMAL(19,7)) AS receive, CAST(5 AS DECIMAL(19,7)) AS send_max, round(25.0 / CAST(rate AS DOUBLE), 7) AS spend, coalesce(round(25.0 / CAST(rate AS DOUBLE), 7) <= 5, false) AS within
+    FROM {_PAIRS} r LEFT JOIN ({_quoted(3)}) q ON q.src = r.src AND q.target = r.target""",
 )
 add(
     "jn13d_strict_send",
-    lambda t: J.strict_send(_edges(t), J.asset_pairs(_edges(t)).withColumn("send", F.lit(10).cast("decimal(19,7)")), 3),
+    lambda t: J.strict_send(_edges(t), _pairs(t).withColumn("send", F.lit(10).cast("decimal(19,7)")), 3),
+    f"SELECT r.src, r.target, CAST(10 AS DECIMAL(19,7)) AS send, round(10.0 * rate, 7) AS received FROM {_PAIRS} r LEFT JOIN ({_quoted(3)}) q ON q.src = r.src AND q.target = r.target",
+)
+
+
+# Quotes for an amount: books of the offers, the pools of a pair of codes as one, what was traded as requests.
+def _markets(t: Tables):
+    known = reserves(t).where("place is not null and kind <> 'unknown'")
+    side = lambda n, c: known.where(F.col("place") == n).select("id", F.col("code").alias(c), F.col("amount").alias(f"{c}_amount"), "fee_percent")
+    pairs = side(0, "a").join(side(1, "b").drop("fee_percent"), "id").where("a <> b").groupBy("a", "b").agg(F.sum("a_amount").alias("x"), F.sum("b_amount").alias("y"), F.max("fee_percent").alias("fee_percent"))
+    one = lambda n, c, amount: F.struct(F.lit(n).alias("place"), F.lit("issued").alias("kind"), F.col(c).alias("asset"), F.col(amount).cast("decimal(38,7)").alias("amount"))
+    pools = pairs.select(F.concat_ws("|", "a", "b").alias("id"), "fee_percent", F.inline(F.array(one(0, "a", "x"), one(1, "b", "y"))))
+    return M.book_markets(offers(t)).unionByName(M.pool_markets(pools))
+
+
+def _asks(t: Tables):
+    volumes = trades(t).where("base_asset <> counter_asset").groupBy("base_asset", "counter_asset").agg(F.max("base_amount").alias("amount"))
+    return volumes.select(F.concat_ws("/", "counter_asset", "base_asset").alias("request"), F.col("counter_asset").alias("src"), F.col("base_asset").alias("target"), "amount", (F.col("amount") * 3).cast("decimal(38,7)").alias("send_max"))
+
+
+def _routed(receive: bool) -> str:
+    """(request, amount) of the best of all paths of at most three markets."""
+    there, begin, goal, best = ("src", "target", "src", "min") if receive else ("dst", "src", "target", "max")
+    book = "b.bi + (l.amount - b.bo) * b.price AS v FROM {0} l JOIN b ON b.dst = l.here AND l.amount > b.bo AND l.amount <= b.bo + b.given" if receive else "b.bo + (l.amount - b.bi) / b.price AS v FROM {0} l JOIN b ON b.src = l.here AND l.amount > b.bi AND l.amount <= b.bi + b.taken"
+    pool = "p.ri * l.amount / (p.ro - l.amount) / p.keep AS v FROM {0} l JOIN p ON p.dst = l.here AND l.amount < p.ro" if receive else "p.ro * (l.amount * p.keep) / (p.ri + l.amount * p.keep) AS v FROM {0} l JOIN p ON p.src = l.here"
+    on = lambda n: f"(SELECT * FROM l{n} WHERE here <> goal)"
+    step = lambda n: f"l{n + 1} AS (SELECT request, here, goal, start, v AS amount FROM (SELECT l.request, l.goal, l.start, b.{there} AS here, {book.format(on(n))} UNION ALL SELECT l.request, l.goal, l.start, p.{there} AS here, {pool.format(on(n))}) WHERE v > 0 AND here <> start)"
+    return f"""WITH lv AS (SELECT *, CAST(round(CAST(given AS DOUBLE) * price, 7) AS DECIMAL(38,7)) AS taken FROM (SELECT selling, buying, price, CAST(sum(amount) AS DECIMAL(38,7)) AS given FROM {NO} WHERE price > 0 AND amount > 0 AND selling <> buying GROUP BY ALL)),
+    b AS (SELECT buying AS src, selling AS dst, price, CAST(given AS DOUBLE) AS given, CAST(taken AS DOUBLE) AS taken, CAST(coalesce(sum(taken) OVER w, 0) AS DOUBLE) AS bi, CAST(coalesce(sum(given) OVER w, 0) AS DOUBLE) AS bo FROM lv WINDOW w AS (PARTITION BY selling, buying ORDER BY price ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    k AS (SELECT id, place, code, amount, fee_percent FROM {NR} WHERE place IS NOT NULL AND kind <> 'unknown'),
+    g AS (SELECT x.code AS a, y.code AS b, CAST(CAST(sum(x.amount) AS DECIMAL(38,7)) AS DOUBLE) AS x, CAST(CAST(sum(y.amount) AS DECIMAL(38,7)) AS DOUBLE) AS y, 1 - max(x.fee_percent) / 100 AS keep FROM k x JOIN k y ON x.id = y.id AND x.place = 0 AND y.place = 1 WHERE x.code <> y.code GROUP BY ALL),
+    p AS (SELECT a AS src, b AS dst, x AS ri, y AS ro, keep FROM g WHERE x > 0 AND y > 0 UNION ALL SELECT b, a, y, x, keep FROM g WHERE x > 0 AND y > 0),
+    q AS (SELECT concat(counter_asset, '/', base_asset) AS request, counter_asset AS src, base_asset AS target, max(base_amount) AS amount FROM {NT} WHERE base_asset <> counter_asset GROUP BY ALL),
+    l0 AS (SELECT request, {begin} AS here, {goal} AS goal, {begin} AS start, CAST(amount AS DOUBLE) AS amount FROM q WHERE amount > 0),
+    {", ".join(map(step, range(3)))}, f AS (SELECT request, {best}(amount) AS amount FROM (SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3) WHERE here = goal GROUP BY request)
+    SELECT q.request, src, target, q.amount, """
+
+
+_UNROUTED = "FROM q LEFT JOIN f ON f.request = q.request"
+add("jn13e_quote_send", lambda t: M.quote_send(_markets(t), _asks(t).drop("send_max"), 3).drop("path"), _routed(False) + f"round(f.amount, 7) AS received {_UNROUTED}")
+add(
+    "jn13f_quote_receive",
+    lambda t: M.quote_receive(_markets(t), _asks(t), 3).drop("path"),
+    _routed(True) + f"CAST(q.amount * 3 AS DECIMAL(38,7)) AS send_max, round(f.amount, 7) AS spent, coalesce(round(f.amount, 7) <= CAST(CAST(q.amount * 3 AS DECIMAL(38,7)) AS DOUBLE), false) AS within {_UNROUTED}",
 )
 add(
     "jn15_account_relationships",

@@ -208,6 +208,12 @@ SELECT id, type, CASE WHEN event_id % 9 = 0 THEN '' WHEN event_id % 9 <> 1 THEN
   CASE WHEN asset_type <> 'native' THEN 'USD' END AS asset_code, CASE WHEN asset_type <> 'native' AND event_id % 48 = 1 THEN 'G000009' END AS asset_issuer, CASE WHEN event_id % 8 <> 3 THEN asset_type END AS asset_type,
   {str:amount} AS amount, {str:starting_balance} AS starting_balance, CASE WHEN event_id % 36 = 0 THEN account END AS trustor, cast(NULL as string) AS offer_id, CASE WHEN event_id % 36 = 9 THEN account END AS seller,
   sponsor, cast(NULL as string) AS new_sponsor, cast(NULL as string) AS former_sponsor, balance_id, cast(NULL as int) AS weight, cast(NULL as string) AS name, event_id FROM effects""",
+    "raw_op_effects": """
+SELECT concat(lpad({str:id}, 19, '0'), '-0000000001') AS id, CASE l_linenumber WHEN 1 THEN 'liquidity_pool_trade' WHEN 2 THEN 'claimable_balance_created' WHEN 3 THEN 'trustline_created' ELSE 'account_debited' END AS type,
+  source_account AS account, CASE WHEN l_linenumber = 4 THEN concat('G', lpad({str:l_suppkey}, 6, '0')) END AS source_account, cast(NULL as string) AS created_account, CASE WHEN l_linenumber = 5 THEN concat('G', lpad({str:l_suppkey}, 6, '0')) END AS destination,
+  {iso:ledger * 5} AS created_at, cast(NULL as string) AS contract, CASE WHEN l_linenumber = 1 THEN {row:id=md5({str:l_partkey})} END AS liquidity_pool, CASE WHEN l_linenumber = 3 THEN 'USD' END AS asset_code, cast(NULL as string) AS asset_issuer, 'native' AS asset_type,
+  {str:cast(l_extendedprice as decimal(19,7))} AS amount, cast(NULL as string) AS starting_balance, CASE WHEN l_linenumber = 3 THEN source_account END AS trustor, cast(NULL as string) AS offer_id, CASE WHEN l_linenumber = 6 THEN concat('G', lpad({str:l_suppkey}, 6, '0')) END AS seller,
+  cast(NULL as string) AS sponsor, cast(NULL as string) AS new_sponsor, cast(NULL as string) AS former_sponsor, CASE WHEN l_linenumber = 2 THEN concat('B', {str:l_orderkey}) END AS balance_id, cast(NULL as int) AS weight, cast(NULL as string) AS name FROM operations""",
     "raw_contract_events": """
 SELECT id, CASE WHEN event_id % 13 <> 0 THEN type END AS type, CASE WHEN event_id % 17 <> 0 THEN ledger END AS ledger, {iso:ledger * 5} AS ledger_closed_at, tx_hash,
   CASE WHEN event_id % 19 = 0 THEN contract_id ELSE concat('C', lpad(translate(substr(contract_id, 2), '0189', 'WXYZ'), 55, 'A')) END AS contract_id,

@@ -97,6 +97,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder and read again."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_storage_entries(spark: SparkSession, folder: str, durability: str | None = None) -> DataFrame:
     """Storage entries, stored by durability; asking for one reads only its files."""
     out = read_table(spark, folder, "storage_entries")

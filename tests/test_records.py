@@ -194,6 +194,20 @@ def test_values(spark):
     assert got["11"].error == "unsupported type scvError" and got["7"].error == "not a value of type scvU32"
 
 
+def test_values_of_any_depth(spark):
+    deep = '[{"type":"scvVec","value":' * 40 + '[{"type":"scvMap","value":[{"key":{"type":"scvU32","value":"1"},"val":{"type":"scvBool","value":"true"}},{"key":{"type":"scvSymbol","value":"k"},"val":{"type":"scvVoid"}}]}]' + "}]" * 40
+    rows = [{"id": "1", "value": ("scvVec", deep)}, {"id": "2", "value": ("scvVec", deep.replace("scvBool", "scvError"))}, {"id": "3", "value": ("scvMap", "[]")}, {"id": "4", "value": ("scvMap", "[1]")}, {"id": "5", "value": ("scvU32", "5")}]
+    df = N.decode_event_values(raw(spark, "contract_events", *rows))
+    assert {r.id: r.value for r in df.collect()} == {"1": "[" * 41 + '{"1":true,"k":null}' + "]" * 41, "2": None, "3": "{}", "4": None, "5": "5"}
+    assert df._jdf.queryExecution().executedPlan().toString().count("Join") < 4  # whatever the depth
+
+
+def test_topics(spark):
+    rows = [{"id": "1", "topic": [("scvSymbol", "transfer"), ("scvAddress", "G1"), ("scvVec", '[{"type":"scvU64","value":"9"}]'), ("scvError", "1"), (None, None)]}, {"id": "2"}, {"id": "3", "topic": []}]
+    got = sorted((r.id, r.place, r.value, r.decoded) for r in N.decode_event_topics(raw(spark, "contract_events", *rows)).collect())
+    assert got == [("1", 0, '"transfer"', True), ("1", 1, '"G1"', True), ("1", 2, '["9"]', True), ("1", 3, None, False), ("1", 4, "null", True)]
+
+
 def test_transactions(spark):
     rows = [
         {"hash": "a", "successful": True, "ledger_attr": 9, "memo_type": "none", "memo": "x", "fee_charged": "100"}, {"hash": "b", "successful": False, "ledger": 8, "memo_type": "text", "memo": "hi", "result_codes": ("txFailed", ["op_success", "opUnderfunded", "op_success"])},
@@ -262,7 +276,9 @@ def test_claim_predicates(spark):
     cases = [
         ('{"unconditional":true}', "unconditional", True), ('{"before_relative_time":"3600"}', "before_relative_time(3600)", True), ('{"not":{"unconditional":true}}', "not(unconditional)", False), ('{"before_absolute_time":"10"}', "before_absolute_time(10)", False),
         ('{"and":[{"before_relative_time":"60"},{"or":[{"not":{"before_absolute_time":"10"}},{"unconditional":true}]}]}', "and(before_relative_time(60), or(not(before_absolute_time(10)), unconditional))", False),
-        ("{}", "unknown", None), ("no json", "unknown", None), (None, "unknown", None), ('{"not":{"not":{"not":{"not":{"unconditional":true}}}}}', "not(not(not(unknown)))", None),
+        ("{}", "unknown", None), ("no json", "unknown", None), (None, "unknown", None), ('{"not":{"not":{"not":{"not":{"unconditional":true}}}}}', "not(not(not(not(unconditional))))", True),
+        ('{"and":[]}', "and()", True), ('{"or":[]}', "or()", False), ('{"not":5}', "not(unknown)", None), ('{"or":[{"unconditional":true},{"odd":1}]}', "or(unconditional, unknown)", True), ('{"and":[{"odd":1},{"unconditional":true}]}', "and(unknown, unconditional)", None),
+        ('{"not":' * 41 + '{"and":[{"unconditional":true}]}' + "}" * 41, "not(" * 41 + "and(unconditional)" + ")" * 41, False),
     ]
     df = raw(spark, "claimable_balances", *[{"id": str(i), "claimants": [("d", p)], "last_modified_ledger": 1000} for i, (p, _, _) in enumerate(cases)])
     got = {r.id: (r.predicate, r.claimable) for r in A.claimable_at(df, 1100, "last_modified_ledger").collect()}
@@ -273,8 +289,10 @@ def test_invocations(spark):
     tree = '{"contract":"A","function":"f","args":1,"sub":[{"contract":"B","function":"g","args":0,"sub":[]},{"contract":"C","function":"h","args":2}]}'
     auth = spark.createDataFrame([("1", tree)], "id string, t string").select("id", F.parse_json("t").alias("invocation"))
     assert sorted((r.depth, r.contract, r.root) for r in A.flatten_invocations(auth).collect()) == [(0, "A", "A"), (1, "B", "A"), (1, "C", "A")]
-    with pytest.raises(Exception, match="deeper than 1"):
-        A.flatten_invocations(auth, 1).collect()
+    deep = '{"contract":"A","sub":[' * 40 + '{"contract":"Z"}' + "]}" * 40
+    calls = A.flatten_invocations(spark.createDataFrame([("1", deep), ("2", tree), ("3", None)], "id string, t string").select("id", F.parse_json("t").alias("invocation")))
+    assert {(r.id, r.depth, r.contract) for r in calls.where("id <> '2'").collect()} == {("1", d, "A") for d in range(40)} | {("1", 40, "Z"), ("3", 0, None)}
+    assert "Union" not in calls._jdf.queryExecution().executedPlan().toString()
     results = lambda *s: one(A.invocation_summary(spark.createDataFrame([(x,) for x in s], "status string")))
     assert (results().total, results("success", "success").succeeded, results("success", None).failed) == (0, 2, 1)
 
@@ -397,3 +415,62 @@ def test_bounded_streams(spark, tmp_path):
     assert R.run_bounded(stream, spark).count() == 120
     some = R.run_bounded(stream, spark, events=5).count()
     assert 5 <= some <= 120 and some % 10 == 0
+
+
+def stored(spark, tmp_path, name, *records):
+    """Records of a declared table, as read from its files."""
+    raw(spark, name, *records).write.parquet(f"{tmp_path}/{name}")
+    return S.read_table(spark, str(tmp_path), name)
+
+
+def test_criteria_on_declared_tables(spark, tmp_path):
+    tx = lambda ledger, order: ledger << 32 | order << 12
+    ops = [{"id": str(n), "paging_token": str(n), "transaction_hash": h, "transaction_successful": True, "source_account": a} for n, h, a in ((tx(2, 1) + 1, "h1", "A"), (tx(2, 1) + 2, "h1", "B"), (tx(2, 2) + 1, "h2", "A"), (tx(3, 1) + 1, "h3", "C"), (7, "h0", "C"))]
+    pays = [{**o, "id": "" if i == 1 else o["id"], "ledger": 2 if i == 0 else None} for i, o in enumerate(ops)]
+    txs = [{"hash": h, "successful": h != "h2", "ledger_attr": a, "ledger": b} for h, a, b in (("h1", 2, None), ("h2", None, 2), ("h3", 3, 2), ("h0", 0, None))]
+    fx = [{"id": f"{n:019d}-{i:010d}", "balance_id": b, "liquidity_pool": (p,) if p else None} for n, i, b, p in ((tx(2, 1) + 1, 1, "B1", None), (tx(2, 1) + 1, 2, None, "P1"), (tx(2, 2) + 1, 1, None, "P1"), (tx(3, 1) + 1, 1, "B1", None))] + [{"id": "odd", "balance_id": "B1"}]
+    sold = {"base_asset_type": "native", "counter_asset_type": "credit_alphanum4", "counter_asset_code": "USD"}
+    trades = [{**sold, "id": "1", "counter_asset_issuer": "I"}, {**sold, "id": "2", "counter_asset_issuer": "J"}, {"id": "3", "base_asset_type": "credit_alphanum4", "base_asset_code": "USD", "base_asset_issuer": "I", "counter_asset_type": "native"}]
+    tables = {n: stored(spark, tmp_path, n, *rows) for n, rows in (("operations", ops), ("payments", pays), ("transactions", txs), ("effects", fx), ("trades", trades))}
+    key = {"transactions": "hash", "payments": "paging_token"}
+
+    def found(resource, **criteria):
+        df = X.filter_resource(tables[resource], resource, operations=tables["operations"], effects=tables["effects"], **criteria)
+        assert df.columns == tables[resource].columns
+        return sorted(r[key.get(resource, "id")] for r in df.collect())
+
+    watch = lambda *values: spark.createDataFrame([(v,) for v in values], f"x {'string' if isinstance(values[0], str) else 'long'}")
+    o, e = [r["id"] for r in ops], [r["id"] for r in fx]
+    for ledger in (2, watch(2)):
+        assert found("operations", ledger=ledger) == found("payments", ledger=ledger) == sorted(o[:3])
+        assert found("effects", ledger=ledger) == e[:3] and found("transactions", ledger=ledger) == ["h1"]
+    assert found("transactions", ledger=2, include_failed=True) == ["h1", "h2"] and found("operations", ledger=0) == ["7"]
+    for h in ("h1", watch("h1")):
+        assert found("operations", transaction=h) == found("payments", transaction=h) == o[:2] and found("effects", transaction=h) == e[:2]
+    assert found("effects", transaction="nowhere") == []
+    for n in (tx(2, 1) + 1, watch(tx(2, 1) + 1)):
+        assert found("effects", operation=n) == e[:2]
+    for p in ("P1", watch("P1", "P2")):
+        assert found("effects", liquidity_pool=p) == [e[1], e[2]] and found("operations", liquidity_pool=p) == sorted([o[0], o[2]]) and found("transactions", liquidity_pool=p) == ["h1"]
+    for b in ("B1", watch("B1")):
+        assert found("effects", claimable_balance=b) == sorted([e[0], e[3], "odd"])
+        assert found("operations", claimable_balance=b) == found("payments", claimable_balance=b) == sorted([o[0], o[3]]) and found("transactions", claimable_balance=b) == ["h1", "h3"]
+    assert found("trades", asset_pair=("native", "USD:I")) == found("trades", asset_pair=("USD:I", "native")) == ["1", "3"]
+    assert found("operations", account="A", ledger=2) == sorted([o[0], o[2]])
+    with pytest.raises(ValueError, match="effects"):
+        X.filter_resource(tables["operations"], "operations", liquidity_pool="P1")
+
+
+def test_numbers_reach_the_scan(spark, tmp_path):
+    n = 50_000_000 << 32 | 3 << 12
+    effects = stored(spark, tmp_path, "effects", {"id": f"{n + 1:019d}-0000000001", "liquidity_pool": ("P",)})
+    operations = stored(spark, tmp_path, "operations", {"id": str(n + 1), "transaction_hash": "h", "transaction_successful": True})
+    pushed = lambda df: next(x for x in df._jdf.queryExecution().executedPlan().toString().split("\n") if "PushedFilters" in x).split("PushedFilters")[1]
+    for df, low in (
+        (X.filter_resource(effects, "effects", ledger=50_000_000), f"GreaterThanOrEqual(id,{50_000_000 << 32:019d}-)"),
+        (X.filter_resource(operations, "operations", ledger=50_000_000), f"GreaterThanOrEqual(id,{50_000_000 << 32})"),
+        (X.filter_resource(effects, "effects", operation=n + 1), f"LessThan(id,{n + 1:019d}.)"),
+        (X.filter_resource(effects, "effects", operations=operations, transaction="h"), f"GreaterThanOrEqual(id,{n:019d}-)"),
+        (X.filter_resource(effects, "effects", liquidity_pool="P"), "EqualTo(liquidity_pool.id,P)"),
+    ):
+        assert low in pushed(df) and df.count() == 1
