@@ -76,3 +76,35 @@ def direction(account: Column, source: Column, destination: Column) -> Column:
         .when(source == account, "outgoing")
         .otherwise("related")
     )
+
+
+# The form of a contract's id (a letter for what it is, 32 bytes and a checksum, in base 32), and the
+# polynomial of its checksum (CRC-16).
+CONTRACT_FORM, POLYNOMIAL = "^C[A-D][A-Z2-7]{54}$", 0x1021
+
+
+def crc_table(bits: int) -> list[int]:
+    """What each value of the first so many bits does to a 16-bit checksum."""
+    out = []
+    for value in range(1 << bits):
+        crc = value << (16 - bits)
+        for _ in range(bits):
+            crc = (crc << 1 ^ POLYNOMIAL if crc & 0x8000 else crc << 1) & 0xFFFF
+        out.append(crc)
+    return out
+
+
+def is_contract(c: Column) -> Column:
+    """Whether a text is a contract's id, checksum included. Five bits a character: 52 and four fifths of them are what the
+    checksum is of, the last 16 bits are the checksum, its lower byte first."""
+    five, four = (F.array(*[F.lit(x) for x in crc_table(n)]) for n in (5, 4))
+    digits = F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: F.when(F.ascii(x) >= 65, F.ascii(x) - 65).otherwise(F.ascii(x) - 24))
+    step = lambda crc, d, table, bits: (crc * (1 << bits)).bitwiseAND(F.lit(0xFFFF)).bitwiseXOR(F.get(table, F.shiftright(crc, 16 - bits).bitwiseXOR(d)))
+
+    def checked(d: Column) -> Column:
+        crc = F.aggregate(F.slice(d, 1, 52), F.lit(0), lambda acc, x: step(acc, x, five, 5))
+        crc = step(crc, F.shiftright(F.get(d, F.lit(52)), 1), four, 4)
+        told = F.aggregate(F.slice(d, 53, 4), F.lit(0), lambda acc, x: acc * 32 + x) % 65536
+        return crc == F.shiftright(told, 8) + told % 256 * 256
+
+    return F.coalesce(F.when(c.rlike(CONTRACT_FORM), F.get(F.transform(F.array(digits), checked), F.lit(0))), F.lit(False))

@@ -436,12 +436,23 @@ def ttl_report(entries: DataFrame, latest: int, soon: int = 17_280, seconds: int
 
 
 def archive_status(entries: DataFrame, sims: DataFrame, latest: int) -> DataFrame:
-    """By contract and state: archived where a simulation says that it has to be restored or the entry's last ledger is
-    past, else accessible; unknown without a last ledger."""
-    restore = sims.where("status = 'restore'").select("contract_id", F.lit(True).alias("_restore")).distinct()
+    """By contract and state: archived where the entry's last ledger is past, or where a simulation that asks for a restore
+    has its key in its footprint (one that gives no footprint means all of its contract), else accessible; unknown without
+    a last ledger."""
+    asked = sims.where("status = 'restore'")
+    keys = F.explode(F.concat(*[F.coalesce(c, F.array().cast(sims.schema[c].dataType)) for c in ("read_only", "read_write")])).alias("k")
+    named = asked.select(keys).select(F.col("k.contract").alias("contract_id"), "k.key", "k.durability").distinct().withColumn("_key", F.lit(True))
+    whole = asked.where("read_only is null and read_write is null").select("contract_id").distinct().withColumn("_whole", F.lit(True))
     past = F.col("live_until_ledger") < latest
-    state = F.when(F.coalesce("_restore", F.lit(False)) | F.coalesce(past, F.lit(False)), "archived").when(past.isNull(), "unknown").otherwise("accessible")
-    return entries.join(restore, "contract_id", "left").groupBy("contract_id", state.alias("state")).agg(F.count("*").alias("n"))
+    state = F.when(F.coalesce("_key", "_whole", F.lit(False)) | F.coalesce(past, F.lit(False)), "archived").when(past.isNull(), "unknown").otherwise("accessible")
+    both = entries.join(named, ["contract_id", "key", "durability"], "left").join(whole, "contract_id", "left")
+    return both.groupBy("contract_id", state.alias("state")).agg(F.count("*").alias("n"))
+
+
+def sponsorships(effects: DataFrame) -> DataFrame:
+    """(sponsor, entry, n): entries that accounts have begun to sponsor, by what they are."""
+    made = effects.where(F.col("type").endswith("_sponsorship_created"))
+    return counts(made.withColumn("entry", F.regexp_replace("type", "_sponsorship_created$", "")), "sponsor", "entry")
 
 
 def auth_entries(sims: DataFrame, latest: int) -> DataFrame:

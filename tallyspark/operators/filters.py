@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import asset_key, toid
+from ..functions.columns import asset_key, is_contract, toid
 
 # Which criterion each resource can be filtered by.
 SUPPORT = {
@@ -238,13 +238,14 @@ def _all():
 
 
 # The forms that identifiers must have.
-FORMS = {"hash": "^[0-9a-fA-F]{64}$", "pool": "^[0-9a-fA-F]{64}$", "asset_code": "^[A-Za-z0-9]{1,12}$", "contract": "^C[A-Z2-7]{55}$"}
+FORMS = {"hash": "^[0-9a-fA-F]{64}$", "pool": "^[0-9a-fA-F]{64}$", "asset_code": "^[A-Za-z0-9]{1,12}$"}
 LAST_LEDGER = 2**31 - 1
 
 
 def identifier_rules(**columns: str) -> dict:
-    """Rules of audit_identifiers out of column names by form: hash, pool, asset_code, contract or ledger."""
-    rule = lambda form, c: F.col(c).between(1, LAST_LEDGER) if form == "ledger" else F.col(c).rlike(FORMS[form])
+    """Rules of audit_identifiers out of column names by form: hash, pool, asset_code, contract (with its checksum) or
+    ledger."""
+    rule = lambda form, c: F.col(c).between(1, LAST_LEDGER) if form == "ledger" else is_contract(F.col(c)) if form == "contract" else F.col(c).rlike(FORMS[form])
     return {form: rule(form, c) for form, c in columns.items()}
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import MONEY, asset_key, effect_category, epoch, first_text, money, price_of, ratio, toid
+from ..functions.columns import MONEY, asset_key, effect_category, epoch, first_text, is_contract, money, price_of, ratio, toid
 from .trees import fold, unfold
 
 
@@ -141,13 +141,9 @@ def normalize_transactions(raw: DataFrame) -> DataFrame:
     )
 
 
-# The form of a contract's id.
-CONTRACT_ID = "^C[A-Z2-7]{55}$"
-
-
 def contract_id(c: Column) -> Column:
-    """The id, blank where it has not the form of one."""
-    return F.when(c.rlike(CONTRACT_ID), c).otherwise("")
+    """The id, blank where it is none."""
+    return F.when(is_contract(c), c).otherwise("")
 
 
 def normalize_contract_events(raw: DataFrame) -> DataFrame:

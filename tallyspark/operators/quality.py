@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from ..functions.columns import ratio
 
 
-def asset_dimension(uses: dict[str, tuple[DataFrame, str]], ledger: str = "ledger") -> DataFrame:
-    """Assets over several tables, each given with its asset column: label, uses in all and by table, first and last
-    ledger. A table without a ledger column counts without one."""
+def asset_dimension(uses: dict[str, tuple], ledger: str = "ledger") -> DataFrame:
+    """Assets over several tables, each given with all its asset columns (table, column, ...): label, uses in all and by
+    table, first and last ledger. A row that names an asset in two columns uses it twice; a table without a ledger column
+    counts without one."""
     at = lambda df: F.col(ledger).cast("long") if ledger in df.columns else F.lit(None).cast("long")
-    rows = [df.select(F.col(c).alias("asset"), F.lit(name).alias("resource"), at(df).alias("ledger")) for name, (df, c) in uses.items()]
+    rows = [df.select(F.explode(F.array(*columns)).alias("asset"), F.lit(name).alias("resource"), at(df).alias("ledger")) for name, (df, *columns) in uses.items()]
     every = reduce(DataFrame.unionByName, rows).where("asset is not null and asset <> ''")
     by = [F.count_if(F.col("resource") == name).alias(f"{name}_uses") for name in uses]
     out = every.groupBy("asset").agg(F.count("*").alias("uses"), *by, F.min("ledger").alias("first_ledger"), F.max("ledger").alias("last_ledger"))

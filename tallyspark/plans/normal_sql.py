@@ -6,6 +6,17 @@ NL ledgers, NX transactions, NU accounts, ND native balance changes, NI payments
 
 from __future__ import annotations
 
+
+
+def is_contract(c: str) -> str:
+    """Whether a text is a contract's id: its form, and its checksum bit by bit."""
+    digit = f"(CASE WHEN ascii({c}[i // 5 + 1]) >= 65 THEN ascii({c}[i // 5 + 1]) - 65 ELSE ascii({c}[i // 5 + 1]) - 24 END)"
+    bits = lambda low, high: f"list_concat([0::BIGINT], list_transform(range({low}, {high}), lambda i: CAST(({digit} >> (4 - i % 5)) & 1 AS BIGINT)))"
+    crc = f"list_reduce({bits(0, 264)}, lambda a, b: CASE WHEN (a // 32768 + b) % 2 = 1 THEN xor(a * 2 % 65536, 4129) ELSE a * 2 % 65536 END)"
+    told = f"list_reduce({bits(264, 280)}, lambda a, b: a * 2 + b)"
+    return f"coalesce(CASE WHEN regexp_full_match({c}, 'C[A-D][A-Z2-7]{{54}}') THEN {crc} = {told} // 256 + {told} % 256 * 256 END, false)"
+
+
 _TIME = "CAST(epoch(try_strptime({}, '%Y-%m-%dT%H:%M:%SZ')) AS BIGINT)"
 _MONEY = "CAST(TRY_CAST({} AS DECIMAL(19,7)) AS DECIMAL(38,7))"
 _ZERO = "CAST(coalesce(TRY_CAST({} AS DECIMAL(19,7)), 0) AS DECIMAL(38,7))"
@@ -60,7 +71,7 @@ NF = f"""(SELECT id, ledger, type, subject, asset, amount, {CATEGORY} AS categor
  CASE WHEN asset_type = 'native' THEN 'native' WHEN nullif(asset_code, '') IS NOT NULL THEN concat_ws(':', asset_code, nullif(asset_issuer, '')) END AS asset,
  coalesce({_MONEY.format('amount')}, {_MONEY.format('starting_balance')}) AS amount, {_TIME.format('created_at')} AS created_at FROM raw_effects))"""
 
-NC = """(SELECT id, coalesce(type, 'contract') AS type, coalesce(ledger, 0) AS ledger, tx_hash, CASE WHEN regexp_matches(contract_id, '^C[A-Z2-7]{55}$') THEN contract_id ELSE '' END AS contract_id,
+NC = f"""(SELECT id, coalesce(type, 'contract') AS type, coalesce(ledger, 0) AS ledger, tx_hash, CASE WHEN {is_contract('contract_id')} THEN contract_id ELSE '' END AS contract_id,
  coalesce(CASE WHEN topic[1].xdr_type = 'scvSymbol' THEN topic[1].value END, '(unnamed)') AS name, coalesce(list_transform(topic, lambda x: x.value), []) AS topics, coalesce(value.xdr_type, 'void') AS value_type,
  coalesce(in_successful_contract_call, true) AS successful, paging_token FROM raw_contract_events)"""
 

@@ -80,7 +80,7 @@ _add("agg12_order_book_depth", lambda t: A.order_book_depth(N.normalize_offers(t
 _add("agg14_pool_inventory", lambda t: A.pool_inventory(N.normalize_pools(t.raw_pools)), f"SELECT kind, code, issuer, CAST(sum(amount) AS DECIMAL(38,7)) AS amount, count(*) AS n FROM {NR} WHERE place IS NOT NULL GROUP BY kind, code, issuer")
 _add("agg15_asset_summary", lambda t: A.asset_summary(N.normalize_assets(t.raw_assets)), f"SELECT count(*) AS records, count(DISTINCT asset_code) AS codes, count(DISTINCT asset_issuer) AS issuers, CAST(sum(holders) AS BIGINT) AS holders, CAST(sum(claimable_balances) AS BIGINT) AS claimable_balances FROM {NA}")
 _add("agg16_ambiguous_codes", lambda t: A.ambiguous_codes(N.normalize_assets(t.raw_assets)), f"SELECT asset_code, count(DISTINCT asset_issuer) AS issuers FROM {NA} GROUP BY asset_code HAVING count(DISTINCT asset_issuer) > 1")
-_add("agg22_sponsorships", lambda t: A.counts(t.effects.where("type like '%_sponsorship_created'").withColumn("entry", F.regexp_replace("type", "_sponsorship_created$", "")), "sponsor", "entry"), "SELECT sponsor, replace(type, '_sponsorship_created', '') AS entry, count(*) AS n FROM effects WHERE type LIKE '%_sponsorship_created' GROUP BY ALL")
+_add("agg22_sponsorships", lambda t: A.sponsorships(t.effects), "SELECT sponsor, replace(type, '_sponsorship_created', '') AS entry, count(*) AS n FROM effects WHERE type LIKE '%_sponsorship_created' GROUP BY ALL")
 _add("agg23_reserve_requirements", lambda t: A.reserve_requirements(t.accounts), "SELECT *, available <= 0 AS below FROM (SELECT id, balance, reserve_stroops, CAST(balance - CAST(reserve_stroops / 10000000 AS DECIMAL(19,7)) AS DECIMAL(38,7)) AS available FROM (SELECT id, balance, (2 + greatest(0, subentry_count - num_sponsored + num_sponsoring)) * 5000000 AS reserve_stroops FROM accounts))")
 _add("agg27_trustline_headroom", lambda t: A.trustline_headroom(t.trustlines), """SELECT account, asset_code, CAST("limit" - balance - buying_liabilities AS DECIMAL(38,7)) AS headroom, "limit" = 922337203685.4775807 AS unlimited, balance = 0 AS removable FROM trustlines""")
 _add("agg28_claimable_summary", lambda t: A.claimable_summary(t.claimables), "SELECT destination, asset, predicate, count(*) AS n, CAST(sum(amount) AS DECIMAL(38,7)) AS amount FROM claimables GROUP BY ALL")

@@ -14,9 +14,9 @@ from ..operators import windows as W
 from ..sources import tables as S
 from ..streaming import streams as R
 from .catalog import add
-from .normal_sql import NA, NC, NE, NF, NI, NL, NO, NP, NR, NT, NU, NX
+from .normal_sql import NA, NC, NE, NF, NI, NL, NO, NP, NR, NT, NU, NX, is_contract
 from .registry import _OPFX, _PAIRS, _edges, _operation_effects, _pairs, _quoted, _raw_simulations, _stored
-from .views import Tables
+from .views import CONTRACTS, Tables
 
 payments = lambda t: N.normalize_payments(t.raw_payments)
 trades = lambda t: N.normalize_trades(t.raw_trades)
@@ -59,7 +59,7 @@ def _event_archive(t: Tables) -> str:
     return path
 
 
-_CONTRACTS = ["C" + "A" * 54 + d for d in "234"]
+_CONTRACTS = CONTRACTS[2:5]
 _WHERE = "ledger BETWEEN 50000000 AND 50200000 AND type = 'contract' AND contract_id IN ({})".format(", ".join(f"'{c}'" for c in _CONTRACTS))
 
 
@@ -218,10 +218,10 @@ add(
 add(
     "flt11_audit_identifiers",
     lambda t: X.audit_identifiers(t.raw_contract_events, X.identifier_rules(contract="contract_id", ledger="ledger", hash="tx_hash")).unionByName(X.audit_identifiers(t.raw_assets, X.identifier_rules(asset_code="asset_code"))),
-    """SELECT 'contract' AS rule, count(*) FILTER (WHERE NOT coalesce(regexp_matches(contract_id, '^C[A-Z2-7]{55}$'), false)) AS violations FROM raw_contract_events
+    f"""SELECT 'contract' AS rule, count(*) FILTER (WHERE NOT {is_contract('contract_id')}) AS violations FROM raw_contract_events
     UNION ALL SELECT 'ledger', count(*) FILTER (WHERE NOT coalesce(ledger BETWEEN 1 AND 2147483647, false)) FROM raw_contract_events
-    UNION ALL SELECT 'hash', count(*) FILTER (WHERE NOT coalesce(regexp_matches(tx_hash, '^[0-9a-fA-F]{64}$'), false)) FROM raw_contract_events
-    UNION ALL SELECT 'asset_code', count(*) FILTER (WHERE NOT coalesce(regexp_matches(asset_code, '^[A-Za-z0-9]{1,12}$'), false)) FROM raw_assets""",
+    UNION ALL SELECT 'hash', count(*) FILTER (WHERE NOT coalesce(regexp_matches(tx_hash, '^[0-9a-fA-F]{{64}}$'), false)) FROM raw_contract_events
+    UNION ALL SELECT 'asset_code', count(*) FILTER (WHERE NOT coalesce(regexp_matches(asset_code, '^[A-Za-z0-9]{{1,12}}$'), false)) FROM raw_assets""",
 )
 _BOUNDS = """(SELECT *, CASE WHEN bounds = 'not_yet_valid' THEN min_time - 1055 END AS opens_in, CASE WHEN bounds IN ('valid', 'not_yet_valid') AND max_time > 0 THEN max_time - 1055 END AS closes_in FROM (
     SELECT hash, min_time, max_time, CASE WHEN min_time < 0 OR max_time < 0 OR (max_time > 0 AND max_time <= min_time) THEN 'invalid' WHEN min_time > 1055 THEN 'not_yet_valid' WHEN max_time > 0 AND max_time < 1055 THEN 'expired'
@@ -543,10 +543,11 @@ add(
     lambda t: A.ttl_report(t.storage, 50010000),
     f"SELECT contract_id, durability, CASE WHEN {_LEFT} <= 0 THEN 'expired' WHEN {_LEFT} < 17280 THEN 'expiring' ELSE 'healthy' END AS state, count(*) AS n, min({_LEFT}) AS least_left, greatest(0, min({_LEFT})) * 5 AS least_seconds FROM storage GROUP BY 1, 2, 3",
 )
+_RESTORED = "(contract_id, key, durability) IN (SELECT (contract_id, CAST(k AS VARCHAR), d) FROM (SELECT contract_id, unnest([id % 7, id % 9, id % 11]) AS k, unnest(['persistent', 'temporary', 'persistent']) AS d FROM simulations WHERE status = 'restore'))"
 add(
     "agg38_archive_status",
     lambda t: A.archive_status(t.storage, _raw_simulations(t), 50010000),
-    "SELECT contract_id, CASE WHEN contract_id IN (SELECT contract_id FROM simulations WHERE status = 'restore') OR live_until_ledger < 50010000 THEN 'archived' WHEN live_until_ledger IS NULL THEN 'unknown' ELSE 'accessible' END AS state, count(*) AS n FROM storage GROUP BY 1, 2",
+    f"""SELECT contract_id, CASE WHEN {_RESTORED} OR live_until_ledger < 50010000 THEN 'archived' WHEN live_until_ledger IS NULL THEN 'unknown' ELSE 'accessible' END AS state, count(*) AS n FROM storage GROUP BY 1, 2""",
 )
 add(
     "agg42_ledger_profile",
@@ -602,10 +603,10 @@ add(
     lambda t: Q.batch_overlap(t.claimables.select(F.col("id").alias("balance_id")), t.effects.where("balance_id is not null").select("event_id", "balance_id"), "balance_id"),
     "SELECT event_id, balance_id, balance_id IN (SELECT id FROM claimables) AS repeated FROM effects WHERE balance_id IS NOT NULL",
 )
-_USES = {"payments": f"SELECT asset, ledger FROM {NP}", "trades": f"SELECT base_asset, ledger FROM {NT}", "offers": f"SELECT selling, last_modified_ledger FROM {NO}", "pools": f"SELECT asset, last_modified_ledger FROM {NR}"}
+_USES = {"payments": f"SELECT asset, ledger FROM {NP}", "trades": f"SELECT base_asset, ledger FROM {NT} UNION ALL SELECT counter_asset, ledger FROM {NT}", "offers": f"SELECT selling, last_modified_ledger FROM {NO} UNION ALL SELECT buying, last_modified_ledger FROM {NO}", "pools": f"SELECT asset, last_modified_ledger FROM {NR}"}
 add(
     "qlt1_asset_dimension",
-    lambda t: Q.asset_dimension({"payments": (payments(t), "asset"), "trades": (trades(t), "base_asset"), "offers": (offers(t).withColumnRenamed("last_modified_ledger", "ledger"), "selling"), "pools": (reserves(t).withColumnRenamed("last_modified_ledger", "ledger"), "asset")}),
+    lambda t: Q.asset_dimension({"payments": (payments(t), "asset"), "trades": (trades(t), "base_asset", "counter_asset"), "offers": (offers(t).withColumnRenamed("last_modified_ledger", "ledger"), "selling", "buying"), "pools": (reserves(t).withColumnRenamed("last_modified_ledger", "ledger"), "asset")}),
     "SELECT asset, count(*) AS uses, "
     + ", ".join(f"count(*) FILTER (WHERE r = '{n}') AS {n}_uses" for n in _USES)
     + ", min(ledger) AS first_ledger, max(ledger) AS last_ledger, CASE WHEN asset = 'native' THEN 'XLM (native)' ELSE asset END AS label FROM ("
@@ -669,6 +670,6 @@ add("str3_resumable", _stopped_and_resumed, "SELECT event_id FROM events")
 add("str7_stream_counts", lambda t: R.run_bounded(R.stream_counts(_events(t), "event_type", "ts"), t.spark, "complete"), "SELECT CAST(floor(epoch(date_trunc('day', ts))) AS BIGINT) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 add(
     "str8_stream_balances",
-    lambda t: R.run_bounded(R.stream_balances(_events(t), "user_id", "value"), t.spark, "complete"),
+    lambda t: R.run_updates(R.stream_balances(_events(t), "user_id", "value"), t.spark, ["user_id"]),
     "SELECT user_id, CAST(sum(CAST(value AS DECIMAL(19,7))) AS DECIMAL(38,7)) AS balance, count(*) AS n FROM events GROUP BY user_id",
 )

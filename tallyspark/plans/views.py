@@ -6,12 +6,26 @@ In Spark a view is a DataFrame over the parquet files, in the oracle it is a com
 
 from __future__ import annotations
 
+import base64
+import binascii
+import hashlib
 import re
 
 from pyspark.sql import DataFrame, SparkSession
 
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
 
+
+
+def contract_key(n: int) -> str:
+    """A contract's id out of a number, with its checksum."""
+    body = bytes([2 << 3]) + hashlib.sha256(str(n).encode()).digest()
+    return base64.b32encode(body + binascii.crc_hqx(body, 0).to_bytes(2, "little")).decode()
+
+
+#: Ids of the contracts C0 to C24, by their last digits.
+CONTRACTS = [contract_key(n) for n in range(25)]
+
 DIALECT = {
     "spark": {
         "days": lambda x: f"datediff(cast({x} as date), date'1995-01-01')",
@@ -216,7 +230,8 @@ SELECT concat(lpad({str:id}, 19, '0'), '-0000000001') AS id, CASE l_linenumber W
   cast(NULL as string) AS sponsor, cast(NULL as string) AS new_sponsor, cast(NULL as string) AS former_sponsor, CASE WHEN l_linenumber = 2 THEN concat('B', {str:l_orderkey}) END AS balance_id, cast(NULL as int) AS weight, cast(NULL as string) AS name FROM operations""",
     "raw_contract_events": """
 SELECT id, CASE WHEN event_id % 13 <> 0 THEN type END AS type, CASE WHEN event_id % 17 <> 0 THEN ledger END AS ledger, {iso:ledger * 5} AS ledger_closed_at, tx_hash,
-  CASE WHEN event_id % 19 = 0 THEN contract_id ELSE concat('C', lpad(translate(substr(contract_id, 2), '0189', 'WXYZ'), 55, 'A')) END AS contract_id,
+  CASE WHEN event_id % 19 = 0 THEN contract_id WHEN event_id % 19 = 1 THEN concat('C', lpad(translate(substr(contract_id, 2), '0189', 'WXYZ'), 55, 'A'))
+    ELSE CASE cast(substr(contract_id, 2) as int) {cases} END END AS contract_id,
   CASE WHEN name IS NULL THEN NULL ELSE {list:{row:xdr_type=CASE WHEN event_id % 14 = 0 THEN 'scvString' ELSE 'scvSymbol' END;value=name};{row:xdr_type='scvU32';value='7'}} END AS topic,
   CASE WHEN event_id % 15 <> 0 THEN {row:xdr_type=kind;value=typed} END AS value,
   in_successful_contract_call, id AS paging_token, event_id FROM (SELECT *,
@@ -239,6 +254,7 @@ SELECT id, {str:num} AS sequence, cast(subentry_count as int) AS subentry_count,
 def render(sql: str, dialect: str) -> str:
     """Fill in {name:argument,...}; arguments may hold other ones. Those of rows (name=value) and lists end at semicolons."""
     f = DIALECT[dialect]
+    sql = sql.replace("{cases}", " ".join(f"WHEN {n} THEN '{key}'" for n, key in enumerate(CONTRACTS)))
     pattern = re.compile(r"\{(\w+):([^{}]*)\}")
     while m := pattern.search(sql):
         sql = sql[: m.start()] + f[m[1]](*m[2].split(";" if m[1] in ("row", "list", "collect", "iso", "str") else ",")) + sql[m.end() :]

@@ -27,7 +27,7 @@ def stream_events(spark: SparkSession, folder: str) -> DataFrame:
 def watch_accounts(payments: DataFrame, accounts: DataFrame, mode: str = "all") -> DataFrame:
     """Normalised payments of a stream that touch a watched account (one-column list), a row for each account they touch,
     with the direction from its side, as far as the mode lets it pass (see filter_direction)."""
-    touched = with_direction(payments).join(F.broadcast(accounts.toDF("inspected").distinct()), "inspected")
+    touched = with_direction(payments).join(accounts.toDF("inspected").distinct(), "inspected")
     return filter_direction(touched, mode)
 
 
@@ -56,7 +56,7 @@ def run_bounded(stream: DataFrame, spark: SparkSession, mode: str = "append", se
     folder, under its number, which a batch that is repeated after a failure overwrites; a run that is given the folder
     of an earlier one goes on behind it."""
     where = where or shared_folder(spark, "stream")
-    path = lambda batch: f"{where}/batch={batch if mode == 'append' else 0}"
+    path = lambda batch: f"{where}/batch={batch if mode != 'complete' else 0}"
     written = 0
 
     def write(df: DataFrame, batch: int) -> None:
@@ -76,6 +76,14 @@ def run_bounded(stream: DataFrame, spark: SparkSession, mode: str = "append", se
     return spark.read.schema(stream.schema).parquet(f"{where}/batch=*")
 
 
+def run_updates(stream: DataFrame, spark: SparkSession, keys: list[str], where: str | None = None) -> DataFrame:
+    """As run_bounded, in update mode: a batch writes only what it has changed, and the newest row of each key is read."""
+    where = where or shared_folder(spark, "updates")
+    run_bounded(stream, spark, "update", where=where)
+    written = spark.read.schema(f"{stream.select(*stream.columns).schema.toDDL()}, batch long").parquet(where)
+    return written.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in stream.columns if c not in keys]), "batch").alias("_newest")).select(*keys, "_newest.*")
+
+
 def _await(query) -> None:
     query.awaitTermination()
 

@@ -11,6 +11,7 @@ from tallyspark.operators import joins as J
 from tallyspark.operators import normalize as N
 from tallyspark.operators import quality as Q
 from tallyspark.operators import windows as W
+from tallyspark.plans.views import contract_key
 from tallyspark.sources import tables as S
 from tallyspark.streaming import streams as R
 
@@ -167,7 +168,7 @@ def test_assets(spark):
 
 
 def test_contract_events(spark):
-    contract = "C" + "A2" * 27 + "Z"
+    contract = contract_key(7)
     name = lambda x, kind="scvSymbol": [(kind, x), ("scvU32", "1")]
     rows = [
         {"id": "1", "ledger": 100, "tx_hash": "a", "contract_id": contract, "topic": name("transfer")}, {"id": "2", "ledger": 300, "tx_hash": "a", "contract_id": "CBAD", "topic": name("transfer"), "in_successful_contract_call": False},
@@ -354,6 +355,9 @@ def test_storage_reports(spark):
     entries = raw(spark, "storage_entries", *[{"contract_id": c, "key": "k", "durability": "persistent", "live_until_ledger": x} for c, x in (("at", 100), ("past", 99), ("none", None), ("restore", 500))])
     sims = raw(spark, "simulations", {"contract_id": "restore", "status": "restore"}, {"contract_id": "at", "status": "success"})
     assert {r.contract_id: r.state for r in A.archive_status(entries, sims, 100).collect()} == {"at": "accessible", "past": "archived", "none": "unknown", "restore": "archived"}
+    two = raw(spark, "storage_entries", *[{"contract_id": "c", "key": k, "durability": "persistent", "live_until_ledger": 500} for k in "ab"], {"contract_id": "c", "key": "a", "durability": "temporary", "live_until_ledger": 500})
+    named = raw(spark, "simulations", {"contract_id": "c", "status": "restore", "read_write": [("contract_data", "c", "a", "persistent"), None]}, {"contract_id": "d", "status": "restore", "read_only": []})
+    assert {r.state: r.n for r in A.archive_status(two, named, 100).collect()} == {"archived": 1, "accessible": 2}
     assert {r.contract_id: (r.state, r.least_seconds) for r in A.ttl_report(entries.where("contract_id <> 'none'"), 100).collect()} == {"at": ("expired", 0), "past": ("expired", 0), "restore": ("expiring", 2000)}
     profile = one(A.simulation_profile(raw(spark, "simulations", {"contract_id": "c", "status": "success", "instructions": 123456, "read_bytes": 2048, "write_bytes": 512, "read_only": [None, None], "read_write": [None], "min_resource_fee": "7"}, {"contract_id": "c"})))
     assert (profile.instructions, profile.read_bytes, profile.write_bytes, profile.read_only_keys, profile.read_write_keys, profile.fee_p50) == (123456, 2048, 512, 2, 1, 7)
@@ -366,6 +370,8 @@ def test_reports_on_references(spark):
     assert {(r.source): (r.n, r.disagree) for r in Q.price_source_report(t, raw(spark, "offers")).collect()} == {"rational": (2, 1), "none": (2, 0)}
     assert {r.pattern: r.n for r in Q.id_report({"trades": t}).collect()} == {"decodes": 1, "malformed": 2, "empty": 1}
     assert Q.asset_dimension({"a": (refs, "a")}).count() == 1
+    pair = spark.createDataFrame([("X", "Y", 1), ("Y", "", 2), ("Z", "Z", 3)], "sold string, bought string, ledger long")
+    assert {r.asset: (r.uses, r.t_uses, r.first_ledger) for r in Q.asset_dimension({"t": (pair, "sold", "bought")}).collect()} == {"X": (1, 1, 1), "Y": (2, 2, 1), "Z": (2, 2, 3)}
 
 
 def test_sequences(spark):
@@ -465,6 +471,7 @@ def test_numbers_reach_the_scan(spark, tmp_path):
     n = 50_000_000 << 32 | 3 << 12
     effects = stored(spark, tmp_path, "effects", {"id": f"{n + 1:019d}-0000000001", "liquidity_pool": ("P",)})
     operations = stored(spark, tmp_path, "operations", {"id": str(n + 1), "transaction_hash": "h", "transaction_successful": True})
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     pushed = lambda df: next(x for x in df._jdf.queryExecution().executedPlan().toString().split("\n") if "PushedFilters" in x).split("PushedFilters")[1]
     for df, low in (
         (X.filter_resource(effects, "effects", ledger=50_000_000), f"GreaterThanOrEqual(id,{50_000_000 << 32:019d}-)"),
@@ -474,3 +481,54 @@ def test_numbers_reach_the_scan(spark, tmp_path):
         (X.filter_resource(effects, "effects", liquidity_pool="P"), "EqualTo(liquidity_pool.id,P)"),
     ):
         assert low in pushed(df) and df.count() == 1
+
+
+def test_contract_ids_by_checksum(spark):
+    good = [contract_key(n) for n in range(40)]
+    account = "G" + good[0][1:]
+    bad = ["", None, "CNOTAREALCONTRACT", account, good[0][:-1], good[0] + "A", good[0].lower(), " " + good[0], *(g[:i] + ("B" if g[i] != "B" else "A") + g[i + 1 :] for g in good[:3] for i in range(1, 56))]
+    df = raw(spark, "contract_events", *[{"id": str(i), "contract_id": c} for i, c in enumerate([*good, *bad])])
+    out = N.normalize_contract_events(df)
+    assert sorted(r.contract_id for r in out.collect()) == [""] * len(bad) + sorted(good)
+    assert one(X.audit_identifiers(df, X.identifier_rules(contract="contract_id"))).violations == len(bad)
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_one_busy_account_spreads_over_tasks(spark):
+    import random
+
+    rnd = random.Random(3)
+    rows = [(i, rnd.randrange(0, 400_000), rnd.choice(["busy"] * 9 + ["quiet"]), D(rnd.randrange(-50, 50)), rnd.choice([1, 2, 5, None])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "event_id long, ledger long, account string, delta decimal(38,7), seq long")
+    accounts = spark.createDataFrame([("busy", D(1000)), ("quiet", D(5))], "id string, balance decimal(19,7)")
+    got = W.balance_history(df, accounts)
+    want, last, order = {}, {}, sorted(rows, key=lambda r: (r[1], r[0]))
+    for name, balance in (("busy", 1000), ("quiet", 5)):
+        mine = [r for r in order if r[2] == name]
+        now = balance - sum(r[3] for r in mine)
+        for r in mine:
+            now += r[3]
+            want[r[0]] = now
+    assert {r.event_id: r.running for r in got.collect()} == want
+    gaps = {}
+    for i, ledger, account, _, seq in order:
+        before = last.get(account, "none")
+        if seq is not None and before not in ("none", None) and seq - before != 1:
+            gaps[i] = seq - before
+        last[account] = seq
+    assert {r.event_id: r.step for r in W.sequence_gaps(df, ["ledger", "event_id"], "account", "seq").collect()} == gaps
+    polls = df.select(F.col("account").alias("transaction_id"), F.col("ledger").alias("polled_at"), F.col("event_id").alias("poll"), F.coalesce(F.col("seq"), F.lit(0)).cast("string").alias("status"))
+    changes, now = [], {}
+    for i, at, account, _, seq in order:
+        if now.get(account) != str(seq or 0):
+            changes.append((account, i, at))
+        now[account] = str(seq or 0)
+    ahead = {i: next((u - at for b, j, u in changes[n + 1 :] if b == a), None) for n, (a, i, at) in enumerate(changes)}
+    assert {r.poll: r.seconds for r in W.status_transitions(polls, 20_000).collect()} == ahead
+    # stretches of the busy account meet in different tasks
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        most = max(r["count"] for r in W.balance_history(df, accounts).groupBy(F.spark_partition_id()).count().collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert most < 1500
