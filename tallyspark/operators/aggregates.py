@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.columns import MONEY, direction
+from ..sources.tables import stored
 from .normalize import FLAGS
 from .trees import fold, unfold
 
@@ -371,15 +372,41 @@ def memo_deposits(payments: DataFrame, transactions: DataFrame) -> DataFrame:
     return payments.join(memos, "transaction_hash", "left").groupBy("destination", "memo_type", "memo").agg(F.count("*").alias("n"), _money("amount").alias("amount"))
 
 
-def simulation_profile(sims: DataFrame) -> DataFrame:
+def exact_quantiles(df: DataFrame, key: str, value: str, percents: tuple[int, ...]) -> DataFrame:
+    """(key, percent, value): the least of a key's whole numbers that at least so many percent do not exceed (as
+    percentile_disc has it), over any number of rows a key.
+
+    Rows are counted by (key, value) before they are shuffled. Then the value is narrowed down 16 bits at a time: of the
+    ranges of one prefix, at most 65,536, the one that holds the rank is kept, so nothing holds a key's values together."""
+    counted = stored(df.where(F.col(value).isNotNull()).groupBy(F.col(key).alias("_key"), F.col(value).cast("bigint").alias("_value")).agg(F.count("*").alias("_n")), "counted")
+    each = F.explode(F.array(*[F.lit(p) for p in percents])).alias("percent")
+    targets = counted.groupBy("_key").agg(F.sum("_n").alias("_all")).select("_key", each, "_all")
+    targets = targets.select("_key", "percent", F.greatest(F.lit(1), F.ceil(F.col("_all") * F.col("percent") / 100)).alias("_rank"), F.lit(0).cast("bigint").alias("_prefix"))
+    for low in (48, 32, 16, 0):
+        above = F.shiftright("_value", low + 16) if low < 48 else F.lit(0)
+        ranges = counted.groupBy("_key", above.cast("bigint").alias("_prefix"), F.shiftright("_value", low).alias("_range")).agg(F.sum("_n").alias("_n"))
+        met = targets.join(ranges, ["_key", "_prefix"])
+        upto = F.sum("_n").over(Window.partitionBy("_key", "percent", "_prefix").orderBy("_range").rowsBetween(Window.unboundedPreceding, 0))
+        holds = (F.col("_upto") >= F.col("_rank")) & (F.col("_upto") - F.col("_n") < F.col("_rank"))
+        targets = met.withColumn("_upto", upto).where(holds).select("_key", "percent", (F.col("_rank") - F.col("_upto") + F.col("_n")).alias("_rank"), F.col("_range").alias("_prefix"))
+    return targets.select(F.col("_key").alias(key), "percent", F.col("_prefix").alias(value))
+
+
+def simulation_profile(sims: DataFrame, percents: tuple[int, ...] = (50, 90, 99)) -> DataFrame:
     status = lambda s: F.count_if(F.col("status") == s).alias(s)
     total = lambda c: F.sum(c).alias(c)
     keys = lambda c: F.sum(F.greatest(F.lit(0), F.coalesce(F.size(c), F.lit(0)))).alias(f"{c}_keys")
-    fee = F.col("min_resource_fee").try_cast("bigint")
-    q = lambda p: F.expr(f"percentile_disc({p / 100}) within group (order by _fee)").cast("bigint").alias(f"fee_p{p}")
-    return sims.withColumn("_fee", fee).groupBy("contract_id").agg(
-        F.count("*").alias("n"), status("success"), status("error"), status("restore"), total("instructions"), total("read_bytes"), total("write_bytes"), keys("read_only"), keys("read_write"), q(50), q(90), q(99)
+    sums = sims.groupBy("contract_id").agg(
+        F.count("*").alias("n"), status("success"), status("error"), status("restore"), total("instructions"), total("read_bytes"), total("write_bytes"), keys("read_only"), keys("read_write")
     )
+    fees = exact_quantiles(sims.select("contract_id", F.col("min_resource_fee").try_cast("bigint").alias("fee")), "contract_id", "fee", percents)
+    fees = fees.groupBy(F.col("contract_id").alias("_contract")).agg(*[F.max(F.when(F.col("percent") == p, F.col("fee"))).alias(f"fee_p{p}") for p in percents])
+    return sums.join(fees, F.col("contract_id").eqNullSafe(F.col("_contract")), "left").drop("_contract")
+
+
+def failure_summary(transactions: DataFrame) -> DataFrame:
+    """(result_code, n) of the failed ones."""
+    return counts(transactions.where("status = 'failed'"), "result_code")
 
 
 def state_changes(sims: DataFrame) -> DataFrame:

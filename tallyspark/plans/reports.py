@@ -12,6 +12,7 @@ from ..operators import normalize as N
 from ..operators import quality as Q
 from ..operators import windows as W
 from ..sources import tables as S
+from ..sources.summaries import Summary
 from ..streaming import streams as R
 from .catalog import add
 from .normal_sql import NA, NC, NE, NF, NI, NL, NO, NP, NR, NT, NU, NX, is_contract
@@ -88,6 +89,29 @@ add(
 )
 add("snk1_write_summary", _summary_twice, f"SELECT ledger // 1000 AS bucket, status, count(*) AS n FROM {NX} GROUP BY ALL")
 
+_GROWING = Summary(("bucket", "status"), {"n": ("count",), "fees": ("sum", "fee_charged"), "least": ("min", "fee_charged"), "most": ("max", "fee_charged"), "opened_by": ("first", "source_account", "hash"), "closed_by": ("last", "source_account", "hash"), "accounts": ("distinct", "source_account")})
+
+
+def _grown(t: Tables):
+    """A summary by three increments, the second of which comes twice."""
+    path = S.shared_folder(t.spark, "growing")
+    rows = transactions(t).withColumn("bucket", F.floor(F.col("ledger") / 1000))
+    for part in (0, 1, 2, 1):
+        _GROWING.add(rows.where(F.col("ledger") % 3 == part), path, part)
+    return _GROWING.read(t.spark, path)
+
+
+add(
+    "snk1b_growing_summary",
+    _grown,
+    f"SELECT ledger // 1000 AS bucket, status, count(*) AS n, CAST(sum(fee_charged) AS BIGINT) AS fees, min(fee_charged) AS least, max(fee_charged) AS most, arg_min(source_account, hash) AS opened_by, arg_max(source_account, hash) AS closed_by, count(DISTINCT source_account) AS accounts FROM {NX} GROUP BY ALL",
+)
+add(
+    "snk1c_followed_stream",
+    lambda t: Summary(("event_type",), {"n": ("count",), "users": ("distinct", "user_id"), "last_user": ("last", "user_id", "event_id")}).follow(R.stream_events(t.spark, t.folder), S.shared_folder(t.spark, "followed")),
+    "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, arg_max(user_id, event_id) AS last_user FROM events GROUP BY event_type",
+)
+
 # ---------------------------------------------------------------- normalised tables
 
 
@@ -443,7 +467,7 @@ add(
     lambda t: A.fee_estimates(_stats(t)),
     f"SELECT bucket, operations, greatest(base_fee, p50) * operations AS low, greatest(base_fee, p50, p90) * operations AS recommended, greatest(base_fee, p50, p90, p99) * operations AS high FROM {_STATS} CROSS JOIN (SELECT unnest([1::BIGINT, 2, 10]) AS operations)",
 )
-add("agg20_failure_summary", lambda t: A.counts(transactions(t).where("status = 'failed'"), "result_code"), f"SELECT result_code, count(*) AS n FROM {NX} WHERE status = 'failed' GROUP BY result_code")
+add("agg20_failure_summary", lambda t: A.failure_summary(transactions(t)), f"SELECT result_code, count(*) AS n FROM {NX} WHERE status = 'failed' GROUP BY result_code")
 add(
     "agg20b_failing_operations",
     lambda t: A.failing_operations(transactions(t)),
@@ -603,6 +627,16 @@ add(
     lambda t: Q.batch_overlap(t.claimables.select(F.col("id").alias("balance_id")), t.effects.where("balance_id is not null").select("event_id", "balance_id"), "balance_id"),
     "SELECT event_id, balance_id, balance_id IN (SELECT id FROM claimables) AS repeated FROM effects WHERE balance_id IS NOT NULL",
 )
+
+
+def _archived_tokens(t: Tables):
+    path = S.shared_folder(t.spark, "tokens")
+    S.store_by_ledger(t.events.select("event_id").where("event_id % 3 <> 1"), path, "event_id", 1000)
+    archive = t.spark.read.schema("event_id long, bucket long").parquet(path)
+    return Q.stored_overlap(archive, t.contract_events.where("event_id % 2 = 0").select("event_id", "contract_id"), "event_id", 1000)
+
+
+add("set3b_stored_overlap", _archived_tokens, "SELECT event_id, contract_id, event_id % 3 <> 1 AS repeated FROM contract_events WHERE event_id % 2 = 0")
 _USES = {"payments": f"SELECT asset, ledger FROM {NP}", "trades": f"SELECT base_asset, ledger FROM {NT} UNION ALL SELECT counter_asset, ledger FROM {NT}", "offers": f"SELECT selling, last_modified_ledger FROM {NO} UNION ALL SELECT buying, last_modified_ledger FROM {NO}", "pools": f"SELECT asset, last_modified_ledger FROM {NR}"}
 add(
     "qlt1_asset_dimension",
@@ -667,6 +701,53 @@ add(
     f"SELECT id, inspected, direction FROM {NI} WHERE direction IN ('incoming', 'self') AND inspected IN {_WATCHED}",
 )
 add("str3_resumable", _stopped_and_resumed, "SELECT event_id FROM events")
+
+
+def _again(t: Tables):
+    """Events of 25 sources in order; then all once more, days later, with what is new."""
+    folder, where = S.shared_folder(t.spark, "arriving"), S.shared_folder(t.spark, "resumed")
+    rows = t.contract_events.select("event_id", "contract_id")
+    cut = rows.agg(F.max("event_id")).first()[0] // 2
+
+    def run():
+        return R.run_resumable(t.spark.readStream.schema(rows.schema).parquet(folder), t.spark, "event_id", "contract_id", where)
+
+    rows.where(F.col("event_id") <= cut).write.parquet(folder)
+    run()
+    rows.unionByName(rows).write.mode("append").parquet(folder)
+    return run()
+
+
+add("str3b_highest_tokens", _again, "SELECT event_id, contract_id FROM contract_events")
+
+
+def _windowed(t: Tables):
+    """Effects, payments and trades by day and kind: the newer half of each comes first, the older half when most of its
+    windows are closed."""
+    folders = {n: S.shared_folder(t.spark, n) for n in ("effects", "payments", "trades")}
+    times = {"effects": "created_at", "payments": "created_at", "trades": "ledger_close_time"}
+    where = S.shared_folder(t.spark, "windowed")
+    tables = {n: getattr(t, f"raw_{n}").select(F.unix_seconds(F.to_timestamp(c)).alias("time")) for n, c in times.items()}
+
+    def run():
+        streams = {n: (t.spark.readStream.schema("time long").parquet(f), F.col("time")) for n, f in folders.items()}
+        return R.run_windowed(R.kinds_of(streams), t.spark, 86_400 * 7, 3_600, where)
+
+    for newer in (True, False):
+        for n, rows in tables.items():
+            middle = rows.agg(F.avg("time").cast("long")).first()[0]
+            rows.where(F.col("time") >= middle if newer else F.col("time") < middle).write.mode("append").parquet(folders[n])
+        counted, late = run()
+    return counted.select("kind", "start", "n", F.lit(False).alias("late")).unionByName(late.groupBy("kind", "start").agg(F.count("*").alias("n"), F.lit(True).alias("late")))
+
+
+_TIMES = " UNION ALL ".join(f"SELECT '{n}' AS kind, CAST(epoch(strptime({c}, '%Y-%m-%dT%H:%M:%SZ')) AS BIGINT) AS time FROM raw_{n}" for n, c in (("effects", "created_at"), ("payments", "created_at"), ("trades", "ledger_close_time")))
+add(
+    "str7b_windows_by_kind",
+    _windowed,
+    f"""WITH r AS ({_TIMES}), m AS (SELECT kind, CAST(floor(avg(time)) AS BIGINT) AS middle FROM r GROUP BY kind), x AS (SELECT r.*, time // 604800 * 604800 AS start, time >= middle AS newer FROM r JOIN m USING (kind))
+    SELECT kind, start, count(*) AS n, late FROM (SELECT *, NOT newer AND start + 604800 + 3600 <= (SELECT max(time) FROM x WHERE newer) AS late FROM x) GROUP BY ALL""",
+)
 add("str7_stream_counts", lambda t: R.run_bounded(R.stream_counts(_events(t), "event_type", "ts"), t.spark, "complete"), "SELECT CAST(floor(epoch(date_trunc('day', ts))) AS BIGINT) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 add(
     "str8_stream_balances",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.aggregates import with_direction
@@ -37,6 +37,53 @@ def resumable(stream: DataFrame, token: str, time: str, delay: str = "1 hour") -
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([token])
 
 
+def run_resumable(stream: DataFrame, spark: SparkSession, token: str, source: str, where: str | None = None) -> DataFrame:
+    """Each token of a source once, however long ago it came first, for sources whose tokens ascend: what is kept is the
+    highest token of each source (one row), written with every batch; a row at or below it has been taken before. A
+    batch that is repeated after a failure starts from the state of the one before it, and replaces what it wrote."""
+    where = where or shared_folder(spark, "resumable")
+    kind = stream.select(F.col(source).alias("_source"), F.col(token).alias("_token")).schema
+
+    def write(df: DataFrame, batch: int) -> None:
+        before = spark.read.schema(kind).parquet(f"{where}/highest/batch={batch - 1}") if batch else spark.createDataFrame([], kind)
+        fresh = df.join(before, F.col(source).eqNullSafe(F.col("_source")), "left").where(F.col("_token").isNull() | (F.col(token) > F.col("_token")))
+        fresh.select(*stream.columns).dropDuplicates([source, token]).write.mode("overwrite").parquet(f"{where}/rows/batch={batch}")
+        now = before.unionByName(df.select(F.col(source).alias("_source"), F.col(token).alias("_token"))).where("_token is not null")
+        now.groupBy("_source").agg(F.max("_token").alias("_token")).write.mode("overwrite").parquet(f"{where}/highest/batch={batch}")
+
+    _await(stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{where}-state").foreachBatch(write).start())
+    return spark.read.schema(stream.schema).parquet(f"{where}/rows/batch=*")
+
+
+def kinds_of(streams: dict[str, tuple[DataFrame, Column]]) -> DataFrame:
+    """(kind, time) of several streams, each with its time in seconds, as one."""
+    out = None
+    for kind, (stream, time) in streams.items():
+        rows = stream.select(F.lit(kind).alias("kind"), time.cast("bigint").alias("time"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def run_windowed(stream: DataFrame, spark: SparkSession, width: int = 86_400, delay: int = 3_600, where: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Counts (kind, start, n) by windows of so many seconds of a stream (kind, time), and the rows that came too late
+    (kind, time, start). A window is closed once the newest time of earlier batches is its end and the delay past; what
+    comes for it then is reported instead of counted. Batches write counts, late rows and their newest time under their
+    number, so one that is repeated replaces itself."""
+    where = where or shared_folder(spark, "windowed")
+
+    def write(df: DataFrame, batch: int) -> None:
+        newest = spark.read.schema("newest long, batch long").parquet(f"{where}/newest").where(F.col("batch") < batch).agg(F.max("newest")).first()[0] if batch else None
+        rows = df.where("time is not null").withColumn("start", F.floor(F.col("time") / width) * width)
+        late = F.col("start") + width + delay <= newest if newest is not None else F.lit(False)
+        rows.where(late).write.mode("overwrite").parquet(f"{where}/late/batch={batch}")
+        rows.where(~late).groupBy("kind", "start").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{where}/counts/batch={batch}")
+        rows.agg(F.max("time").alias("newest")).write.mode("overwrite").parquet(f"{where}/newest/batch={batch}")
+
+    _await(stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{where}-state").foreachBatch(write).start())
+    counted = spark.read.schema("kind string, start long, n long").parquet(f"{where}/counts/batch=*").groupBy("kind", "start").agg(F.sum("n").alias("n"))
+    return counted, spark.read.schema("kind string, time long, start long").parquet(f"{where}/late/batch=*")
+
+
 def stream_counts(stream: DataFrame, key: str, time: str, width: str = "1 day", delay: str = "1 hour") -> DataFrame:
     return stream.withWatermark(time, delay).groupBy(F.window(time, width).alias("w"), key).agg(F.count("*").alias("n")).select(F.unix_seconds("w.start").alias("start"), key, "n")
 
