@@ -3,7 +3,8 @@
 Everything on the main path is DataFrame expressions and Spark's own tree learner; no Python runs on executors.
 The trees learn from labelled URLs: those given, or else those that the rules decide. Training reads at most
 `train_rows` of them, taken by the hash of the URL; that bound is the only sample here. Suffix statistics are counted
-over all labelled URLs, once.
+over all labelled URLs; a URL that is trained on has those of the other folds by host only, as its own label must not
+tell itself. A suffix without any gets the overall share.
 
 Host: after the first `://` up to `/`, `?`, `#` or the end, A-Z lower-cased; path: from there up to `?`, `#` or the
 end. Defined cases: a null url or one without `://` has empty host and path, fits no rule and is judged by
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -29,6 +30,7 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
+FOLDS, SMOOTHING = 5, 2.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FEATURES = ["f_length", "f_host", "f_depth", "f_labels", "f_digits", "f_entropy", "f_params", "f_hyphens", "f_suffix", "f_suffix2", "f_suffix_n"]
 
@@ -78,18 +80,26 @@ def _lexical(df: DataFrame) -> DataFrame:
     )
 
 
-def _suffix_stats(labelled: DataFrame) -> dict[str, DataFrame]:
-    """Smoothed share of blocked urls by last label and by last two labels of the host, over all labelled urls."""
+def _suffix_stats(labelled: DataFrame, share: float) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """Shares of blocked urls, smoothed towards the overall share, by last label and by last two labels of the host: over
+    all labelled urls, and over those of other folds by (label, fold), for rows that are trained on."""
     out = {}
     for key in ("suffix", "suffix2"):
-        stats = labelled.groupBy(key).agg(((F.sum("label") + 1) / (F.count("*") + 2)).alias(f"f_{key}"), F.count("*").alias(f"_n_{key}"))
-        out[key] = materialize(stats, f"urls-{key}")
+        by_fold = labelled.groupBy(key, "fold").agg(F.sum("label").alias("s"), F.count("*").alias("n"))
+        by_fold = materialize(by_fold, f"urls-{key}")
+        every = Window.partitionBy(key)
+        smooth = lambda s, n: (s + SMOOTHING * share) / (n + SMOOTHING)
+        rest_s, rest_n = F.sum("s").over(every) - F.col("s"), F.sum("n").over(every) - F.col("n")
+        others = by_fold.select(key, "fold", smooth(rest_s, rest_n).alias(f"f_{key}"), rest_n.alias(f"_n_{key}"))
+        whole = by_fold.groupBy(key).agg(smooth(F.sum("s"), F.sum("n")).alias(f"f_{key}"), F.sum("n").alias(f"_n_{key}"))
+        out[key] = (whole, others)
     return out
 
 
-def _with_suffix_stats(df: DataFrame, stats: dict[str, DataFrame]) -> DataFrame:
-    for key, table in stats.items():
-        df = df.join(table, key, "left").fillna({f"f_{key}": 0.5})
+def _with_suffix_stats(df: DataFrame, stats: dict[str, tuple[DataFrame, DataFrame]], share: float, trained: bool) -> DataFrame:
+    """df with the statistics; a suffix that no labelled url (of another fold) has gets the overall share."""
+    for key, (whole, others) in stats.items():
+        df = df.join(others if trained else whole, [key, "fold"] if trained else key, "left").fillna({f"f_{key}": share})
     return df.withColumn("f_suffix_n", F.log1p(F.coalesce("_n_suffix2", F.lit(0)).cast("double"))).drop("_n_suffix", "_n_suffix2")
 
 
@@ -116,9 +126,11 @@ def judge(
     else:
         host, path = split_url(F.col("url"))
         known = labels.where("url is not null and blocked is not null").select(F.col("url").cast("string").alias("url"), F.col("blocked").cast("boolean").cast("double").alias("label")).withColumns({"host": host, "path": path})
-    names = _lexical(known)
-    stats = _suffix_stats(names)
-    sample = _with_suffix_stats(names, stats)
+    # a host's urls are in one fold, so that no trained row's statistics know its host
+    names = _lexical(known).withColumn("fold", F.pmod(F.xxhash64("host"), F.lit(FOLDS)))
+    share = names.agg(F.avg("label")).first()[0] or 0.0
+    stats = _suffix_stats(names, share)
+    sample = _with_suffix_stats(names, stats, share, True)
     sample = materialize(
         sample.select("label", *FEATURES, F.xxhash64("url").alias("_o")).orderBy("_o").limit(train_rows).drop("_o").coalesce(4), "urls-train"
     )
@@ -130,7 +142,7 @@ def judge(
     vector = VectorAssembler(inputCols=FEATURES, outputCol="features")
     learner = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=7, labelCol="label", featuresCol="features")
     model = learner.fit(vector.transform(sample))
-    scored = model.transform(vector.transform(_with_suffix_stats(_lexical(base), stats)))
+    scored = model.transform(vector.transform(_with_suffix_stats(_lexical(base), stats, share, False)))
     p = vector_to_array("probability")[1]
     return scored.select(
         *out,
