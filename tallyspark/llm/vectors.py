@@ -3,8 +3,8 @@
 Independent codebooks of K centres on the two halves of the vectors form a grid of K * K cells; every vector lives
 in the cell of its nearest centres. The multi-sequence traversal visits cells in ascending sum of both halves'
 distances; how many it visits is set on a bounded sample so that the wanted share of linked pairs is found there, at
-the threshold itself as well as on the farthest real links, without an upper bound. Where so many visits would cost
-more than comparing all vectors with each other, block against block, that is done, and no link is missed.
+the threshold itself as well as on the farthest real links, without an upper bound. Small tables have small grids, down
+to one cell for so few vectors of a length as fill one (`few`).
 Every visit is verified on the full vectors in double precision, block by block within tasks. Codebooks are fitted on
 at most `sample` vectors and have at most `most_centres` centres a half, which bounds what is shipped to tasks.
 
@@ -31,8 +31,6 @@ from .neardup import forest
 
 
 LINKS = "node long, links long, root long"
-# One visit takes about as long as a thousand plain comparisons.
-VISIT_COST = 1024
 
 
 def centres(x: np.ndarray, k: int, rounds: int = 10, seed: int = 5) -> np.ndarray:
@@ -182,21 +180,11 @@ def _verify(least: float):
     return run
 
 
-def _everything(mine: DataFrame) -> DataFrame:
-    """Rows for _verify that meet every other row of their length: each pair of a length's blocks is a cell, rows live in
-    that of their block."""
-    lengths = mine.groupBy(F.size("v").alias("d")).agg(F.greatest(F.lit(8), F.ceil(F.count("*") / 8192)).cast("long").alias("nb"))
-    own = mine.withColumn("d", F.size("v")).join(lengths, "d").withColumn("at", F.pmod(F.xxhash64("rep"), F.col("nb")))
-    # blocks of a length come after one another, and no two lengths share one
-    place = lambda i: F.col("d").cast("long") * F.lit(1 << 32) + i
-
-    def row(cell, block, role) -> DataFrame:
-        each = own.select("d", cell.alias("cell"), block.alias("block"), F.lit(role).alias("role"), "rep", "mult", "v", "at")
-        return each.select(place(F.col("cell")).alias("cell"), place(F.col("block")).alias("block"), "role", "rep", "mult", "v", F.array(place(F.col("at"))).alias("cells"))
-
-    live = row(F.col("at"), F.explode(F.sequence(F.col("at"), F.col("nb") - 1)), 0)
-    asks = row(F.explode(F.sequence(F.lit(0).cast("long"), F.col("at"))), F.col("at"), 1)
-    return live.unionByName(asks).repartition("cell", "block").sortWithinPartitions("cell", "block", "role")
+def _one_cell(rows: DataFrame) -> DataFrame:
+    """Rows for _verify where each length is one cell."""
+    cell = F.size("v").cast("long")
+    both = rows.select(cell.alias("cell"), F.lit(0).alias("block"), F.explode(F.array(F.lit(0), F.lit(1))).alias("role"), "rep", "mult", "v", F.array(cell).alias("cells"))
+    return both.repartition("cell", "block").sortWithinPartitions("cell", "block", "role")
 
 
 def near_vectors(
@@ -206,6 +194,7 @@ def near_vectors(
     sample: int = 20_000,
     most_centres: int = 1024,
     block: int = 1024,
+    few: int = 64,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
 ) -> DataFrame:
@@ -218,20 +207,17 @@ def near_vectors(
     # an id counts once, however often its row is there
     texts = usable.groupBy("v", "vec_id").count().groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult"))
     texts = materialize(texts, "vectors")
-    # a length gets an index of its own if it has many vectors; of all others every pair is compared
-    many = texts.groupBy(F.size("v").alias("d")).count().where(F.col("count") > VISIT_COST).orderBy(F.desc("count"), "d").limit(64).collect()
+    sizes = texts.groupBy(F.size("v").alias("d")).count()
+    many = sizes.where(F.col("count") > few).orderBy("d").collect()
     rest = texts.where(~F.size("v").isin([r["d"] for r in many])) if many else texts
-    found = _everything(rest).mapInArrow(_verify(least), LINKS)
-    for d, n in many:
+    found = _one_cell(rest).mapInArrow(_verify(least), LINKS)
+    for d, n in many:  # one index a length
         mine = texts.where(F.size("v") == d)
         if d == 1:  # both halves need a column
             mine = mine.withColumn("v", F.concat("v", F.array(F.lit(0.0))))
         pick = mine.orderBy(F.xxhash64("v")).limit(sample).select("v").toPandas()
         x = np.stack(pick["v"].to_numpy())
         grid = fit(x / _lengths(x)[:, None], n, least, recall, most_centres)
-        if n <= grid.visits * VISIT_COST:
-            found = found.unionByName(_everything(mine).mapInArrow(_verify(least), LINKS))
-            continue
         index = materialize(mine.select("rep", "mult", "v").mapInArrow(_index(grid), "rep long, mult long, v array<double>, cells array<long>"), "cells")
         home = index.withColumn("cell", F.col("cells")[0])
         blocks = home.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("nb"))

@@ -458,6 +458,16 @@ def test_urls_learn_from_given_labels(spark):
     out = {r.page_id: r for r in urls.judge(pages, labels=spark.createDataFrame(labels, "url string, blocked boolean")).collect()}
     right = sum((out[i].verdict == "block") == (i % 2 == 0) for i in range(200))
     assert right >= 190 and out[901].verdict == "allow" and out[901].blocked_score is None and len(out) == len(fresh)
+    # hosts that no label knows, by features that are right in four of five cases
+    host = lambda i: f"http://h{i}x{rng.integers(10**6)}.s{i}.org/"
+    lexical = lambda i, bad: host(i) + ("a/b/c/d/e/?p=1&q=2&r=" + "7" * 20 if bad ^ (rng.random() < 0.2) else "news")
+    known = [(lexical(i, i % 3 == 0), i % 3 == 0) for i in range(3000)]
+    other = spark.createDataFrame([(i, lexical(i + 5000, i % 3 == 0)) for i in range(600)], "page_id long, url string")
+    got = urls.judge(other, labels=spark.createDataFrame(known, "url string, blocked boolean")).collect()
+    assert sum((r.verdict == "block") == (r.page_id % 3 == 0) for r in got) >= 0.75 * 600
+    # very long and repeated urls
+    long = spark.createDataFrame([(1, "http://a.org/" + "x/" * 200_000), (1, "http://a.org/" + "x/" * 200_000), (2, "http://a.org/b")], "page_id long, url string")
+    assert sorted(r.page_id for r in urls.judge(long, labels=spark.createDataFrame(known[:300], "url string, blocked boolean")).collect()) == [1, 1, 2]
     # labels of one class, or none, give that class, or allow
     for some, want in ((labels[::2], "block"), (labels[1::2], "allow"), ([], "allow")):
         got = urls.judge(pages, labels=spark.createDataFrame(some, "url string, blocked boolean")).where("rule is null").select("verdict").distinct().collect()
@@ -540,7 +550,7 @@ def near(rng, x, cos):
     """A row at the cosine from each row of x, which has length 1."""
     z = rng.normal(size=x.shape)
     z -= (z * x).sum(1)[:, None] * x
-    return cos * x + math.sqrt(1 - cos * cos) * z / np.linalg.norm(z, axis=1)[:, None]
+    return cos * x + np.sqrt(1 - np.square(cos)) * z / np.linalg.norm(z, axis=1)[:, None]
 
 
 def hot_and_pairs(rng, hot, pairs, cos):
@@ -570,13 +580,26 @@ def test_near_vectors_finds_far_links_beside_a_hot_group(spark):
     assert all(got[i].n_links == 599 for i in range(600))
 
 
-def test_near_vectors_by_visits_alone(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "VISIT_COST", 0)
-    group, a, b = hot_and_pairs(np.random.default_rng(5), 600, 700, 0.91)
-    rows = [(i, v.tolist()) for i, v in enumerate(np.vstack([group, a, b]))]
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_the_grid_is_visited_on_given_tables(spark, sf, monkeypatch):
+    """Recall against brute force over whole tables, by visits to a part of the cells. Each vector has a near copy, as the
+    smaller table has no links of its own."""
+    made = []
+    fit = vectors.fit
+    monkeypatch.setattr(vectors, "fit", lambda *a: made.append(fit(*a)) or made[-1])
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").collect()]
+    x = np.array([v for _, v in rows], float)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    rng = np.random.default_rng(8)
+    copies = near(rng, x, 0.91 + 0.08 * rng.random((len(x), 1)))
+    rows += [(10**6 + i, v.tolist()) for i, v in enumerate(copies)]
+    x = np.vstack([x, copies])
     got = {r.vec_id: r for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
-    assert sum(got[600 + i].n_links for i in range(700)) >= 0.98 * 700
-    assert all(got[i].n_links == 599 for i in range(600))
+    linked = x @ x.T >= 0.9
+    true = linked.sum(1) - 1
+    assert len(made) == 1 and 1 < made[0].visits < len(made[0].first) * len(made[0].second) / 2
+    assert all(got[i].n_links <= n for (i, _), n in zip(rows, true))
+    assert sum(r.n_links for r in got.values()) >= 0.995 * true.sum() > 0
 
 
 def test_visits_reach_the_recall_at_the_threshold():
