@@ -185,7 +185,9 @@ def ledger_range(latest: int, start: int | None = None, end: int | None = None,
 
 def recent_ledgers(df: DataFrame, start: int | None = None, end: int | None = None, lookback: int = 17_280, column: str = "ledger") -> DataFrame:
     """Rows of a range of ledgers, by default the last `lookback` ones up to the newest. The newest is asked for first (one
-    number), so that the range is plain numbers, which the scan can use."""
+    number), so that the range is plain numbers, which the scan can use; a stream has no newest one and is refused."""
+    if df.isStreaming:
+        raise ValueError("a stream has no newest ledger; give read_contract_events or a filter its bounds")
     latest = df.agg(F.max(column)).first()[0]
     first, last = ledger_range(latest or 1, start, end, lookback)
     return df.where(F.col(column).between(first, last))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio
+from ..sources.tables import read_matching
 
 
 def asset_dimension(uses: dict[str, tuple], ledger: str = "ledger") -> DataFrame:
@@ -71,19 +72,9 @@ def batch_overlap(archive: DataFrame, batch: DataFrame, token: str) -> DataFrame
     return batch.join(known, token, "left").withColumn("repeated", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
-def stored_overlap(archive: DataFrame, batch: DataFrame, token: str, width: int, most: int = 10_000) -> DataFrame:
-    """batch_overlap with an archive that is stored by buckets of its numeric token (store_by_ledger): only the buckets that
-    the batch touches are opened (their numbers are asked for first; beyond `most` of them, the range that they span), and
-    its rows meet the batch's tokens where they are read, if those are few enough to be sent there."""
-    mine = batch.select(F.floor(F.col(token) / width).cast("bigint").alias("b")).where("b is not null").distinct()
-    touched = [r.b for r in mine.limit(most + 1).collect()]
-    if len(touched) > most:
-        low, high = mine.agg(F.min("b"), F.max("b")).first()
-        near = F.col("bucket").between(low, high)
-    else:
-        near = F.col("bucket").isin(touched)
-    hits = archive.where(near).select(token).join(batch.select(token).distinct(), token, "left_semi").distinct()
-    return batch_overlap(hits, batch, token)
+def stored_overlap(archive: DataFrame, batch: DataFrame, token: str, width: int | None = None, **layout) -> DataFrame:
+    """batch_overlap with an archive that is stored by buckets of its token: see read_matching."""
+    return batch_overlap(read_matching(archive, batch, token, width, **layout), batch, token)
 
 
 def tier_difference(entries: DataFrame) -> DataFrame:

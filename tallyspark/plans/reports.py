@@ -286,6 +286,32 @@ def _asked(t: Tables):
     return t.accounts.select(F.col("id").alias("account"), code.alias("asset_code"), F.concat(F.lit("G"), F.lpad((num % 10).cast("string"), 6, "0")).alias("asset_issuer"))
 
 
+# Batches against archives in buckets: the last ledgers' payments, trades and effects with all transactions or operations.
+def _kept(t: Tables, df, key: str, width: int | None = None):
+    path = S.shared_folder(t.spark, "kept")
+    S.store_by_ledger(df, path, key, width) if width else S.store_by_hash(df, path, key, 64)
+    return t.spark.read.schema(df.schema.add("bucket", "long")).parquet(path)
+
+
+_NEWEST = "(SELECT max(ledger) - 30 FROM transactions)"
+_newest = lambda t, df: df.where(F.col("ledger") > t.transactions.agg(F.max("ledger") - 30).first()[0])
+
+
+def _batch_ledgers(t: Tables):
+    batch = _newest(t, payments(t)).select("id", "transaction_hash", F.lit(None).cast("bigint").alias("ledger"))
+    mine = S.read_matching(_kept(t, t.transactions.select("hash", "ledger"), "hash"), batch.select(F.col("transaction_hash").alias("hash")), "hash", buckets=64)
+    return J.attach_ledgers(batch, mine).select("id", "ledger")
+
+
+def _batch_trades(t: Tables):
+    batch = _newest(t, trades(t)).select("id", "operation_id")
+    operations = _kept(t, t.operations.select("id", "transaction_hash"), "id", 2**32 * 100)
+    mine = S.read_matching(operations, batch.select(F.col("operation_id").try_cast("bigint").alias("id")), "id", 2**32 * 100)
+    return J.attach_trade_tx(batch, mine).select("id", "operation_id", "transaction_hash")
+
+
+add("jn1b_batch_ledgers", _batch_ledgers, f"SELECT p.id, t.ledger FROM {NP} p LEFT JOIN transactions t ON t.hash = p.transaction_hash WHERE p.ledger > {_NEWEST}")
+add("jn2b_batch_trades", _batch_trades, f"SELECT n.id, n.operation_id, o.transaction_hash FROM {NT} n LEFT JOIN operations o ON CAST(o.id AS VARCHAR) = n.operation_id WHERE n.ledger > {_NEWEST}")
 add(
     "jn8_trustline_state",
     lambda t: J.trustline_state(_asked(t), t.trustlines, t.accounts),

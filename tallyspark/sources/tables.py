@@ -120,6 +120,29 @@ def store_by_ledger(df: DataFrame, path: str, column: str = "ledger", width: int
     df.withColumn("bucket", F.floor(F.col(column) / width)).repartition("bucket").write.partitionBy("bucket").parquet(path)
 
 
+def store_by_hash(df: DataFrame, path: str, key: str, buckets: int = 1024) -> None:
+    """A table partitioned by the hash of a key without order, as read_matching expects it."""
+    df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets))).repartition("bucket").write.partitionBy("bucket").parquet(path)
+
+
+def read_matching(archive: DataFrame, batch: DataFrame, key: str, width: int | None = None, buckets: int = 1024, most: int = 10_000) -> DataFrame:
+    """The rows of a bucketed archive (store_by_ledger on a numeric key with this width, or store_by_hash with so many
+    buckets) whose key a batch has. Buckets that the batch does not touch are not opened: the touched ones are asked for
+    first; beyond `most` of them the range that they span is read. The batch's keys are sent to where the archive is read
+    if they are few enough, so that the archive is not shuffled."""
+    keys = batch.select(key).where(F.col(key).isNotNull()).distinct()
+    bucket = F.floor(F.col(key) / width).cast("bigint") if width else F.pmod(F.xxhash64(key), F.lit(buckets)).cast("bigint")
+    mine = keys.select(bucket.alias("b")).distinct()
+    touched = [r.b for r in mine.limit(most + 1).collect()]
+    if len(touched) > most:
+        low, high = mine.agg(F.min("b"), F.max("b")).first()
+        near = F.col("bucket").between(low, high)
+    else:
+        near = F.col("bucket").isin(touched)
+    rows = archive.where(near).drop("bucket")
+    return rows.join(keys.withColumnRenamed(key, "_key"), F.col(key) == F.col("_key"), "left_semi")
+
+
 def read_ledger_range(spark: SparkSession, path: str, schema: str, low: int, high: int, column: str = "ledger", width: int = 100_000) -> DataFrame:
     """Rows of a ledger range out of a table stored by ledger bucket: other buckets are not opened."""
     rows = spark.read.schema(schema + ", bucket BIGINT").parquet(path)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.aggregates import with_direction
@@ -108,9 +108,12 @@ def run_bounded(stream: DataFrame, spark: SparkSession, mode: str = "append", se
 
     def write(df: DataFrame, batch: int) -> None:
         nonlocal written
-        df.write.mode("overwrite").parquet(path(batch))
-        if events is not None:
-            written += spark.read.parquet(path(batch)).count()
+        if events is None:
+            df.write.mode("overwrite").parquet(path(batch))
+            return
+        seen = Observation()
+        df.observe(seen, F.count("*").alias("n")).write.mode("overwrite").parquet(path(batch))
+        written += seen.get["n"]
 
     query = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{where}-state").foreachBatch(write).start()
     began = time.monotonic()

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.operators import aggregates as A
+from tallyspark.operators import joins as J
 from tallyspark.operators import quality as Q
 from tallyspark.sources import tables as S
 from tallyspark.sources.summaries import Summary
@@ -88,7 +89,7 @@ def test_a_batch_opens_only_its_buckets(spark, tmp_path, most):
     S.store_by_ledger(spark.range(0, 100_000, 2).withColumnRenamed("id", "token"), f"{tmp_path}/archive", "token", 1000)
     archive = spark.read.schema("token long, bucket long").parquet(f"{tmp_path}/archive")
     spark.createDataFrame([(3002, "a"), (3003, "b"), (5004, "c"), (10**9, "d"), (None, "e"), (3002, "f")], "token long, name string").write.parquet(f"{tmp_path}/batch")
-    out = Q.stored_overlap(archive, spark.read.schema("token long, name string").parquet(f"{tmp_path}/batch"), "token", 1000, most)
+    out = Q.stored_overlap(archive, spark.read.schema("token long, name string").parquet(f"{tmp_path}/batch"), "token", 1000, most=most)
     assert {r.name: r.repeated for r in out.collect()} == {"a": True, "b": False, "c": True, "d": False, "e": False, "f": True}
     lines = out._jdf.queryExecution().sparkPlan().toString().split("\n")
     scan = next(i for i, x in enumerate(lines) if "FileScan" in x and "bucket" in x)
@@ -96,3 +97,14 @@ def test_a_batch_opens_only_its_buckets(spark, tmp_path, most):
     assert "bucket" in lines[scan].split("PartitionFilters: [")[1].split("PushedFilters")[0]
     # the batch's tokens go to where the archive is read; what is between them is of the batch's side
     assert "BroadcastHashJoin" in lines[semi] and not any("Exchange" in x for x in lines[semi + 1 : scan])
+
+
+def test_a_batch_is_joined_with_an_archive_by_hash(spark, tmp_path):
+    S.store_by_hash(spark.range(5000).select(F.sha2(F.col("id").cast("string"), 256).alias("hash"), F.col("id").alias("ledger")), f"{tmp_path}/archive", "hash", 64)
+    archive = spark.read.schema("hash string, ledger long, bucket long").parquet(f"{tmp_path}/archive")
+    rows = spark.range(3).select(F.col("id").cast("string").alias("id"), F.sha2((F.col("id") * 4000).cast("string"), 256).alias("transaction_hash"), F.lit(None).cast("long").alias("ledger"))
+    mine = S.read_matching(archive, rows.withColumnRenamed("transaction_hash", "hash"), "hash", buckets=64)
+    assert {r.id: r.ledger for r in J.attach_ledgers(rows, mine).collect()} == {"0": 0, "1": 4000, "2": None}
+    lines = mine._jdf.queryExecution().sparkPlan().toString().split("\n")
+    scan = next(i for i, x in enumerate(lines) if "FileScan" in x and "bucket" in x)
+    assert "bucket" in lines[scan].split("PartitionFilters: [")[1] and not any("Exchange" in x for x in lines[:scan])
