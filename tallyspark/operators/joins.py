@@ -95,14 +95,39 @@ def explain_codes(df: DataFrame, column: str = "result_code", explanations: dict
     return df.join(F.broadcast(dim), F.lower(F.trim(column)) == F.col("_code"), "left").drop("_code").fillna({"explanation": fallback})
 
 
+LAST_SEQUENCE = 2**32 - 1
+
+
+def _bound(c: str) -> Column:
+    """A bound as a whole number of 32 bits; null counts as 0."""
+    return F.least(F.greatest(F.coalesce(F.col(c).cast("long"), F.lit(0)), F.lit(0)), F.lit(LAST_SEQUENCE))
+
+
 def admissible_ledgers(txs: DataFrame, ledgers: DataFrame) -> DataFrame:
     """Earliest and number of ledgers in [min_ledger, max_ledger] of every transaction, 0 where there is none; with an
     open upper bound (0 or null) only the lower one counts.
 
     However wide a range is, it costs two look-ups: how many ledgers there are from its lower bound on, less those from
     behind its upper one."""
-    bound = lambda c: F.least(F.greatest(F.coalesce(F.col(c).cast("long"), F.lit(0)), F.lit(0)), F.lit(LAST_SEQUENCE))
-    bounds = txs.select("hash", bound("min_ledger").alias("low"), F.when(F.col("max_ledger") > 0, bound("max_ledger")).alias("high")).withColumn("behind", F.col("high") + 1)
+    return _within(txs.select("hash", _bound("min_ledger").alias("low"), F.when(F.col("max_ledger") > 0, _bound("max_ledger")).alias("high")), ledgers)
+
+
+def admissible_ledgers_and_times(txs: DataFrame, ledgers: DataFrame) -> DataFrame:
+    """As admissible_ledgers, for ledgers that also close within [min_time, max_time] (seconds; 0 or null: open). Close
+    times ascend with sequences, so bounds of time are looked up as bounds of sequence: the first ledger that closes at or
+    after min_time, and the one before the first that closes after max_time."""
+    own = txs.select("hash", _bound("min_ledger").alias("low"), F.when(F.col("max_ledger") > 0, _bound("max_ledger")).alias("high"), _bound("min_time").alias("since"), F.when(F.col("max_time") > 0, _bound("max_time") + 1).alias("after"))
+    asked = own.select(F.col("since").alias("at")).unionByName(own.where("after is not null").select(F.col("after").alias("at"))).distinct()
+    on = _from_on(asked, ledgers, "closed_at").select("at", "earliest")
+    own = own.join(on.select(F.col("at").alias("since"), F.col("earliest").alias("opens")), "since").join(on.select(F.col("at").alias("after"), F.col("earliest").alias("closes")), "after", "left")
+    # without a ledger that closes late enough, nothing is above the lower bound
+    low = F.greatest("low", F.coalesce("opens", F.lit(LAST_SEQUENCE)))
+    return _within(own.select("hash", low.alias("low"), F.least("high", F.col("closes") - 1).alias("high")), ledgers)
+
+
+def _within(bounds: DataFrame, ledgers: DataFrame) -> DataFrame:
+    """(hash, earliest, ledgers) of bounds (hash, low, high), high being null where open."""
+    bounds = bounds.withColumn("behind", F.col("high") + 1)
     asked = bounds.select(F.col("low").alias("at")).unionByName(bounds.where("behind is not null").select(F.col("behind").alias("at"))).distinct()
     on = _from_on(asked, ledgers)
     out = bounds.join(on.select(F.col("at").alias("low"), "earliest", "ledgers"), "low").join(on.select(F.col("at").alias("behind"), F.col("ledgers").alias("later")), "behind", "left")
@@ -110,21 +135,18 @@ def admissible_ledgers(txs: DataFrame, ledgers: DataFrame) -> DataFrame:
     return out.select("hash", F.when(some, F.col("earliest")).alias("earliest"), F.when(some, F.col("ledgers") - F.coalesce("later", F.lit(0))).otherwise(0).alias("ledgers"))
 
 
-LAST_SEQUENCE = 2**32 - 1
-
-
-def _from_on(asked: DataFrame, ledgers: DataFrame) -> DataFrame:
-    """Earliest and number of ledgers from each of asked (at) on: those of its stretch of 65,536, and of later stretches.
-
-    Sequences have 32 bits, so a stretch has at most that many ledgers and the window over stretches as many rows."""
-    points = ledgers.groupBy(F.col("sequence").alias("at")).agg(F.count("*").alias("n")).unionByName(asked.select("at", F.lit(0).cast("long").alias("n")))
-    points = points.groupBy("at").agg(F.sum("n").alias("n"), F.max(F.when(F.col("n") == 0, True)).alias("asked")).withColumn("stretch", F.floor(F.col("at") / 65536))
-    seen = F.when(F.col("n") > 0, F.col("at"))
+def _from_on(asked: DataFrame, ledgers: DataFrame, by: str = "sequence") -> DataFrame:
+    """Earliest sequence and number of ledgers from each of asked (at) on: those of its stretch of 65,536, and of later
+    stretches. What ledgers are ordered by (sequences or seconds) has 32 bits, so a stretch has at most that many points
+    and the window over stretches as many rows."""
+    points = ledgers.groupBy(F.col(by).cast("long").alias("at")).agg(F.count("*").alias("n"), F.min("sequence").alias("seen"))
+    points = points.unionByName(asked.select("at", F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("seen")))
+    points = points.groupBy("at").agg(F.sum("n").alias("n"), F.min("seen").alias("seen"), F.max(F.when(F.col("n") == 0, True)).alias("asked")).withColumn("stretch", F.floor(F.col("at") / 65536))
     here = Window.partitionBy("stretch").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     after = Window.orderBy(F.desc("stretch")).rowsBetween(Window.unboundedPreceding, -1)
-    later = points.groupBy("stretch").agg(F.sum("n").alias("_n"), F.min(seen).alias("_first"))
+    later = points.groupBy("stretch").agg(F.sum("n").alias("_n"), F.min("seen").alias("_first"))
     later = later.select("stretch", F.coalesce(F.sum("_n").over(after), F.lit(0)).alias("_n"), F.min("_first").over(after).alias("_first"))
-    own = points.select("at", "stretch", "asked", F.sum("n").over(here).alias("n"), F.min(seen).over(here).alias("first")).where("asked")
+    own = points.select("at", "stretch", "asked", F.sum("n").over(here).alias("n"), F.min("seen").over(here).alias("first")).where("asked")
     return own.join(later, "stretch").select("at", F.coalesce("first", "_first").alias("earliest"), (F.col("n") + F.col("_n")).alias("ledgers"))
 
 

@@ -239,6 +239,11 @@ def decode_event_values(events: DataFrame) -> DataFrame:
     return out.select("id", F.col("kind").alias("xdr_type"), F.col("json").alias("value"), F.col("json").isNotNull().alias("decoded"), error.alias("error"))
 
 
+def decode_report(decoded: DataFrame) -> DataFrame:
+    """(xdr_type, n, failed) of decoded values: how many of each type there are, and how many did not decode."""
+    return decoded.groupBy("xdr_type").agg(F.count("*").alias("n"), F.count_if(~F.col("decoded")).alias("failed"))
+
+
 def decode_event_topics(events: DataFrame) -> DataFrame:
     """(id, place, xdr_type, value, decoded): every topic of an event, in order, decoded by its type."""
     topics = events.select("id", F.posexplode("topic").alias("topic_place", "t"))

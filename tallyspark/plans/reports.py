@@ -140,6 +140,11 @@ add(
     f"""SELECT id, k AS xdr_type, v AS value, v IS NOT NULL AS decoded, CASE WHEN v IS NULL THEN CASE WHEN k IN {_KNOWN} THEN 'not a value of type ' || k ELSE 'unsupported type ' || k END END AS error
     FROM (SELECT id, k, {_value_sql('k', 'w', 2)} AS v FROM (SELECT id, coalesce(value.xdr_type, 'void') AS k, value.value AS w FROM raw_contract_events))""",
 )
+add(
+    "nrm12b_decode_report",
+    lambda t: N.decode_report(N.decode_event_values(t.raw_contract_events)),
+    f"SELECT k AS xdr_type, count(*) AS n, count(*) FILTER (WHERE {_value_sql('k', 'w', 2)} IS NULL) AS failed FROM (SELECT coalesce(value.xdr_type, 'void') AS k, value.value AS w FROM raw_contract_events) GROUP BY k",
+)
 add(
     "nrm8b_decode_topics",
     lambda t: N.decode_event_topics(t.raw_contract_events),
@@ -286,6 +291,13 @@ def _asked(t: Tables):
     return t.accounts.select(F.col("id").alias("account"), code.alias("asset_code"), F.concat(F.lit("G"), F.lpad((num % 10).cast("string"), 6, "0")).alias("asset_issuer"))
 
 
+_TIMED = {"min_time": "ledger * 5 + min_time - 1060", "max_time": "CASE WHEN max_time = 0 THEN 0 ELSE ledger * 5 + max_time - 1060 END"}
+add(
+    "jn7c_admissible_by_time",
+    lambda t: J.admissible_ledgers_and_times(t.transactions.withColumns({c: F.expr(x) for c, x in _TIMED.items()}), t.ledgers),
+    f"""SELECT t.hash, min(l.sequence) AS earliest, count(l.sequence) AS ledgers FROM (SELECT hash, min_ledger, max_ledger, {', '.join(f'{x} AS {c}' for c, x in _TIMED.items())} FROM transactions) t
+    LEFT JOIN ledgers l ON l.sequence >= t.min_ledger AND (t.max_ledger = 0 OR l.sequence <= t.max_ledger) AND l.closed_at >= t.min_time AND (t.max_time = 0 OR l.closed_at <= t.max_time) GROUP BY t.hash""",
+)
 # Batches against archives in buckets: the last ledgers' payments, trades and effects with all transactions or operations.
 def _kept(t: Tables, df, key: str, width: int | None = None):
     path = S.shared_folder(t.spark, "kept")

@@ -102,6 +102,17 @@ def test_admissible_ledgers_of_every_transaction(spark):
     assert got == {"closed": (9, 2), "open": (9, 3), "on it": (9, 3), "next stretch": (70_000, 2), "far": (200_000, 1), "late": (None, 0), "none": (None, 0), "crossed": (None, 0), "null": (5, 4), "wide": (5, 4), "beyond": (None, 0), "below": (5, 1)}
 
 
+def test_admissible_ledgers_by_time(spark):
+    ledgers = [(5, 100), (6, 105), (7, 105), (9, 120), (70_000, 400_000)]
+    txs = [(f"{a}-{b}-{c}-{d}", a, b, c, d) for a in (0, 6, 10) for b in (0, 7, 80_000) for c in (None, 0, 101, 105, 500_000) for d in (None, 0, 99, 105, 119, 400_000)]
+    df = spark.createDataFrame(txs, "hash string, min_ledger long, max_ledger long, min_time long, max_time long")
+    want = {}
+    for name, a, b, c, d in txs:
+        fit = [s for s, at in ledgers if s >= a and (not b or s <= b) and at >= (c or 0) and (not d or at <= d)]
+        want[name] = (min(fit, default=None), len(fit))
+    assert {r.hash: (r.earliest, r.ledgers) for r in J.admissible_ledgers_and_times(df, spark.createDataFrame(ledgers, "sequence long, closed_at long")).collect()} == want
+
+
 def test_created_balances_of_every_transaction(spark):
     tx = lambda n, op, effect: f"{n * 4096 + op:019d}-{effect:010d}"
     made = "claimable_balance_created"
