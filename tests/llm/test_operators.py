@@ -440,6 +440,25 @@ def test_secrets_long_runs_take_time_in_proportion():
 
 
 
+def test_secrets_in_rarer_wrappings():
+    import base64
+    import zlib
+
+    plain = "password = hunter2hunter2"
+    bare = zlib.compressobj(9, zlib.DEFLATED, -15)
+    packed = base64.b64encode(bare.compress((plain + " and more of it, said once again").encode()) + bare.flush()).decode()
+    b64 = base64.b64encode(plain.encode()).decode()
+    for wrapped in (
+        "".join(f"%u{ord(c):04x}" for c in plain), "".join(f"\\{ord(c):03o}" for c in plain), plain.replace(" ", "+").replace("=", "%3D"), packed, f'"{b64[:12]}" + "{b64[12:]}"', f"'{b64[:12]}'\n  '{b64[12:]}'", f'"{b64[:20]}"."{b64[20:]}"',
+    ):
+        text = f"see: {wrapped} !"
+        base, found = secrets.scan(text)
+        assert any(k == 0 and 5 <= a < b <= 5 + len(wrapped) for a, k, b in found), wrapped
+    # neither joints between other texts nor pluses alone make anything of what is nothing
+    for text in ('["aaaa", "bbbb"]', "a + b " * 50, '"' + " " * 100_000, "\\12", "%u12", "+" * 1000 + "%41"):
+        assert secrets.scan(text) == ([], [])
+
+
 def test_urls(spark):
     rows = [(1, "http://WWW.example.com/en/x?a=1"), (2, "https://a.example.com/en/"), (3, "http://x.net/es/1#t"), (4, None), (5, "no scheme"), (6, "http://x.org/p"), (7, "http://net"), (8, "http://b.com/q")]
     out = {r.page_id: r for r in urls.judge(spark.createDataFrame([(i, u, "h", 0.5) for i, u in rows], "page_id long, url string, host string, label double")).collect()}
