@@ -116,15 +116,19 @@ def _lengths(x: np.ndarray) -> np.ndarray:
     return np.sqrt((x**2).sum(1))
 
 
-def _index(grid: Grid):
-    schema = pa.schema([("rep", pa.int64()), ("mult", pa.int64()), ("v", pa.list_(pa.float64())), ("cells", pa.list_(pa.int64()))])
+def _doubles(rows: list[np.ndarray]) -> np.ndarray:
+    return np.stack(rows).astype(np.float64)
+
+
+def _index(grid: Grid, kind: pa.DataType):
+    schema = pa.schema([("rep", pa.int64()), ("mult", pa.int64()), ("v", pa.list_(kind)), ("cells", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             step = max(1, 1024 * 256 // max(256, grid.visits))
             for at in range(0, b.num_rows, step):
                 part = b.slice(at, step)
-                x = np.stack([v.values.to_numpy() for v in part.column(2)])
+                x = _doubles([v.values.to_numpy() for v in part.column(2)])
                 cells = grid.visit(x / _lengths(x)[:, None])
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(list(cells), pa.list_(pa.int64()))], schema=schema)
 
@@ -143,7 +147,7 @@ def _verify(least: float):
             queries, asked = asked, []
             if not held or not queries:
                 return None
-            r, q = np.stack([h[2] for h in held]), np.stack([h[2] for h in queries])
+            r, q = _doubles([h[2] for h in held]), _doubles([h[2] for h in queries])
             r_id, q_id = [h[0] for h in held], [h[0] for h in queries]
             r_n, q_n = np.array([h[1] for h in held]), np.array([h[1] for h in queries])
             cos = (q @ r.T) / (_lengths(q)[:, None] * _lengths(r)[None, :])
@@ -201,7 +205,10 @@ def near_vectors(
     """(vec_id, n_links, component_id, kept) for every row of vectors."""
     spark = vectors.sparkSession
     ship(spark)
-    own = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
+    # single precision travels as such; all that is computed is computed in doubles
+    single = vectors.schema[vector_col].dataType.simpleString() == "array<float>"
+    element, kind = ("float", pa.float32()) if single else ("double", pa.float64())
+    own = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(f"array<{element}>").alias("v"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     usable = own.where(F.col("vec_id").isNotNull() & (F.size("v") > 0) & ~bad & F.exists("v", lambda x: x != 0.0))
     # an id counts once, however often its row is there
@@ -214,11 +221,11 @@ def near_vectors(
     for d, n in many:  # one index a length
         mine = texts.where(F.size("v") == d)
         if d == 1:  # both halves need a column
-            mine = mine.withColumn("v", F.concat("v", F.array(F.lit(0.0))))
+            mine = mine.withColumn("v", F.concat("v", F.array(F.lit(0.0).cast(element))))
         pick = mine.orderBy(F.xxhash64("v")).limit(sample).select("v").toPandas()
-        x = np.stack(pick["v"].to_numpy())
+        x = _doubles(list(pick["v"]))
         grid = fit(x / _lengths(x)[:, None], n, least, recall, most_centres)
-        index = materialize(mine.select("rep", "mult", "v").mapInArrow(_index(grid), "rep long, mult long, v array<double>, cells array<long>"), "cells")
+        index = materialize(mine.select("rep", "mult", "v").mapInArrow(_index(grid, kind), f"rep long, mult long, v array<{element}>, cells array<long>"), "cells")
         home = index.withColumn("cell", F.col("cells")[0])
         blocks = home.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("nb"))
         live = home.join(blocks, "cell").select("cell", F.pmod(F.xxhash64("rep"), F.col("nb").cast("long")).cast("int").alias("block"), F.lit(0).alias("role"), "rep", "mult", "v", "cells")
