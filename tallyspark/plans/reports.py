@@ -322,6 +322,14 @@ def _batch_trades(t: Tables):
     return J.attach_trade_tx(batch, mine).select("id", "operation_id", "transaction_hash")
 
 
+def _batch_refs(t: Tables):
+    batch = _operation_effects(t).where(F.substring_index("id", "-", 1).cast("bigint") >= _one(t.operations, "id") + 2**32 * 2000)
+    operations = _kept(t, t.operations.select("id", "transaction_hash", "ledger"), "id", 2**32 * 100)
+    mine = S.read_matching(operations, batch.select(F.substring_index("id", "-", 1).cast("bigint").alias("id")), "id", 2**32 * 100)
+    return J.attach_operation_refs(batch, mine)
+
+
+add("jn3b_batch_refs", _batch_refs, f"SELECT e.effect_id AS id, e.l_quantity AS delta, CAST(split_part(e.effect_id, '-', 1) AS BIGINT) AS operation_id, o.transaction_hash, o.ledger FROM ({_OPFX.format('varchar')}) e LEFT JOIN operations o ON o.id = CAST(split_part(e.effect_id, '-', 1) AS BIGINT) WHERE CAST(split_part(e.effect_id, '-', 1) AS BIGINT) >= (SELECT min(id) FROM operations) + 4294967296 * 2000")
 add("jn1b_batch_ledgers", _batch_ledgers, f"SELECT p.id, t.ledger FROM {NP} p LEFT JOIN transactions t ON t.hash = p.transaction_hash WHERE p.ledger > {_NEWEST}")
 add("jn2b_batch_trades", _batch_trades, f"SELECT n.id, n.operation_id, o.transaction_hash FROM {NT} n LEFT JOIN operations o ON CAST(o.id AS VARCHAR) = n.operation_id WHERE n.ledger > {_NEWEST}")
 add(
