@@ -20,7 +20,8 @@ NARROW = 0.001
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from the labels of the documents given; keeps documents below TOXIC. Empty texts are not toxic."""
+    """Learns from the labels of the documents given; keeps documents below TOXIC. Null and empty texts are not toxic, long
+    ones are judged whole, repeated rows go or stay together; without labels of both classes nothing goes."""
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"), F.lit(True))
     own = fresh(docs, "toxicity")
     return toxicity.score(docs, model, out_col=own).where(F.col(own) < TOXIC).select(*docs.columns)
@@ -39,7 +40,8 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one with the smallest id. Of rows that share an id,
-    one stays. Rows with a null id stay."""
+    any one stays. Rows with a null id, and those without a word (null and empty texts among them), stay; texts are compared
+    whole, and of no documents there are none."""
     parts = neardup.near_duplicates(docs, words=5, percent=80)
     gone = parts.where("not kept").select("doc_id").distinct()
     left = docs.join(gone, "doc_id", "left_anti")
