@@ -380,7 +380,7 @@ add(
 add(
     "jn13d_strict_send",
     lambda t: J.strict_send(_edges(t), _pairs(t).withColumn("send", F.lit(10).cast("decimal(19,7)")), 3),
-    f"SELECT r.src, r.target, CAST(10 AS DECIMAL(19,7)) AS send, round(10.0 * rate, 7) AS received FROM {_PAIRS} r LEFT JOIN ({_quoted(3)}) q ON q.src = r.src AND q.target = r.target",
+    f"SELECT r.src, r.target, CAST(10 AS DECIMAL(19,7)) AS send, round(CAST(10 AS DOUBLE) * rate, 7) AS received FROM {_PAIRS} r LEFT JOIN ({_quoted(3)}) q ON q.src = r.src AND q.target = r.target",
 )
 
 
