@@ -335,7 +335,7 @@ def _predicates(nodes: DataFrame) -> DataFrame:
     time = F.when(F.col("word") == "before_absolute_time", at("$.before_absolute_time")).when(F.col("word") == "before_relative_time", at("$.before_relative_time"))
     parts = F.when(F.col("word") == "not", F.array(at("$.not", "variant"))).when(F.col("word") == "and", at("$.and", "array<variant>")).when(F.col("word") == "or", at("$.or", "array<variant>"))
     start = F.when(F.col("word") == "before_relative_time", F.col("created")).otherwise(0)
-    holds = F.when(F.col("word") == "unconditional", at("$.unconditional", "boolean")).otherwise(F.col("now") < start + F.col("time").try_cast("bigint"))
+    holds = F.when(F.col("word") == "unconditional", at("$.unconditional", "boolean")).otherwise(F.col("now") < F.try_add(start.cast("bigint"), F.col("time").try_cast("bigint")))
     out = nodes.withColumn("word", word).withColumn("time", time).withColumns({"parts": parts, "holds": holds})
     return out.withColumn("text", F.when(F.col("time").isNotNull(), F.concat("word", F.lit("("), "time", F.lit(")"))).otherwise(F.col("word"))).drop("node", "time")
 

@@ -286,6 +286,16 @@ def test_claim_predicates(spark):
     assert [got[str(i)] for i in range(len(cases))] == [(text, ok) for _, text, ok in cases]
 
 
+def test_claims_change_where_relative_bounds_run_out(spark):
+    two = '{"and":[{"before_relative_time":"100"},{"not":{"before_relative_time": "40"}}]}'
+    odd = '{"before\\u005frelative_time":"100"}'
+    rows = [{"id": f"{p}{made}", "claimants": [(p, text)], "last_modified_ledger": made} for p, text in (("two", two), ("odd", odd), ("big", '{"before_relative_time":"9223372036854775807"}')) for made in (None, 0, 899, 900, 901, 959, 960, 961, 2000)]
+    got = {r.id: r.claimable for r in A.claimable_at(raw(spark, "claimable_balances", *rows), 1000, "last_modified_ledger").collect()}
+    for made in (0, 899, 900, 901, 959, 960, 961, 2000):
+        assert got[f"two{made}"] == (1000 < made + 100 and not 1000 < made + 40) and got[f"odd{made}"] == (1000 < made + 100)
+    assert got["twoNone"] is None and got["oddNone"] is None and got["big0"] is True and got["big900"] is None and got["bigNone"] is None
+
+
 def test_invocations(spark):
     tree = '{"contract":"A","function":"f","args":1,"sub":[{"contract":"B","function":"g","args":0,"sub":[]},{"contract":"C","function":"h","args":2}]}'
     auth = spark.createDataFrame([("1", tree)], "id string, t string").select("id", F.parse_json("t").alias("invocation"))
