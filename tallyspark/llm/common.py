@@ -98,25 +98,50 @@ def likely_in(df: DataFrame, key: str, keys: DataFrame, log2_bits: int = 26) ->
     return found.select(*df.columns)
 
 
+def heavy_keys(rows: DataFrame, key: str, total: int, shares: int = 256, least: int = 128) -> tuple[list, int]:
+    """Values of key that hold more than one in `shares` of the total rows, and `least` at that: by counting fewer than
+    `shares` of them, however many keys there are. With them, into how many pieces (at most `shares`) the largest has
+    to be cut so that none holds more."""
+    most = max(least, total // shares)
+    if total <= most:
+        return [], 1
+    found = rows.groupBy(key).count().where(F.col(key).isNotNull() & (F.col("count") > most)).collect()
+    return [r[0] for r in found], max((-(-r[1] // most) for r in found), default=1)
+
+
+def join_heavy(rows: DataFrame, other: DataFrame, on: list[str], heavy: list, pieces: int, by: Column) -> DataFrame:
+    """rows joined with other, which has one row a key. Rows of keys whose first column is among heavy are dealt over
+    `pieces` tasks by `by`, and other's rows of these keys are there once for each piece."""
+    if not heavy:
+        return rows.join(other, on)
+    piece = fresh(rows, "_piece")
+    cut = F.when(F.col(on[0]).isin(heavy), F.lit(pieces)).otherwise(F.lit(1)).cast("long")
+    left = rows.withColumn(piece, F.pmod(F.xxhash64(by), cut))
+    right = other.withColumn(piece, F.explode(F.sequence(F.lit(0).cast("long"), cut - 1)))
+    return left.join(right, [*on, piece]).drop(piece)
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for every node of edges (a, b): the smallest node reachable.
 
-    Alternates the large-star and small-star steps; each is one aggregation and one join. Nothing is gathered, but a
-    hub's edges meet in one task of the join (labelling hubs by broadcast instead made plans too large for the driver).
+    Alternates the large-star and small-star steps; each is one aggregation and one join. Nothing is gathered: the
+    edges of a hub are dealt over many tasks (hubs are found anew in each round; there are fewer than 256 of them).
     Every round is written to the shared folder. Self loops and repeated edges change nothing; without edges the result
     is empty; no convergence within the rounds is an error."""
 
-    def labelled(rows: DataFrame, own: Column) -> DataFrame:
+    def both(e: DataFrame) -> DataFrame:
+        return e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+    def labelled(rows: DataFrame, own: Column, hubs: tuple[list, int]) -> DataFrame:
         """rows (a, b) with m, the least of own over the rows of a."""
-        return rows.join(rows.groupBy("a").agg(F.min(own).alias("m")), "a")
+        return join_heavy(rows, rows.groupBy("a").agg(F.min(own).alias("m")), ["a"], *hubs, F.col("b"))
 
-    def large(e: DataFrame) -> DataFrame:
-        both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        return labelled(both, F.least("a", "b")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    def large(e: DataFrame, hubs: tuple[list, int]) -> DataFrame:
+        return labelled(both(e), F.least("a", "b"), hubs).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
-    def small(e: DataFrame) -> DataFrame:
-        # a > b throughout
-        moved = labelled(e, F.col("b")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    def small(e: DataFrame, hubs: tuple[list, int]) -> DataFrame:
+        # a > b throughout; a node has no more rows than it had ends before the large step
+        moved = labelled(e, F.col("b"), hubs).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         return moved.unionByName(e.groupBy("a").agg(F.min("b").alias("b")))
 
     def stamp(e: DataFrame) -> tuple:
@@ -129,7 +154,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if before[0] == 0:
             break
-        now = materialize(small(large(now)).distinct(), "cc")
+        hubs = heavy_keys(both(now), "a", 2 * before[0])
+        now = materialize(small(large(now, hubs), hubs).distinct(), "cc")
         after = stamp(now)
         if after == before:
             break

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, likely_in, materialize, ship
+from .common import connected_components, heavy_keys, join_heavy, likely_in, materialize, ship
 
 U64 = np.uint64
 MIX = (U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB))
@@ -262,8 +262,11 @@ def near_duplicates(
 
     heads_of = copies.select("h1", "h2", "n", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
     heads_of = heads_of.select("h1", "h2", "n", F.coalesce("component", "rep").alias("component"))
-    out = sketch.select("doc_id", "n", "h1", "h2").join(heads_of, ["h1", "h2", "n"], "left")
-    component = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("component")).otherwise(F.col("doc_id"))
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    # copies of one text may be a third of all rows: their rows are dealt over many tasks
+    common, pieces = heavy_keys(some, "h1", sketch.count())
+    linked = join_heavy(some.select("doc_id", "n", "h1", "h2"), heads_of, ["h1", "h2", "n"], common, pieces, F.col("doc_id"))
     # rows of one id with different texts were one node; without words they stay alone
+    alone = sketch.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component"))
+    out = linked.select("doc_id", "n", "component").unionByName(alone)
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, ship
+from .common import connected_components, heavy_keys, join_heavy, materialize, ship
 from .neardup import forest
 
 
@@ -210,7 +210,8 @@ def near_vectors(
     element, kind = ("float", pa.float32()) if single else ("double", pa.float64())
     own = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(f"array<{element}>").alias("v"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    usable = own.where(F.col("vec_id").isNotNull() & (F.size("v") > 0) & ~bad & F.exists("v", lambda x: x != 0.0))
+    fit_for_links = F.col("vec_id").isNotNull() & (F.size("v") > 0) & ~bad & F.exists("v", lambda x: x != 0.0)
+    usable = own.where(fit_for_links)
     # an id counts once, however often its row is there
     texts = usable.groupBy("v", "vec_id").count().groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult"))
     texts = materialize(texts, "vectors")
@@ -237,9 +238,11 @@ def near_vectors(
     parts = connected_components(links.where("root is not null").select(F.col("node").alias("a"), F.col("root").alias("b")))
     counts = links.groupBy("node").agg(F.sum("links").alias("links"))
     heads = texts.join(counts, F.col("rep") == F.col("node"), "left").drop("node").join(parts, F.col("rep") == F.col("node"), "left")
-    heads = heads.select("v", F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("links"))
-    out = own.join(heads, "v", "left")
-    linked = F.col("vec_id").isNotNull()
-    component = F.when(linked, F.coalesce("component", "vec_id"))
-    out = out.select("vec_id", F.when(linked, F.coalesce("links", F.lit(0))).otherwise(0).cast("long").alias("n_links"), component.alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    mark = F.xxhash64(F.transform("v", lambda x: x + F.lit(0.0).cast(element)))  # without negative zeros, as in groups
+    heads = heads.select(mark.alias("mark"), "v", F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("links"))
+    # copies of one vector may be a third of all rows: their rows are dealt over many tasks
+    marked = usable.withColumn("mark", mark)
+    common, pieces = heavy_keys(marked, "mark", usable.count())
+    linked = join_heavy(marked, heads, ["mark", "v"], common, pieces, F.col("vec_id")).select("vec_id", F.col("links").cast("long").alias("n_links"), F.col("component").alias("component_id"))
+    alone = own.where(~F.coalesce(fit_for_links, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -54,6 +54,27 @@ def test_components_of_a_hub_and_a_chain(spark, monkeypatch):
         common.connected_components(df, rounds=1)
 
 
+def test_rows_of_a_heavy_key_are_dealt_over_many_tasks(spark):
+    from tallyspark.llm.common import heavy_keys, join_heavy
+
+    rows = spark.createDataFrame([(7, i, "x") for i in range(4000)] + [(i % 90, i, None) for i in range(300)] + [(None, 1, "y")] * 500, "a long, b long, _piece string")
+    other = spark.createDataFrame([(i, i * i) for i in range(80)], "a long, m long")
+    heavy, pieces = heavy_keys(rows, "a", 4800)
+    assert heavy == [7] and pieces == 32 and heavy_keys(rows, "a", 128) == ([], 1)
+    joined = join_heavy(rows, other, ["a"], heavy, pieces, F.col("b"))
+    got, want = ([tuple(r) for r in df.select("a", "b", "_piece", "m").collect()] for df in (joined, rows.join(other, "a")))
+    assert sorted(got, key=str) == sorted(want, key=str)
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(kept, ("16", "false", "-1")):
+            spark.conf.set(k, v)
+        sizes = [r[1] for r in join_heavy(rows, other, ["a"], heavy, pieces, F.col("b")).groupBy(F.spark_partition_id()).count().collect()]
+        assert max(sizes) < 1000  # of 4300
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
 def test_a_cluster_needs_a_shared_folder():
     from tallyspark.llm import common
 
