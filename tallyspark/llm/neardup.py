@@ -241,7 +241,9 @@ def near_duplicates(
     up = blocks.select("cluster", (F.col("kind") - 1).alias("kind"), F.col("nb").alias("nb_up"))
     down = blocks.select("cluster", (F.col("kind") + 1).alias("kind"), F.col("nb").alias("nb_down"))
     sizes = blocks.join(up, ["cluster", "kind"], "left").join(down, ["cluster", "kind"], "left").where("c > 1 or nb_up > 0 or nb_down > 0")
-    placed = members.join(sizes, ["cluster", "kind"]).withColumn("h", F.pmod(F.xxhash64("rep", "n"), F.col("nb").cast("long")).cast("int"))
+    # a cluster may hold a third of all sets: they are dealt over many tasks
+    placed = join_heavy(members, sizes, ["cluster", "kind"], *heavy_keys(members, "cluster", members.count()), F.col("rep"))
+    placed = placed.withColumn("h", F.pmod(F.xxhash64("rep", "n"), F.col("nb").cast("long")).cast("int"))
 
     def with_each(count: str, make) -> F.Column:
         n = F.coalesce(F.col(count), F.lit(0))
