@@ -542,3 +542,11 @@ def test_one_busy_account_spreads_over_tasks(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert most < 1500
+
+
+def test_kids_of_a_tree_are_not_broadcast(spark):
+    """Stored kids are small as files and large as rows, so their size must not send them through the driver."""
+    made = raw(spark, "claimable_balances", {"id": "B1", "claimants": [("G1", '{"and":[{"before_absolute_time":"900"},{"not":{"unconditional":false}}]}')], "last_modified_ledger": 1})
+    done = A.claimable_at(made, 500, "last_modified_ledger")
+    assert "BroadcastHashJoin" not in done._jdf.queryExecution().executedPlan().toString()
+    assert tuple(one(done)) == ("B1", "G1", "and(before_absolute_time(900), not(unconditional))", True)
