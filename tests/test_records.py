@@ -550,3 +550,17 @@ def test_kids_of_a_tree_are_not_broadcast(spark):
     done = A.claimable_at(made, 500, "last_modified_ledger")
     assert "BroadcastHashJoin" not in done._jdf.queryExecution().executedPlan().toString()
     assert tuple(one(done)) == ("B1", "G1", "and(before_absolute_time(900), not(unconditional))", True)
+
+
+def test_totals_check_an_id_once_an_event(spark):
+    """Ids with one character changed are none; the check is in the plan once, and without a step a character."""
+    good = [contract_key(n) for n in range(30)]
+    bad = [x[:n] + ("A" if x[n] != "A" else "B") + x[n + 1 :] for n, x in zip(range(2, 56), good * 2)]
+    e = N.normalize_contract_events(raw(spark, "contract_events", *[{"id": str(n), "contract_id": x, "tx_hash": "t"} for n, x in enumerate(good + bad + [None, "", good[0]])]))
+    totals = A.contract_event_totals(e)
+    plan = totals._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") == 1 and "aggregate(" not in plan
+    s = one(totals)
+    assert (s["events"], s["contracts"], s["transactions"], s["failed"]) == (len(good) + len(bad) + 3, len(good), 1, 0)
+    s = one(A.contract_event_totals(e.where("false")))
+    assert (s["events"], s["contracts"], s["transactions"], s["failed"], s["first_ledger"]) == (0, 0, 0, 0, None)
