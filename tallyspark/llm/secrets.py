@@ -10,7 +10,8 @@ piece of the original text that carries it. Bytes that are no UTF-8 and characte
 Spans are code points, end exclusive. Defined cases: null text is empty and has no findings; texts are scanned
 whole; repeated rows give repeated results, of which findings of one stretch and kind count once; an empty table gives
 an empty result; columns other than the id and the text are ignored (redact passes them on); a stream of more than `max_layer` bytes is taken in windows of that many,
-which bounds the memory and not the time: a decompression bomb costs the time that its contents take.
+which bounds the memory and not the time: a decompression bomb costs the time that its contents take. What a broken
+stream holds before it breaks counts; a failure that is not the stream's (no decoder, no memory) ends the job.
 """
 
 from __future__ import annotations
@@ -170,10 +171,14 @@ def _chunks(raw: bytes, at: int, bare: bool = False) -> Iterator[bytes]:
 
                 import zstandard
 
-                # reads on over frames
-                with zstandard.ZstdDecompressor().stream_reader(io.BytesIO(raw[at:]), read_across_frames=True) as r:
-                    while out := r.read(CHUNK):
-                        yield out
+                # reads on over frames, of any window that the format's library knows
+                with zstandard.ZstdDecompressor(max_window_size=1 << 31).stream_reader(io.BytesIO(raw[at:]), read_across_frames=True) as r:
+                    try:
+                        while out := r.read(CHUNK):
+                            yield out
+                    except zstandard.ZstdError as broken:
+                        if "Allocation error" in str(broken):
+                            raise
                 return
             d = zlib.decompressobj(-15) if bare else zlib.decompressobj(47) if kind in ("gzip", "zlib") else bz2.BZ2Decompressor() if kind == "bzip2" else lzma.LZMADecompressor()
             while not d.eof and at < len(raw):
@@ -190,7 +195,7 @@ def _chunks(raw: bytes, at: int, bare: bool = False) -> Iterator[bytes]:
                 return
             at -= len(d.unused_data)
             at += len(ZEROS.match(raw, at)[0])
-    except Exception:  # noqa: BLE001  a broken stream: what came before it counts
+    except (zlib.error, lzma.LZMAError, OSError, EOFError):  # a broken stream (bzip2's is an OSError): what came before it counts
         return
 
 

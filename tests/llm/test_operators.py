@@ -1,7 +1,9 @@
 """The corpus operators against brute force, round trips and edge cases."""
 
+import base64
 import itertools
 import math
+import sys
 import zlib
 from collections import Counter
 
@@ -480,6 +482,32 @@ def test_secrets_in_rarer_wrappings():
         assert secrets.scan(text) == ([], [])
 
 
+@pytest.mark.parametrize("failure", [None, MemoryError])
+def test_secrets_failures_are_no_results(monkeypatch, failure):
+    """A stream that cannot be read for want of a decoder or of memory is not one that holds nothing."""
+    zstandard = pytest.importorskip("zstandard")
+    text = base64.b64encode(zstandard.compress(b"the password = hunter2hunter2 is here")).decode()
+    assert [k for _, k, _ in secrets.scan(text)[1]] == [0]
+    if failure is None:
+        monkeypatch.setitem(sys.modules, "zstandard", None)
+    else:
+
+        def fails(*args, **named):
+            raise failure
+
+        monkeypatch.setattr(zstandard, "ZstdDecompressor", fails)
+    with pytest.raises(failure or ImportError):
+        secrets.scan(text)
+
+
+def test_secrets_in_frames_of_a_large_window():
+    zstandard = pytest.importorskip("zstandard")
+    c = zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters(window_log=28)).compressobj()
+    filler = bytes(np.random.default_rng(1).choice(list(b"abcd "), 4000))  # what can be packed, so that nothing stands there as it is
+    text = base64.b64encode(c.compress(filler + b" the password = hunter2hunter2 " + filler) + c.flush()).decode()
+    assert 0 in [k for _, k, _ in secrets.scan(text)[1]]
+
+
 def test_urls(spark):
     rows = [(1, "http://WWW.example.com/en/x?a=1"), (2, "https://a.example.com/en/"), (3, "http://x.net/es/1#t"), (4, None), (5, "no scheme"), (6, "http://x.org/p"), (7, "http://net"), (8, "http://b.com/q")]
     out = {r.page_id: r for r in urls.judge(spark.createDataFrame([(i, u, "h", 0.5) for i, u in rows], "page_id long, url string, host string, label double")).collect()}
