@@ -564,3 +564,12 @@ def test_totals_check_an_id_once_an_event(spark):
     assert (s["events"], s["contracts"], s["transactions"], s["failed"]) == (len(good) + len(bad) + 3, len(good), 1, 0)
     s = one(A.contract_event_totals(e.where("false")))
     assert (s["events"], s["contracts"], s["transactions"], s["failed"], s["first_ledger"]) == (0, 0, 0, 0, None)
+
+
+def test_windowed_times_are_made_up_once(spark, monkeypatch):
+    from tallyspark.plans import registry
+
+    kept, store = [], S.stored
+    monkeypatch.setattr(S, "stored", lambda df, name: kept.append(name) or store(df, name))
+    assert registry.queries()["str7b_windows_by_kind"](spark, "/root/testdata/sf0.001").count()
+    assert kept == ["effects_times", "payments_times", "trades_times"]
