@@ -566,6 +566,18 @@ def test_totals_check_an_id_once_an_event(spark):
     assert (s["events"], s["contracts"], s["transactions"], s["failed"], s["first_ledger"]) == (0, 0, 0, 0, None)
 
 
+@pytest.mark.parametrize("name, most", (("jn3b_batch_refs", 1),))
+def test_operations_are_made_up_once(spark, monkeypatch, name, most):
+    """Queries that read several views of the operations read the lines that those are made up of once (claimable balances
+    do so on their own)."""
+    from tallyspark.plans import registry, views
+
+    made, get = [], views.Tables.__getattr__
+    monkeypatch.setattr(views.Tables, "__getattr__", lambda self, x: made.append(x) or get(self, x))
+    assert registry.queries()[name](spark, "/root/testdata/sf0.001").count()
+    assert 1 <= made.count("lineitem") <= most
+
+
 def test_windowed_times_are_made_up_once(spark, monkeypatch):
     from tallyspark.plans import registry
 
