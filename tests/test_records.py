@@ -566,7 +566,7 @@ def test_totals_check_an_id_once_an_event(spark):
     assert (s["events"], s["contracts"], s["transactions"], s["failed"], s["first_ledger"]) == (0, 0, 0, 0, None)
 
 
-@pytest.mark.parametrize("name, most", (("jn3b_batch_refs", 1), ("flt1l_by_watched_balances", 2)))
+@pytest.mark.parametrize("name, most", (("jn3b_batch_refs", 1), ("flt1l_by_watched_balances", 2), ("src1b_every_table", 2)))
 def test_operations_are_made_up_once(spark, monkeypatch, name, most):
     """Queries that read several views of the operations read the lines that those are made up of once (claimable balances
     do so on their own)."""
