@@ -34,13 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import materialize, ship, without, worker_state
+from .common import few_rows, materialize, ship, without, worker_state
 
 # ---------------------------------------------------------------- tokens
 
 _state: dict = worker_state("packing")
-WORDS = 200_000  # chunks that a worker remembers when it forgets the rarer half and those met in one slice only
-SLICE = 2_000_000  # characters that are encoded at once
+WORDS = 60_000  # chunks that a worker remembers when it forgets the rarer half and those met in one slice only
+SLICE = 1_000_000  # characters that are encoded at once
 _LATIN = re.compile("[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")  # all letters whose lower case is one letter
 _LAST_MARK = re.compile("(?<=[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f])[.,](?![^ ])")
 _BEYOND = re.compile("[^\u0000-\u024f]")
@@ -436,7 +436,7 @@ def pack(items: DataFrame, order_by: list[str], length_col: str = "length", capa
         raise ValueError(f"lengths must be 1 to {capacity}")
     found = plan(counts, capacity, effort)
     shared = spark.sparkContext.broadcast(placements(found.fillings))  # bounded by the number of lengths, not of items
-    salts = spark.createDataFrame([(n, -(-c // per_salt)) for n, c in counts.items()], "_n int, _salts long")
+    salts = few_rows(spark, pa.schema([("_n", pa.int32()), ("_salts", pa.int64())]), [(n, -(-c // per_salt)) for n, c in counts.items()])
     salted = items.join(F.broadcast(salts), F.col(length_col).cast("int") == F.col("_n"))
     salted = salted.withColumn("_salt", F.pmod(F.xxhash64(*order_by), F.col("_salts"))).drop("_n", "_salts")
     cells = salted.groupBy(length_col, "_salt").count()

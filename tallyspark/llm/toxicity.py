@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, ship, without, worker_state
+from .common import few_rows, fresh, materialize, ship, without, worker_state
 
 LAMBDA, SPAN, SIZE = 0.7, 6, 128
 LONG = 24  # letters of a unit judged at once; longer ones are judged in overlapping windows
@@ -295,9 +295,10 @@ def learn(docs: DataFrame, labels: DataFrame, where: Column, id_col: str = "doc_
     usable = counts.where((F.col("neg") <= 0.02 * F.col("pos")) & (F.col("pos") >= min(least, max(2, n_pos // 4))))
     top = usable.orderBy(F.desc("pos"), "unit").limit(20 * landmarks)
     evident = [(i, r["unit"], r["pos"]) for i, r in enumerate(top.collect())]
+    listed = few_rows(spark, pa.schema([("number", pa.int32()), ("unit", pa.string()), ("pos", pa.int64())]), evident)
     bags = (
         picked.where("y = 1").select("id", F.explode(_units_udf()("text")).alias("unit"))
-        .join(F.broadcast(spark.createDataFrame(evident, "number int, unit string, pos long")), "unit")
+        .join(F.broadcast(listed), "unit")
         .groupBy("id").agg(F.collect_set("number").alias("us")).select("us").collect()
     )  # at most `sample` rows of numbers of at most 20 * landmarks evident units
     positive = cover([{evident[i][1] for i in r[0]} for r in bags], {u: n for _, u, n in evident})

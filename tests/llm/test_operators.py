@@ -98,6 +98,36 @@ def test_likely_in_loses_nothing(spark):
     assert set(range(0, 2000, 7)) <= got and len(got) < 400
 
 
+def test_rows_reach_python_in_batches_of_few_megabytes(spark):
+    from tallyspark.llm.common import ship
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows], "mb": [b.nbytes / 1e6]}) for b in batches)
+    try:
+        spark.conf.set(key, "1m")
+        ship(spark)
+        assert spark.conf.get(key) == "1m"  # what the session sets stays
+        spark.conf.unset(key)
+        ship(spark)
+        long = spark.range(0, 2000, 1, 1).selectExpr("repeat('x', 10000) text")
+        got = long.mapInArrow(sizes, "n long, mb double").collect()
+        assert sum(r.n for r in got) == 2000 and max(r.mb for r in got) < 8
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+
+
+def test_few_rows_start_no_python(spark):
+    from tallyspark.llm.common import few_rows
+
+    schema = pa.schema([("n", pa.int32()), ("unit", pa.string()), ("c", pa.int64())])
+    df = few_rows(spark, schema, [(1, "a", 2**40), (2, None, 3)])
+    assert df.dtypes == [("n", "int"), ("unit", "string"), ("c", "bigint")] and sorted(map(tuple, df.collect())) == [(1, "a", 2**40), (2, None, 3)]
+    assert few_rows(spark, schema, []).collect() == []
+    lineage = lambda x: x._jdf.queryExecution().toRdd().toDebugString()
+    assert "PythonRDD" not in lineage(df) and "PythonRDD" in lineage(spark.createDataFrame([(1, "a", 2)], "n int, unit string, c long"))
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in rng.normal(size=8).round(1)]) for i in range(300)]
